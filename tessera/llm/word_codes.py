@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 
 DEFAULT_FILE = "word_bpe_49k.json"
 MEMO_WORDS = 1_000_000  # entries kept between batches; beyond it the memo starts anew
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -67,9 +68,11 @@ class WordEncoder:
         plain, odd = [], []
         for w in words:
             (odd if self.SEPARATOR in w or len(w) > 200 or len(self.mark) != 1 else plain).append(w)
+        joined = [f" {self.SEPARATOR} ".join(plain[i : i + 512]) for i in range(0, len(plain), 512)]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
-            ids = self._ids(f" {self.SEPARATOR} ".join(part))
+            ids = encoded[i // 512].ids
             if ids.count(self.mark[0]) != len(part) - 1:  # some word makes the mark's id
                 odd.extend(part)
                 continue
@@ -84,12 +87,12 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
-        """A word as (stem, last mark): ASCII letters are lower-cased by the tokenizer in
-        any case, and a full stop or comma after letters is always a token run of its own."""
-        stem, mark = (word[:-1], word[-1]) if word.endswith((".", ",")) else (word, "")
-        if stem.isascii() and stem.isalpha():
-            return stem.lower(), mark
-        return (stem, mark) if stem.isalpha() else (word, "")
+        """A word as (stem, last marks): ASCII letters are lower-cased by the tokenizer in
+        any case, and ASCII marks but the apostrophe after letters are a run of their own."""
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha():
+            return word, ""
+        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
     def _learn(self, words: list[str]) -> None:
         parts = [self._parts(w) for w in words]
@@ -112,8 +115,11 @@ class WordEncoder:
         if len(self.memo) > MEMO_WORDS:
             self._forget()
         memo = self.memo
-        self._learn([w for w in words if w not in memo])
-        rows = np.fromiter((memo[w] for w in words), np.int64, len(words))
+        rows = list(map(memo.get, words))
+        if None in rows:
+            self._learn([w for w, r in zip(words, rows) if r is None])
+            rows = list(map(memo.get, words))
+        rows = np.array(rows, np.int64)
         codes = rows[coded.indices.to_numpy(zero_copy_only=False)]
         starts, pool = np.frombuffer(self.starts, np.int64), np.frombuffer(self.pool, np.uint32)
         firsts = starts[codes]
