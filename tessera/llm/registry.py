@@ -7,7 +7,12 @@ import importlib
 # query name -> module; the function has the query's name
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_mixing": "mixing",
+    "op3_minhash_near_dedup": "near_dedup",
+    "op4_html_extraction": "html_extract",
+    "op7_quality_rules": "quality_rules",
     "op9_token_binary_output": "token_store",
+    "op10_embedding_dedup": "embedding_dedup",
 }
 
 

@@ -22,6 +22,16 @@ MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def large_strings(texts: pa.Array) -> pa.Array:
+    """Strings with 64-bit offsets from 0 on, null as empty. (A slice is copied first:
+    string kernels go wrong on a cast slice, whose offsets start elsewhere.)"""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def tokenizer_path(name: str = DEFAULT_FILE) -> str:
     import public_tokenizers
 
@@ -103,9 +113,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (null: empty) in one array, and the n+1 offsets of the texts."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = large_strings(texts)
         if len(texts) == 0:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         split = pc.ascii_split_whitespace(texts)
