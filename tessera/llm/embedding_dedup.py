@@ -3,14 +3,19 @@
 Filter directions form a structured random product code: after a fixed random rotation a
 vector is cut into ``PARTS`` blocks, each block has its own small random code, and a filter
 is one codeword of each block. List decoding yields every filter whose inner product with
-the vector exceeds ``ALPHA`` without looking at all ``WORDS ** PARTS`` of them. Vectors of
-one label are joined on common filters, and each joined pair is verified by its cosine in
-double precision.
+the vector exceeds a threshold without looking at all of them. Vectors of one label are
+joined on common filters. A joined pair stays a candidate if the signs of 128 random
+projections, kept beside each filter, do not rule out the cosine (chance of a loss below
+1e-8); candidates form candidate components, and in each of these the pairs are verified by
+their cosine in double precision.
 
-A filter with many vectors is cut into sub-blocks, and each pair of sub-blocks is compared
-by one matrix product in a task of bounded size. A pair counts at the first filter that
-both share, so it is never counted twice and never written out: a task returns, for each
-vector, how many it links to and one link towards its local component.
+No pairs are written out. A filter or component with many vectors is cut into sub-blocks,
+two of which are compared by one matrix product in a task of bounded size; what a task
+returns is, for each vector, how many it links to and one link towards its local component.
+
+Threshold and code size follow from the dimension, so that a vector passes about
+``FILTERS`` filters; of random pairs at exactly 0.98 fewer than one in a thousand shares
+none, and nearer pairs are missed far more rarely.
 
 Equal vectors of a label form one class with a count. Defined cases: a null vector, a zero
 vector, or one with null or non-finite components links with nothing, nor does any vector
@@ -32,175 +37,199 @@ from tessera.llm.components import connected_components
 from tessera.session import materialize, ship
 
 COSINE = 0.98
-PARTS, WORDS = 4, 32
-ALPHA = 0.46
-SUB_BLOCK = 256  # vectors of one filter that are compared with one another in one step
+PARTS = 2
+ALPHA = 0.47  # least inner product with a filter, in up to 64 dimensions
+FILTERS = 200  # filters that a vector passes, about
+MAX_WORDS = 4096
+SUB_BLOCK = 256  # vectors of one group that are compared with one another in one step
+MAX_DIFFERENT_SIGNS = 28  # of 128; 8 are expected at a cosine of 0.98
 SEED = 7
 
 
+def _threshold(dim: int) -> tuple[float, int]:
+    """(alpha, codewords of a block) for a dimension."""
+    alpha = min(ALPHA, 8 * ALPHA / np.sqrt(dim))
+    theta = np.linspace(0, np.pi, 20001)
+    weight = np.sin(theta) ** max(0, dim - 2)
+    cap = weight[theta <= np.arccos(alpha)].sum() / weight.sum()  # share of directions above alpha
+    return alpha, int(np.clip(np.ceil((FILTERS / cap) ** (1 / min(PARTS, dim))), 2, MAX_WORDS))
+
+
 @lru_cache(maxsize=4)
-def code(dim: int, parts: int = PARTS, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
-    """(rotation, codewords of each block, columns of each block) for one dimension."""
+def code(dim: int, seed: int = SEED):
+    """(alpha, rotation, codewords of each block, columns of each block, sign directions)."""
     rng = np.random.default_rng([seed, dim])
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-    parts = min(parts, dim)
+    alpha, words = _threshold(dim)
+    parts = min(PARTS, dim)
     edges = np.linspace(0, dim, parts + 1).astype(int)
     words_of, cols = [], []
     for a, b in zip(edges[:-1], edges[1:]):
         c = rng.normal(size=(words, b - a))
         words_of.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(parts))
         cols.append(slice(a, b))
-    return rotation, words_of, cols
+    return alpha, rotation, words_of, cols, rng.normal(size=(dim, 128))
 
 
-def list_decode(unit: np.ndarray, alpha: float = ALPHA, **kinds) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of all filters whose product is >= alpha."""
-    rotation, words, cols = code(unit.shape[1], **kinds)
+def list_decode(unit: np.ndarray) -> list[np.ndarray]:
+    """For each unit vector the numbers of all filters whose product exceeds the threshold."""
+    alpha, rotation, words, cols, _ = code(unit.shape[1])
     turned = unit @ rotation
     scores = [turned[:, c] @ w.T for w, c in zip(words, cols)]
-    half = (len(scores) + 1) // 2
-
-    def sums(group: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(unit), 1))
-        for s in group:
-            out = (out[:, :, None] + s[:, None, :]).reshape(len(unit), -1)
-        return out
-
-    found = []
-    left, right = sums(scores[:half]), sums(scores[half:])
-    width = right.shape[1]
-    for a, b in zip(left, right):
+    right = scores[1] if len(scores) > 1 else np.zeros((len(unit), 1))
+    width, found = right.shape[1], []
+    for a, b in zip(scores[0], right):
         order = np.argsort(-b)
         best = -b[order]  # ascending
         rows = np.flatnonzero(a >= alpha + best[0])
         n = np.searchsorted(best, a[rows] - alpha, side="right")
         rows, at = np.repeat(rows, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(np.sort(rows * width + order[at]))
+        found.append(rows * width + order[at])
     return found
 
 
-def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
-    x = flat.reshape(-1, dim).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
+def signs(unit: np.ndarray) -> np.ndarray:
+    """Two words of 64 signs for each vector."""
+    return np.packbits(unit @ code(unit.shape[1])[4] > 0, axis=1).view(np.int64)
 
-def _filters(alpha: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                data = [np.array(v.as_py(), np.float64) for v in some.column("vector")]
-                lists: list = [None] * len(data)
-                for dim in {len(v) for v in data}:
-                    rows = [i for i, v in enumerate(data) if len(v) == dim]
-                    for i, f in zip(rows, list_decode(_unit(np.concatenate([data[i] for i in rows]), dim), alpha)):
-                        lists[i] = f
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(c) for c in ("class_id", "label", "n", "vector")] + [pa.array(lists, pa.list_(pa.int64()))],
-                    names=["class_id", "label", "n", "vector", "filters"],
-                )
 
-    return run
+def _unit(rows: list) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class _Group:
-    """Rows of one (label, filter, i, j)."""
-
-    def __init__(self) -> None:
-        self.ids: list[int] = []
-        self.subs: list[int] = []
-        self.counts: list[int] = []
-        self.vectors: list = []
-        self.filters: list = []
-
-
-def link_group(ids, subs, counts, vectors, filters, at_filter: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links to add, local root) of each row. Rows of the two sub-blocks are compared with
-    one another, or those of a single sub-block among themselves."""
-    n = len(ids)
-    add, parent = np.zeros(n, np.int64), np.arange(n)
-    by_dim: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_dim.setdefault(len(v), []).append(i)
-    subs, counts = np.array(subs), np.array(counts)
-    for dim, rows in by_dim.items():
-        rows = np.array(rows)
-        if len(rows) < 2:
-            continue
-        unit = _unit(np.concatenate([np.asarray(vectors[i], np.float64) for i in rows]), dim)
-        near = unit @ unit.T >= cosine
-        own = subs[rows]
-        near &= np.triu(np.ones(near.shape, bool), 1)
-        if own.min() != own.max():
-            near &= own[:, None] != own[None, :]
-        if not near.any():
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            data = some.column("vector").to_pylist()
+            lists: list = [None] * len(data)
+            bits = np.zeros((len(data), 2), np.int64)
+            for dim in {len(v) for v in data}:
+                rows = [i for i, v in enumerate(data) if len(v) == dim]
+                unit = _unit([data[i] for i in rows])
+                bits[rows] = signs(unit)
+                for i, f in zip(rows, list_decode(unit)):
+                    # vectors of different length never meet in one filter
+                    lists[i] = f + (dim << 32)
+            yield pa.RecordBatch.from_arrays(
+                [some.column(c) for c in ("class_id", "label", "n", "vector")] + [pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(lists, pa.list_(pa.int64()))],
+                names=["class_id", "label", "n", "vector", "signs0", "signs1", "filters"],
+            )
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that are sorted by key, with the number of each row's group."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        involved = np.flatnonzero(near.any(0) | near.any(1))
-        earlier = sorted({int(f) for i in involved for f in filters[rows[i]] if f < at_filter})
-        if earlier:  # a pair belongs to the first filter that both have
-            index = {f: k for k, f in enumerate(earlier)}
-            has = np.zeros((len(rows), len(earlier)), np.float32)
-            for i in involved:
-                for f in filters[rows[i]]:
-                    if f >= at_filter:
-                        break
-                    has[i, index[int(f)]] = 1
-            near &= (has @ has.T) == 0
-        for a, b in zip(*np.nonzero(near)):
-            x, y = rows[a], rows[b]
-            add[x] += counts[y]
-            add[y] += counts[x]
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            parent[max(x, y)] = min(x, y)
-    for i in range(n):
-        parent[i] = parent[parent[i]]
-    for i in range(n):
-        while parent[i] != parent[parent[i]]:
-            parent[i] = parent[parent[i]]
-    return add, parent
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+        keys = [table.column(c).to_numpy() for c in key]
+        starts = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        last = int(np.flatnonzero(starts)[-1])  # the last group may go on in the next batch
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last), np.cumsum(starts[:last])
+    if held is not None:
+        yield held, np.ones(held.num_rows, np.int64)
+
+
+def _settle(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows reaches by the pairs (p, q)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[p], label[q])
+        after = label.copy()
+        np.minimum.at(after, p, low)
+        np.minimum.at(after, q, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within each (label, filter, i, j): links (u, v) that connect what the signs allow."""
+    for table, group in _groups(batches, ["label", "filter", "i", "j"]):
+        n = table.num_rows
+        ids, sub, i, j, s0, s1 = (table.column(c).to_numpy() for c in ("class_id", "sub", "i", "j", "signs0", "signs1"))
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # as unsigned words: of a negative one numpy counts the bits of its magnitude
+            differ = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
+            return (differ <= MAX_DIFFERENT_SIGNS) & ((i[a] == j[a]) | (sub[a] != sub[b]))
+
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(n), 0))
+        starred = near(np.arange(n), first) & (first != np.arange(n))
+        p, q = [first[starred]], [np.flatnonzero(starred)]
+        at, k = np.arange(n), 1
+        while True:  # pairs k rows apart, but those that the first row connects already
+            at = at[at + k < n]
+            at = at[group[at] == group[at + k]]
+            if not len(at):
+                break
+            a = at[~(starred[at] & starred[at + k])]
+            hit = near(a, a + k)
+            p.append(a[hit])
+            q.append(a[hit] + k)
+            k += 1
+        label = _settle(n, np.concatenate(p), np.concatenate(q))
+        moved = np.flatnonzero(label != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
 
 def _verify(cosine: float):
+    """Within each (component, i, j): what each vector links to, and a link to a local root."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, _Group()
-        out: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            if key is not None and len(group.ids) > 1:
-                add, root = link_group(group.ids, group.subs, group.counts, group.vectors, group.filters, key[1], cosine)
-                out.extend((group.ids[i], int(add[i]), group.ids[root[i]]) for i in range(len(add)) if add[i])
-
-        def rows() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["class_id", "add", "root"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("label", "filter", "i", "j", "class_id", "sub", "n")]
-            vectors, filters = batch.column("vector"), batch.column("filters")
-            for r, (label, f, i, j, class_id, sub, n) in enumerate(zip(*cols)):
-                if (label, f, i, j) != key:
-                    close()
-                    key, group = (label, f, i, j), _Group()
-                group.ids.append(class_id)
-                group.subs.append(sub)
-                group.counts.append(n)
-                group.vectors.append(vectors[r].values.to_numpy(zero_copy_only=False))
-                group.filters.append(filters[r].values.to_numpy(zero_copy_only=False))
-            yield rows()
-        close()
-        yield rows()
+        for table, group in _groups(batches, ["component", "i", "j"]):
+            ids, sub, i, j, counts = (table.column(c).to_numpy() for c in ("class_id", "sub", "i", "j", "n"))
+            vectors = table.column("vector").combine_chunks()
+            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows = vectors.slice(a, b - a).to_pylist()
+                dims = np.array(list(map(len, rows)))
+                for dim in set(dims.tolist()):
+                    own = np.flatnonzero(dims == dim)
+                    unit = _unit([rows[r] for r in own])
+                    linked = unit @ unit.T >= cosine
+                    at = a + own
+                    if i[a] == j[a]:
+                        np.fill_diagonal(linked, False)
+                    else:
+                        linked &= sub[at][:, None] != sub[at][None, :]
+                    add = linked @ counts[at]
+                    p, q = np.nonzero(np.triu(linked))
+                    label = _settle(len(own), p, q)
+                    hit = np.flatnonzero(add)
+                    out.append((ids[at][hit], add[hit], ids[at][label[hit]]))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["class_id", "add", "root"])
 
     return run
 
 
-def link(vectors: DataFrame, cosine: float = COSINE, alpha: float = ALPHA, sub_block: int = SUB_BLOCK) -> DataFrame:
+def _in_sub_blocks(rows: DataFrame, group: list[str], sub_block: int) -> DataFrame:
+    """Every row once for each pair (i, j) of sub-blocks of its group that has its own
+    sub-block; groups of one row are left out."""
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("m")).where("m > 1")
+    return (
+        rows.join(sizes, group)
+        .withColumn("subs", F.ceil(F.col("m") / F.lit(sub_block)).cast("int"))
+        .withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(SEED)), F.col("subs")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        .withColumn("i", F.least("sub", "other"))
+        .withColumn("j", F.greatest("sub", "other"))
+        .drop("m", "subs", "other")
+    )
+
+
+def link(vectors: DataFrame, cosine: float = COSINE, sub_block: int = SUB_BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rows = vectors.select(
         F.col("vec_id").cast("long"),
         F.col("label").cast("long"),
@@ -213,28 +242,25 @@ def link(vectors: DataFrame, cosine: float = COSINE, alpha: float = ALPHA, sub_b
         & F.exists("vector", lambda x: x != 0)
     )
     rows = rows.withColumn("class_id", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "vector")))
-    good = rows.where("class_id is not null")
-    classes = good.groupBy("class_id").agg(
-        F.first("label").alias("label"), F.count("*").alias("n"), F.first("vector").alias("vector")
+    classes = (
+        rows.where("class_id is not null")
+        .groupBy("class_id")
+        .agg(F.first("label").alias("label"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     )
     coded = materialize(
-        classes.mapInArrow(_filters(alpha), "class_id long, label long, n long, vector array<double>, filters array<long>"), "cap-filters"
-    )
-    hits = coded.select("label", "class_id", F.explode("filters").alias("filter"))
-    shared = hits.groupBy("label", "filter").agg(F.count("*").alias("m")).where("m > 1")
-    dealt = (
-        hits.join(shared, ["label", "filter"])
-        .withColumn("subs", F.ceil(F.col("m") / F.lit(sub_block)).cast("int"))
-        .withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(SEED)), F.col("subs")).cast("int"))
-        # this sub-block with itself and with every other one
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .selectExpr("label", "filter", "least(sub, other) as i", "greatest(sub, other) as j", "class_id", "sub")
+        classes.mapInArrow(_filters, "class_id long, label long, n long, vector array<double>, signs0 long, signs1 long, filters array<long>"),
+        "cap-filters",
     )
+    hits = coded.select("label", "class_id", "signs0", "signs1", F.explode("filters").alias("filter"))
     key = ["label", "filter", "i", "j"]
-    full = dealt.join(coded.select("class_id", "n", "vector", "filters"), "class_id")
-    links = materialize(
-        full.repartition(*key).sortWithinPartitions(*key, "class_id").mapInArrow(_verify(cosine), "class_id long, add long, root long"), "cap-links"
-    )
+    met = _in_sub_blocks(hits, ["label", "filter"], sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
+    groups = connected_components(met.mapInArrow(_candidates, "u long, v long"), "cap-candidates")
+
+    held = groups.join(coded.select("class_id", "n", "vector"), F.col("node") == F.col("class_id")).drop("node")
+    key = ["component", "i", "j"]
+    faced = _in_sub_blocks(held, ["component"], sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
+    links = materialize(faced.mapInArrow(_verify(cosine), "class_id long, add long, root long"), "cap-links")
+
     added = links.groupBy("class_id").agg(F.sum("add").alias("add"))
     comps = connected_components(links.select(F.col("class_id").alias("u"), F.col("root").alias("v")), "cap-components")
     sized = (
