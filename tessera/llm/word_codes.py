@@ -2,8 +2,8 @@
 
 Such a tokenizer never merges across white space, so the ids of a text are the ids of
 its white-space separated words, one after the other. A batch is therefore split and
-dictionary-encoded by Arrow, each distinct word is encoded once, and the ids of all
-texts are gathered with numpy. The word memo is bounded and kept between tasks of one
+dictionary-encoded by Arrow, each distinct stem (a word without its last marks, in lower
+case) is encoded once, and the ids of all texts are gathered with numpy. The word memo is bounded and kept between tasks of one
 Python worker.
 """
 
@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 DEFAULT_FILE = "word_bpe_49k.json"
 MEMO_WORDS = 1_000_000  # entries kept between batches; beyond it the memo starts anew
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -69,10 +70,6 @@ class WordEncoder:
         self.pool.extend(ids)
         self.starts.append(len(self.pool))
 
-    def _get(self, word: str) -> array:
-        row = self.memo[word]
-        return self.pool[self.starts[row] : self.starts[row + 1]]
-
     def _encode_new(self, words: list[str]) -> None:
         """Encode words that the memo lacks, many to a call, told apart by the mark."""
         plain, odd = [], []
@@ -95,21 +92,32 @@ class WordEncoder:
         for w in odd:
             self._put(w, self._ids(w))
 
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """The memo's row of each word; words that it lacks are encoded."""
+        known = words.to_pylist()
+        rows = list(map(self.memo.get, known))
+        if None in rows:
+            self._encode_new([w for w, r in zip(known, rows) if r is None])
+            rows = list(map(self.memo.get, known))
+        return np.array(rows, np.int64)
+
+    @staticmethod
+    def _split(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words as stems and last marks. Latin letters are lower-cased by the tokenizer in
+        any case, and marks (but the apostrophe) after letters are a run of their own, so
+        both can be encoded apart; any other word is all stem."""
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(stems, f"^[{LATIN}]+$")
+        marks = pc.replace_substring_regex(words, f"^[{LATIN}]+", "")
+        return pc.if_else(plain, pc.ascii_lower(stems), words), pc.if_else(plain, marks, "")
+
     @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A word as (stem, last marks): ASCII letters are lower-cased by the tokenizer in
-        any case, and ASCII marks but the apostrophe after letters are a run of their own."""
-        stem = word.rstrip(MARKS)
-        if not stem.isalpha():
-            return word, ""
-        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [self._parts(w) for w in words]
-        self._encode_new(list({x for pair in parts for x in pair if x not in self.memo}))
-        for w, (stem, mark) in zip(words, parts):
-            if w not in self.memo:
-                self._put(w, self._get(stem) + self._get(mark))
+    def _gather(starts: np.ndarray, pool: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all rows one after the other, end of each row)."""
+        firsts = starts[rows]
+        n = starts[rows + 1] - firsts
+        ends = np.cumsum(n)
+        return pool[np.repeat(firsts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (null: empty) in one array, and the n+1 offsets of the texts."""
@@ -119,20 +127,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         if len(self.memo) > MEMO_WORDS:
             self._forget()
-        memo = self.memo
-        rows = list(map(memo.get, words))
-        if None in rows:
-            self._learn([w for w, r in zip(words, rows) if r is None])
-            rows = list(map(memo.get, words))
-        rows = np.array(rows, np.int64)
-        codes = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        parts = [part.dictionary_encode() for part in self._split(coded.dictionary)]
+        rows = [self._rows(x.dictionary)[x.indices.to_numpy(zero_copy_only=False)] for x in parts]
+        # the distinct words of this call, then all of its words
         starts, pool = np.frombuffer(self.starts, np.int64), np.frombuffer(self.pool, np.uint32)
-        firsts = starts[codes]
-        n = starts[codes + 1] - firsts
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(firsts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        offsets = np.concatenate([[0], ends])[bounds - bounds[0]]
-        return ids, offsets
+        own, ends = self._gather(starts, pool, np.stack(rows, 1).reshape(-1))
+        ids, ends = self._gather(np.concatenate([[0], ends[1::2]]), own, coded.indices.to_numpy(zero_copy_only=False))
+        return ids, np.concatenate([[0], ends])[bounds - bounds[0]]
