@@ -10,7 +10,10 @@ MODULES = {
     "op2_mixing": "mixing",
     "op3_minhash_near_dedup": "near_dedup",
     "op4_html_extraction": "html_extract",
+    "op5_lm_scoring": "lm_score",
+    "op6_language_id": "language_id",
     "op7_quality_rules": "quality_rules",
+    "op8_quality_classifier": "quality_classifier",
     "op9_token_binary_output": "token_store",
     "op10_embedding_dedup": "embedding_dedup",
 }
