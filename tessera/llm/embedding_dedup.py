@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
+from tessera.llm.grouping import SUB_BLOCK, in_sub_blocks, settle, sketch_links, sorted_groups
 from tessera.session import materialize, ship
 
 COSINE = 0.98
@@ -41,7 +42,6 @@ PARTS = 2
 ALPHA = 0.47  # least inner product with a filter, in up to 64 dimensions
 FILTERS = 200  # filters that a vector passes, about
 MAX_WORDS = 4096
-SUB_BLOCK = 256  # vectors of one group that are compared with one another in one step
 MAX_DIFFERENT_SIGNS = 28  # of 128; 8 are expected at a cosine of 0.98
 SEED = 7
 
@@ -118,73 +118,11 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of rows that are sorted by key, with the number of each row's group."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        keys = [table.column(c).to_numpy() for c in key]
-        starts = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        last = int(np.flatnonzero(starts)[-1])  # the last group may go on in the next batch
-        held = table.slice(last)
-        if last:
-            yield table.slice(0, last), np.cumsum(starts[:last])
-    if held is not None:
-        yield held, np.ones(held.num_rows, np.int64)
-
-
-def _settle(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The least row that each of n rows reaches by the pairs (p, q)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[p], label[q])
-        after = label.copy()
-        np.minimum.at(after, p, low)
-        np.minimum.at(after, q, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each (label, filter, i, j): links (u, v) that connect what the signs allow."""
-    for table, group in _groups(batches, ["label", "filter", "i", "j"]):
-        n = table.num_rows
-        ids, sub, i, j, s0, s1 = (table.column(c).to_numpy() for c in ("class_id", "sub", "i", "j", "signs0", "signs1"))
-
-        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            # as unsigned words: of a negative one numpy counts the bits of its magnitude
-            differ = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
-            return (differ <= MAX_DIFFERENT_SIGNS) & ((i[a] == j[a]) | (sub[a] != sub[b]))
-
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(n), 0))
-        starred = near(np.arange(n), first) & (first != np.arange(n))
-        p, q = [first[starred]], [np.flatnonzero(starred)]
-        at, k = np.arange(n), 1
-        while True:  # pairs k rows apart, but those that the first row connects already
-            at = at[at + k < n]
-            at = at[group[at] == group[at + k]]
-            if not len(at):
-                break
-            a = at[~(starred[at] & starred[at + k])]
-            hit = near(a, a + k)
-            p.append(a[hit])
-            q.append(a[hit] + k)
-            k += 1
-        label = _settle(n, np.concatenate(p), np.concatenate(q))
-        moved = np.flatnonzero(label != np.arange(n))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
-
-
 def _verify(cosine: float):
     """Within each (component, i, j): what each vector links to, and a link to a local root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _groups(batches, ["component", "i", "j"]):
+        for table, group in sorted_groups(batches, ["component", "i", "j"]):
             ids, sub, i, j, counts = (table.column(c).to_numpy() for c in ("class_id", "sub", "i", "j", "n"))
             vectors = table.column("vector").combine_chunks()
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
@@ -203,7 +141,7 @@ def _verify(cosine: float):
                         linked &= sub[at][:, None] != sub[at][None, :]
                     add = linked @ counts[at]
                     p, q = np.nonzero(np.triu(linked))
-                    label = _settle(len(own), p, q)
+                    label = settle(len(own), p, q)
                     hit = np.flatnonzero(add)
                     out.append((ids[at][hit], add[hit], ids[at][label[hit]]))
             cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
@@ -212,21 +150,6 @@ def _verify(cosine: float):
     return run
 
 
-def _in_sub_blocks(rows: DataFrame, group: list[str], sub_block: int) -> DataFrame:
-    """Every row once for each pair (i, j) of sub-blocks of its group that has its own
-    sub-block; groups of one row are left out."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("m")).where("m > 1")
-    return (
-        rows.join(sizes, group)
-        .withColumn("subs", F.ceil(F.col("m") / F.lit(sub_block)).cast("int"))
-        .withColumn("sub", F.pmod(F.xxhash64("class_id", F.lit(SEED)), F.col("subs")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .withColumn("i", F.least("sub", "other"))
-        .withColumn("j", F.greatest("sub", "other"))
-        .drop("m", "subs", "other")
-    )
-
-
 def link(vectors: DataFrame, cosine: float = COSINE, sub_block: int = SUB_BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     ship(vectors.sparkSession)
@@ -253,12 +176,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, sub_block: int = SUB_BLOCK)
     )
     hits = coded.select("label", "class_id", "signs0", "signs1", F.explode("filters").alias("filter"))
     key = ["label", "filter", "i", "j"]
-    met = _in_sub_blocks(hits, ["label", "filter"], sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
-    groups = connected_components(met.mapInArrow(_candidates, "u long, v long"), "cap-candidates")
+    met = in_sub_blocks(hits, ["label", "filter"], "class_id", sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
+    screen = sketch_links(key, "class_id", ("signs0", "signs1"), MAX_DIFFERENT_SIGNS)
+    groups = connected_components(met.mapInArrow(screen, "u long, v long"), "cap-candidates")
 
     held = groups.join(coded.select("class_id", "n", "vector"), F.col("node") == F.col("class_id")).drop("node")
     key = ["component", "i", "j"]
-    faced = _in_sub_blocks(held, ["component"], sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
+    faced = in_sub_blocks(held, ["component"], "class_id", sub_block).repartition(*key).sortWithinPartitions(*key, "class_id")
     links = materialize(faced.mapInArrow(_verify(cosine), "class_id long, add long, root long"), "cap-links")
 
     added = links.groupBy("class_id").agg(F.sum("add").alias("add"))

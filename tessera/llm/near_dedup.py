@@ -7,12 +7,14 @@ second permutation by k: all coordinates come from two permutations. Bands of fo
 coordinates make candidate links, and each link is confirmed by the Jaccard similarity of
 the full sets.
 
-All pairs of a band are never written out. A first round links every member of a band's
-bucket to the bucket's first member; what these links connect is one component. A second
-round compares, inside a bucket, only members of different components, leaving out the
-pairs whose one-bit signatures differ so much that a similarity of 0.75 is out of the
-question (chance of a loss below 1e-7). Components are therefore those of all candidate
-links. A pair at exactly 0.75 is a candidate with probability 1 - 5e-6.
+All pairs of a band are never written out. In each band's bucket the members whose one-bit
+signatures do not rule out a similarity of 0.75 (chance of a loss below 1e-5) are connected
+to candidate groups. In a group every member is first compared with the member that has most
+bucket partners, as a rule the text that the others were made from. What is not linked to
+it is then compared with all members, in sub-blocks: a task computes all intersections of
+two sub-blocks by products of their incidence matrices and returns the links that connect
+what it found. Components are therefore those of all links within the groups. A pair at
+exactly 0.75 shares a bucket with probability 1 - 5e-6.
 
 Documents of equal text form one class and are processed once. Defined cases: a null text,
 or one without words, has an empty set and links with nothing; with fewer than five words
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
+from tessera.llm.grouping import in_sub_blocks, settle, sketch_links, sorted_groups
 from tessera.llm.word_codes import large_strings
 from tessera.session import materialize, ship
 
@@ -40,8 +43,10 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 CIRCLE_BITS = 20
 SEED = 5
-MAX_DIFFERENT_BITS = 40  # of 128; 16 are expected at a similarity of 0.75
-HUB_ROWS = 500  # links of one hub that one group verifies
+MAX_DIFFERENT_BITS = 34  # of 128; 16 are expected at a similarity of 0.75
+HUB_ROWS = 500  # links of one hub that one step verifies
+REST_BLOCK, ALL_BLOCK = 128, 512
+COLUMNS = 4096  # shingles whose incidence is multiplied at once
 BROADCAST_CLASSES = 500_000  # class ids (8 bytes each) that may be broadcast
 
 
@@ -154,49 +159,113 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "class_id", "n_shingles", "bits0", "bits1", "keys"])
 
 
-def _confirm(percent: int):
-    """Rows sorted by (a, salt, b) with the hub's own text first (b null): the links that hold."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(some.column("text"))]
+            yield pa.RecordBatch.from_arrays([some.column("class_id"), pa.array(sets, pa.binary())], names=["class_id", "shingles"])
+
+
+def _read_set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def _with_hub(percent: int):
+    """Rows sorted by (a, salt, b) with the hub's own set first (b null): the links that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows = zip(some.column("a").to_pylist(), some.column("b").to_pylist(), shingle_sets(some.column("text")))
-                for a, b, own in rows:
-                    if b is None:
-                        hub, hub_set = a, own
-                    elif a == hub and same_enough(hub_set, own, percent):
-                        found.append((a, b))
+            for a, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles"))):
+                if b is None:
+                    hub, hub_set = a, _read_set(data)
+                elif a == hub and same_enough(hub_set, _read_set(data), percent):
+                    found.append((a, b))
             cols = list(zip(*found)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """The links (u, v) among candidate pairs (a, b) whose full sets are similar enough."""
-    spark = pairs.sparkSession
-    pairs = materialize(pairs, f"{name}-pairs")
-    involved = materialize(pairs.selectExpr("a as class_id").union(pairs.selectExpr("b")).distinct(), f"{name}-classes")
-    n = involved.count()
-    if not n:
-        return spark.createDataFrame([], "u long, v long")
-    if n <= BROADCAST_CLASSES:
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    flat, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    shared = np.bincount(place, minlength=len(flat)) > 1  # what one set has alone counts nothing
+    column = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, at = owner[keep], column[place[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = int(shared.sum())
+    for lo in range(0, width, COLUMNS):
+        a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+        has = np.zeros((len(left) + len(right), min(COLUMNS, width - lo)), np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def _with_rest(percent: int):
+    """Within each (component, i, j): links that connect the rest's rows with all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in sorted_groups(batches, ["component", "i", "j"]):
+            ids, every = (table.column(c).to_numpy() for c in ("class_id", "every"))
+            data = table.column("shingles").combine_chunks()
+            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rest, full = a + np.flatnonzero(every[a:b] == 0), a + np.flatnonzero(every[a:b] == 1)
+                left, right = ([_read_set(data[int(r)].as_py()) for r in rows] for rows in (rest, full))
+                if not left or not right:
+                    continue
+                both = intersections(left, right)
+                union = np.array(list(map(len, left)))[:, None] + np.array(list(map(len, right)))[None, :] - both
+                p, q = np.nonzero((100 * both >= percent * union) & (ids[rest][:, None] != ids[full][None, :]))
+                own = np.concatenate([ids[rest], ids[full]])
+                label = settle(len(own), p, q + len(left))
+                moved = np.flatnonzero(label != np.arange(len(own)))
+                out.append((own[moved], own[label[moved]]))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["u", "v"])
+
+    return run
+
+
+def _links(groups: DataFrame, weights: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """All links that connect the members (node) of candidate groups (component)."""
+    involved = groups.select(F.col("node").alias("class_id"))
+    if groups.count() <= BROADCAST_CLASSES:
         involved = F.broadcast(involved)
-    texts = materialize(docs.join(involved, "class_id", "left_semi").groupBy("class_id").agg(F.first("text").alias("text")), f"{name}-texts")
-    # a hub with very many links is dealt to several groups, each with a copy of its text
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_ROWS)).cast("int").alias("salts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    hubs = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, F.col("a") == F.col("class_id"))
-    rows = (
-        salted.join(texts, F.col("b") == F.col("class_id"))
-        .select("a", "salt", "b", "text")
-        .union(hubs.select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
-    )
+    found = docs.join(involved, "class_id", "left_semi").dropDuplicates(["class_id"]).select("class_id", "text")
+    sets = materialize(found.mapInArrow(_sets, "class_id long, shingles binary"), "minhash-sets")
+    members = groups.join(weights, F.col("node") == F.col("class_id")).select("component", "class_id", "weight")
+    hubs = members.groupBy("component").agg(F.max_by("class_id", F.struct("weight", "class_id")).alias("a"), F.count("*").alias("m"))
+
+    # a hub with very many members is dealt to several steps, each with a copy of its set
+    hubs = hubs.withColumn("salts", F.ceil(F.col("m") / F.lit(HUB_ROWS)).cast("int"))
+    pairs = members.join(hubs, "component").where("class_id <> a")
+    faced = pairs.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.col("salts")).cast("int")).join(sets, "class_id")
+    own = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets, F.col("a") == F.col("class_id"))
+    rows = faced.select("a", "salt", F.col("class_id").alias("b"), "shingles").union(own.select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles"))
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(_confirm(percent), "u long, v long"), f"{name}-links")
+    star = materialize(dealt.mapInArrow(_with_hub(percent), "u long, v long"), "minhash-star")
+
+    rest = pairs.where("m > 2").join(star.select(F.col("v").alias("class_id")), "class_id", "left_anti").select("component", "class_id")
+    rest = materialize(rest, "minhash-rest")
+    steps = rest.groupBy("component").agg(F.ceil(F.count("*") / F.lit(REST_BLOCK)).cast("int").alias("lefts"))
+    steps = steps.join(hubs.select("component", "a", F.ceil(F.col("m") / F.lit(ALL_BLOCK)).cast("int").alias("rights")), "component")
+    block = lambda n: F.pmod(F.xxhash64("class_id", F.lit(7)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(steps, "component").select("component", block("lefts").alias("i"), each("rights").alias("j"), "class_id", F.lit(0).alias("every"))
+    right = members.join(steps, "component").where("class_id <> a").select("component", each("lefts").alias("i"), block("rights").alias("j"), "class_id", F.lit(1).alias("every"))
+    key = ["component", "i", "j"]
+    blocks = left.union(right).join(sets, "class_id").repartition(*key).sortWithinPartitions(*key, "every", "class_id")
+    return star.union(materialize(blocks.mapInArrow(_with_rest(percent), "u long, v long"), "minhash-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -207,45 +276,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         docs.mapInArrow(_sign, "doc_id long, class_id long, n_shingles long, bits0 long, bits1 long, keys array<long>"), "minhash"
     )
     classes = materialize(
-        signed.where("n_shingles > 0").select("class_id", "n_shingles", "bits0", "bits1", "keys").dropDuplicates(["class_id"]), "minhash-classes"
-    )
-    banded = classes.select("class_id", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("class_id").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = materialize(banded.join(hubs.select("key", "hub"), "key"), "minhash-buckets")
-
-    sketch = classes.select("class_id", "n_shingles", "bits0", "bits1")
-    alike = (
-        f"bit_count(x.bits0 ^ y.bits0) + bit_count(x.bits1 ^ y.bits1) <= {MAX_DIFFERENT_BITS} "
-        f"and 100 * x.n_shingles >= {percent} * y.n_shingles and 100 * y.n_shingles >= {percent} * x.n_shingles"
-    )
-    first = members.where("class_id <> hub").selectExpr("hub as a", "class_id as b").distinct()
-    first = (
-        first.join(sketch.alias("x"), F.expr("a = x.class_id"))
-        .join(sketch.alias("y"), F.expr("b = y.class_id"))
-        .where(alike)
-        .select("a", "b")
-    )
-    links = _verified(first, docs, percent, "star")
-    comps = materialize(connected_components(links, "star-components"), "star-components")
-
-    # the second round: in each bucket, its largest component against the rest, and the rest among itself
-    known = members.join(comps, F.col("class_id") == F.col("node"), "left").selectExpr("key", "class_id", "coalesce(component, class_id) as comp")
-    parts = known.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    left = materialize(
-        known.join(mixed.select("key", "main"), "key").join(sketch, "class_id"), "minhash-open"
-    )
-    second = (
-        left.where("comp <> main").alias("x")
-        .join(left.alias("y"), F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.class_id < y.class_id) and {alike}"))
-        .selectExpr("least(x.class_id, y.class_id) as a", "greatest(x.class_id, y.class_id) as b")
-        .distinct()
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = _verified(second, docs, percent, "rest")
-    merged = connected_components(
-        comps.selectExpr("node as u", "component as v").union(more), "minhash-components"
+        signed.where("n_shingles > 0").select("class_id", "bits0", "bits1", "keys").dropDuplicates(["class_id"]), "minhash-classes"
     )
+    buckets = classes.select("class_id", "bits0", "bits1", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("partners")).where("partners > 1")
+    met = materialize(buckets.join(shared, "key"), "minhash-buckets")
+    weights = met.groupBy("class_id").agg(F.sum("partners").alias("weight"))
+    key = ["key", "i", "j"]
+    faced = in_sub_blocks(met, ["key"], "class_id").repartition(*key).sortWithinPartitions(*key, "class_id")
+    screen = sketch_links(key, "class_id", ("bits0", "bits1"), MAX_DIFFERENT_BITS)
+    groups = materialize(connected_components(faced.mapInArrow(screen, "u long, v long"), "minhash-groups"), "minhash-groups")
+    merged = connected_components(_links(groups, weights, docs, percent), "minhash-components")
+
     placed = signed.select("doc_id", "n_shingles", "class_id").join(merged, F.col("class_id") == F.col("node"), "left")
     placed = placed.selectExpr("doc_id", "n_shingles", "case when n_shingles > 0 then coalesce(component, class_id) end as comp")
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
