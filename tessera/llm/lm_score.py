@@ -50,7 +50,7 @@ _WORDS: dict[bytes, int] = {}
 def _hash_words(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     out = list(map(_WORDS.get, words))
     if None in out:

@@ -62,7 +62,7 @@ def permutations(k: int, bits: int = CIRCLE_BITS, seed: int = SEED) -> tuple[np.
     ..., p+k-1 on the circle, which are the shifted ranks of position p."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    first = rng.permutation(size).astype(np.int64)
+    first = rng.permutation(size).astype(np.int32)
     ranks = rng.permutation(size).astype(np.uint32)
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([ranks, ranks[:k]]), k)
 
@@ -73,7 +73,7 @@ _WORDS: dict[str, int] = {}
 def _word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     get = _WORDS.get
     out = np.empty(len(words), np.uint64)
@@ -300,7 +300,9 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one document of each group: that with the smallest id.
     Of rows with one id, those of equal text count once; others are told apart by text."""
     gone = near_duplicates(docs, percent).where("not kept").selectExpr("doc_id as gone_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # one shuffle of the texts serves both the repeated rows and the join
+    once = docs.repartition("doc_id").dropDuplicates(["doc_id", "text"])
+    return once.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

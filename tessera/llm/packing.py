@@ -31,6 +31,7 @@ from tessera.session import ship
 CAPACITY = 2048
 OPEN_BINS = 2048
 END_ID = 0
+SLICE = 1000  # documents that are encoded at once
 
 PIECES = T.StructType(
     [
@@ -96,7 +97,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_codes.encoder(path)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, offsets = enc.encode(batch.column("text"))
             out: dict[str, list] = {f.name: [] for f in schema.fields}
             doc_ids = batch.column("doc_id").to_pylist()

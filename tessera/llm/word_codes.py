@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_FILE = "word_bpe_49k.json"
-MEMO_WORDS = 1_000_000  # entries kept between batches; beyond it the memo starts anew
+MEMO_WORDS = 400_000  # entries kept between batches; beyond it the memo starts anew
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ENCODERS: dict[str, "WordEncoder"] = {}
