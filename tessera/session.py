@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -29,11 +30,15 @@ def session(app: str = "tessera", cores: str = "*", **conf: str) -> SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that run beside this checkout import the package.
+    """Prepare a session for operators with Python stages.
 
-    On a cluster the package comes with ``--py-files`` or the image; the extra
-    path entry is harmless there.
+    Workers that run beside this checkout can import the package (on a cluster it comes
+    with ``--py-files`` or the image; the extra path entry is harmless there). Where the
+    session does not say how many rows an Arrow batch has, it is ``ARROW_ROWS``: rows hold
+    whole texts, and a batch stands in the memory of both processes.
     """
+    if spark.conf.get(ARROW_BATCH, None) is None:
+        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

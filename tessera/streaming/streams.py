@@ -12,7 +12,7 @@ from tessera.operators.policy import MAX_RE_RETRIEVALS, MAX_REWRITES, MAX_STEPS,
 
 def new_chunks(chunks: DataFrame, delay: str = "1 day", time: str = "ts") -> DataFrame:
     """A stream's chunks, each id once; ids are remembered for ``delay``."""
-    return chunks.withWatermark(time, delay).dropDuplicatesWithinWatermark(["chunk_id"])
+    return chunks.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
 def upsert_into(path: str):
@@ -34,7 +34,8 @@ def upsert_into(path: str):
 def span_windows(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, kind, n, p50, p95) of (ts, kind, ms) by event time."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", window), "kind")
         .agg(F.count("*").alias("n"), F.percentile_approx("ms", 0.5, 1000).alias("p50"), F.percentile_approx("ms", 0.95, 1000).alias("p95"))
         .select(F.col("window.start").alias("start"), "kind", "n", "p50", "p95")
