@@ -174,6 +174,9 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
     """The blocks of the main text, in page order."""
     if not html:
         return []
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0:
+        html = html[:comment]  # a comment that is never closed goes to the end
     parser = _Lines()
     parser.feed(html)
     parser.close()
