@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import MARGIN, place
 from tessera.session import ship
 
 PER_LANGUAGE = 500
@@ -149,9 +150,14 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """Whole labelled texts outside the held-out fold, at most so many of each language."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD_OUT))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
     ids = (
         usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .selectExpr("doc_id", "lang", "row_number() over (partition by lang order by h, doc_id) as nth")
+        .join(sizes, "lang")
+        # so what is ordered stays near MARGIN * per_language rows of a language
+        .where(place("doc_id") * F.col("n") < MARGIN * per_language)
+        .withColumn("at", place("doc_id"))
+        .selectExpr("doc_id", "lang", "row_number() over (partition by lang order by at, h, doc_id) as nth")
         .where(F.col("nth") <= per_language)
         .select("doc_id", "lang")
         .distinct()

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import hash_sample
 from tessera.session import ship
 
 LABELLED, POOL = 4000, 2000
@@ -187,12 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     docs = _view_columns(docs)
     told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     told = told.agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    known = {r.doc_id: r.y for r in told.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled).collect()}
+    known = {r.doc_id: r.y for r in hash_sample(told.join(ids, "doc_id", "left_semi"), labelled).collect()}
     if len(set(known.values())) < 2:
         return None
-    free = [r.doc_id for r in ids.join(told, "doc_id", "left_anti").orderBy(*order).limit(pool).collect()]
+    free = [r.doc_id for r in hash_sample(ids.join(told, "doc_id", "left_anti"), pool).collect()]
     # at most labelled + pool ids
     some = docs.sparkSession.createDataFrame([(i,) for i in [*known, *free]], "doc_id long")
     rows = docs.join(F.broadcast(some), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import hash_sample
 from tessera.session import ship
 
 SAMPLE_DOCS = 400  # whole documents that costs and selectivities are estimated on
@@ -131,8 +132,7 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...]) -> tuple[tuple
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str | None]:
     """A bounded sample of whole texts, the same for the same rows."""
-    keyed = docs.select(F.col("doc_id"), "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"))
-    return [r.text for r in keyed.limit(n).collect()]
+    return [r.text for r in hash_sample(docs.select("doc_id", "text"), n, ties=(F.length("text"),)).collect()]
 
 
 def first_rejection(facts: TextFacts, rules: tuple[Rule, ...]) -> str | None:

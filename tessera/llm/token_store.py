@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import word_codes
+from tessera.llm.sampling import hash_sample
 from tessera.session import new_table_path, ship
 
 END_ID = 2
@@ -49,7 +50,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, sample_do
     """Bytes of the shared dictionary; empty where the sample is too small to train on."""
     import zstandard
 
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(sample_docs).collect()
+    rows = hash_sample(docs.select("doc_id", "text"), sample_docs, ties=(F.length("text"),)).collect()
     ids, offsets = word_codes.encoder(path).encode(pa.array([r.text for r in rows], pa.string()))
     samples, size = [], 0
     for a, b in zip(offsets[:-1], offsets[1:]):
