@@ -53,7 +53,7 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 @query("tokenize_terms", f"SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql_terms('text')} AS t FROM documents)")
 def tokenize_terms(s, d):
     t = T.terms("text")
-    return X.table(s, d, "documents").select("doc_id", F.size(t).alias("n_terms"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return X.table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_terms"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query(
@@ -163,22 +163,26 @@ def fixed_window_chunks(s, d):
     return ingest.fixed_windows(lines.select("paper_id", F.col("pos").cast("long").alias("pos"), T.token_count("line").alias("n_tokens")))
 
 
-_TITLES = "SELECT doc_id AS paper_id, string_split(text, chr(10))[1] AS title FROM documents"
+_TITLES = "SELECT page_id AS paper_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages"
+
+
+def _titles(s, d):
+    return X.table(s, d, "pages").select(F.col("page_id").alias("paper_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
 @query("canonical_exact", f"WITH t AS (SELECT paper_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt FROM ({_TITLES})) SELECT paper_id, CASE WHEN nt <> '' THEN min(paper_id) OVER (PARTITION BY nt) ELSE paper_id END AS canonical_id FROM t")
 def canonical_exact(s, d):
-    return ingest.canonical_exact(X.table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.element_at(F.split("text", "\n"), 1).alias("title")))
+    return ingest.canonical_exact(_titles(s, d))
 
 
 @query("canonical_fuzzy")
 def canonical_fuzzy(s, d):
-    return ingest.canonical_fuzzy(X.table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.element_at(F.split("text", "\n"), 1).alias("title")))
+    return ingest.canonical_fuzzy(_titles(s, d))
 
 
 @query("token_distribution", """WITH v AS (SELECT len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))::BIGINT AS v FROM documents), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM v),
-q AS (SELECT k, n, greatest(least(floor((n + 1) * k / 4)::BIGINT, n - 1), 1) AS j, (n + 1) * k / 4.0::DOUBLE AS at FROM (SELECT DISTINCT n FROM r), (SELECT unnest([1, 2, 3]) AS k)),
-x AS (SELECT k, round(CASE WHEN n = 1 THEN max(CASE WHEN i = j THEN v END) ELSE max(CASE WHEN i = j THEN v END) * (1 - (at - j)) + max(CASE WHEN i = j + 1 THEN v END) * (at - j) END, 1) AS v FROM q JOIN r USING (n) GROUP BY k, n, j, at)
+q AS (SELECT k, n, greatest(least(floor((n + 1) * k / 4)::BIGINT, n - 1), 1) AS j, (n + 1) * k / 4.0::DOUBLE AS spot FROM (SELECT DISTINCT n FROM r), (SELECT unnest([1, 2, 3]) AS k)),
+x AS (SELECT k, round(CASE WHEN n = 1 THEN max(CASE WHEN i = j THEN v END) ELSE max(CASE WHEN i = j THEN v END) * (1 - (spot - j)) + max(CASE WHEN i = j + 1 THEN v END) * (spot - j) END, 1) AS v FROM q JOIN r USING (n) GROUP BY k, n, j, spot)
 SELECT (SELECT count(*) FROM v) AS n, (SELECT min(v) FROM v) AS min, (SELECT max(v) FROM v) AS max, (SELECT round(avg(v), 6) FROM v) AS mean, max(CASE WHEN k = 1 THEN v END) AS p25, max(CASE WHEN k = 2 THEN v END) AS median, max(CASE WHEN k = 3 THEN v END) AS p75 FROM x""")
 def token_distribution(s, d):
     return rounded(ingest.exclusive_quartiles(X.table(s, d, "documents").select(T.token_count("text").cast("long").alias("v"))), "mean")
@@ -356,7 +360,7 @@ def metrics_by_group(s, d):
     return rounded(metrics.by_group(_per(s, d), shapes, "shape"), *metrics.metric_names().values())
 
 
-@query("context_recall", with_views("results", "qrels") + "SELECT item_id AS query_id, round(coalesce((SELECT count(CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.query_id = q.query_id AND r.chunk_id = q.chunk_id) THEN 1 END) / count(*) FROM qrels q WHERE q.query_id = item_id AND grade > 0), 1), 6) AS context_recall FROM benchmark")
+@query("context_recall", with_views("results", "qrels") + "SELECT item_id AS query_id, round(coalesce((SELECT count(CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.query_id = q.query_id AND r.chunk_id = q.chunk_id) THEN 1 END) / nullif(count(*), 0) FROM qrels q WHERE q.query_id = item_id AND grade > 0), 1), 6) AS context_recall FROM benchmark")
 def context_recall(s, d):
     q = X.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
     return rounded(metrics.context_recall(X.results(s, d), X.qrels(s, d), q), "context_recall")
