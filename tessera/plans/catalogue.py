@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.stats import Z_95, Z_POWER_80
-from tessera.operators import agreement, gate, ingest, judge, labels, metrics, pairs, policy, retrieve, tools
+from tessera.operators import agreement, drafts, gate, ingest, judge, labels, metrics, pairs, policy, retrieve, tools
 from tessera.plans import fixtures as X
 from tessera.plans.fixtures import sql_sentences, sql_terms, with_views
 
@@ -779,3 +779,85 @@ def repair_brief(s, d):
     rows = X.claims(s, d)
     bad = rows.where("nth % 3 = 0").selectExpr("draft_id", "claim", "'missing_citation' as kind")
     return tools.repair_brief(rows.selectExpr("draft_id", "cast(nth as long) as nth", "claim as text"), bad).select("draft_id", "nth", "action")
+
+
+# --- drafting aids --------------------------------------------------------------------
+
+_SUBJECT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9\\-]+'), lambda w: len(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in drafts.DRAFT_STOP) + ")))"
+
+
+def _specs(s, d):
+    n = X.table(s, d, "documents").selectExpr("count(*) as n")
+    return X.table(s, d, "benchmark").crossJoin(F.broadcast(n)).selectExpr("item_id as query_id", "text as query", "array(item_id % n, (item_id * 7 + 3) % n, (item_id * 13 + 5) % n) as targets")
+
+
+@query("focus_view", f"WITH s AS (SELECT item_id AS query_id, text AS query, unnest([item_id % n, (item_id * 7 + 3) % n, (item_id * 13 + 5) % n]) AS paper_id FROM benchmark, (SELECT count(*) AS n FROM documents)), o AS (SELECT query_id, paper_id, len(list_intersect({_SUBJECT.format('query')}, {_SUBJECT.format('text')})) AS overlap FROM s JOIN documents ON doc_id = paper_id) SELECT DISTINCT query_id, paper_id, paper_id AS chunk_id, overlap::INT AS overlap FROM o")
+def focus_view(s, d):
+    chunks = X.table(s, d, "documents").selectExpr("doc_id as paper_id", "doc_id as chunk_id", "text")
+    return drafts.focus_view(_specs(s, d), chunks).select("query_id", "paper_id", "chunk_id", "overlap").distinct()
+
+
+@query("focus_sentences")
+def focus_sentences(s, d):
+    chunks = X.table(s, d, "documents").selectExpr("doc_id as paper_id", "doc_id as chunk_id", "text")
+    return drafts.focus_view(_specs(s, d), chunks)
+
+
+@query("context_window", with_views("results", more="e AS (SELECT query_id, chunk_id, rank, lang AS title, CASE WHEN doc_id % 3 > 0 THEN source END AS section, text, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS nth FROM results JOIN documents ON doc_id = chunk_id)") + "SELECT query_id, md5(string_agg(concat('[', chunk_id, '] (', title, ', ', coalesce(section, 'n/a'), ')', chr(10), text), chr(10) || chr(10) ORDER BY nth)) AS digest FROM e WHERE nth <= 5 GROUP BY 1")
+def context_window(s, d):
+    texts = X.table(s, d, "documents").selectExpr("doc_id as chunk_id", "lang as title", "case when doc_id % 3 > 0 then source end as section", "text")
+    return drafts.context_window(X.results(s, d).join(texts, "chunk_id")).select("query_id", F.md5("context").alias("digest"))
+
+
+@query("pattern_predicates", "SELECT doc_id, regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)ing\\b') AS all_match, regexp_matches(text, '(?i)queau') OR regexp_matches(text, '(?i)[0-9]{3}') AS any_match, contains(lower(concat_ws(' ', lang, source)), 'src1') AS on_topic FROM documents")
+def pattern_predicates(s, d):
+    t = F.col("text")
+    return X.table(s, d, "documents").select("doc_id", drafts.matches_all(["the", r"ing\b"], t).alias("all_match"), drafts.matches_any(["queau", "[0-9]{3}"], t).alias("any_match"), drafts.on_topic("SRC1", "lang", "source").alias("on_topic"))
+
+
+@query("answer_predicates", "SELECT doc_id, doc_id % 4 >= 2 AS answers, doc_id % 3 = 0 AS abstain, doc_id % 4 <> 3 AS can_write FROM documents")
+def answer_predicates(s, d):
+    label = F.element_at(F.array(*[F.lit(x) for x in judge.LABELS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return X.table(s, d, "documents").select("doc_id", drafts.answers_question(F.col("doc_id") % 4).alias("answers"), drafts.should_abstain(F.col("doc_id") % 3 > 0).alias("abstain"), drafts.can_write(label).alias("can_write"))
+
+
+@query("conflict_lines", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('superseded: ', lang, ' Lead with ', CASE WHEN doc_id % 2 = 0 THEN source ELSE 'the later one' END, ' and say that the earlier result was superseded.') WHEN 1 THEN concat('disagreement: ', lang, ' Give both positions with their citations.') ELSE concat('scope: ', lang, ' Say what each one measured.') END AS line FROM documents")
+def conflict_lines(s, d):
+    rows = X.table(s, d, "documents").selectExpr("doc_id", "array(named_struct('kind', element_at(array('freshness', 'disagreement', 'scope'), cast(doc_id % 3 + 1 as int)), 'summary', lang, 'newer', case when doc_id % 2 = 0 then source end)) as c")
+    return rows.select("doc_id", drafts.conflict_lines(F.col("c")).alias("line"))
+
+
+@query("query_shuffle", with_views("results") + "SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY md5(concat(substr(sha256(query_id::VARCHAR), 1, 8), ':', chunk_id)), chunk_id) AS turn FROM (SELECT query_id, chunk_id, min(rank) AS rank FROM results GROUP BY 1, 2)")
+def query_shuffle(s, d):
+    once = X.results(s, d).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))  # a chunk may be listed twice
+    return drafts.shuffled(once, F.col("query_id").cast("string")).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query("training_rows", with_views("verdicts", more=_PAIRS) + f"SELECT nq AS prompt, md5(a.text) AS chosen, md5(b.text) AS rejected FROM {_sql_pairs(1)} JOIN documents a ON a.doc_id = chosen JOIN documents b ON b.doc_id = rejected")
+def training_rows(s, d):
+    texts = X.table(s, d, "documents").selectExpr("doc_id as chunk_id", "text")
+    rows = drafts.training_rows(pairs.preference_pairs(X.verdicts(s, d), texts).withColumnRenamed("nq", "query"))
+    return rows.select("prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
+
+
+@query("random_negatives")
+def random_negatives(s, d):
+    return drafts.any_rejected(X.verdicts(s, d), X.verdicts(s, d))
+
+
+@query("resolved_labels", with_views("qrels") + "SELECT count(CASE WHEN b.item_id IS NULL THEN 1 END) AS no_query, count(CASE WHEN b.item_id IS NOT NULL AND c.doc_id IS NULL THEN 1 END) AS no_chunk FROM qrels LEFT JOIN (SELECT * FROM benchmark WHERE item_id % 5 > 0) b ON b.item_id = query_id LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 > 0) c ON c.doc_id = chunk_id")
+def resolved_labels(s, d):
+    q = X.table(s, d, "benchmark").where("item_id % 5 > 0").selectExpr("item_id as query_id", "text as query")
+    c = X.table(s, d, "documents").where("doc_id % 7 > 0").selectExpr("doc_id as chunk_id", "text")
+    return drafts.resolved_labels(X.qrels(s, d), q, c)[1]
+
+
+@query("category_report", "SELECT source AS category, count(*) AS n, min(2016 + doc_id % 11) AS first_year, max(2016 + doc_id % 11) AS last_year FROM documents GROUP BY 1")
+def category_report(s, d):
+    return drafts.category_report(X.table(s, d, "documents").selectExpr("source as category", "2016 + doc_id % 11 as year"))
+
+
+@query("stub_embeddings")
+def stub_embeddings(s, d):
+    v = X.table(s, d, "documents").select("doc_id", drafts.stub_embedding(F.col("text")).alias("v"))
+    return v.select("doc_id", F.size("v").alias("dim"), F.round(retrieve.dot(F.col("v"), F.col("v")), 6).alias("norm"))
