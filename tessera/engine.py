@@ -101,8 +101,7 @@ class Engine:
         if vectors is None:
             vectors = chunks.select("chunk_id", drafts.stub_embedding(F.col("text")).alias("embedding"))
         self.vectors = vectors
-        index = retrieve.sparse_index(chunks)
-        self.index = retrieve.SparseIndex(materialize(index.postings, "postings"), materialize(index.term_stats, "terms"), materialize(index.corpus, "corpus"))
+        self.index = retrieve.sparse_index(chunks, persist=True)
         self.tracer = Tracer()
 
     def requests(self, rows: list[dict]) -> DataFrame:

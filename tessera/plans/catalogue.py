@@ -214,13 +214,13 @@ rrf AS (SELECT coalesce(s.query_id, v.query_id) AS query_id, coalesce(s.chunk_id
 
 @query("term_stats", with_views(more=_POSTINGS) + "SELECT term, df, sum(tf)::BIGINT AS cf FROM stats JOIN post USING (term) GROUP BY 1, 2")
 def term_stats(s, d):
-    index = retrieve.sparse_index(X.chunks(s, d))
+    index = retrieve.sparse_index(X.chunks(s, d), persist=True)
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_topk", with_views(more=_BM25) + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM bm25) WHERE rank <= 30")
 def bm25_topk(s, d):
-    return rounded(retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d))), retrieve.ARM), "score")
+    return rounded(retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True)), retrieve.ARM), "score")
 
 
 @query("stub_bm25_topk", f"""WITH tok AS (SELECT doc_id AS chunk_id, {X.TOKENS.format('text')} AS ts FROM documents), len AS (SELECT chunk_id, greatest(len(ts), 1) AS dl FROM tok),
@@ -234,12 +234,12 @@ def stub_bm25_topk(s, d):
 
 @query("cosine_topk", with_views("requests", "vectors", more=_COSINE) + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM cosine) WHERE rank <= 30")
 def cosine_topk(s, d):
-    return rounded(retrieve.top(retrieve.cosine_scores(X.requests(s, d), X.vectors(s, d)), retrieve.ARM), "score")
+    return rounded(retrieve.cosine_top(X.requests(s, d), X.vectors(s, d), retrieve.ARM), "score")
 
 
 def _arm_pair(s, d):
-    sparse = retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d))), retrieve.ARM).drop("rank")
-    return sparse, retrieve.top(retrieve.cosine_scores(X.requests(s, d), X.vectors(s, d)), retrieve.ARM).drop("rank")
+    sparse = retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True)), retrieve.ARM).drop("rank")
+    return sparse, retrieve.cosine_top(X.requests(s, d), X.vectors(s, d), retrieve.ARM).drop("rank")
 
 
 @query("rrf_fusion", with_views("requests", "vectors", more=_RRF) + f"SELECT query_id, chunk_id, round(score, 8) AS score, bm25_rank, vector_rank, array_to_string(list_filter([CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, CASE WHEN vector_rank IS NOT NULL THEN 'vector' END], lambda x: x IS NOT NULL), '+') AS arms, rank FROM (SELECT *, {_RANK} AS rank FROM rrf) WHERE rank <= 20")
@@ -268,7 +268,7 @@ def metadata_filter_topk(s, d):
 
 @query("hybrid_search", with_views("requests", "chunks", "vectors", more=_RRF + f""", kept AS (SELECT x.*, c.year, c.section, c.venue FROM rrf x JOIN chunks c USING (chunk_id) JOIN requests r USING (query_id) WHERE {_FILTER})""") + f"SELECT query_id, chunk_id, round(score, 8) AS score, bm25_rank, vector_rank, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, year, section, venue, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5")
 def hybrid_search(s, d):
-    found = retrieve.hybrid_search(X.requests(s, d), X.chunks(s, d), retrieve.sparse_index(X.chunks(s, d)), X.vectors(s, d))
+    found = retrieve.hybrid_search(X.requests(s, d), X.chunks(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True), X.vectors(s, d))
     return rounded(found.drop("arms").withColumn("score", F.round("score", 8)), "bm25_score", "vector_score")
 
 
@@ -288,7 +288,7 @@ def union_backends(s, d):
 p AS (SELECT query_id, chunk_id, 'read' AS source FROM results UNION ALL SELECT *, 'vector' FROM c UNION ALL SELECT query_id, chunk_id, 'bm25' FROM results WHERE rank <= 5)""") + "SELECT query_id, chunk_id, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM p GROUP BY 1, 2")
 def pool_union(s, d):
     read = X.results(s, d)
-    dense = retrieve.top(retrieve.cosine_scores(X.requests(s, d), X.vectors(s, d)), 10)
+    dense = retrieve.cosine_top(X.requests(s, d), X.vectors(s, d), 10)
     return retrieve.pool_union(read=read, vector=dense, bm25=read.where("rank <= 5")).select("query_id", "chunk_id", F.array_join("sources", "+").alias("sources"))
 
 

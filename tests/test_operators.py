@@ -51,6 +51,23 @@ def test_bm25_corner_cases(spark):
     assert retrieve.top(stub, 0).count() == 0
 
 
+def test_dense_search_by_matrix_equals_the_scores(spark):
+    rng = random.Random(4)
+    vec = lambda: [round(rng.gauss(0, 1), 1) for _ in range(3)]
+    rows = [(f"c{i}", vec()) for i in range(60)] + [("z1", [1.0, 0.0, 0.0]), ("z2", [2.0, 0.0, 0.0]), ("zero", [0.0] * 3), ("none", None), ("odd", [1.0])]
+    store = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0] * 3), (3, vec())], "query_id int, embedding array<double>")
+    good = store.where("size(embedding) = 3")
+    want = rows_of(retrieve.top(retrieve.cosine_scores(asked, good), 7))
+    assert rows_of(retrieve.cosine_top(asked, store, 7)) == want
+    assert rows_of(retrieve.cosine_top(asked, good, 7, most=1)) == want
+    assert retrieve.cosine_top(asked.limit(0), store, 7).count() == 0
+
+
+def rows_of(df):
+    return sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+
+
 def test_filters_come_after_fusion(spark):
     fused = spark.createDataFrame([(1, c, s) for c, s in zip("abcd", (0.9, 0.8, 0.7, 0.6))], "query_id int, chunk_id string, score double")
     chunks = spark.createDataFrame([("a", 2020, "X", "V"), ("b", None, "X", "V"), ("c", 2022, "Y", "v"), ("d", 2019, "Y", "w")], "chunk_id string, year int, section string, venue string")
