@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, with_least
 from tessera.llm.grouping import SUB_BLOCK, in_sub_blocks, settle, sketch_links, sorted_groups
 from tessera.session import materialize, ship
 
@@ -187,17 +187,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, sub_block: int = SUB_BLOCK)
 
     added = links.groupBy("class_id").agg(F.sum("add").alias("add"))
     comps = connected_components(links.select(F.col("class_id").alias("u"), F.col("root").alias("v")), "cap-components")
-    sized = (
-        coded.select("class_id", "n")
-        .join(added, "class_id", "left")
-        .join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .selectExpr("class_id as of", "n - 1 + coalesce(add, 0) as n_links", "coalesce(component, class_id) as component")
-    )
+    counted = coded.select("class_id", "n").join(added, "class_id", "left").selectExpr("class_id as of", "n - 1 + coalesce(add, 0) as n_links")
+    named = with_least(rows, comps, "class_id", "vec_id", "cap")
+    sized = materialize(named.join(counted, F.col("class_id") == F.col("of")).select("of", "n_links", "least"), "cap-classes")
     placed = rows.select("vec_id", "class_id").join(sized, F.col("class_id") == F.col("of"), "left")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
-    return placed.join(least, "component", "left").selectExpr(
-        "vec_id", "coalesce(n_links, 0) as n_links", "coalesce(least, vec_id) as component_id", "coalesce(least, vec_id) <=> vec_id as kept"
-    )
+    return placed.selectExpr("vec_id", "coalesce(n_links, 0) as n_links", "coalesce(least, vec_id) as component_id", "coalesce(least, vec_id) <=> vec_id as kept")
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, with_least
 from tessera.llm.grouping import in_sub_blocks, settle, sketch_links, sorted_groups
 from tessera.llm.word_codes import large_strings
 from tessera.session import materialize, ship
@@ -288,21 +288,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = materialize(connected_components(faced.mapInArrow(screen, "u long, v long"), "minhash-groups"), "minhash-groups")
     merged = connected_components(_links(groups, weights, docs, percent), "minhash-components")
 
-    placed = signed.select("doc_id", "n_shingles", "class_id").join(merged, F.col("class_id") == F.col("node"), "left")
-    placed = placed.selectExpr("doc_id", "n_shingles", "case when n_shingles > 0 then coalesce(component, class_id) end as comp")
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").selectExpr(
-        "doc_id", "n_shingles", "coalesce(least, doc_id) as component_id", "coalesce(least, doc_id) <=> doc_id as kept"
-    )
+    # copies of one text, or of no text, may be any share of the rows: those without words
+    # do not meet in the join, and the join's other side is one row a class
+    sized = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"))
+    named = with_least(sized, merged, "class_id", "doc_id", "minhash")
+    placed = sized.join(named, "class_id", "left")
+    return placed.selectExpr("doc_id", "n_shingles", "coalesce(least, doc_id) as component_id", "coalesce(least, doc_id) <=> doc_id as kept")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one document of each group: that with the smallest id.
     Of rows with one id, those of equal text count once; others are told apart by text."""
-    gone = near_duplicates(docs, percent).where("not kept").selectExpr("doc_id as gone_id").distinct()
+    gone = near_duplicates(docs, percent).where("not kept").selectExpr("doc_id as __gone").distinct()
     # one shuffle of the texts serves both the repeated rows and the join
     once = docs.repartition("doc_id").dropDuplicates(["doc_id", "text"])
-    return once.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
+    return once.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ ODD_DOCS = [
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    rows = [(*r, None if r[1] is None else len(r[1]), i, "x") for i, r in enumerate(ODD_DOCS)]
+    rows = [(*r, None if r[1] is None else len(r[1]), i, "x", "y", i) for i, r in enumerate(ODD_DOCS)]
     # columns of names that operators use themselves must not disturb them
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, `key` string").cache()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, `key` string, class_id string, least long").cache()
 
 
 @pytest.fixture(scope="session")
