@@ -150,10 +150,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """Whole labelled texts outside the held-out fold, at most so many of each language."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD_OUT))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    # they have been on the driver already; the documents are not dealt out by language
+    sizes = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in counts], "lang string, n long")
     ids = (
         usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .join(sizes, "lang")
+        .join(F.broadcast(sizes), "lang")
         # so what is ordered stays near MARGIN * per_language rows of a language
         .where(place("doc_id") * F.col("n") < MARGIN * per_language)
         .withColumn("at", place("doc_id"))
