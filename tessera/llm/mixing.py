@@ -133,7 +133,8 @@ class Mixture:
             [(i, *x) for i, x in enumerate(zip(self.sources, self.sizes, self.targets))],
             "source_no int, named string, source_size long, target double",
         )
-        placed = sized.join(table, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+        # the sources' rows have been on the driver already; rows are not dealt out by source
+        placed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("named"))).drop("named")
         sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
         # at most BUCKETS rows a source
         sums = sums.selectExpr("source_no", "bucket", "sum(n) over (partition by source_no order by bucket) - n as base")
@@ -201,7 +202,7 @@ class Mixture:
         blocks = parts.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("p"))  # block_words words
         blocks = blocks.selectExpr("source_no", "block", "array_join(flatten(transform(p, x -> x.words)), ' ') as text")
         names = self.spark.createDataFrame(list(enumerate(self.sources)), "source_no int, source string")
-        return self.slots().join(blocks, ["source_no", "block"]).join(names, "source_no").select("shard", "slot", "source", "text")
+        return self.slots().join(blocks, ["source_no", "block"]).join(F.broadcast(names), "source_no").select("shard", "slot", "source", "text")
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
@@ -209,15 +210,15 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     its taken words are its size, and once more with the probability of the rest (by hash)."""
     plan = Mixture(docs, **options)
     copies = plan.taken().where("taken > 0").selectExpr(
-        "doc_id as mix_id", "source as mix_source", "tie as mix_tie",
-        "cast(floor(taken / size + pmod(xxhash64(doc_id, tie, 'copies'), 1000003) / 1000003D) as int) as mix_copies",
+        "doc_id as __mix_id", "source as __mix_source", "tie as __mix_tie",
+        "cast(floor(taken / size + pmod(xxhash64(doc_id, tie, 'copies'), 1000003) / 1000003D) as int) as __mix_copies",
     )
     # rows that are equal in all of these are interchangeable; their copies add up
-    copies = copies.groupBy("mix_id", "mix_source", "mix_tie").agg(F.sum("mix_copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
-    hit = F.expr("cast(doc_id as long) <=> mix_id and cast(source as string) <=> mix_source and xxhash64(text) = mix_tie")
-    joined = docs.join(copies.where("mix_copies > 0"), hit)
-    share = F.expr("cast(greatest(1, round(mix_copies / mix_rows)) as int)")
-    return joined.withColumn("mix_nth", F.explode(F.sequence(F.lit(1), share))).select(*[docs[c] for c in docs.columns])
+    copies = copies.groupBy("__mix_id", "__mix_source", "__mix_tie").agg(F.sum("__mix_copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+    hit = F.expr("cast(doc_id as long) <=> __mix_id and cast(source as string) <=> __mix_source and xxhash64(text) = __mix_tie")
+    joined = docs.join(copies.where("__mix_copies > 0"), hit)
+    share = F.expr("cast(greatest(1, round(__mix_copies / __mix_rows)) as int)")
+    return joined.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), share))).select(*[docs[c] for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
