@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -56,7 +57,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{sc.applicationId}"
 
