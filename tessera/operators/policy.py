@@ -111,14 +111,25 @@ def handover(steps: DataFrame) -> DataFrame:
 
 
 def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
-    """(query_id, seq, tokens) with novel: fewer than ``most`` of its tokens shared, as sets,
-    with every earlier query of its session. A query without tokens is never novel.
+    """(session, query_id, seq, tokens) with novel: fewer than ``most`` of its tokens shared,
+    as sets, with every earlier query of its session. A query without tokens is never novel.
 
-    Earlier queries are met on a common token; those that share none are novel anyway.
+    Queries meet on their rarest tokens: two sets of such a similarity share at least
+    ``most`` of either, so one of the first n - ceil(most * n) + 1 in any common order. Only
+    pairs that meet are compared.
     """
     q = queries.withColumn("tokens", F.array_distinct("tokens"))
     words = q.select("session", "query_id", "seq", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    old = words.toDF("session", "old_id", "old_seq", "old_n", "w")
-    shared = words.join(old, ["session", "w"]).where("old_seq < seq").groupBy("session", "query_id", "n", "old_id", "old_n").agg(F.count("*").alias("both"))
-    seen = shared.where(F.col("both") / (F.col("n") + F.col("old_n") - F.col("both")) >= most).select("session", "query_id").distinct().withColumn("seen", F.lit(True))
+    common = words.groupBy("w").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(W.partitionBy("session", "query_id").orderBy("df", "w"))
+    rare = words.join(common, "w").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1)
+    rare = rare.select("session", "query_id", "seq", "n", "w")
+    old = rare.toDF("session", "old_id", "old_seq", "old_n", "w")
+    near = F.least("n", "old_n") >= most * F.greatest("n", "old_n") - 1e-9
+    met = rare.join(old, ["session", "w"]).where((F.col("old_seq") < F.col("seq")) & near).select("session", "query_id", "old_id").distinct()
+    sets = q.select("session", "query_id", "tokens")
+    both = met.join(sets, ["session", "query_id"]).join(sets.toDF("session", "old_id", "old_tokens"), ["session", "old_id"])
+    shared = F.size(F.array_intersect("tokens", "old_tokens"))
+    seen = both.where(shared / (F.size("tokens") + F.size("old_tokens") - shared) >= most)
+    seen = seen.select("session", "query_id").distinct().withColumn("seen", F.lit(True))
     return q.join(seen, ["session", "query_id"], "left").withColumn("novel", (F.size("tokens") > 0) & F.col("seen").isNull()).drop("seen")
