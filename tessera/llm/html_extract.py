@@ -49,6 +49,7 @@ MARKED = re.compile(
     r"subscribe|newsletter|signup|login|widget|toolbar|pagination|pager|tags|search)(?:$|[\s_\d-])",
     re.I,
 )
+COMMENT_END = re.compile(r"--(?:!|\s*)>")
 CONTENT_MARK = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
 
 
@@ -129,6 +130,13 @@ class _Lines(HTMLParser):
             if at in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                 return  # a stray end tag stays inside its region
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)  # one that is never closed goes to the end
+
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.parts.append(data)
@@ -174,9 +182,6 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
     """The blocks of the main text, in page order."""
     if not html:
         return []
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:
-        html = html[:comment]  # a comment that is never closed goes to the end
     parser = _Lines()
     parser.feed(html)
     parser.close()

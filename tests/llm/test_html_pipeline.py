@@ -27,6 +27,18 @@ def test_pages_without_text(page):
     assert h.extract_text(page) == ""
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<script>if(a.indexOf("<!--")<0){}</script>', "<style><!-- p{} </style>", '<img title="<!--">', "<!-- x --!>", "<!-->", "<!--->", "<!-- a --><!-- b -->",
+    ],
+)
+def test_comment_marks_cut_nothing(before):
+    page = f"<html><body>{before}<article><h1>Head</h1><p>The text of it.</p></article></body></html>"
+    assert h.blocks(page) == ["Head", "The text of it."]
+    assert h.blocks(page.replace("</article>", "<!-- never closed <p>gone</p></article>")) == ["Head", "The text of it."]
+
+
 def test_ratios_are_smoothed_by_a_gaussian():
     assert h.smooth([3.0, 3.0, 3.0]) == pytest.approx([3.0] * 3)
     out = h.smooth([0.0, 0.0, 9.0, 0.0, 0.0])
