@@ -4,7 +4,8 @@ Parser events of the standard library are streamed into lines, one for each run
 between block-level tags. Every line has a text-to-tag ratio; the ratios are smoothed with
 a Gaussian kernel, and lines at or above a threshold (a share of the ratios' standard
 deviation) form the content cluster. The cluster selects a content region: the article or
-main element that holds most of it, else the smallest container with most of it. Every
+main element that holds most of it, else a container marked as content that does, else the
+smallest container with all of it. Every
 line of the region counts, short ones too, except those inside navigation, page headers
 and footers, side bars, notices, adverts, forms and comments.
 
@@ -39,6 +40,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
+# blocks that are a part of a text and do not hold a whole one
+TEXT_PARTS = frozenset("address blockquote dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup legend li ol p pre summary ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_BREAKS = frozenset(("br", "wbr"))
 # words of a class, id or role that mark what is not the article
@@ -63,6 +66,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, skipped, outside
         self.path: tuple[int, ...] = ()
         self.regions: dict[int, str] = {}
+        self.text_parts: set[int] = set()
         self.tags = self.number = 0
 
     def _state(self) -> tuple[bool, bool]:
@@ -110,6 +114,8 @@ class _Lines(HTMLParser):
         self.open.append((tag, self.number, skipped or tag in SKIPPED, outside))
         if tag in BLOCKS:
             self.path = (*self.path, self.number)
+            if tag in TEXT_PARTS:
+                self.text_parts.add(self.number)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,7 +160,7 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _region(lines: list, content: list[int], regions: dict[int, str]) -> int | None:
+def _region(lines: list, content: list[int], regions: dict[int, str], parts: set[int]) -> int | None:
     """Number of the container that holds the content cluster."""
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
@@ -168,14 +174,10 @@ def _region(lines: list, content: list[int], regions: dict[int, str]) -> int | N
         named = [n for n in held if regions.get(n) in kinds and held[n] >= REGION_SHARE * total]
         if named:
             return max(named, key=lambda n: (held[n], depth[n]))
-    wide = [n for n in held if held[n] >= REGION_SHARE * total]
-    # the deepest container with enough of the cluster, but not a single line's own block
-    lines_in: dict[int, int] = {}
-    for i in content:
-        for number in lines[i][2]:
-            lines_in[number] = lines_in.get(number, 0) + 1
-    wide = [n for n in wide if lines_in[n] > 1 or len(content) == 1]
-    return max(wide, key=lambda n: depth[n], default=None)
+    # the deepest container with all of the cluster; a text's own parts, such as a quotation
+    # or a list, are not containers
+    whole = [n for n in held if held[n] == total and n not in parts]
+    return max(whole, key=lambda n: depth[n], default=None)
 
 
 def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[str]:
@@ -194,7 +196,7 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     content = [i for i in inside if ratios[i] >= threshold * spread] or inside
-    region = _region(lines, content, parser.regions)
+    region = _region(lines, content, parser.regions, parser.text_parts)
     kept = [i for i in inside if region is None or region in lines[i][2]]
     if region is None or parser.regions.get(region) not in REGIONS:
         # no article element: the cluster and the lines between its first and last

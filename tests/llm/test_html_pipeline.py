@@ -22,6 +22,26 @@ def test_without_an_article_element():
     assert got[0] == "Head" and len(got) == 6 and "Imprint" not in got
 
 
+def _paragraphs(n, of="p"):
+    return "".join(f"<{of}>{'A sentence of some length that tells the story. ' * 4}{i}</{of}>" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    ("body", "lines"),
+    [
+        (f"<div><h2>Head</h2>{_paragraphs(7)}</div><div>{_paragraphs(3)}</div>", 11),
+        (f"<div><div>{_paragraphs(7)}</div><div><div>{_paragraphs(2)}</div><div>{_paragraphs(2)}</div></div></div>", 11),
+        (f"<div><h1>Head</h1><p>{'Before the quotation. ' * 9}</p><blockquote>{_paragraphs(6)}</blockquote>{_paragraphs(2)}</div>", 10),
+        (f"<div><h1>Head</h1><ul>{_paragraphs(6, 'li')}</ul>{_paragraphs(2)}</div>", 9),
+        (f"<div><h1>Head</h1><blockquote>{_paragraphs(3)}</blockquote></div>", 4),
+    ],
+)
+def test_all_parts_of_an_article_in_plain_containers(body, lines):
+    page = f"<html><body><div id=menu><a href=1>Home</a> <a href=2>News</a></div><div>{body}</div><div class=footer><a>Imprint</a></div></body></html>"
+    got = h.blocks(page)
+    assert len(got) == lines and "Imprint" not in got and ("Head" in got) == ("Head" in body)
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<html>", "<p>", "<script>x", "<!-- only", "<nav>menu</nav>"])
 def test_pages_without_text(page):
     assert h.extract_text(page) == ""
