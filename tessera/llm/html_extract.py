@@ -7,7 +7,8 @@ deviation) form the content cluster. The cluster selects a content region: the a
 main element that holds most of it, else a container marked as content that does, else the
 smallest container with all of it. Every
 line of the region counts, short ones too, except those inside navigation, page headers
-and footers, side bars, notices, adverts, forms and comments.
+and footers, side bars, notices, adverts, forms and comments. An element that a name marks
+as one of these counts as a wrapper if the article is inside.
 
 White space inside a line becomes one space; lines are joined by an empty line.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -44,45 +46,65 @@ BLOCKS = frozenset(
 TEXT_PARTS = frozenset("address blockquote dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup legend li ol p pre summary ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_BREAKS = frozenset(("br", "wbr"))
-# words of a class, id or role that mark what is not the article
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|complementary|footer|masthead|site-header|page-header|header|"
-    r"contentinfo|comments?|comment-\w+|disqus|replies|reply|respond|discussion|related|recommended|share|sharing|social|"
-    r"subscribe|newsletter|signup|login|widget|toolbar|pagination|pager|tags|search)(?:$|[\s_\d-])",
-    re.I,
+# class, id or role names that mark what is not the article: a listed word, alone or with other
+# listed words and names of places and parts ("site-footer", "cookie-notice", "ad-slot-2"); so not
+# the state of a page ("with-sidebar", "comments-open") and not the headers of articles
+_WORD = (
+    r"(?:ads?|advert[a-z]*|adbox|adsense|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|complementary|footer|masthead|header|"
+    r"contentinfo|comments?|disqus|replies|reply|respond|discussion|related|recommended|share|sharing|social|"
+    r"subscribe|newsletter|signup|login|widget|toolbar|pagination|pager|tags|search)\d*"
 )
+_PLACE = (
+    r"(?:site|page|main|top|bottom|left|right|primary|secondary|global|mobile|user|article|post|posts|entry|story|stories|list|item|items|"
+    r"area|section|box|block|bar|body|meta|author|text|form|buttons?|links?|icons?|slot|unit|container|wrap|wrapper|inner|outer|row|col|\d+)"
+)
+MARKED = re.compile(rf"(?:{_PLACE}[-_]+)*{_WORD}(?:[-_]+(?:{_WORD}|{_PLACE}))*", re.I)
+HEADERS = re.compile(r"(?:^|[-_])(?:header|masthead)\d*(?:$|[-_])", re.I)
+OWN_HEADER = re.compile(r"(?:^|[-_])(?:article|post|entry|story)(?:$|[-_])", re.I)
+# marks that hold also where most of the page's text is: a thread may outgrow its article
+OTHERS = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|reply|respond|discussion|related|recommended)\d*(?:$|[-_])", re.I)
+WRAPPER_SHARE = 0.5  # of the page's characters: what holds more is not beside the article
 COMMENT_END = re.compile(r"--(?:!|\s*)>")
 CONTENT_MARK = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-])", re.I)
 
 
+@lru_cache(4096)
+def _marks(names: str, in_region: bool) -> tuple[bool, bool]:
+    """Whether names mark what is not the article, and whether they do so in any case."""
+    found = [n for n in names.split() if MARKED.fullmatch(n) and not (HEADERS.search(n) and (in_region or OWN_HEADER.search(n)))]
+    return bool(found), any(OTHERS.search(n) for n in found)
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags seen since the last line, ids of the open containers)."""
+    """Collects lines: (text, tags seen since the last line, ids of the open containers,
+    whether a tag puts it outside, ids of the open elements whose names do)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, skipped, outside
+        self.open: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []  # tag, number, skipped, outside, marked
         self.path: tuple[int, ...] = ()
         self.regions: dict[int, str] = {}
+        self.marked: dict[int, tuple[int, ...]] = {}  # a region's marked elements around it
         self.text_parts: set[int] = set()
         self.tags = self.number = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.open[-1][2], self.open[-1][3]) if self.open else (False, False)
+    def _state(self) -> tuple[bool, bool, tuple[int, ...]]:
+        return self.open[-1][2:] if self.open else (False, False, ())
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, self.tags, self.path, self._state()[1]))
+                self.lines.append((text, self.tags, self.path, *self._state()[1:]))
                 self.tags = 0
 
     def _truncate(self, size: int) -> None:
         del self.open[size:]
-        self.path = tuple(number for tag, number, _, _ in self.open if tag in BLOCKS)
+        self.path = tuple(number for tag, number, *_ in self.open if tag in BLOCKS)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -101,17 +123,27 @@ class _Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        skipped, outside = self._state()
+        skipped, outside, marked = self._state()
         self.number += 1
         if not outside:
-            marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-            outside = tag in OUTSIDE or bool(marks and tag != "body" and tag != "html" and tag not in REGIONS and MARKED.search(marks))
-            outside = outside or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-            if tag == "header" and not any(t in REGIONS for t, *_ in self.open):
+            in_region = any(t in REGIONS for t, *_ in self.open)
+            outside = tag in OUTSIDE or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+            if tag == "header" and not in_region:
                 outside = True
-            if tag in REGIONS or (marks and CONTENT_MARK.search(marks) and not outside):
-                self.regions[self.number] = tag if tag in REGIONS else "marked"
-        self.open.append((tag, self.number, skipped or tag in SKIPPED, outside))
+            names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+            beside = others = False
+            if names and tag not in ("body", "html"):
+                beside, others = _marks(names, in_region)
+            if tag in REGIONS:
+                self.regions[self.number] = tag
+                self.marked[self.number] = marked
+            elif beside:
+                outside = outside or others
+                marked = (*marked, self.number)
+            elif names and CONTENT_MARK.search(names) and not outside:
+                self.regions[self.number] = "marked"
+                self.marked[self.number] = marked
+        self.open.append((tag, self.number, skipped or tag in SKIPPED, outside, marked))
         if tag in BLOCKS:
             self.path = (*self.path, self.number)
             if tag in TEXT_PARTS:
@@ -160,6 +192,25 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def _wrappers(parser: _Lines) -> set[int]:
+    """Marked elements that are around the article, not beside it: they hold most of the
+    page's text, or its article or main element where no such element is unmarked."""
+    held: dict[int, int] = {}
+    named: set[int] = set()
+    total, free = 0, False
+    for text, _, path, outside, marked in parser.lines:
+        total += len(text)
+        if outside:
+            continue
+        for number in marked:
+            held[number] = held.get(number, 0) + len(text)
+        for number in path:
+            if parser.regions.get(number) in REGIONS:
+                free = free or not marked
+                named.update(parser.marked[number])
+    return {n for n in held if held[n] > WRAPPER_SHARE * total or (n in named and not free)}
+
+
 def _region(lines: list, content: list[int], regions: dict[int, str], parts: set[int]) -> int | None:
     """Number of the container that holds the content cluster."""
     held: dict[int, int] = {}
@@ -188,7 +239,9 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    wrappers = _wrappers(parser)
+    lines = [(*x[:3], x[3] or not wrappers.issuperset(x[4])) for x in parser.lines]
+    regions = {n: kind for n, kind in parser.regions.items() if wrappers.issuperset(parser.marked[n])}
     inside = [i for i, x in enumerate(lines) if not x[3]]
     if not inside:
         return []
@@ -196,9 +249,9 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     content = [i for i in inside if ratios[i] >= threshold * spread] or inside
-    region = _region(lines, content, parser.regions, parser.text_parts)
+    region = _region(lines, content, regions, parser.text_parts)
     kept = [i for i in inside if region is None or region in lines[i][2]]
-    if region is None or parser.regions.get(region) not in REGIONS:
+    if region is None or regions.get(region) not in REGIONS:
         # no article element: the cluster and the lines between its first and last
         kept = [i for i in kept if content[0] <= i <= content[-1] or region is not None]
     return [lines[i][0] for i in kept]

@@ -42,6 +42,27 @@ def test_all_parts_of_an_article_in_plain_containers(body, lines):
     assert len(got) == lines and "Imprint" not in got and ("Head" in got) == ("Head" in body)
 
 
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-sidebar", "no-sidebar", "page header-fixed", "comments-open post", "elementor-widget", "sidebar", "widget"])
+@pytest.mark.parametrize("of", ["article", "main", "div"])
+def test_wrappers_named_after_a_layout(name, of):
+    beside = "<div class=sidebar><p>Beside the text.</p></div><div class='site-footer'>Imprint</div><div class='cookie-notice'>Cookies</div>"
+    page = f'<html><body><div class="{name}"><{of}><div class="entry-header"><h1>Head</h1></div>{_paragraphs(3)}</{of}>{beside}</div></body></html>'
+    got = h.blocks(page)
+    assert len(got) == 4 and got[0] == "Head"
+
+
+@pytest.mark.parametrize("name", ["entry-header", "article-header", "header"])
+def test_headers_of_an_article(name):
+    assert h.blocks(f'<article><div class="{name}"><h1>Head</h1></div><p>The text of it.</p></article>') == ["Head", "The text of it."]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "related-posts"])
+def test_a_thread_may_be_longer_than_its_article(name):
+    thread = f"<article>{_paragraphs(9)}</article>"
+    assert h.blocks(f"<body><div><h1>Head</h1>{_paragraphs(3)}</div><div id={name}>{thread}</div></body>")[0] == "Head"
+    assert len(h.blocks(f"<body><div><h1>Head</h1>{_paragraphs(3)}</div><div id={name}>{thread}</div></body>")) == 4
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<html>", "<p>", "<script>x", "<!-- only", "<nav>menu</nav>"])
 def test_pages_without_text(page):
     assert h.extract_text(page) == ""
