@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normal_query, sentences
+from tessera.operators.pairs import CAP, GAP
 
 # fixed values: words that say nothing about a question's subject
 DRAFT_STOP = tuple(
@@ -119,23 +120,24 @@ def resolved_labels(labels: DataFrame, queries: DataFrame, chunks: DataFrame) ->
     return rows.where("query is not null and text is not null"), dropped
 
 
-def any_rejected(verdicts: DataFrame, negatives: DataFrame, cap: int = 4) -> DataFrame:
-    """The ablation without hard negatives: a query's best chunks against chunks that were
-    judged for other queries, at most ``cap`` a query.
+def any_rejected(verdicts: DataFrame, negatives: DataFrame, cap: int = CAP, gap: int = GAP) -> DataFrame:
+    """The ablation without hard negatives: a query's chunks, best first, against any
+    judged chunk of the corpus that is graded at least ``gap`` lower, in order of (grade,
+    chunk_id); the first ``cap`` pairs of a query, each pair once.
 
-    A query meets negatives in its own slots of a hash circle, not all of them: the slots
-    hold more candidates than the cap, however large the table of negatives is.
+    The negatives that a grade admits are the first ones of that order, and only a chosen
+    chunk itself is left out. So the first cap + 1 negatives hold all that one chosen
+    chunk can use, and of cap + 1 chosen chunks at most one is without a pair while later
+    ones have some: neither bound changes the result.
     """
-    v = verdicts.withColumn("nq", normal_query("query"))
-    best = v.withColumn("pos", F.row_number().over(W.partitionBy("nq").orderBy(F.desc("grade"), "chunk_id"))).where("pos = 1 and grade > 0")
-    size = negatives.select("chunk_id").distinct()
-    order = size.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(1024)))
-    asked = best.select("nq", F.col("chunk_id").alias("chosen"), F.explode(F.sequence(F.lit(0), F.lit(2 * cap))).alias("k"))
-    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("nq", "k"), F.lit(1024)))
-    own = v.select("nq", "chunk_id").distinct()
-    met = asked.join(order, "bucket").join(own, ["nq", "chunk_id"], "left_anti")
-    nth = F.row_number().over(W.partitionBy("nq").orderBy(F.md5(F.concat_ws(":", "nq", F.col("chunk_id").cast("string"))), "chunk_id"))
-    return met.withColumn("nth", nth).where(F.col("nth") <= cap).select("nq", "chosen", F.col("chunk_id").alias("rejected"), "nth")
+    known = F.col("chunk_id").isNotNull() & F.col("grade").isNotNull()
+    least = negatives.where(known).groupBy(F.col("chunk_id").alias("rejected")).agg(F.min("grade").alias("gb"))
+    least = least.orderBy("gb", "rejected").limit(cap + 1)
+    best = verdicts.where(known).groupBy(normal_query("query").alias("nq"), F.col("chunk_id").alias("chosen")).agg(F.max("grade").alias("ga"))
+    best = best.withColumn("pos", F.row_number().over(W.partitionBy("nq").orderBy(F.desc("ga"), "chosen"))).where(F.col("pos") <= cap + 1)
+    met = best.crossJoin(F.broadcast(least)).where((F.col("ga") - F.col("gb") >= gap) & (F.col("chosen") != F.col("rejected")))  # cap + 1 rows
+    nth = F.row_number().over(W.partitionBy("nq").orderBy("pos", "gb", "rejected"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= cap).select("nq", "chosen", "rejected", "nth")
 
 
 def stub_embedding(text: Column, dim: int = 64) -> Column:

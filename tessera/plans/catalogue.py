@@ -840,7 +840,13 @@ def training_rows(s, d):
     return rows.select("prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
 
 
-@query("random_negatives")
+_NEGATIVES = """v AS (SELECT regexp_replace(lower(trim(query)), '\\s+', ' ', 'g') AS nq, chunk_id, grade FROM verdicts),
+b AS (SELECT nq, chunk_id, max(grade) AS grade FROM v GROUP BY 1, 2), a AS (SELECT *, row_number() OVER (PARTITION BY nq ORDER BY grade DESC, chunk_id) AS pos FROM b),
+n AS (SELECT chunk_id, min(grade) AS grade FROM v GROUP BY 1),
+m AS (SELECT a.nq, a.chunk_id AS chosen, n.chunk_id AS rejected, row_number() OVER (PARTITION BY a.nq ORDER BY a.pos, n.grade, n.chunk_id) AS nth FROM a JOIN n ON a.pos <= 5 AND a.grade - n.grade >= 1 AND a.chunk_id <> n.chunk_id)"""
+
+
+@query("random_negatives", with_views("verdicts", more=_NEGATIVES) + "SELECT nq, chosen, rejected, nth FROM m WHERE nth <= 4")
 def random_negatives(s, d):
     return drafts.any_rejected(X.verdicts(s, d), X.verdicts(s, d))
 

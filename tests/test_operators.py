@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions import text as T
-from tessera.operators import agreement, gate, ingest, judge, labels, metrics, pairs, policy, registry, retrieve, tools
+from tessera.operators import agreement, drafts, gate, ingest, judge, labels, metrics, pairs, policy, registry, retrieve, tools
 
 
 def rows(df, *cols):
@@ -311,6 +311,24 @@ def test_small_units_are_absorbed_and_pages_follow(spark):
     assert {c.page for c in made} >= {1, 2} and all(c.n_tokens <= 100 for c in made) and len({c.chunk_id for c in made}) == len(made)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_negatives_of_any_query_equal_the_loop(spark, seed):
+    rng = random.Random(seed)
+    few = rng.choice([3, 6, 30])
+    lows = [0, 1, 2, 3] if seed % 2 else [2, 3]  # with hardly any lower grade too
+    data = [(f" Q{rng.randrange(5)} ", f"c{rng.randrange(few):02}", rng.choice(lows)) for _ in range(40)] + [("q9", "c00", 0), ("q9", "c01", 3)] * (seed % 3)
+    want = []
+    for q in sorted({x[0].strip().lower() for x in data}):
+        seen, own = [], sorted((x for x in data if x[0].strip().lower() == q), key=lambda x: (-x[2], x[1]))
+        for _, chosen, ga in own:
+            for _, rejected, gb in sorted(data, key=lambda x: (x[2], x[1])):
+                if len(seen) < 4 and ga - gb >= 1 and chosen != rejected and (chosen, rejected) not in seen:
+                    seen.append((chosen, rejected))
+        want += [(q, c, r, nth) for nth, (c, r) in enumerate(seen, 1)]
+    df = spark.createDataFrame(data, "query string, chunk_id string, grade int")
+    assert rows(drafts.any_rejected(df, df), "nq", "chosen", "rejected", "nth") == sorted(want)
+
+
 def test_similar_titles(spark):
     rng = random.Random(3)
     base = ["a survey of graph neural networks for fraud", "deep hashing for image retrieval at scale", "on the of and", "x"]
