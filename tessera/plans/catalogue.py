@@ -648,7 +648,7 @@ def paired_bootstrap(s, d):
 
 @query("paired_bootstrap_exact")
 def paired_bootstrap_exact(s, d):
-    return gate.paired_bootstrap_exact(X.runs(s, d), resamples=50)
+    return gate.paired_bootstrap_exact(X.runs(s, d))
 
 
 @query("holm", with_views("runs", more=_BOOT) + "SELECT metric, round(p, 6) AS p_value, rank, significant FROM hm")

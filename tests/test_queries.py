@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.operators import gate
+from tessera.plans import catalogue, fixtures
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -40,3 +41,9 @@ def test_query(spark, sf, db, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert rows == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
+
+
+def test_seeded_bootstrap_takes_all_resamples(spark, sf):
+    order = lambda df: sorted(map(tuple, df.collect()))
+    got = order(QUERIES["paired_bootstrap_exact"](spark, sf))
+    assert got == order(gate.paired_bootstrap_exact(fixtures.runs(spark, sf), resamples=1000))
