@@ -314,28 +314,41 @@ def canonical_exact(titles: DataFrame) -> DataFrame:
 def similar_titles(titles: DataFrame, ratio: float = SIMILAR) -> DataFrame:
     """(later, earlier): pairs of normal titles whose matching ratio reaches ``ratio``.
 
-    Titles meet on their rarest letter triples: at this ratio so few letters are unmatched
-    that two titles share one of the first 3 * (1 - ratio) * length + 3 of them.
+    Titles meet on their rarest letter triples. A triple of a title that lies in none of
+    the blocks matched with another title has an unmatched letter (at most 3 for each) or
+    spans a place where the other has one (2 for each), and the letters that both may leave
+    unmatched are bounded by the ratio, with the lengths of the longest and the shortest
+    admissible partner as the two extremes. One more triple than that is a shared one.
+    Below a ratio of 0.91 a short title may share no triple with a similar one, so titles
+    meet on any letter then.
     """
     ship(titles.sparkSession)
     t = titles.select("paper_id", normal_title("title").alias("nt")).where("nt <> ''").withColumn("n", F.length("nt"))
+    width = 3 if ratio >= 0.91 else 1
     grams = t.select(
-        "paper_id", "nt", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 2, F.lit(1))), lambda i: F.substring("nt", i, F.lit(3))))).alias("g")
-    )
+        "paper_id", "nt", "n",
+        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (width - 1), F.lit(1))), lambda i: F.substring("nt", i, F.lit(width))))).alias("g"),
+    )
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
     rare = grams.join(df, "g").withColumn("nth", F.row_number().over(W.partitionBy("paper_id").orderBy("df", "g")))
-    rare = rare.where(F.col("nth") <= F.ceil(3 * (1 - ratio) * F.col("n")) + 3)
+    if width == 3:
+        unshared = max(6 * (1 - ratio) / (2 - ratio), 4 * (1 - ratio) / ratio)  # of a title's length
+        rare = rare.where(F.col("nth") <= F.floor(unshared * F.col("n") + 1e-6) + 1)
     a, b = (rare.select(F.col("paper_id").alias(f"{x}"), F.col("nt").alias(f"{x}_t"), F.col("n").alias(f"{x}_n"), "g") for x in ("later", "earlier"))
     near = F.least("later_n", "earlier_n") * 2 >= ratio * (F.col("later_n") + F.col("earlier_n"))
     pairs = a.join(b, "g").where((F.col("earlier") < F.col("later")) & near).select("later", "earlier", "later_t", "earlier_t").distinct()
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def matching(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+        def one(p: str, q: str) -> bool:
+            m = SequenceMatcher(None, p, q)
+            return m.quick_ratio() >= ratio and m.ratio() >= ratio  # the first is never less
+
+        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype="bool")
 
-    return pairs.where(matching("later_t", "earlier_t") >= ratio).select("later", "earlier")
+    return pairs.where(matching("later_t", "earlier_t")).select("later", "earlier")
 
 
 def canonical_fuzzy(titles: DataFrame, ratio: float = SIMILAR, max_rounds: int = 100) -> DataFrame:

@@ -345,6 +345,27 @@ def test_similar_titles(spark):
     assert {r.paper_id: r.canonical_id for r in ingest.canonical_fuzzy(df).collect()} == want
 
 
+@pytest.mark.parametrize("ratio", [0.92, 0.8])
+def test_no_similar_title_is_lost(spark, ratio):
+    base = "a survey of retrieval methods for scientific documents and claims"
+    short = "dense passage retrieval for open domain answers"  # 47 letters
+    rng, titles = random.Random(4), [base, short]
+    for _ in range(40):
+        t = list(base)
+        for i in sorted(rng.sample(range(0, len(base) - 1, 6), 5)):
+            t[i], t[i + 1] = t[i + 1], t[i]  # scattered swaps
+        titles.append("".join(t))
+        t = list(short)
+        for i in sorted(rng.sample(range(len(short)), 7), reverse=True):
+            t.insert(i, rng.choice("0123456789"))  # scattered insertions
+        titles.append("".join(t))
+    titles += ["abcd", "abce", "abcde", "ab", "abc"]
+    df = spark.createDataFrame(list(enumerate(titles)), "paper_id int, title string")
+    norm = [" ".join(t.split()) for t in titles]
+    want = sorted((b, a) for a in range(len(norm)) for b in range(a + 1, len(norm)) if SequenceMatcher(None, norm[b], norm[a]).ratio() >= ratio)
+    assert rows(ingest.similar_titles(df, ratio), "later", "earlier") == want
+
+
 def test_quartiles(spark):
     df = spark.createDataFrame([(v,) for v in (5.0, 6.0, 9.0, 9.0, 11.0, 15.5, 20.0)], "v double")
     r = ingest.exclusive_quartiles(df).first()
