@@ -12,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+ARROW_SIZE, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: so that Python workers return freed memory to the system
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -35,12 +39,16 @@ def ship(spark: SparkSession) -> None:
 
     Workers that run beside this checkout can import the package (on a cluster it comes
     with ``--py-files`` or the image; the extra path entry is harmless there). Where the
-    session does not say how many rows an Arrow batch has, it is ``ARROW_ROWS``: rows hold
-    whole texts, and a batch stands in the memory of both processes.
+    session does not say how many rows and bytes an Arrow batch has, it is at most
+    ``ARROW_ROWS`` and about ``ARROW_BYTES``: rows hold whole texts or packed arrays, and a
+    batch stands in the memory of both processes.
     """
-    if spark.conf.get(ARROW_BATCH, None) is None:
-        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
+    for key, value in ((ARROW_BATCH, str(ARROW_ROWS)), (ARROW_SIZE, ARROW_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
@@ -49,14 +57,17 @@ def ship(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for written tables: ``spark.checkpoint.dir``, shared by all.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is
-    made and set as the checkpoint directory.
+    Only where that is unset and the session runs in one process, as in tests, a
+    temporary folder is made and set as the checkpoint directory; on a cluster the setting
+    is required, since its machines do not share such a folder.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -91,8 +102,21 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is
-    cut, and a lost executor costs a file read, not a recomputation."""
+    cut, and a lost executor costs a file read, not a recomputation. The shuffle files of
+    the write have served then, and Spark removes them."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` returned and nothing reads any more."""
+    _remove(table.sparkSession, table._written_to)
