@@ -1,34 +1,41 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a smoothed bigram model over all training documents. As an automaton: the
-root state has an arc for every known word and one for all unknown ones; every word is a
-state with an arc for each word that followed it, and a failure arc to the root. One
-left-to-right traversal carries the state, takes the arc of the next word if the state has
-it, and otherwise pays the failure arc's weight and takes the root's arc.
+The model is a smoothed trigram model (``ORDER`` words) over all training documents. As an
+automaton: the root state has an arc for every known word and one for all unknown ones.
+Every word, and every pair of words, that goes on in a training document is a state, with
+an arc for each word that followed it and a failure arc to the state of one word less. One
+left-to-right traversal carries the state: where the state has an arc for the next word it
+is taken; otherwise the failure arc's weight is paid and its target is asked.
 
     root:    P(w) = (c(w) - D) / N for known words, P(unknown) = D V / N,
              D = n1 / (n1 + 2 n2) by the words seen once and twice
-    state h: P(w | h) = (c(h, w) + M P(w)) / (c(h) + M) on an arc; failure weight M / (c(h) + M)
+    state h: P(w | h) = (c(h w) + M P(w | h')) / (c(h) + M) on an arc, h' being h without
+             its first word; failure weight M / (c(h) + M)
 
 so each state is a distribution. All counts are exact and cover all training documents.
 
-Neither the words nor the bigrams of a corpus fit into one task, and they are not broadcast.
-Documents are packed into blocks of bounded size. A block needs the counts of its own
-distinct n-grams only; it sends them, as sorted 64-bit hashes cut into ranges and
-delta-coded, with its own training counts. Each range adds up what all blocks sent and
-answers every block in the order of its request, so an answer is a list of numbers without
-keys. The block then scores its documents.
+Neither the words nor the n-grams of a corpus fit into one task, and they are not broadcast.
+Documents are packed into blocks of bounded size (a long document is cut into pieces, each
+with the words before it, from which the traversal goes on). A block needs the part of the
+automaton that its own texts can reach. For each order it sends its distinct n-grams, as
+sorted 64-bit hashes, delta-coded, with its own training counts, to the tasks that hold
+their range of hashes. A range adds up what the blocks sent and answers every block in the
+order of its request, so an answer is a list of numbers without keys. The block then builds
+its states and arcs and traverses its texts. A block sends nothing to a range of which it
+has no n-gram, so there are never more rows than (block, n-gram) pairs; the bytes follow
+the input in proportion.
 
 Defined cases: a null or empty text is the end token alone; held-out documents are scored
 but not learned from; a null doc_id is learned from as if its remainder were not 0; repeated
 rows are learned and scored once each; with no training tokens every probability is that
-of the unknown word; an empty table gives an empty result.
+of the unknown word (1); an empty table gives an empty result. N-grams are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +44,18 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialize, ship
 
-BLOCK_BYTES = 12 << 20  # of text in a block, at most (a longer document is a block of its own)
-RANGE_KEYS = 3_000_000  # n-grams that a range receives, about
-M = 50.0  # weight of the root's distribution in every other state
+ORDER = 3
+BLOCK_BYTES = 6 << 20  # of text in a block, about
+PIECE_BYTES = 4 << 20  # of text in a piece of a document, about
+RANGE_KEYS = 1 << 20  # n-grams that a range receives, about
+M = (50.0, 50.0)  # weight of the next lower order, in states of one and of two words
 HELD_OUT_OF = 10
 END = 0x9AE16A3B2F90404F  # hash of the end token
 START = 0xC3A5C85C97CB3127  # hash of the state before the first token
+PAD = 0xB492B66FBE98F273  # what stands before it
 
 _WORDS: dict[bytes, int] = {}
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -66,31 +77,30 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Tokens:
-    """The tokens of a block's documents, end tokens included."""
-
-    def __init__(self, texts: list[bytes]):
-        coded, sizes = [], []
-        for t in texts:
-            words = t.lower().split()  # bytes: only A-Z, only ASCII white space
-            coded.append(_hash_words(words))
-            sizes.append(len(words) + 1)
-        end = np.array([END], np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.words = np.concatenate([x for pair in zip(coded, repeat(end)) for x in pair] or [end[:0]])
-        firsts = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.words)
-        before[1:] = self.words[:-1]
-        before[firsts] = np.uint64(START)
-        self.before, self.firsts = before, firsts
-        self.bigrams = _mix64(before * np.uint64(0x9E3779B97F4A7C15) + self.words)
-
-
-def _distinct(tokens: Tokens, learned: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct n-grams, training count of each, place of each token's n-gram)."""
-    keys = tokens.words if order == 1 else tokens.bigrams
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place[np.repeat(learned, tokens.sizes)], minlength=len(distinct)), place
+def pieces(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about ``size`` bytes."""
+    at = 0
+    while len(raw) - at > size:
+        cut = _SPACE.search(raw, at + size)
+        if cut is None:
+            break
+        yield raw[at : cut.start()]
+        at = cut.start()
+    yield raw[at:] if at else raw
+
+
+def tokens(raw: bytes, size: int = PIECE_BYTES, order: int = ORDER) -> Iterator[np.ndarray]:
+    """Hashes of a text's tokens, the end token included, piece by piece. Each piece begins
+    with the order - 1 tokens before it."""
+    before = np.array([PAD] * (order - 2) + [START], np.uint64)
+    held = None
+    for part in pieces(raw, size):
+        if held is not None:
+            yield held
+            before = held[len(held) - (order - 1) :]
+        # bytes: only A-Z are lowered, only ASCII white space splits
+        held = np.concatenate([before, _hash_words(part.lower().split())])
+    yield np.append(held, np.uint64(END))
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -105,119 +115,180 @@ def unpack_numbers(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences: few bytes each."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = gaps.view(np.uint8).reshape(-1, 8).T
-    return pack_numbers(planes)
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = unpack_numbers(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts as byte planes: most need one byte."""
-    return pack_numbers(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    """Whole numbers as byte planes, without the planes that are empty."""
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = int(x.max()).bit_length() // 8 + 1 if len(x) else 1
+    return bytes([min(width, 8)]) + pack_numbers(planes[: min(width, 8)])
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unpack_numbers(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+    planes = unpack_numbers(data[1:], np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents packed into blocks: block, doc_ids, learned, sizes and texts."""
-    from pyspark import TaskContext
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as byte planes of their differences: few bytes each."""
+    return pack_counts(np.diff(keys, prepend=np.uint64(0)))
 
-    base, n = TaskContext.get().partitionId() << 32, 0
-    ids: list = []
-    learned: list[bool] = []
-    texts: list[bytes] = []
-    size = 0
 
-    def close() -> pa.RecordBatch:
-        nonlocal n, size
-        row = {
-            "block": pa.array([base + n], pa.int64()),
-            "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-            "learned": pa.array([learned], pa.list_(pa.bool_())),
-            "sizes": pa.array([list(map(len, texts))], pa.list_(pa.int64())),
-            "texts": pa.array([pack_numbers(np.frombuffer(b"".join(texts), np.uint8))], pa.binary()),
-        }
-        n, size = n + 1, 0
-        ids.clear(), learned.clear(), texts.clear()
-        return pa.RecordBatch.from_pydict(row)
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_counts(data).astype(np.uint64), dtype=np.uint64)
 
-    for batch in batches:
-        for doc_id, ok, text in zip(batch.column("doc_id").to_pylist(), batch.column("learned").to_pylist(), batch.column("text")):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if texts and size + len(raw) > BLOCK_BYTES:
-                yield close()
-            ids.append(doc_id), learned.append(ok), texts.append(raw)
-            size += len(raw)
-    if texts:
-        yield close()
 
+_BLOCK = "block long, rows array<long>, doc_ids array<long>, learned array<boolean>, sizes array<long>, vocabulary binary, tokens binary"
 
-def _unpack_block(row: dict) -> tuple[Tokens, np.ndarray]:
-    raw, ends = unpack_numbers(row["texts"], np.uint8).tobytes(), np.cumsum(row["sizes"])
-    return Tokens([raw[e - s : e] for s, e in zip(row["sizes"], ends)]), np.array(row["learned"], bool)
 
+def _blocks(order: int, block_bytes: int, piece_bytes: int):
+    """Pieces of documents packed into blocks; pieces of one document have its row number.
+    Tokens are places in the block's sorted vocabulary of word hashes."""
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where the sorted keys cross from one range of hashes to the next."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    return np.searchsorted(keys, edges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
+        ids: list = []
+        learned: list[bool] = []
+        held: list[np.ndarray] = []
+        number = size = 0
+        base = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            vocabulary, places = np.unique(np.concatenate(held), return_inverse=True)
+            out = {
+                "block": pa.array([base + number], pa.int64()),
+                "rows": pa.array([rows], pa.list_(pa.int64())),
+                "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+                "learned": pa.array([learned], pa.list_(pa.bool_())),
+                "sizes": pa.array([list(map(len, held))], pa.list_(pa.int64())),
+                "vocabulary": pa.array([pack_keys(vocabulary)], pa.binary()),
+                "tokens": pa.array([pack_counts(places.reshape(-1))], pa.binary()),
+            }
+            number, size = number + 1, 0
+            rows.clear(), ids.clear(), learned.clear(), held.clear()
+            return pa.RecordBatch.from_pydict(out)
 
+        for batch in batches:
+            for row, doc_id, ok, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "learned")), batch.column("text")):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                # a partition's row numbers are its own: so are its block numbers
+                base = row >> 33 << 33
+                for part in tokens(raw, piece_bytes, order):
+                    n = min(len(raw), piece_bytes) + 16
+                    if held and size + n > block_bytes:
+                        yield close()
+                    rows.append(row), ids.append(doc_id), learned.append(ok), held.append(part)
+                    size += n
+        if held:
+            yield close()
 
-def _ask(ranges: tuple[int, int]):
-    """What a block asks for: (order, range, block, keys, counts)."""
+    return run
+
+
+class Block:
+    """The tokens of a block's pieces, and its n-grams of each order."""
+
+    def __init__(self, row: dict, order: int):
+        self.order = order
+        self.vocabulary = unpack_keys(row["vocabulary"])
+        self.tokens = unpack_counts(row["tokens"]).astype(np.int32)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.learned = np.array(row["learned"], bool)
+        place = np.arange(len(self.tokens)) - np.repeat(self.firsts, self.sizes)
+        words = self.vocabulary[self.tokens]
+        pads = np.add.reduceat((words == np.uint64(PAD)).astype(np.int64), self.firsts) if len(words) else self.sizes
+        start = (words == np.uint64(START)) & (place == order - 2)
+        self.scored = place >= order - 1  # the tokens before a piece are scored elsewhere
+        # what is counted here: scored tokens, and the start of documents as a state's word
+        self.counted = (self.scored | start) & np.repeat(self.learned, self.sizes)
+        self.depth = place + 1 - np.repeat(pads, self.sizes)  # tokens from the document's start on, up to this one
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the n-gram that ends at each token, whether it lies inside the piece)."""
+        words = self.vocabulary[self.tokens]
+        keys = words.copy()
+        for k in range(1, n):
+            before = np.zeros_like(words)
+            before[k:] = words[:-k]
+            keys = _mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+        return keys, self.depth >= n
+
+    def request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct n-grams, own training count of each, place of each token's
+        n-gram or -1)."""
+        if n == 1:
+            distinct, at, there = self.vocabulary, self.tokens, np.ones(len(self.tokens), bool)
+        else:
+            keys, there = self.grams(n)
+            distinct, some = np.unique(keys[there], return_inverse=True)
+            at = np.full(len(keys), -1, np.int64)
+            at[there] = some.reshape(-1)
+        counted = self.counted & there
+        if n > 1:
+            counted &= self.scored
+        return distinct, np.bincount(at[counted], minlength=len(distinct)), at
+
+
+def _ask(n: int, order: int, bits: int):
+    """What a block asks for: (range, block, keys, counts) for each range it has n-grams of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens, learned = _unpack_block(row)
-                for order in (1, 2):
-                    keys, counts, _ = _distinct(tokens, learned, order)
-                    cuts = _cuts(keys, ranges[order - 1])
-                    parts = list(zip(np.split(keys, cuts), np.split(counts, cuts)))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, counts, _ = Block(row, order).request(n)
+                number = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+                for lo in range(0, len(cuts) - 1, 64):
+                    spans = list(zip(cuts[lo : lo + 64].tolist(), cuts[lo + 1 : lo + 65].tolist()))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "order": pa.array([order] * len(parts), pa.int32()),
-                            "range": pa.array(range(len(parts)), pa.int32()),
-                            "block": pa.array([row["block"]] * len(parts), pa.int64()),
-                            "keys": pa.array([pack_keys(k) for k, _ in parts], pa.binary()),
-                            "counts": pa.array([pack_counts(c) for _, c in parts], pa.binary()),
+                            "range": pa.array([int(number[a]) for a, _ in spans], pa.int64()),
+                            "block": pa.array([row["block"]] * len(spans), pa.int64()),
+                            "keys": pa.array([pack_keys(keys[a:b]) for a, b in spans], pa.binary()),
+                            "counts": pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
                         }
                     )
 
     return run
 
 
-def _answer(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ANSWER = "n int, `range` long, block long, counts binary, tokens long, distinct_words long, once long, twice long"
+
+
+def _answer(n: int):
     """All requests of one range: the sums over the blocks, in each request's order. The
-    row of block -1 has figures of the range: tokens, distinct, seen once, seen twice."""
-    order, number = (k.as_py() for k in key)
-    blocks, keys, counts = [], [], []
-    for batch in frames:
-        for row in batch.select(["block", "keys", "counts"]).to_pylist():
-            blocks.append(row["block"])
-            keys.append(unpack_keys(row["keys"]))
-            counts.append(unpack_counts(row["counts"]))
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)  # exact below 2**53
-    cuts = np.cumsum(list(map(len, keys)))[:-1]
-    answers = [pack_counts(total[p]) for p in np.split(place, cuts)]
-    figures = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-    yield pa.RecordBatch.from_pydict(
-        {
-            "order": pa.array([order] * (len(blocks) + 1), pa.int32()),
-            "range": pa.array([number] * (len(blocks) + 1), pa.int32()),
-            "block": pa.array([*blocks, -1], pa.int64()),
-            "counts": pa.array([*answers, pack_counts(np.array(figures))], pa.binary()),
-        }
-    )
+    first row also has the range's figures: tokens, distinct words, seen once, seen twice."""
+
+    def run(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = key[0].as_py()
+        blocks, keys, counts = [], [], []
+        for batch in frames:
+            for row in batch.select(["block", "keys", "counts"]).to_pylist():
+                blocks.append(row["block"])
+                keys.append(unpack_keys(row["keys"]))
+                counts.append(unpack_counts(row["counts"]))
+        cuts = np.concatenate([[0], np.cumsum(list(map(len, keys)))])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys.clear()
+        total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)  # exact below 2**53
+        own = total if n > 1 else total[(distinct != np.uint64(START)) & (distinct != np.uint64(PAD))]
+        figures = [int(own.sum()), int((own > 0).sum()), int((own == 1).sum()), int((own == 2).sum())]
+        for at in range(0, len(blocks), 256):
+            some = range(at, min(at + 256, len(blocks)))
+            out = {
+                "n": pa.array([n] * len(some), pa.int32()),
+                "range": pa.array([number] * len(some), pa.int64()),
+                "block": pa.array([blocks[i] for i in some], pa.int64()),
+                "counts": pa.array([pack_counts(total[place[cuts[i] : cuts[i + 1]]]) for i in some], pa.binary()),
+            }
+            for name, value in zip(("tokens", "distinct_words", "once", "twice"), figures):
+                out[name] = pa.array([value if i == 0 else 0 for i in some], pa.int64())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 class Root:
@@ -236,82 +307,204 @@ class Root:
         return np.where(c > 0, (c - self.discount) / self.n, self.discount * self.v / self.n)
 
 
-def arcs(root: Root, word: np.ndarray, state: np.ndarray, both: np.ndarray, m: float = M) -> np.ndarray:
-    """log10 weights along the traversal: word = c(w), state = c(h), both = c(h, w)."""
-    p = root.p(word)
-    fail = np.log10(m / (state + m)) + np.log10(p)
-    return np.where(both > 0, np.log10((both + m * p) / (state + m)), fail)
-
-
-def _score(root: Root, m: float):
+class Automaton:
+    """States with failure arcs and weighted arcs.
+
+    ``grams[n]`` has (words, counts) of n-grams: an (k, n) array of word numbers and their
+    training counts; ``counts`` are those of the single words (the start's included).
+    State 0 is the root. A state is an n-gram that was seen, as a history. Arcs other than
+    the root's are sorted by state * words + word.
+    """
+
+    def __init__(self, root: Root, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], m: tuple[float, ...]):
+        self.words = words = len(counts)
+        p = root.p(counts)
+        self.root_weight = np.log10(p)
+        seen = counts > 0
+        # by order: the number of each n-gram's state, 0 where there is none
+        state_of = np.where(seen, np.cumsum(seen), 0)
+        self.root_target = state_of
+        fail, history = [np.zeros(1, np.int64), np.zeros(int(seen.sum()), np.int64)], [np.zeros(1), counts[seen].astype(float)]
+        n_states = 1 + int(seen.sum())
+        orders = [np.zeros(1, np.int64), np.ones(n_states - 1, np.int64)]
+        keys, weights, targets = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        last = max(grams, default=1)
+        lower = p  # P(w | history) of the arcs of the order below, by their place
+        lower_key = None
+        for n in range(2, last + 1):
+            gram, count = grams[n]
+            keep = count > 0
+            gram, count = gram[keep], count[keep]
+            source = self._walk(state_of, gram[:, 0], keys, targets, gram[:, 1:-1])
+            key = source * words + gram[:, -1]
+            order = np.argsort(key)
+            key, gram, count, source = key[order], gram[order], count[order], source[order]
+            # the same word after the history without its first word
+            if n == 2:
+                below, suffix = p[gram[:, -1]], state_of[gram[:, -1]]
+            else:
+                shorter = self._walk(state_of, gram[:, 1], keys, targets, gram[:, 2:-1]) * words + gram[:, -1]
+                at = np.searchsorted(lower_key, shorter)
+                below, suffix = lower[at], lower_target[at]
+            held = np.concatenate(history)[source]
+            prob = (count + m[n - 2] * below) / (held + m[n - 2])
+            if n < last:
+                target = n_states + np.arange(len(key))
+                fail.append(suffix)
+                history.append(count.astype(float))
+                orders.append(np.full(len(key), n, np.int64))
+                n_states += len(key)
+            else:
+                target = suffix  # the longest history that is a state
+            lower, lower_key, lower_target = prob, key, target
+            keys, weights, targets = np.concatenate([keys, key]), np.concatenate([weights, np.log10(prob)]), np.concatenate([targets, target])
+        # the states of an order are numbered after those of the order below, so the keys ascend
+        self.keys, self.weights, self.targets = keys, weights, targets
+        self.fail = np.concatenate(fail)
+        self.orders = np.concatenate(orders)
+        weight = np.array([1.0, *m, *[m[-1]] * len(grams)])[self.orders]
+        total = np.concatenate(history)
+        self.fail_weight = np.log10(weight / (total + weight))
+
+    def _walk(self, state_of: np.ndarray, first: np.ndarray, keys: np.ndarray, targets: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """States of histories: the first word's, then along the arcs of the other words."""
+        state = state_of[first]
+        for k in range(rest.shape[1]):
+            state = targets[np.searchsorted(keys, state * self.words + rest[:, k])]
+        return state
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 weight) from each state on each word, by failure arcs as needed."""
+        weight, target = np.zeros(len(state)), np.empty(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            at_root = state[todo] == 0
+            if at_root.any():
+                done = todo[at_root]
+                weight[done] += self.root_weight[word[done]]
+                target[done] = self.root_target[word[done]]
+                todo = todo[~at_root]
+            if not len(todo):
+                break
+            want = state[todo] * self.words + word[todo]
+            at = np.searchsorted(self.keys, want)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == want if len(self.keys) else np.zeros(len(todo), bool)
+            done, at = todo[hit], at[hit]
+            weight[done] += self.weights[at]
+            target[done] = self.targets[at]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state = state.copy()
+            state[todo] = self.fail[state[todo]]
+        return target, weight
+
+    def traverse(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, skip: int, start: np.ndarray) -> np.ndarray:
+        """Sum of the weights over each sequence from its token ``skip`` on; all sequences
+        are traversed side by side, each with its own state."""
+        by_size = np.argsort(-sizes, kind="stable")
+        firsts, sizes, state = firsts[by_size], sizes[by_size], start[by_size]
+        total = np.zeros(len(sizes))
+        active = len(sizes)
+        for t in range(skip, int(sizes[0]) if len(sizes) else 0):
+            while active and sizes[active - 1] <= t:
+                active -= 1
+            state, weight = self.step(state[:active], tokens[firsts[:active] + t])
+            total[:active] += weight
+        out = np.empty(len(sizes))
+        out[by_size] = total
+        return out
+
+
+def block_automaton(block: Block, root: Root, counts: dict[int, np.ndarray], places: dict[int, np.ndarray], m: tuple[float, ...]) -> Automaton:
+    """The part of the automaton that a block's texts can reach. ``counts[n]`` are the
+    training counts of the block's n-grams, ``places[n]`` says which one ends at a token."""
+    grams = {}
+    for n in range(2, block.order + 1):
+        there = np.flatnonzero(places[n] >= 0)
+        where = np.empty(len(counts[n]), np.int64)
+        where[places[n][there]] = there  # some place of each n-gram
+        where = where[counts[n] > 0]
+        grams[n] = (np.stack([block.tokens[where - k] for k in range(n - 1, -1, -1)], 1), counts[n][counts[n] > 0])
+    return Automaton(root, counts[1], grams, m)
+
+
+def _score(root: Root, order: int, m: tuple[float, ...]):
     def run(key: tuple, frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers = None, {1: [], 2: []}
+        row, answers = None, {n: [] for n in range(1, order + 1)}
         for batch in frames:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    block = row
+            for x in batch.to_pylist():
+                if x["n"] == 0:
+                    row = x
                 else:
-                    answers[row["kind"]].append((row["range"], unpack_counts(row["counts"])))
-        tokens, learned = _unpack_block(block)
-        counts = {}
-        for order in (1, 2):
-            keys, _, place = _distinct(tokens, learned, order)
-            got = [c for _, c in sorted(answers[order], key=lambda x: x[0])]
-            counts[order] = np.concatenate([*got, np.empty(0, np.int64)])
-            if len(counts[order]) != len(keys):
+                    answers[x["n"]].append((x["range"], x["counts"]))
+        block, counts, places = Block(row, order), {}, {}
+        for n, got in answers.items():
+            distinct, _, places[n] = block.request(n)
+            got.sort()
+            counts[n] = np.concatenate([np.empty(0, np.int64), *(unpack_counts(c) for _, c in got)])
+            if len(counts[n]) != len(distinct):
                 raise RuntimeError("a block's request was not answered in full")
-            if order == 1:
-                distinct = keys
-            counts[order] = counts[order][place]
-        word, both = counts[1], counts[2]
-        # the state's count: that of the word before; of the start, the number of documents,
-        # which is the count of the end token
-        state = np.empty_like(word)
-        state[1:] = word[:-1]
-        end = np.searchsorted(distinct, np.uint64(END))
-        state[tokens.firsts] = word[np.flatnonzero(tokens.words == distinct[end])[0]] if len(word) else 0
-        add = lambda x: np.add.reduceat(x, tokens.firsts)
-        n = len(tokens.sizes)
+        automaton = block_automaton(block, root, counts, places, m)
+        # the state that a piece begins in: that to which the tokens before it lead
+        state = np.zeros(len(block.sizes), np.int64)
+        for k in range(order - 1):
+            state, _ = automaton.step(state, block.tokens[block.firsts + k])
+        score = automaton.traverse(block.tokens, block.firsts, block.sizes, order - 1, state)
+        c = np.where(block.scored, counts[1][block.tokens], 0)
+        base = np.where(block.scored, root.base(c), 0.0)
+        add = lambda x: np.add.reduceat(x, block.firsts)
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": pa.array(block["doc_ids"], pa.int64()),
-                "held_out": pa.array(~learned),
-                "n_tokens": pa.array(tokens.sizes),
-                "n_known": pa.array(add((word > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(n, root.n, np.int64)),
-                "base_score": pa.array(add(root.base(word))),
-                "score": pa.array(add(arcs(root, word, state, both, m))),
+                "row": pa.array(row["rows"], pa.int64()),
+                "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                "held_out": pa.array(~block.learned),
+                "n_tokens": pa.array(block.sizes - (order - 1)),
+                "n_known": pa.array(add((c > 0).astype(np.int64))),
+                "base_score": pa.array(add(base)),
+                "score": pa.array(score),
             }
         )
 
     return run
 
 
-def score(docs: DataFrame, m: float = M) -> DataFrame:
+def _range_bits(grams: int, range_keys: int) -> int:
+    """Ranges in proportion to the corpus."""
+    return max(0, grams // range_keys).bit_length()
+
+
+def score(
+    docs: DataFrame, m: tuple[float, ...] = M, order: int = ORDER, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, range_keys: int = RANGE_KEYS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     ship(docs.sparkSession)
-    spark = docs.sparkSession
     learned = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF != 0, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long"), learned.alias("learned"), F.col("text").cast("string"))
-    blocks = materialize(rows.mapInArrow(_blocks, "block long, doc_ids array<long>, learned array<boolean>, sizes array<long>, texts binary"), "lm-blocks")
-    # ranges in proportion to the corpus, so that what one of them receives stays bounded:
-    # a token makes at most one n-gram of each order, and the blocks have a bounded size
-    n_bytes = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    ranges = tuple(max(1, int(n_bytes * share) // RANGE_KEYS) for share in (0.04, 0.16))
-    asked = blocks.select("block", "sizes", "learned", "texts").mapInArrow(_ask(ranges), "order int, `range` int, block long, keys binary, counts binary")
-    answers = materialize(
-        asked.groupBy("order", "range").applyInArrow(_answer, "order int, `range` int, block long, counts binary"), "lm-answers"
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), learned.alias("learned"), F.col("text").cast("string")
     )
-    figures = [0] * 4
-    for r in answers.where("block = -1 and order = 1").select("counts").collect():  # one small row a range
-        figures = [a + int(b) for a, b in zip(figures, unpack_counts(r.counts))]
-    parts = blocks.selectExpr("block", "0 as kind", "0 as `range`", "doc_ids", "learned", "sizes", "texts", "cast(null as binary) as counts").union(
-        answers.where("block >= 0").selectExpr(
-            "block", "order as kind", "`range`", "cast(null as array<long>)", "cast(null as array<boolean>)", "cast(null as array<long>)", "cast(null as binary)", "counts"
-        )
+    blocks = materialize(rows.mapInArrow(_blocks(order, block_bytes, piece_bytes), _BLOCK), "lm-blocks")
+    # a token makes at most one n-gram of an order, and the words of a block repeat
+    n_tokens = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    figures, answers = None, None
+    for n in range(1, order + 1):
+        bits = _range_bits(n_tokens // 4 if n == 1 else n_tokens, range_keys)
+        asked = blocks.mapInArrow(_ask(n, order, bits), "`range` long, block long, keys binary, counts binary")
+        got = materialize(asked.groupBy("range").applyInArrow(_answer(n), _ANSWER), f"lm-answers-{n}")
+        if n == 1:
+            figures = got.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct_words", "once", "twice"))).first()
+        part = got.select("block", "n", "range", "counts")
+        answers = part if answers is None else answers.union(part)
+    own = [c for c in blocks.columns if c != "block"]
+    parts = blocks.withColumns({"n": F.lit(0), "range": F.lit(0).cast("long"), "counts": F.lit(None).cast("binary")}).unionByName(answers, allowMissingColumns=True)
+    root = Root(*map(int, figures))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = parts.select("block", "n", "range", "counts", *own).groupBy("block").applyInArrow(_score(root, order, m), schema)
+    # a document of several pieces is put together
+    whole = scored.groupBy("row").agg(
+        *(F.first(c).alias(c) for c in ("doc_id", "held_out")), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
     )
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("block").applyInArrow(_score(Root(*figures), m), schema)
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -10,28 +10,35 @@ from tessera.llm import language_id, lm_score, quality_classifier
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_scores(docs):
-    """Scores by dictionaries, for rows (doc_id, text)."""
+def plain_scores(docs, m=lm_score.M):
+    """Trigram scores by dictionaries, for rows (doc_id, text)."""
     toks = lambda t: [*WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), None]
     held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in docs]
-    one, two = Counter(), Counter()
+    one, seen = Counter(), Counter()
     for (_, t), h in zip(docs, held):
         if not h:
-            w = toks(t)
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w))
+            w = ["<s>", *toks(t)]
+            one.update(w[1:])
+            for k in (2, 3):
+                seen.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+            seen["<s>",] += 1
+            seen.update((x,) for x in w[1:])
     n, v = sum(one.values()), len(one)
     times = Counter(one.values())
     d = min(0.9, max(0.1, times[1] / (times[1] + 2 * times[2]))) if times[1] else 0.5
+
+    def p(w, *h):
+        if not h:
+            return 1.0 if not n else (one[w] - d) / n if one[w] else d * v / n
+        weight = m[len(h) - 1]
+        return (seen[*h, w] + weight * p(w, *h[1:])) / (seen[h] + weight) if seen[h] else p(w, *h[1:])
+
     out = []
     for (i, t), h in zip(docs, held):
         w = toks(t)
         base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        score = 0.0
-        for a, b in zip(["<s>", *w[:-1]], w):
-            p = (one[b] - d) / n if one[b] else d * v / n
-            c = one[None] if a == "<s>" else one[a]
-            score += math.log10((two[a, b] + lm_score.M * p) / (c + lm_score.M)) if two[a, b] else math.log10(lm_score.M / (c + lm_score.M)) + math.log10(p)
+        path = ["<s>", *w]
+        score = sum(math.log10(p(path[k], *path[max(0, k - 2) : k])) for k in range(1, len(path)))
         out.append((str(i), h, len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
@@ -46,24 +53,68 @@ def close(a, b):
         assert x[:5] == y[:5] and all(math.isclose(p, q, rel_tol=1e-9, abs_tol=2e-6) for p, q in zip(x[5:], y[5:])), (x, y)
 
 
-def test_scores_equal_the_plain_version(spark, sf, odd_docs, no_docs, monkeypatch):
+def test_scores_equal_the_plain_version(spark, sf, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    close(got_scores(lm_score.op5_lm_scoring(spark, sf).collect()), plain_scores([(r.doc_id, r.text) for r in docs.collect()]))
-    # many small blocks and ranges
-    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(lm_score, "RANGE_KEYS", 1_000)
-    close(got_scores(lm_score.score(docs.repartition(3)).collect()), plain_scores([(r.doc_id, r.text) for r in docs.collect()]))
-    close(got_scores(lm_score.score(odd_docs).collect()), plain_scores([(r.doc_id, r.text) for r in odd_docs.collect()]))
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()])
+    close(got_scores(lm_score.op5_lm_scoring(spark, sf).collect()), want)
+    # many small blocks and ranges, and documents in many pieces
+    close(got_scores(lm_score.score(docs.repartition(3), block_bytes=20_000, piece_bytes=1_500, range_keys=1_000).collect()), want)
+    odd = plain_scores([(r.doc_id, r.text) for r in odd_docs.collect()])
+    close(got_scores(lm_score.score(odd_docs).collect()), odd)
+    close(got_scores(lm_score.score(odd_docs, block_bytes=300, piece_bytes=7, range_keys=3).collect()), odd)
     assert lm_score.score(no_docs).collect() == []
 
 
+def test_nothing_to_learn_from(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    (row,) = lm_score.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.score) == (True, 3, 0, 0, 0.0)
+
+
+def test_pieces_and_packed_numbers():
+    raw = "one two  three\nfour\u2003five six".encode()
+    for size in (1, 4, 9, 100):
+        assert [w for x in lm_score.pieces(raw, size) for w in x.split()] == raw.split()
+        parts = list(lm_score.tokens(raw, size))
+        assert np.concatenate([x[2:] for x in parts]).tolist() == list(lm_score.tokens(raw, 100))[0][2:].tolist()
+        assert all(b[:2].tolist() == a[-2:].tolist() for a, b in zip(parts, parts[1:]))
+    for x in ([], [0], [5, 255, 256, 0], [2**40, 1]):
+        assert lm_score.unpack_counts(lm_score.pack_counts(np.array(x, np.int64))).tolist() == x
+    keys = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    assert lm_score.unpack_keys(lm_score.pack_keys(keys)).tolist() == keys.tolist()
+
+
 def test_each_state_is_a_distribution():
+    """Words 0..3 are known, 4 stands for any unknown one, 5 is the start."""
+    root = lm_score.Root(tokens=10, distinct=4, once=2, twice=1)
+    counts = np.array([5, 3, 1, 1, 0, 2])
+    grams = {2: (np.array([[5, 0], [0, 1], [1, 0], [0, 2]]), np.array([2, 3, 2, 1])), 3: (np.array([[5, 0, 1], [0, 1, 0]]), np.array([2, 2]))}
+    auto = lm_score.Automaton(root, counts, grams, (5.0, 2.0))
+    assert len(auto.fail) == 1 + 5 + 4 and (auto.orders[auto.fail[1:]] == auto.orders[1:] - 1).all()
+    for state in range(len(auto.fail)):
+        target, weight = auto.step(np.full(5, state), np.arange(5))
+        # the end of a text has no next word: words whose histories go on less often leave mass
+        assert (10**weight).sum() <= 1 + 1e-9
+        assert (auto.orders[target] <= np.minimum(auto.orders[state] + 1, 2)).all()
+    _, weight = auto.step(np.zeros(5, np.int64), np.arange(5))
+    assert math.isclose((10**weight).sum(), 1)
+
+
+def test_traversal_carries_the_state():
     root = lm_score.Root(tokens=10, distinct=4, once=2, twice=1)
-    counts = np.array([5, 3, 1, 1, 0])  # the last: any unknown word
-    assert math.isclose(root.p(counts).sum(), 1)
-    both = np.array([2, 1, 0, 0, 0])
-    total = 10 ** lm_score.arcs(root, counts, np.full(5, 3), both)
-    assert math.isclose(total.sum(), 1)
+    counts = np.array([5, 3, 1, 1, 0, 2])
+    grams = {2: (np.array([[5, 0], [0, 1], [1, 0], [0, 2]]), np.array([2, 3, 2, 1])), 3: (np.array([[5, 0, 1], [0, 1, 0]]), np.array([2, 2]))}
+    auto = lm_score.Automaton(root, counts, grams, (5.0, 2.0))
+    texts = [[5, 0, 1, 0, 2, 4, 1], [5, 0], [5], [5, 4, 0, 1, 0]]
+    tokens, sizes = np.concatenate(texts), np.array(list(map(len, texts)))
+    start = np.full(4, auto.root_target[5])
+    got = auto.traverse(tokens, np.cumsum(sizes) - sizes, sizes, 1, start)
+    for text, total in zip(texts, got):
+        state, want = np.array([auto.root_target[5]]), 0.0
+        for word in text[1:]:
+            state, weight = auto.step(state, np.array([word]))
+            want += weight[0]
+        assert math.isclose(total, want)
 
 
 def test_language_of_held_out_documents(spark, odd_docs, no_docs):
