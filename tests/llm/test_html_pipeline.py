@@ -1,3 +1,7 @@
+import html as entities
+import re
+import time
+
 import pytest
 
 from tessera.llm import html_extract as h
@@ -99,6 +103,60 @@ def test_table(spark, sf):
     assert h.extract(odd.limit(0)).collect() == []
 
 
+def direct_reading(page):
+    """The article element of a generated page, read by patterns."""
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|h2|h3|ul|li|div|blockquote)\b[^>]*>", body)
+    texts = [entities.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", re.sub("<!--.*?-->", "", x, flags=re.S))) for x in parts]
+    return "\n\n".join(" ".join(x.split()) for x in texts if x.split())
+
+
+def test_all_pages_equal_a_direct_reading(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in h.op4_html_extraction(spark, sf).collect():
+        assert r.text == direct_reading(pages[r.page_id]), r.page_id
+
+
+def test_pages_without_article_elements(spark):
+    """The generated pages with the article in a plain container, and plain lists of links
+    around it that no tag and no name marks: the ratios tell them apart."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    links = "<div>" + "".join(f"<div><a href=/{i}>{w}</a></div>" for i, w in enumerate("News Sport World Money More Video Shop Help".split())) + "</div>"
+    same = plain = changed = 0
+    for page in pages:
+        want = direct_reading(page)
+        if len(want) < 1000:
+            continue
+        plain += 1
+        page = page.replace("<article>", f"{links}<div class=x>").replace("</article>", f"</div>{links}")
+        same += h.extract_text(page) == want
+        h_ratios, h.ratios = h.ratios, lambda lines, sigma=1.0: [1.0] * len(lines)
+        try:
+            changed += h.extract_text(page) != want
+        finally:
+            h.ratios = h_ratios
+    assert plain > 100 and same >= 0.99 * plain and changed == plain
+
+
+def test_decoy_names_do_not_decide():
+    story, promo = _paragraphs(6), "<div><p>buy our stuff now</p></div>"
+    for name in ("post-tags-x", "share", "alert", "with-sidebar", "ad-free"):
+        got = h.blocks(f'<body><div class="{name}"><h1>Head</h1>{story}</div>{promo}</body>')
+        assert got[:7] == ["Head", *h.blocks(f"<article>{story}</article>")], name
+    for name in ("alert", "share", "tags", "note search"):
+        assert h.blocks(f'<article><p>The text.</p><p class="{name}">An important paragraph.</p></article>') == ["The text.", "An important paragraph."]
+    assert h.blocks('<article><p>The text.</p><div class="ad">Buy</div><p class="ad-slot">Buy</p><div class="cookie-notice"><p>Cookies</p></div></article>') == ["The text."]
+    assert h.blocks("<article><p>Let <math><mi>x</mi></math> be.</p></article>") == ["Let x be."]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50_000, "<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" + "<div>x" * 25_000 + "</b>" * 25_000, "<span>" * 25_000 + "<div>x</div>" * 25_000])
+def test_time_is_linear_in_nesting(page):
+    began = time.perf_counter()
+    assert h.extract_text(page).count("x") == page.count("x")
+    assert time.perf_counter() - began < 10
+
+
 def test_pipeline(spark, odd_docs):
     import corpus_pipeline
 
