@@ -15,8 +15,8 @@ is taken; otherwise the failure arc's weight is paid and its target is asked.
 so each state is a distribution. All counts are exact and cover all training documents.
 
 Neither the words nor the n-grams of a corpus fit into one task, and they are not broadcast.
-Documents are packed into blocks of bounded size (a long document is cut into pieces, each
-with the words before it, from which the traversal goes on). A block needs the part of the
+Documents are packed into blocks of bounded size; a long document is cut into pieces, each
+with the words before it, which give the state that the traversal goes on from. A block needs the part of the
 automaton that its own texts can reach. For each order it sends its distinct n-grams, as
 sorted 64-bit hashes, delta-coded, with its own training counts, to the tasks that hold
 their range of hashes. A range adds up what the blocks sent and answers every block in the
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,30 +46,18 @@ from pyspark.sql import functions as F
 from tessera.session import materialize, ship
 
 ORDER = 3
-BLOCK_BYTES = 6 << 20  # of text in a block, about
-PIECE_BYTES = 4 << 20  # of text in a piece of a document, about
+BLOCK_CHARS = 6 << 20  # of text in a block, about
+PIECE_CHARS = 16 << 10  # of text in a piece of a document, about
+CHUNK_CHARS = 1 << 20  # of text that is hashed at once, about
 RANGE_KEYS = 1 << 20  # n-grams that a range receives, about
 M = (50.0, 50.0)  # weight of the next lower order, in states of one and of two words
 HELD_OUT_OF = 10
+HASH_SEED = 41
 END = 0x9AE16A3B2F90404F  # hash of the end token
 START = 0xC3A5C85C97CB3127  # hash of the state before the first token
 PAD = 0xB492B66FBE98F273  # what stands before it
 
-_WORDS: dict[bytes, int] = {}
-_SPACE = re.compile(rb"[ \t-\r]")
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
-    out = list(map(_WORDS.get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _WORDS[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(out, np.uint64)
+_SPACE = re.compile("[ \t-\r]")
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -77,30 +66,57 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(raw: bytes, size: int) -> Iterator[bytes]:
-    """A text cut at white space into pieces of about ``size`` bytes."""
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A text cut at white space into pieces of about ``size`` characters."""
     at = 0
-    while len(raw) - at > size:
-        cut = _SPACE.search(raw, at + size)
+    while len(text) - at > size:
+        cut = _SPACE.search(text, at + size)
         if cut is None:
             break
-        yield raw[at : cut.start()]
+        yield text[at : cut.start()]
         at = cut.start()
-    yield raw[at:] if at else raw
-
-
-def tokens(raw: bytes, size: int = PIECE_BYTES, order: int = ORDER) -> Iterator[np.ndarray]:
-    """Hashes of a text's tokens, the end token included, piece by piece. Each piece begins
-    with the order - 1 tokens before it."""
-    before = np.array([PAD] * (order - 2) + [START], np.uint64)
-    held = None
-    for part in pieces(raw, size):
-        if held is not None:
-            yield held
-            before = held[len(held) - (order - 1) :]
-        # bytes: only A-Z are lowered, only ASCII white space splits
-        held = np.concatenate([before, _hash_words(part.lower().split())])
-    yield np.append(held, np.uint64(END))
+    yield text[at:] if at else text
+
+
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each byte, A-Z as a-z; whether it is white space; powers of a base)."""
+    rng = np.random.default_rng(HASH_SEED)
+    number = rng.integers(0, 1 << 64, 256, np.uint64)
+    number[65:91] = number[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    base = rng.integers(0, 1 << 64, 1, np.uint64) | np.uint64(1)
+    return number, space, np.cumprod(np.concatenate([base[:0], np.repeat(base, 1 << 12)]), dtype=np.uint64)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of all texts, words of each text). Only A-Z are lowered,
+    only ASCII white space splits. A word's hash is a mixed polynomial of random numbers of
+    its bytes; all words are hashed at once."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    number, space, powers = _letters()
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    inside = ~space[data]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    bounds = np.cumsum([len(x) + 1 for x in raw])
+    sizes = np.diff(np.searchsorted(starts, bounds), prepend=0)
+    if not len(starts):
+        return np.empty(0, np.uint64), sizes
+    length = ends - starts
+    while len(powers) < length.max():
+        powers = np.concatenate([powers, powers * powers[-1]])
+    at = np.cumsum(length) - length
+    values = number[data[inside]] * powers[np.arange(int(length.sum())) - np.repeat(at, length)]
+    return _mix64(np.add.reduceat(values, at) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sizes
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, times of each)."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -141,47 +157,82 @@ def unpack_keys(data: bytes) -> np.ndarray:
 _BLOCK = "block long, rows array<long>, doc_ids array<long>, learned array<boolean>, sizes array<long>, vocabulary binary, tokens binary"
 
 
-def _blocks(order: int, block_bytes: int, piece_bytes: int):
+class _Chunk:
+    """Pieces of documents whose words have been hashed: for each piece the row number, the
+    doc_id, whether it is learned from, and whether its document begins with it."""
+
+    def __init__(self, pieces: list[tuple], texts: list[str]):
+        self.rows, self.ids, self.learned, self.begins, last = zip(*pieces)
+        words, sizes = words_of(texts)
+        # the end token is put behind the last word of each document
+        self.tokens = np.insert(words, np.cumsum(sizes)[np.array(last)], np.uint64(END))
+        self.sizes = sizes + np.array(last)
+
+
+def _pack_block(number: int, chunks: list[_Chunk], order: int, before: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A block of whole chunks, each piece with the order - 1 tokens before it, and the last
+    tokens, for a piece that goes on in the next block."""
+    context = order - 1
+    words = np.concatenate([c.tokens for c in chunks])
+    join = lambda name: [x for c in chunks for x in getattr(c, name)]
+    sizes = np.array(join("sizes"), np.int64)
+    # documents begin after pads and the start; other pieces after the tokens before them
+    head = np.array([PAD] * (context - 1) + [START], np.uint64)
+    parts, at = [], 0
+    for n, fresh in zip(sizes.tolist(), join("begins")):
+        lead = head if fresh else before
+        parts += [lead, words[at : at + n]]
+        at += n
+        before = words[at - context : at] if n >= context else np.concatenate([lead, words[at - n : at]])[n:]
+    words = np.concatenate(parts)
+    order_of = np.argsort(words)
+    new = np.concatenate([[True], np.diff(words[order_of]) != 0])
+    tokens = np.empty(len(words), np.int64)
+    tokens[order_of] = np.cumsum(new) - 1
+    row = {
+        "block": pa.array([number], pa.int64()),
+        "rows": pa.array([join("rows")], pa.list_(pa.int64())),
+        "doc_ids": pa.array([join("ids")], pa.list_(pa.int64())),
+        "learned": pa.array([join("learned")], pa.list_(pa.bool_())),
+        "sizes": pa.array([sizes + context], pa.list_(pa.int64())),
+        "vocabulary": pa.array([pack_keys(words[order_of[new]])], pa.binary()),
+        "tokens": pa.array([pack_counts(tokens)], pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(row), before
+
+
+def _blocks(order: int, block_chars: int, piece_chars: int):
     """Pieces of documents packed into blocks; pieces of one document have its row number.
     Tokens are places in the block's sorted vocabulary of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[int] = []
-        ids: list = []
-        learned: list[bool] = []
-        held: list[np.ndarray] = []
-        number = size = 0
-        base = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal number, size
-            vocabulary, places = np.unique(np.concatenate(held), return_inverse=True)
-            out = {
-                "block": pa.array([base + number], pa.int64()),
-                "rows": pa.array([rows], pa.list_(pa.int64())),
-                "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                "learned": pa.array([learned], pa.list_(pa.bool_())),
-                "sizes": pa.array([list(map(len, held))], pa.list_(pa.int64())),
-                "vocabulary": pa.array([pack_keys(vocabulary)], pa.binary()),
-                "tokens": pa.array([pack_counts(places.reshape(-1))], pa.binary()),
-            }
-            number, size = number + 1, 0
-            rows.clear(), ids.clear(), learned.clear(), held.clear()
-            return pa.RecordBatch.from_pydict(out)
-
+        chunks: list[_Chunk] = []
+        held: list[tuple] = []
+        texts: list[str] = []
+        number = size = waiting = 0
+        before = np.empty(0, np.uint64)
         for batch in batches:
-            for row, doc_id, ok, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "learned")), batch.column("text")):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for row, doc_id, ok, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "learned", "text"))):
                 # a partition's row numbers are its own: so are its block numbers
                 base = row >> 33 << 33
-                for part in tokens(raw, piece_bytes, order):
-                    n = min(len(raw), piece_bytes) + 16
-                    if held and size + n > block_bytes:
-                        yield close()
-                    rows.append(row), ids.append(doc_id), learned.append(ok), held.append(part)
-                    size += n
+                parts = list(pieces(text or "", piece_chars))
+                for k, part in enumerate(parts):
+                    if size + waiting and size + waiting + len(part) + 16 > block_chars:
+                        chunks.append(_Chunk(held, texts))
+                        out, before = _pack_block(base + number, chunks, order, before)
+                        yield out
+                        number, size, waiting = number + 1, 0, 0
+                        chunks, held, texts = [], [], []
+                    elif waiting > CHUNK_CHARS:
+                        chunks.append(_Chunk(held, texts))
+                        size, waiting = size + waiting, 0
+                        held, texts = [], []
+                    held.append((row, doc_id, ok, k == 0, k == len(parts) - 1))
+                    texts.append(part)
+                    waiting += len(part) + 16
         if held:
-            yield close()
+            chunks.append(_Chunk(held, texts))
+            yield _pack_block(base + number, chunks, order, before)[0]
 
     return run
 
@@ -192,43 +243,55 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.order = order
         self.vocabulary = unpack_keys(row["vocabulary"])
-        self.tokens = unpack_counts(row["tokens"]).astype(np.int32)
+        self.tokens = unpack_counts(row["tokens"])
+        self.words = self.vocabulary[self.tokens]
         self.sizes = np.array(row["sizes"], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.learned = np.array(row["learned"], bool)
         place = np.arange(len(self.tokens)) - np.repeat(self.firsts, self.sizes)
-        words = self.vocabulary[self.tokens]
-        pads = np.add.reduceat((words == np.uint64(PAD)).astype(np.int64), self.firsts) if len(words) else self.sizes
-        start = (words == np.uint64(START)) & (place == order - 2)
+        pads = np.add.reduceat((self.words == np.uint64(PAD)).astype(np.int64), self.firsts)
+        start = (self.words == np.uint64(START)) & (place == order - 2)
         self.scored = place >= order - 1  # the tokens before a piece are scored elsewhere
-        # what is counted here: scored tokens, and the start of documents as a state's word
-        self.counted = (self.scored | start) & np.repeat(self.learned, self.sizes)
         self.depth = place + 1 - np.repeat(pads, self.sizes)  # tokens from the document's start on, up to this one
+        # what is counted here: scored tokens, and the start of documents as a state's word
+        learned = np.repeat(self.learned, self.sizes)
+        self.counted = {n: (self.scored | start if n == 1 else self.scored & (self.depth >= n)) & learned for n in range(1, order + 1)}
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the n-gram that ends at each token, whether it lies inside the piece)."""
-        words = self.vocabulary[self.tokens]
-        keys = words.copy()
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the n-gram that ends at each token (to be used where depth >= n)."""
+        keys = self.words
         for k in range(1, n):
-            before = np.zeros_like(words)
-            before[k:] = words[:-k]
+            before = np.zeros_like(keys)
+            before[k:] = self.words[:-k]
             keys = _mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
-        return keys, self.depth >= n
+        return keys
 
-    def request(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct n-grams, own training count of each, place of each token's
-        n-gram or -1)."""
+    def request(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct n-grams, own training count of each)."""
         if n == 1:
-            distinct, at, there = self.vocabulary, self.tokens, np.ones(len(self.tokens), bool)
-        else:
-            keys, there = self.grams(n)
-            distinct, some = np.unique(keys[there], return_inverse=True)
-            at = np.full(len(keys), -1, np.int64)
-            at[there] = some.reshape(-1)
-        counted = self.counted & there
-        if n > 1:
-            counted &= self.scored
-        return distinct, np.bincount(at[counted], minlength=len(distinct)), at
+            return self.vocabulary, np.bincount(self.tokens[self.counted[1]], minlength=len(self.vocabulary))
+        keys = self.grams(n)
+        distinct, counts = runs(keys[self.counted[n]])
+        every, _ = runs(keys[self.depth >= n])
+        out = np.zeros(len(every), np.int64)
+        out[np.searchsorted(every, distinct)] = counts
+        return every, out
+
+    def places(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the n-gram that ends at each token, -1 where there is none; a token at
+        which each n-gram ends). Numbers are places in the request."""
+        at = np.flatnonzero(self.depth >= n)
+        if n == 1:
+            some = np.empty(len(self.vocabulary), np.int64)
+            some[self.tokens] = np.arange(len(self.tokens))
+            return self.tokens, some
+        keys = self.grams(n)[at]
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
+        number = np.full(len(self.tokens), -1, np.int64)
+        number[at[order]] = np.cumsum(new) - 1
+        return number, at[order[new]]
 
 
 def _ask(n: int, order: int, bits: int):
@@ -238,7 +301,7 @@ def _ask(n: int, order: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                keys, counts, _ = Block(row, order).request(n)
+                keys, counts = Block(row, order).request(n)
                 number = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
                 for lo in range(0, len(cuts) - 1, 64):
@@ -310,123 +373,98 @@ class Root:
 class Automaton:
     """States with failure arcs and weighted arcs.
 
-    ``grams[n]`` has (words, counts) of n-grams: an (k, n) array of word numbers and their
-    training counts; ``counts`` are those of the single words (the start's included).
-    State 0 is the root. A state is an n-gram that was seen, as a history. Arcs other than
-    the root's are sorted by state * words + word.
+    ``grams[n]`` (n from 2 on) has arrays (history, suffix, count) of n-grams: the numbers of
+    the (n-1)-grams without the last and without the first word, and the training count.
+    ``counts`` are those of the single words, whose numbers are their places; the start's is
+    among them. State 0 is the root. A state is an n-gram that was seen, as a history. Arc a
+    of order n leads from state ``source[n][a]``, by the last word of n-gram a, with the log10
+    weight ``weight[n][a]``, to ``target[n][a]``; an n-gram that was not seen is no arc (source
+    -1). The root has an arc for every word.
     """
 
-    def __init__(self, root: Root, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], m: tuple[float, ...]):
-        self.words = words = len(counts)
-        p = root.p(counts)
-        self.root_weight = np.log10(p)
-        seen = counts > 0
-        # by order: the number of each n-gram's state, 0 where there is none
-        state_of = np.where(seen, np.cumsum(seen), 0)
-        self.root_target = state_of
-        fail, history = [np.zeros(1, np.int64), np.zeros(int(seen.sum()), np.int64)], [np.zeros(1), counts[seen].astype(float)]
-        n_states = 1 + int(seen.sum())
-        orders = [np.zeros(1, np.int64), np.ones(n_states - 1, np.int64)]
-        keys, weights, targets = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        last = max(grams, default=1)
-        lower = p  # P(w | history) of the arcs of the order below, by their place
-        lower_key = None
-        for n in range(2, last + 1):
-            gram, count = grams[n]
-            keep = count > 0
-            gram, count = gram[keep], count[keep]
-            source = self._walk(state_of, gram[:, 0], keys, targets, gram[:, 1:-1])
-            key = source * words + gram[:, -1]
-            order = np.argsort(key)
-            key, gram, count, source = key[order], gram[order], count[order], source[order]
-            # the same word after the history without its first word
-            if n == 2:
-                below, suffix = p[gram[:, -1]], state_of[gram[:, -1]]
-            else:
-                shorter = self._walk(state_of, gram[:, 1], keys, targets, gram[:, 2:-1]) * words + gram[:, -1]
-                at = np.searchsorted(lower_key, shorter)
-                below, suffix = lower[at], lower_target[at]
-            held = np.concatenate(history)[source]
-            prob = (count + m[n - 2] * below) / (held + m[n - 2])
-            if n < last:
-                target = n_states + np.arange(len(key))
-                fail.append(suffix)
-                history.append(count.astype(float))
-                orders.append(np.full(len(key), n, np.int64))
-                n_states += len(key)
+    def __init__(self, root: Root, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], m: tuple[float, ...]):
+        self.order = max(grams, default=1)
+        p, seen = root.p(counts), counts > 0
+        number = np.where(seen, np.cumsum(seen), 0)  # each word's state; the root where it has none
+        self.source, self.target, self.weight = {1: np.zeros(len(counts), np.int64)}, {1: number}, {1: np.log10(p)}
+        fail, total, orders = [np.zeros(1 + int(seen.sum()), np.int64)], [np.ones(1), counts[seen].astype(float)], [np.zeros(1, np.int8), np.ones(int(seen.sum()), np.int8)]
+        states = 1 + int(seen.sum())
+        below, own = p, number  # P(word | history) and state of the n-grams of the order below
+        held = counts
+        for n in range(2, self.order + 1):
+            history, suffix, count = grams[n]
+            seen = count > 0
+            prob = (count + m[n - 2] * below[suffix]) / (held[history] + m[n - 2])
+            self.source[n] = np.where(seen, own[history], -1)
+            if n < self.order:
+                number = np.where(seen, states - 1 + np.cumsum(seen), 0)
+                self.target[n] = number
+                fail.append(own[suffix[seen]])
+                total.append(count[seen].astype(float))
+                orders.append(np.full(int(seen.sum()), n, np.int8))
+                states += int(seen.sum())
             else:
-                target = suffix  # the longest history that is a state
-            lower, lower_key, lower_target = prob, key, target
-            keys, weights, targets = np.concatenate([keys, key]), np.concatenate([weights, np.log10(prob)]), np.concatenate([targets, target])
-        # the states of an order are numbered after those of the order below, so the keys ascend
-        self.keys, self.weights, self.targets = keys, weights, targets
+                number = None
+                self.target[n] = own[suffix]  # the longest history that is a state
+            self.weight[n] = np.log10(np.where(seen, prob, 1.0))
+            below, own, held = prob, number, count
         self.fail = np.concatenate(fail)
         self.orders = np.concatenate(orders)
-        weight = np.array([1.0, *m, *[m[-1]] * len(grams)])[self.orders]
-        total = np.concatenate(history)
-        self.fail_weight = np.log10(weight / (total + weight))
-
-    def _walk(self, state_of: np.ndarray, first: np.ndarray, keys: np.ndarray, targets: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """States of histories: the first word's, then along the arcs of the other words."""
-        state = state_of[first]
-        for k in range(rest.shape[1]):
-            state = targets[np.searchsorted(keys, state * self.words + rest[:, k])]
-        return state
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, log10 weight) from each state on each word, by failure arcs as needed."""
+        prior = np.array([1.0, *m])[self.orders]
+        self.fail_weight = np.log10(prior / (np.concatenate(total) + prior))
+        self.fail_weight[0] = 0.0
+
+    def step(self, state: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 weight) from each state on its next word. ``grams[n - 1]`` are the
+        numbers of the n-grams that the word ends: of these, one can be the state's arc. A
+        state without an arc pays for its failure arc, and that state is asked."""
         weight, target = np.zeros(len(state)), np.empty(len(state), np.int64)
-        todo = np.arange(len(state))
-        while len(todo):
-            at_root = state[todo] == 0
-            if at_root.any():
-                done = todo[at_root]
-                weight[done] += self.root_weight[word[done]]
-                target[done] = self.root_target[word[done]]
-                todo = todo[~at_root]
-            if not len(todo):
-                break
-            want = state[todo] * self.words + word[todo]
-            at = np.searchsorted(self.keys, want)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == want if len(self.keys) else np.zeros(len(todo), bool)
-            done, at = todo[hit], at[hit]
-            weight[done] += self.weights[at]
-            target[done] = self.targets[at]
-            todo = todo[~hit]
-            weight[todo] += self.fail_weight[state[todo]]
-            state = state.copy()
-            state[todo] = self.fail[state[todo]]
+        todo, now = np.arange(len(state)), state
+        for n in range(self.order, 0, -1):  # states of n - 1 words; they fail to shorter ones
+            if n > 1:
+                here = self.orders[now] == n - 1
+                arc = grams[n - 1][todo]
+                hit = here & (arc >= 0) & (self.source[n][arc] == now)
+                fails = here & ~hit
+                weight[todo[fails]] += self.fail_weight[now[fails]]
+                now = np.where(fails, self.fail[now], now)
+                done, arc = todo[hit], arc[hit]
+                todo, now = todo[~hit], now[~hit]
+            else:
+                done, arc = todo, grams[0][todo]
+            weight[done] += self.weight[n][arc]
+            target[done] = self.target[n][arc]
         return target, weight
 
-    def traverse(self, tokens: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, skip: int, start: np.ndarray) -> np.ndarray:
-        """Sum of the weights over each sequence from its token ``skip`` on; all sequences
-        are traversed side by side, each with its own state."""
+    def traverse(self, places: list[np.ndarray], firsts: np.ndarray, sizes: np.ndarray, skip: int) -> np.ndarray:
+        """Sum of the weights over each sequence of tokens from its token ``skip`` on (those
+        before it only lead to a state). All sequences are traversed side by side, from left
+        to right, each with its own state. ``places[n - 1]`` has the number of the n-gram
+        that ends at each token."""
         by_size = np.argsort(-sizes, kind="stable")
-        firsts, sizes, state = firsts[by_size], sizes[by_size], start[by_size]
-        total = np.zeros(len(sizes))
-        active = len(sizes)
-        for t in range(skip, int(sizes[0]) if len(sizes) else 0):
+        firsts, sizes = firsts[by_size], sizes[by_size]
+        total, state, active = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), len(sizes)
+        for t in range(int(sizes[0]) if len(sizes) else 0):
             while active and sizes[active - 1] <= t:
                 active -= 1
-            state, weight = self.step(state[:active], tokens[firsts[:active] + t])
-            total[:active] += weight
+            at = firsts[:active] + t
+            state, weight = self.step(state[:active], [x[at] for x in places])
+            if t >= skip:
+                total[:active] += weight
         out = np.empty(len(sizes))
         out[by_size] = total
         return out
 
 
-def block_automaton(block: Block, root: Root, counts: dict[int, np.ndarray], places: dict[int, np.ndarray], m: tuple[float, ...]) -> Automaton:
-    """The part of the automaton that a block's texts can reach. ``counts[n]`` are the
-    training counts of the block's n-grams, ``places[n]`` says which one ends at a token."""
-    grams = {}
+def block_automaton(block: Block, root: Root, counts: dict[int, np.ndarray], m: tuple[float, ...]) -> tuple[Automaton, list[np.ndarray]]:
+    """The part of the automaton that a block's texts can reach, and the number of the n-gram
+    of each order that ends at each token. ``counts[n]`` are the training counts."""
+    places, grams = [block.places(1)[0]], {}
     for n in range(2, block.order + 1):
-        there = np.flatnonzero(places[n] >= 0)
-        where = np.empty(len(counts[n]), np.int64)
-        where[places[n][there]] = there  # some place of each n-gram
-        where = where[counts[n] > 0]
-        grams[n] = (np.stack([block.tokens[where - k] for k in range(n - 1, -1, -1)], 1), counts[n][counts[n] > 0])
-    return Automaton(root, counts[1], grams, m)
+        number, some = block.places(n)
+        grams[n] = (places[-1][some - 1], places[-1][some], counts[n])
+        places.append(number)
+    return Automaton(root, counts[1], grams, m), places
 
 
 def _score(root: Root, order: int, m: tuple[float, ...]):
@@ -438,19 +476,11 @@ def _score(root: Root, order: int, m: tuple[float, ...]):
                     row = x
                 else:
                     answers[x["n"]].append((x["range"], x["counts"]))
-        block, counts, places = Block(row, order), {}, {}
+        block, counts = Block(row, order), {}
         for n, got in answers.items():
-            distinct, _, places[n] = block.request(n)
-            got.sort()
-            counts[n] = np.concatenate([np.empty(0, np.int64), *(unpack_counts(c) for _, c in got)])
-            if len(counts[n]) != len(distinct):
-                raise RuntimeError("a block's request was not answered in full")
-        automaton = block_automaton(block, root, counts, places, m)
-        # the state that a piece begins in: that to which the tokens before it lead
-        state = np.zeros(len(block.sizes), np.int64)
-        for k in range(order - 1):
-            state, _ = automaton.step(state, block.tokens[block.firsts + k])
-        score = automaton.traverse(block.tokens, block.firsts, block.sizes, order - 1, state)
+            counts[n] = np.concatenate([np.empty(0, np.int64), *(unpack_counts(c) for _, c in sorted(got))])
+        automaton, places = block_automaton(block, root, counts, m)
+        score = automaton.traverse(places, block.firsts, block.sizes, order - 1)
         c = np.where(block.scored, counts[1][block.tokens], 0)
         base = np.where(block.scored, root.base(c), 0.0)
         add = lambda x: np.add.reduceat(x, block.firsts)
@@ -475,7 +505,7 @@ def _range_bits(grams: int, range_keys: int) -> int:
 
 
 def score(
-    docs: DataFrame, m: tuple[float, ...] = M, order: int = ORDER, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES, range_keys: int = RANGE_KEYS
+    docs: DataFrame, m: tuple[float, ...] = M, order: int = ORDER, block_chars: int = BLOCK_CHARS, piece_chars: int = PIECE_CHARS, range_keys: int = RANGE_KEYS
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     ship(docs.sparkSession)
@@ -483,7 +513,7 @@ def score(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), learned.alias("learned"), F.col("text").cast("string")
     )
-    blocks = materialize(rows.mapInArrow(_blocks(order, block_bytes, piece_bytes), _BLOCK), "lm-blocks")
+    blocks = materialize(rows.mapInArrow(_blocks(order, block_chars, piece_chars), _BLOCK), "lm-blocks")
     # a token makes at most one n-gram of an order, and the words of a block repeat
     n_tokens = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     figures, answers = None, None
