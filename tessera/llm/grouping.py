@@ -97,3 +97,37 @@ def sketch_links(key: list[str], member: str, words: tuple[str, str], most: int)
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
     return run
+
+
+def cross_links(key: list[str], member: str, side: str, words: tuple[str, str], most: int, pairs: int = 1 << 20):
+    """For rows sorted by (key, side): links (u, v) that connect a group's members of side 0
+    with those of side 1 whose two sketch words differ in at most ``most`` bits. At most
+    about ``pairs`` pairs are compared at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in sorted_groups(batches, key):
+            ids, sides, s0, s1 = (table.column(c).to_numpy() for c in (member, side, *words))
+            n = table.num_rows
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+            lefts = np.bincount(of[sides == 0], minlength=len(starts))
+            rights = np.bincount(of, minlength=len(starts)) - lefts
+            left = np.flatnonzero((sides == 0) & (rights[of] > 0))
+            todo = rights[of[left]]
+            found_u, found_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            part = np.cumsum(todo) // pairs  # which slice a left row is compared in
+            for k in range(int(part[-1]) + 1 if len(part) else 0):
+                some = left[part == k]
+                m = rights[of[some]]
+                p = np.repeat(some, m)
+                q = np.repeat(starts[of[some]] + lefts[of[some]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                # as unsigned words: of a negative one numpy counts the bits of its magnitude
+                differ = sum(np.bitwise_count((s[p] ^ s[q]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
+                hit = (differ <= most) & (ids[p] != ids[q])
+                found_u.append(p[hit]), found_v.append(q[hit])
+            u, v = np.concatenate(found_u), np.concatenate(found_v)
+            label = settle(n, u, v)
+            moved = np.flatnonzero(label != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
+
+    return run
