@@ -1,29 +1,36 @@
 """Quality classifier by co-training two views.
 
-One classifier sees the text (which words and beginnings of words it has, of those that
-enough sampled documents have, and its shape), the other the page's metadata (source,
-language, length). Starting from labelled documents, each classifier names in every round
-the unlabelled documents that it is most sure of, and these pseudo-labels join the other
-classifier's training set. At the end each view is calibrated on labelled documents that it was not fitted on, and the
-calibrated views are combined by a logistic regression on the same documents. Every
-document is then scored from its whole text.
+One classifier sees the text's content: which words and beginnings of words it has, and
+statistics of how they are written (repetition, shares of marks and capitals, lines). The
+other sees the page's metadata: source, language, length and the same statistics, but no
+word. Starting from
+labelled documents, in every round each classifier names the unlabelled documents that it
+is most sure of, and these pseudo-labels join the other classifier's training set. All
+unlabelled documents are scored in every round, and the most confident ones of all are
+taken. At the end each view is calibrated on labelled documents that it was not fitted on,
+and the calibrated views are combined by a logistic regression on a third part of the
+labelled documents. Every document is then scored from its whole text.
 
 A document counts as good if its label says quality and does not say toxic.
 
-Both classifiers are fitted on bounded samples: ``LABELLED`` labelled and ``POOL``
-unlabelled whole documents (smallest hash of doc_id). Scoring covers all documents.
+Features are hashed to 2**``BITS`` numbers in a map over all documents and written once,
+as sorted arrays of numbers; the rounds read that table. What reaches the driver is the
+features of at most ``LABELLED`` labelled documents (smallest hash of doc_id) and of
+4 ``PER_ROUND`` pseudo-labelled ones a round; a document has at most 2**``BITS`` features.
 
 Defined cases: a null text has no words; a null source or language is a value of its own;
 labels without a quality are ignored, and of several labels for one document the worst
-holds; with no labels of both kinds every document is kept with a null score; repeated rows
-are scored once each; an empty table gives an empty result.
+holds; of several rows with a labelled doc_id the one with the least hash of its features
+is learned from; pseudo-labels go to distinct contents, so copies count once; with no labels
+of both kinds every document is kept with a null score; repeated rows are scored once each;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,67 +38,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sampling import hash_sample
-from tessera.session import ship
+from tessera.session import materialize, ship
 
-LABELLED, POOL = 4000, 2000
-ROUNDS, PER_ROUND, SURE = 3, 200, 0.97
+LABELLED = 4000
+ROUNDS, PER_ROUND, SURE = 3, 50, 0.97
+PSEUDO_WEIGHT = 0.25  # of a pseudo-label beside a label
+BITS = 20
 L1 = 1e-3  # gradient of the mean loss that a feature must exceed
-MIN_DOCS = 5  # sampled documents that must have a word for it to count
+MIN_DOCS = 5  # documents fitted on that must have a word for it to count
 THRESHOLD = 0.5
-LENGTHS = (50, 200, 1000, 4000, 16000)
 
-_EDGES = b".,;:!?\"'()[]{}%&#$*|<>"
+_EDGES = bytes.maketrans(b".,;:!?\"'()[]{}%&#$*|<>", b" " * 22)
+_UPPER, _SYMBOLS, _MARKS, _DIGITS = (bytes(x) for x in (range(65, 91), b"#*$%&|<>", b"!?", b"0123456789"))
+_WORDS: dict[bytes, int] = {}
 
+#: statistics of the layout and the edges of their bins
+SHAPE = {
+    "n_chars": (50, 200, 1000, 4000, 16000),
+    "words": (5, 20, 50, 200, 1000),
+    "lines": (2, 5, 20, 100),
+    "line_words": (2, 5, 10, 30, 100),
+    "word_length": (2, 3, 5, 7, 9, 12),
+    "distinct_words": (0.1, 0.3, 0.5, 0.7, 0.9),
+    "distinct_lines": (0.3, 0.5, 0.7, 0.9),
+    "symbols": (0.01, 0.05, 0.1, 0.2, 0.5),
+    "marks": (0.01, 0.05, 0.2, 0.5),
+    "upper": (0.02, 0.06, 0.15, 0.4),
+    "digits": (0.01, 0.05, 0.2),
+    "ends": (0.1, 0.3, 0.6, 0.9),
+}
 
-def _bin(x: float, edges: tuple) -> int:
-    return sum(x >= e for e in edges)
 
+def _number(data: bytes) -> int:
+    import xxhash
 
-def text_features(text: str | None) -> list:
-    """Names of the text's features: its distinct words, their beginnings, and bins of its shape."""
+    return xxhash.xxh3_64_intdigest(data) >> (64 - BITS)
+
+
+@lru_cache(4096)
+def _shape_number(name: str, place: int) -> int:
+    return _number(f"{name}\t{place}".encode())
+
+
+def _view(numbers: list[int]) -> np.ndarray:
+    x = np.sort(np.array(numbers, np.int32))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def features(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the features of both views."""
     raw = (text or "").encode("utf-8", "surrogatepass")
+    own = set(raw.lower().translate(_EDGES).split())
+    if len(_WORDS) > 300_000:
+        _WORDS.clear()
+    own |= {w[:n] + b"\0" for w in own for n in (4, 6) if len(w) > n}  # beginnings
+    numbers = list(map(_WORDS.get, own))
+    if None in numbers:
+        for w in own:
+            if w not in _WORDS:
+                _WORDS[w] = _number(w)
+        numbers = list(map(_WORDS.get, own))
     words = raw.split()
-    n = max(1, len(words))
-    own = {w.strip(_EDGES) for w in raw.lower().split()}
-    own.discard(b"")
-    symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
-    marks = len(raw) - len(raw.translate(None, b"!?"))
-    upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    pairs = set(zip(words, words[1:]))
-    ends = sum(x.rstrip()[-1:] in b".!?" for x in lines)
-    shape = (
-        ("symbols", _bin(symbols / n, (0.01, 0.05, 0.1, 0.2, 0.5))),
-        ("marks", _bin(marks / n, (0.01, 0.05, 0.2, 0.5))),
-        ("upper", _bin(upper / max(1, len(raw)), (0.02, 0.06, 0.15, 0.4))),
-        ("words", _bin(len(words), (5, 20, 50, 200, 1000))),
-        ("word_length", _bin(sum(map(len, words)) / n, (2, 3, 5, 7, 9, 12))),
-        ("pairs", _bin(len(pairs) / n, (0.1, 0.3, 0.5, 0.7, 0.9))),
-        ("lines", _bin(len(set(lines)) / max(1, len(lines)), (0.3, 0.5, 0.7, 0.9))),
-        ("ends", _bin(ends / max(1, len(lines)), (0.1, 0.3, 0.6, 0.9))),
-    )
-    starts = {(w[:4],) for w in own if len(w) > 4}
-    return [*own, *starts, *shape]
-
-
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list:
-    return [("source", source), ("lang", lang), ("n_chars", None if n_chars is None else _bin(n_chars, LENGTHS))]
+    n, size = max(1, len(words)), max(1, len(raw))
+    count = lambda of: len(raw) - len(raw.translate(None, of))
+    shape = {
+        "n_chars": -1 if n_chars is None else n_chars,
+        "words": len(words),
+        "lines": len(lines),
+        "line_words": len(words) / max(1, len(lines)),
+        "word_length": sum(map(len, words)) / n,
+        "distinct_words": len(set(words)) / n,
+        "distinct_lines": len(set(lines)) / max(1, len(lines)),
+        "symbols": count(_SYMBOLS) / n,
+        "marks": count(_MARKS) / n,
+        "upper": count(_UPPER) / size,
+        "digits": count(_DIGITS) / size,
+        "ends": sum(x.rstrip()[-1:] in b".!?" for x in lines) / max(1, len(lines)),
+    }
+    shapes = [_shape_number(k, sum(v >= e for e in SHAPE[k])) for k, v in shape.items()]
+    meta = [_number(f"{k}\t{'' if v is None else '=' + v}".encode("utf-8", "surrogatepass")) for k, v in (("source", source), ("lang", lang))]
+    return _view(numbers + shapes), _view(meta + shapes)
 
 
 class Linear:
-    """Logistic regression over sets of named features."""
-
-    def __init__(self, sets: list[list], y: np.ndarray, min_docs: int, rounds: int = 150, l1: float = L1):
-        times = Counter(f for s in sets for f in s)
-        self.index = {f: i for i, f in enumerate(sorted((f for f, n in times.items() if n >= min_docs), key=repr))}
-        rows, cols = [], []
-        for r, s in enumerate(sets):
-            own = [self.index[f] for f in s if f in self.index]
-            rows += [r] * len(own)
-            cols += own
-        rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-        n, k = len(sets), len(self.index)
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    """Logistic regression over sets of numbered features."""
+
+    def __init__(self, sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, min_docs: int, rounds: int = 150, l1: float = L1):
+        cols = np.concatenate(sets) if sets else np.empty(0, np.int32)
+        rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        times = np.bincount(cols, minlength=1 << BITS)
+        keep = times[cols] >= min_docs
+        used, cols = np.unique(cols[keep], return_inverse=True)
+        rows, n, k = rows[keep], len(sets), len(used)
+        # both kinds weigh the same in all
+        weight = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum()))
         w, b, g2, gb2 = np.zeros(k), 0.0, np.full(k, 1e-8), 1e-8
         for _ in range(rounds):  # adaptive gradient descent
             z = np.bincount(rows, w[cols], n) + b
@@ -102,12 +143,12 @@ class Linear:
             w -= 0.3 * grad / np.sqrt(g2)
             w = np.sign(w) * np.maximum(0, np.abs(w) - 0.3 * l1 / np.sqrt(g2))  # words without a say get none
             b -= 0.3 * slope.sum() / math.sqrt(gb2)
-        self.weights = {f: float(w[i]) for f, i in self.index.items() if w[i]}
+        self.weights = np.zeros(1 << BITS, np.float32)
+        self.weights[used] = w
         self.bias = float(b)
 
-    def margin(self, features: list) -> float:
-        get = self.weights.get
-        return self.bias + sum(get(f, 0.0) for f in features)
+    def margin(self, numbers: np.ndarray) -> float:
+        return self.bias + float(self.weights[numbers].sum(dtype=np.float64))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -128,113 +169,213 @@ def _p(m: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, m))))
 
 
-class Model:
-    """Two views, each with its calibration, and how they combine."""
-
-    def __init__(self, labelled: list, y: np.ndarray, pool: list):
-        views = [[text_features(r.text) for r in labelled], [meta_features(r.source, r.lang, r.n_chars) for r in labelled]]
-        free = [[text_features(r.text) for r in pool], [meta_features(r.source, r.lang, r.n_chars) for r in pool]]
-        held = np.arange(len(y)) % 4 == 3  # for the calibration; the order is by hash
-        fit = np.flatnonzero(~held) if len(set(y[held])) > 1 and len(set(y[~held])) > 1 else np.arange(len(y))
-        test = np.flatnonzero(held) if len(fit) < len(y) else fit
-        sets = [[v[i] for i in fit] for v in views]
-        ys = [list(y[fit]), list(y[fit])]
-        left = list(range(len(pool)))
+def folds(y: np.ndarray) -> list[np.ndarray]:
+    """Places of the labelled documents to fit on, to calibrate on and to combine on (six
+    eighths, one, and one; in order of their hash). A part without both kinds is
+    replaced by all."""
+    at = np.arange(len(y))
+    parts = [at[at % 8 < 6], at[at % 8 == 6], at[at % 8 == 7]]
+    return [p if len(set(y[p])) > 1 else at for p in parts]
+
+
+class CoTraining:
+    """The state of co-training: both views, their training sets and calibrations."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray):
+        self.labelled, self.y = sets, y
+        self.fit_on, self.calibrate_on, self.combine_on = folds(y)
+        self.sets = [[sets[i][k] for i in self.fit_on] for k in (0, 1)]
+        self.ys = [list(y[self.fit_on]), list(y[self.fit_on])]
         self.pseudo = [0, 0]  # labels that each view was given by the other
-        for _ in range(ROUNDS + 1):
-            self.views = [Linear(s, np.array(t), n) for s, t, n in zip(sets, ys, (MIN_DOCS, 1))]
-            self.scales = [_logistic(np.array([[m.margin(v[i])] for i in test]), y[test]) for m, v in zip(self.views, views)]
-            named = {}
-            for k in (0, 1):
-                sure = [(self._view(k, free[k][i]), i) for i in left]
-                good = sorted((x for x in sure if x[0] >= SURE), reverse=True)[:PER_ROUND]
-                bad = sorted(x for x in sure if x[0] <= 1 - SURE)[:PER_ROUND]
-                for p, i in good + bad:
-                    named.setdefault(i, []).append((k, float(p >= 0.5)))
-            for i, votes in named.items():
-                if len({v for _, v in votes}) > 1:
-                    continue  # the views disagree
-                for k, v in votes:
-                    sets[1 - k].append(free[1 - k][i])
-                    ys[1 - k].append(v)
+        self.views: list[Linear | None] = [None, None]
+        self.mix = np.zeros(3)
+
+    def fit(self) -> None:
+        for k, min_docs in ((0, MIN_DOCS), (1, 1)):
+            weight = np.where(np.arange(len(self.sets[k])) < len(self.fit_on), 1.0, PSEUDO_WEIGHT)
+            self.views[k] = Linear(self.sets[k], np.array(self.ys[k]), weight, min_docs)
+        y = self.y[self.calibrate_on]
+        self.scales = [_logistic(np.array([[self.views[k].margin(self.labelled[i][k])] for i in self.calibrate_on]), y) for k in (0, 1)]
+
+    def learn(self, named: list[tuple[tuple[np.ndarray, np.ndarray], dict[int, float]]]) -> None:
+        """Add pseudo-labels: (features of both views, {view: its label}) for each document.
+        Where the views disagree none is added."""
+        for sets, votes in named:
+            if len(set(votes.values())) == 1:
+                for k, v in votes.items():
+                    self.sets[1 - k].append(sets[1 - k])
+                    self.ys[1 - k].append(v)
                     self.pseudo[1 - k] += 1
-            left = [i for i in left if i not in named]
-            if not named:
-                break
-        both = np.array([[self._logit(k, views[k][i]) for k in (0, 1)] for i in test])
-        self.mix = _logistic(both, y[test])
 
-    def _logit(self, k: int, features: list) -> float:
+    def combine(self) -> "CoTraining":
+        both = np.array([[self.logit(k, self.labelled[i][k]) for k in (0, 1)] for i in self.combine_on])
+        self.mix = _logistic(both, self.y[self.combine_on])
+        return self
+
+    def logit(self, k: int, numbers: np.ndarray) -> float:
         a, b = self.scales[k]
-        return max(-12.0, min(12.0, a * self.views[k].margin(features) + b))
+        return max(-12.0, min(12.0, a * self.views[k].margin(numbers) + b))
 
-    def _view(self, k: int, features: list) -> float:
-        return _p(self._logit(k, features))
+    def model(self) -> "Model":
+        return Model([(v.weights, v.bias) for v in self.views], [tuple(map(float, s)) for s in self.scales], tuple(map(float, self.mix)))
 
-    def score(self, text, source, lang, n_chars) -> tuple[float, float, float]:
+
+class Model:
+    """What scoring needs: weights, calibrations and how the views combine."""
+
+    def __init__(self, views: list, scales: list, mix: tuple):
+        # few weights are not 0: only those travel
+        self.views = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)], b) for w, b in views]
+        self.scales, self.mix = scales, mix
+        self._dense: list | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": None}
+
+    def logits(self, sets: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+        if self._dense is None:
+            self._dense = []
+            for at, w, b in self.views:
+                dense = np.zeros(1 << BITS, np.float32)
+                dense[at] = w
+                self._dense.append((dense, b))
+        out = []
+        for (dense, b), (a, c), numbers in zip(self._dense, self.scales, sets):
+            m = b + float(dense[numbers].sum(dtype=np.float64))
+            out.append(max(-12.0, min(12.0, a * m + c)))
+        return out[0], out[1]
+
+    def score(self, sets: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float]:
         """(combined, text view, metadata view), each a probability."""
-        a, b = self._logit(0, text_features(text)), self._logit(1, meta_features(source, lang, n_chars))
+        a, b = self.logits(sets)
         return _p(self.mix[0] * a + self.mix[1] * b + self.mix[2]), _p(a), _p(b)
 
 
-def _view_columns(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")
-    )
+_COLUMNS = ("text", "source", "lang", "n_chars")
+
+
+def _features_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for row in zip(*(batch.column(c) for c in _COLUMNS)):
+        yield features(*(x.as_py() for x in row))
+
+
+def _table(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the features), text_view and meta_view for every row, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [(a.tobytes(), b.tobytes()) for a, b in _features_of(batch)]
+            ties = np.array([xxhash.xxh3_64_intdigest(a + b"|" + b) for a, b in sets], np.uint64).view(np.int64)
+            cols = [batch.column("doc_id"), pa.array(ties), *(pa.array([s[k] for s in sets], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tie", "text_view", "meta_view"])
 
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    return materialize(own.mapInArrow(run, "doc_id long, tie long, text_view binary, meta_view binary"), "quality-features")
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """The model, or None where the labels do not have both kinds."""
-    docs = _view_columns(docs)
+
+def _read(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.text_view, np.int32), np.frombuffer(row.meta_view, np.int32)
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a, b in zip(batch.column("text_view"), batch.column("meta_view")):
+        yield np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(b.as_buffer(), np.int32)
+
+
+def _surest(table: DataFrame, told: DataFrame, model: Model, known: set[int], per_round: int, sure: float) -> dict[int, dict[int, float]]:
+    """tie -> {view: label} of the unlabelled contents that each view is most sure of, at
+    most ``per_round`` of each kind and view, out of all that are sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_p(a), _p(b)) for a, b in map(model.logits, _sets(batch))]
+            p = np.array(found, float).reshape(-1, 2)
+            far = np.maximum(p, 1 - p).max(1) >= sure if len(p) else np.zeros(0, bool)
+            keep = pa.array(far & np.array([t not in known for t in batch.column("tie").to_pylist()], bool))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["doc_id", "tie", "p0", "p1"]).filter(keep)
+
+    scored = table.mapInArrow(run, "doc_id long, tie long, p0 double, p1 double")
+    free = scored.join(told.select("doc_id"), "doc_id", "left_anti")
+    # the rows of one content are equal but for their id
+    free = materialize(free.groupBy("tie").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1")), "quality-sure")
+    out: dict[int, dict[int, float]] = {}
+    for k in (0, 1):
+        p = F.col(f"p{k}")
+        for label, some, order in ((1.0, p >= sure, p.desc()), (0.0, p <= 1 - sure, p.asc())):
+            for r in free.where(some).orderBy(order, "tie").limit(per_round).collect():
+                out.setdefault(r.tie, {})[k] = label
+    return out
+
+
+def _told(labels: DataFrame) -> DataFrame:
+    """doc_id, y: one row for each labelled document."""
     told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    told = told.agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1.0).otherwise(0.0)).alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    good = F.when((F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1.0).otherwise(0.0)
+    return told.agg(F.min(good).alias("y"))
+
+
+def _fit(table: DataFrame, labels: DataFrame, labelled: int, rounds: int, per_round: int, sure: float) -> CoTraining | None:
+    told = _told(labels)
+    spark = table.sparkSession
+    ids = table.select("doc_id").where("doc_id is not null").distinct()
     known = {r.doc_id: r.y for r in hash_sample(told.join(ids, "doc_id", "left_semi"), labelled).collect()}
     if len(set(known.values())) < 2:
         return None
-    free = [r.doc_id for r in hash_sample(ids.join(told, "doc_id", "left_anti"), pool).collect()]
-    # at most labelled + pool ids
-    some = docs.sparkSession.createDataFrame([(i,) for i in [*known, *free]], "doc_id long")
-    rows = docs.join(F.broadcast(some), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-    rank = {d: k for k, d in enumerate([*known, *free])}
-    rows.sort(key=lambda r: rank[r.doc_id])
-    have = [r for r in rows if r.doc_id in known]
-    return Model(have, np.array([known[r.doc_id] for r in have]), [r for r in rows if r.doc_id not in known])
+    rank = {d: k for k, d in enumerate(known)}
+    some = F.broadcast(spark.createDataFrame([(i,) for i in known], "doc_id long"))  # at most ``labelled`` ids
+    one = table.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text_view", "meta_view"), F.struct("tie", "text_view")).alias("own"))
+    rows = sorted(one.collect(), key=lambda r: rank[r.doc_id])
+    state = CoTraining([_read(r.own) for r in rows], np.array([known[r.doc_id] for r in rows]))
+    seen: set[int] = set()
+    for _ in range(rounds):
+        state.fit()
+        named = _surest(table, told, state.model(), seen, per_round, sure)
+        if not named:
+            return state.combine()
+        seen |= named.keys()
+        some = F.broadcast(spark.createDataFrame([(i,) for i in named], "tie long"))  # at most 4 * per_round
+        rows = table.join(some, "tie", "left_semi").groupBy("tie").agg(F.min(F.struct("text_view", "meta_view")).alias("own")).collect()
+        state.learn([(_read(r.own), named[r.tie]) for r in sorted(rows, key=lambda r: r.tie)])
+    state.fit()
+    return state.combine()
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> CoTraining | None:
+    """The trained views, or None where the labels do not have both kinds."""
+    ship(docs.sparkSession)
+    return _fit(_table(docs), labels, labelled, rounds, per_round, sure)
+
 
+def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> DataFrame:
+    """doc_id, score, text_score, meta_score, kept for every row of ``docs``."""
+    ship(docs.sparkSession)
+    table = _table(docs)
+    state = _fit(table, labels, labelled, rounds, per_round, sure)
+    model = state.model() if state else None
 
-def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ("text", "source", "lang", "n_chars")
-            if model is None:
-                found = [(None, None, None)] * batch.num_rows
-            else:
-                found = [model.score(*(x.as_py() for x in row)) for row in zip(*(batch.column(c) for c in names))]
+            found = [(None, None, None) if model is None else model.score(s) for s in _sets(batch)]
             cols = list(zip(*found)) or [(), (), ()]
             arrays = [batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in cols)]
             arrays.append(pa.array([p is None or p >= THRESHOLD for p in cols[0]], pa.bool_()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "text_score", "meta_score", "kept"])
 
-    return _view_columns(docs).mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, kept boolean")
+    return table.mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, kept boolean")
 
 
-def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """doc_id, score, text_score, meta_score, kept for every row of ``docs``."""
-    ship(docs.sparkSession)
-    return _scored(docs, fit(docs, labels, labelled, pool))
-
-
-def keep(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
-    ship(docs.sparkSession)
-    model = fit(docs, labels, labelled, pool)
-    if model is None:
+    state = fit(docs, labels, **options)
+    if state is None:
         return docs
+    model = state.model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c) for c in ("text", "source", "lang", "n_chars")))
-            yield batch.filter(pa.array([model.score(*(x.as_py() for x in row))[0] >= THRESHOLD for row in rows], pa.bool_()))
+            yield batch.filter(pa.array([model.score(s)[0] >= THRESHOLD for s in _features_of(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
