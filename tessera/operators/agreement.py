@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEGENERATE = 0.8
+WORSE = "worse than chance"  # as a rule a sign that labels are in another order
 BINS = 10
 GRID, GRID_MAX = 200, 10.0
 KAPPA_FLOOR, MIN_LABELS = 0.5, 30
@@ -18,7 +19,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def kappa(pairs: DataFrame) -> DataFrame:
     """One row: Cohen's kappa (1 where chance agreement is certain), agreement, expected
-    agreement, whether one label dominates, and the usual band."""
+    agreement, whether one label dominates the human's, and the usual band."""
     cells = confusion(pairs)
     total = F.broadcast(cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("human") == F.col("judge"), F.col("n")).otherwise(0)).alias("same")))
     rows = cells.groupBy(F.col("human").alias("label")).agg(F.sum("n").alias("h"))
@@ -26,13 +27,13 @@ def kappa(pairs: DataFrame) -> DataFrame:
     both = rows.join(cols, "label", "full").na.fill(0, ["h", "j"]).crossJoin(total)
     one = both.groupBy("total", "same").agg(
         (F.sum(F.col("h") * F.col("j")) / F.first(F.col("total") * F.col("total"))).alias("expected"),
-        (F.greatest(F.max("h"), F.max("j")) / F.first("total")).alias("prevalence"),
+        (F.max("h") / F.first("total")).alias("prevalence"),
     )
     one = one.withColumn("observed", F.col("same") / F.col("total"))
     value = F.when(F.col("expected") >= 1, F.lit(1.0)).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
     one = one.withColumn("kappa", value)
-    band = F.when(F.col("kappa") < 0, "poor").when(F.col("kappa") <= 0.2, "slight").when(F.col("kappa") <= 0.4, "fair")
-    band = band.when(F.col("kappa") <= 0.6, "moderate").when(F.col("kappa") <= 0.8, "substantial").otherwise("almost perfect")
+    band = F.when(F.col("kappa") < 0, WORSE).when(F.col("kappa") < 0.2, "slight").when(F.col("kappa") < 0.4, "fair")
+    band = band.when(F.col("kappa") < 0.6, "moderate").when(F.col("kappa") < 0.8, "substantial").otherwise("almost perfect")
     return one.select("total", "observed", "expected", "kappa", (F.col("prevalence") > DEGENERATE).alias("degenerate"), band.alias("band"))
 
 

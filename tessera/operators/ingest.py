@@ -6,17 +6,17 @@ needs no grouping: it is a map over units.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import chunk_identity, normal_title
+from tessera.functions.text import chunk_identity, normal_title, token_count
+from tessera.operators.chunking import Packing, count_words, pack
 from tessera.session import materialize, ship
 
 # fixed values: what makes a block a heading
@@ -112,155 +112,38 @@ def page_at(page_offsets: Column, start: Column) -> Column:
     )
 
 
-def count_words(text: str) -> int:
-    """The default token counter: words and single marks."""
-    return len(re.findall(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]", text))
-
-
-@dataclass(frozen=True)
-class Packing:
-    target: int = 350
-    overlap: int = 60
-    least: int = 80
-    most: int = 700
-
-    def less(self, used: int) -> "Packing":
-        """The budget that is left once a prefix of ``used`` tokens is paid for."""
-        target = max(self.target - used, self.least)
-        return Packing(target, self.overlap, self.least, max(self.most - used, target))
-
-
-class Packer:
-    """Packs one unit's paragraphs into chunks. A span is (text, start, end)."""
-
-    def __init__(self, size: Packing, count: Callable[[str], int] = count_words):
-        self.size, self.count = size, count
-
-    @staticmethod
-    def located(pieces: list[str], source: str, base: int = 0) -> list[tuple[str, int, int]]:
-        out, at = [], 0
-        for piece in pieces:
-            found = source.find(piece, at)
-            start = found if found >= 0 else at
-            at = start + len(piece)
-            out.append((piece, base + start, base + at))
-        return out
-
-    @staticmethod
-    def joined(spans: list) -> tuple[str, int, int]:
-        return " ".join(s[0] for s in spans), spans[0][1], spans[-1][2]
-
-    def sentences(self, span) -> list:
-        found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", span[0])]
-        return self.located([s for s in found if s], span[0], span[1])
-
-    def windows(self, span) -> Iterator[tuple[str, int, int]]:
-        """A sentence over the cap, cut into windows of at most the cap's tokens."""
-        text, base, _ = span
-        ends = [m.end() for m in re.finditer(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]", text)]
-        at = 0
-        for k in range(self.size.most, len(ends) + self.size.most, self.size.most):
-            end = ends[min(k, len(ends)) - 1]
-            piece = text[at:end]
-            skip = len(piece) - len(piece.lstrip())
-            yield piece.strip(), base + at + skip, base + end
-            at = end
-
-    def broken(self, span) -> Iterator[tuple[str, int, int]]:
-        """A paragraph over the cap as groups of sentences of at most the target."""
-        held, used = [], 0
-        for s in self.sentences(span):
-            n = self.count(s[0])
-            if held and (n > self.size.most or used + n > self.size.target):
-                yield self.joined(held)
-                held, used = [], 0
-            if n > self.size.most:
-                yield from self.windows(s)
-            else:
-                held.append(s)
-                used += n
-        if held:
-            yield self.joined(held)
-
-    def tail(self, spans: list) -> list:
-        """What the next chunk repeats: whole last pieces within the overlap, or else the
-        last sentences of the last piece."""
-        budget, out = self.size.overlap, []
-        if budget <= 0:
-            return []
-        for s in reversed(spans):
-            budget -= self.count(s[0])
-            if budget < 0:
-                break
-            out.insert(0, s)
-        if out:
-            return out
-        own = self.sentences(spans[-1])
-        while own and self.count(self.joined(own)[0]) > self.size.overlap:
-            own = own[1:]
-        return own
-
-    def pack(self, paragraphs: list) -> list:
-        chunks, held, used = [], [], 0
-        pieces = [p for s in paragraphs for p in (self.broken(s) if self.count(s[0]) > self.size.most else [s])]
-        for piece in pieces:
-            n = self.count(piece[0])
-            if held and used + n > self.size.target:
-                chunks.append(self.joined(held))
-                held = self.tail(held)
-                used = self.count(self.joined(held)[0]) if held else 0
-                if used + n > self.size.most:  # rather no overlap than a chunk over the cap
-                    held, used = [], 0
-            held.append(piece)
-            used += n
-        if held:
-            chunks.append(self.joined(held))
-        out: list = []
-        for c in chunks:  # a runt joins the chunk before it, if both fit under the cap
-            both = (f"{out[-1][0]} {c[0]}", out[-1][1], c[2]) if out else None
-            if both and self.count(c[0]) < self.size.least and self.count(both[0]) <= self.size.most:
-                out[-1] = both
-            else:
-                out.append(c)
-        return out
-
-
-def split_paragraphs(text: str) -> list[str]:
-    found = [p.strip() for p in re.split(r"\n\s*\n|\n(?=[A-Z])", text)]
-    return [p for p in found if p] or [text.strip()]
-
-
-def absorbed(units: DataFrame, least: int = 80, count: Callable[[str], int] = count_words) -> DataFrame:
+def absorbed(units: DataFrame, least: int = 80, tokens: Column | None = None) -> DataFrame:
     """Units below ``least`` tokens join the unit that follows in their paper, at a paper's
-    end the one before; offsets shift with the text."""
-    ship(units.sparkSession)
-
-    def merge(parts: list) -> dict:
-        at, offsets = 0, []
-        for u in parts:
-            offsets += [{"off": at + o["off"], "page": o["page"]} for o in u["page_offsets"]]
-            at += len(u["text"]) + 1
-        keep = max(parts, key=lambda u: u["big"]) if any(u["big"] for u in parts) else parts[-1]
-        pages = list(dict.fromkeys(p for u in parts for p in u["pages"]))
-        text = "\n".join(u["text"] for u in parts)
-        return {**keep, "text": text, "page_offsets": offsets, "pages": pages, "page_start": min(u["page_start"] for u in parts), "page_end": max(u["page_end"] for u in parts)}
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        units_ = [dict(r, big=count(r["text"]) >= least) for r in frame.sort_values("unit").to_dict("records")]
-        out, small = [], []
-        for u in units_:
-            if u["big"]:
-                out.append(merge([*small, u]))
-                small = []
-            else:
-                small.append(u)
-        if small and out:
-            out[-1] = merge([out[-1], *small])
-        else:
-            out += small
-        return pd.DataFrame([{c: u[c] for c in frame.columns} for u in out], columns=frame.columns)
-
-    return units.groupBy("paper_id").applyInPandas(one, units.schema)
+    end the one before; offsets shift with the text. Only unit numbers are looked up across
+    a paper; texts meet in groups of one large unit and the small ones that join it."""
+    size = token_count("text") if tokens is None else tokens
+    own = W.partitionBy("paper_id").orderBy("unit")
+    heads = units.select("paper_id", "unit", F.when(size >= least, F.col("unit")).alias("big"))
+    following = F.first("big", ignorenulls=True).over(own.rowsBetween(0, W.unboundedFollowing))
+    last = F.max("big").over(W.partitionBy("paper_id"))
+    heads = heads.select("paper_id", "unit", F.coalesce(following, last, "unit").alias("head"))
+    rest = [c for c in units.columns if c not in ("paper_id", "unit")]
+    parts = units.join(heads, ["paper_id", "unit"]).groupBy("paper_id", "head").agg(F.array_sort(F.collect_list(F.struct("unit", *rest))).alias("p"))
+    kind = units.schema["page_offsets"].dataType.simpleString()
+    shifted = F.aggregate(
+        "p",
+        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), kind).alias("o")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["text"]) + 1).cast("int").alias("at"),
+            F.concat(acc["o"], F.transform(x["page_offsets"], lambda o: F.struct((acc["at"] + o["off"]).cast("int").alias("off"), o["page"].alias("page")))).alias("o"),
+        ),
+    )
+    of = lambda name: F.transform("p", lambda x: x[name])
+    main = F.element_at(F.filter("p", lambda x: x["unit"] == F.col("head")), 1)
+    merged = {
+        "unit": F.col("head"),
+        "text": F.array_join(of("text"), "\n"),
+        "page_start": F.array_min(of("page_start")),
+        "page_end": F.array_max(of("page_end")),
+        "pages": F.array_distinct(F.flatten(of("pages"))),
+        "page_offsets": shifted["o"],
+    }
+    return parts.select(*[F.col(c) if c == "paper_id" else merged.get(c, main[c]).alias(c) for c in units.columns])
 
 
 def build_chunks(units: DataFrame, manifest: DataFrame | None = None, size: Packing = Packing(), count: Callable[[str], int] = count_words) -> DataFrame:
@@ -270,26 +153,27 @@ def build_chunks(units: DataFrame, manifest: DataFrame | None = None, size: Pack
     if manifest is None:
         units = units.select("*", F.lit("").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("venue"))
     else:
-        meta = manifest.select("paper_id", F.coalesce("title", F.lit("")).alias("title"), "year", "venue")
+        meta = manifest.select("paper_id", F.coalesce("title", F.lit("")).alias("title"), F.col("year").cast("int"), F.col("venue").cast("string"))
         units = units.join(meta, "paper_id", "left").na.fill("", ["title"])
+    kept = ["paper_id", "title", "year", "venue", "section", "page_offsets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {k: [] for k in ("paper_id", "unit", "nth", "text", "char_start", "char_end", "n_tokens")}
-            for u in batch.to_pylist():
-                prefix = f"{u['title']}{CONTEXT}{u['section']}\n"
-                packer = Packer(size.less(count(prefix)), count)
-                spans = packer.located(split_paragraphs(u["text"]), u["text"])
-                for nth, (body, start, end) in enumerate(packer.pack(spans)):
-                    for k, v in zip(rows, (u["paper_id"], u["unit"], nth, prefix + body, start, end, count(prefix + body))):
-                        rows[k].append(v)
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
-
-    needed = units.select(F.col("paper_id").cast("string"), F.col("unit").cast("long"), "title", "section", "text")
-    packed = needed.mapInArrow(run, "paper_id string, unit long, nth int, text string, char_start int, char_end int, n_tokens int")
-    about = units.select(F.col("paper_id").cast("string"), F.col("unit").cast("long"), "title", "year", "venue", "section", "page_offsets")
-    return packed.join(about, ["paper_id", "unit"]).select(
+            at, made = [], []
+            for i, (title, section, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("title", "section", "text")))):
+                prefix = f"{title}{CONTEXT}{section}\n"
+                paid = count(prefix)
+                for c in pack(text, size.less(paid), count):
+                    at.append(i)
+                    made.append((prefix + c.text, c.start, c.end, paid + c.tokens if count is count_words else count(prefix + c.text)))
+            rows = batch.select(kept).take(pa.array(at, pa.int64()))
+            columns = list(zip(*made)) or [()] * 4
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, "text", "char_start", "char_end", "n_tokens"])
+
+    needed = units.select(F.col("paper_id").cast("string"), *kept[1:], "text")
+    schema = T.StructType([*needed.select(*kept).schema.fields, *T._parse_datatype_string("text string, char_start int, char_end int, n_tokens int").fields])
+    return needed.mapInArrow(run, schema).select(
         chunk_identity("paper_id", "char_start", "char_end", "text").alias("chunk_id"),
         "paper_id", "title", "year", "venue", "section", "text", "char_start", "char_end", "n_tokens",
         page_at(F.col("page_offsets"), F.col("char_start")).alias("page"),
@@ -355,11 +239,20 @@ def canonical_fuzzy(titles: DataFrame, ratio: float = SIMILAR, max_rounds: int =
     """(paper_id, canonical_id): in order of paper_id, a paper takes the id of the first
     earlier canonical paper with a similar title, or else is canonical itself.
 
-    Every round settles the papers all of whose earlier similar papers are settled.
+    Papers of one normal title share their fate: none of them but the first can be
+    canonical, and the first's canonical paper is the first for all. So only the first of
+    each title is compared. Every round settles those all of whose earlier similar titles
+    are settled. A paper without a title is canonical.
     """
-    links = materialize(similar_titles(titles, ratio), "titles")
-    state = materialize(titles.select("paper_id").distinct().withColumn("canonical_id", F.lit(None).cast(titles.schema["paper_id"].dataType)), "canonical")
+    named = titles.select("paper_id", normal_title("title").alias("nt")).distinct()
+    first = materialize(named.where("nt <> ''").groupBy("nt").agg(F.min("paper_id").alias("first")), "titles")
+    links = materialize(similar_titles(first.select(F.col("first").alias("paper_id"), F.col("nt").alias("title")), ratio), "title-links")
+    # most titles are like no other: the rounds are over those that are like an earlier one, or are
+    open_ = links.select(F.col("later").alias("paper_id")).union(links.select(F.col("earlier").alias("paper_id"))).distinct()
+    state = materialize(open_.withColumn("canonical_id", F.lit(None).cast(titles.schema["paper_id"].dataType)), "canonical")
     for _ in range(max_rounds):
+        if not state.where("canonical_id is null").limit(1).count():
+            break
         known = state.select(F.col("paper_id").alias("earlier"), "canonical_id")
         seen = links.join(known, "earlier").groupBy(F.col("later").alias("paper_id")).agg(
             # an open paper before the first canonical one may turn out to be canonical
@@ -372,18 +265,23 @@ def canonical_fuzzy(titles: DataFrame, ratio: float = SIMILAR, max_rounds: int =
             F.col("first_open").isNull() & F.col("first_canonical").isNull(), F.col("paper_id")
         )
         state = materialize(rows.select("paper_id", now.alias("canonical_id")), "canonical")
-        if not state.where("canonical_id is null").limit(1).count():
-            return state
-    raise RuntimeError("canonical ids did not settle")
+    else:
+        raise RuntimeError("canonical ids did not settle")
+    settled = first.join(state.withColumnRenamed("paper_id", "first"), "first", "left").select("nt", F.coalesce("canonical_id", "first").alias("canonical_id"))
+    return named.join(settled, "nt", "left").select("paper_id", F.coalesce("canonical_id", "paper_id").alias("canonical_id"))
 
 
 def exclusive_quartiles(values: DataFrame, value: str = "v") -> DataFrame:
     """One row: n, min, p25, median, p75, max, mean, with quartiles by the exclusive method
-    (rounded to one place). Equal values are counted first, so the ordered window covers the
-    distinct values alone."""
+    (rounded to one place). Equal values are counted first and dealt out by range: running
+    sums are made in each range, and over one row a range."""
     counted = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    order = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ends = counted.withColumn("upto", F.sum("c").over(order))
+    counted = materialize(counted.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "quartiles")
+    before = counted.groupBy("part").agg(F.sum("c").alias("of_part")).withColumn(
+        "before", F.sum("of_part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("of_part")
+    )
+    inside = W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ends = counted.withColumn("own", F.sum("c").over(inside)).join(before, "part").withColumn("upto", F.col("before") + F.col("own"))
     n = counted.agg(
         F.sum("c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean")
     )

@@ -54,17 +54,19 @@ def candidate_pairs(verdicts: DataFrame, gap: int = GAP, cap: int | None = None)
 
 
 def preference_pairs(verdicts: DataFrame, chunks: DataFrame | None = None, gap: int = GAP, cap: int = CAP) -> DataFrame:
-    """The first ``cap`` pairs of each query in order of position. Pairs whose texts are
-    missing, given ``chunks``, go before the cap counts."""
-    # pairs that lose their texts may let any later one in
-    pairs = candidate_pairs(verdicts, gap, cap if chunks is None else None)
+    """The first ``cap`` pairs of each query in order of position. Given ``chunks``, verdicts
+    on chunks that have none of them go first, so a missing text costs no place."""
+    if chunks is not None:
+        verdicts = verdicts.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    pairs = candidate_pairs(verdicts, gap, cap)
     once = F.row_number().over(W.partitionBy("nq", "chosen", "rejected").orderBy("pos_a", "pos_b"))
     pairs = pairs.withColumn("nth", once).where("nth = 1").drop("nth")
+    order = W.partitionBy("nq").orderBy("pos_a", "pos_b")
+    pairs = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap)
     if chunks is not None:
         text = chunks.select("chunk_id", "text")
         pairs = pairs.join(text.toDF("chosen", "chosen_text"), "chosen").join(text.toDF("rejected", "rejected_text"), "rejected")
-    order = W.partitionBy("nq").orderBy("pos_a", "pos_b")
-    return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap)
+    return pairs
 
 
 def yield_sweep(verdicts: DataFrame, gaps: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:

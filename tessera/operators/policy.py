@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.judge import DEEP, SHALLOW
+from tessera.session import materialize
 
 # fixed values: what a route costs, and what a person's time costs in the same units
 ROUTE_COST = {"accept": 0.0, "write": 0.0, "abstain": 0.0, "escalate": 0.0, "rewrite": 1.0, "re_retrieve": 4.0, "discover": 20.0}
@@ -114,22 +115,27 @@ def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
     """(session, query_id, seq, tokens) with novel: fewer than ``most`` of its tokens shared,
     as sets, with every earlier query of its session. A query without tokens is never novel.
 
-    Queries meet on their rarest tokens: two sets of such a similarity share at least
-    ``most`` of either, so one of the first n - ceil(most * n) + 1 in any common order. Only
-    pairs that meet are compared.
+    Queries of one session with equal sets are one class, known by its first one: what is
+    compared is classes. They meet on their rarest tokens: two sets of such a similarity
+    share at least ``most`` of either, so one of the first n - ceil(most * n) + 1 in any
+    common order. Only classes that meet are compared, once each pair.
     """
     q = queries.withColumn("tokens", F.array_distinct("tokens"))
-    words = q.select("session", "query_id", "seq", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    keyed = q.withColumn("set", F.md5(F.to_json(F.array_sort("tokens"))))
+    sets = keyed.where(F.size("tokens") > 0).groupBy("session", "set").agg(F.min("seq").alias("first"), F.first("tokens").alias("tokens"))
+    sets = materialize(sets, "novelty-sets")
+    words = sets.select("session", "set", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     common = words.groupBy("w").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(W.partitionBy("session", "query_id").orderBy("df", "w"))
+    nth = F.row_number().over(W.partitionBy("session", "set").orderBy("df", "w"))
     rare = words.join(common, "w").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1)
-    rare = rare.select("session", "query_id", "seq", "n", "w")
-    old = rare.toDF("session", "old_id", "old_seq", "old_n", "w")
-    near = F.least("n", "old_n") >= most * F.greatest("n", "old_n") - 1e-9
-    met = rare.join(old, ["session", "w"]).where((F.col("old_seq") < F.col("seq")) & near).select("session", "query_id", "old_id").distinct()
-    sets = q.select("session", "query_id", "tokens")
-    both = met.join(sets, ["session", "query_id"]).join(sets.toDF("session", "old_id", "old_tokens"), ["session", "old_id"])
-    shared = F.size(F.array_intersect("tokens", "old_tokens"))
-    seen = both.where(shared / (F.size("tokens") + F.size("old_tokens") - shared) >= most)
-    seen = seen.select("session", "query_id").distinct().withColumn("seen", F.lit(True))
-    return q.join(seen, ["session", "query_id"], "left").withColumn("novel", (F.size("tokens") > 0) & F.col("seen").isNull()).drop("seen")
+    rare = materialize(rare.select("session", "set", "n", "w"), "novelty-rare")
+    other = rare.toDF("session", "other", "other_n", "w")
+    near = F.least("n", "other_n") >= most * F.greatest("n", "other_n") - 1e-9
+    met = rare.join(other, ["session", "w"]).where((F.col("set") < F.col("other")) & near).select("session", "set", "other").distinct()
+    both = met.join(sets, ["session", "set"]).join(sets.toDF("session", "other", "other_first", "other_tokens"), ["session", "other"])
+    shared = F.size(F.array_intersect("tokens", "other_tokens"))
+    alike = materialize(both.where(shared / (F.size("tokens") + F.size("other_tokens") - shared) >= most).select("session", "set", "first", "other", "other_first"), "novelty-alike")
+    links = alike.select("session", "set", F.col("other_first").alias("at")).union(alike.select("session", F.col("other").alias("set"), F.col("first").alias("at")))
+    earliest = links.union(sets.select("session", "set", F.col("first").alias("at"))).groupBy("session", "set").agg(F.min("at").alias("at"))
+    told = keyed.join(earliest, ["session", "set"], "left")
+    return told.withColumn("novel", (F.size("tokens") > 0) & (F.col("at") >= F.col("seq"))).select(*q.columns, "novel")

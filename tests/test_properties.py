@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import agreement, gate, ingest, metrics, pairs, retrieve
+from tessera.operators import agreement, chunking, gate, metrics, pairs, retrieve
 from tessera.plans import catalogue
 
 few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
@@ -56,10 +56,9 @@ def test_correction_is_a_prefix_of_the_order(spark, ps):
 def test_packer_keeps_its_bounds(seed):
     rng = random.Random(seed)
     text = "\n\n".join(" ".join(rng.choice(["a", "bc", "def.", "gh!"]) for _ in range(rng.randrange(1, 120))) for _ in range(rng.randrange(1, 8)))
-    size = ingest.Packing(target=rng.randrange(20, 60), overlap=rng.randrange(0, 20), least=10, most=80)
-    p = ingest.Packer(size)
-    out = p.pack(p.located(ingest.split_paragraphs(text), text))
-    assert all(ingest.count_words(c[0]) <= size.most and c[1] < c[2] for c in out)
+    size = chunking.Packing(target=rng.randrange(20, 60), overlap=rng.randrange(0, 20), least=10, most=80)
+    out = chunking.pack(text, size)
+    assert all(chunking.count_words(c.text) == c.tokens <= size.most and c.start < c.end for c in out)
 
 
 @few
