@@ -9,11 +9,13 @@ self-contained byte string (also exportable as a file):
 
 Each document is one frame of little-endian u32 ids, compressed with a dictionary shared
 by the whole store, so one short document is read by decompressing its frame alone. The
-dictionary is trained on the serialized ids of at most ``sample_docs`` whole documents
-(smallest hash of the id); it changes the size of the files, never what they hold.
+dictionary is trained on the serialized ids of at most ``sample_docs`` whole documents of
+at most ``SAMPLE_CHARS`` characters (smallest hash of the id); it changes the size of the
+files, never what they hold.
 
 Defined cases: a null or empty text holds only the end id; null doc_ids come first;
-repeated rows are kept one after the other; an empty table gives an empty store.
+repeated rows, and texts of one doc_id, are kept one after the other (the shorter first);
+an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from tessera.session import new_table_path, ship
 END_ID = 2
 BLOCK_IDS = 1 << 20  # a block closes at so many ids
 SAMPLE_DOCS = 200
+SAMPLE_CHARS = 1 << 16
 SAMPLE_BYTES = 4 << 20  # bytes that the dictionary is trained on, at most
 DICT_BYTES = 64 << 10
 LEVEL = 3
@@ -50,7 +53,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, sample_do
     """Bytes of the shared dictionary; empty where the sample is too small to train on."""
     import zstandard
 
-    rows = hash_sample(docs.select("doc_id", "text"), sample_docs, ties=(F.length("text"),)).collect()
+    short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    rows = hash_sample(short, sample_docs, ties=(F.length("text"),)).collect()
     ids, offsets = word_codes.encoder(path).encode(pa.array([r.text for r in rows], pa.string()))
     samples, size = [], 0
     for a, b in zip(offsets[:-1], offsets[1:]):
@@ -151,7 +155,9 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
         if held:
             yield close()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
+    # rows of one doc_id, or of none, are dealt out by their texts
+    order = [F.col("doc_id"), F.length("text"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(blocks, "part int, block int, first_start long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{target}/blocks")
 
 

@@ -3,13 +3,19 @@
 Such a tokenizer never merges across white space, so the ids of a text are the ids of
 its white-space separated words, one after the other. A batch is therefore split and
 dictionary-encoded by Arrow, each distinct stem (a word without its last marks, in lower
-case) is encoded once, and the ids of all texts are gathered with numpy. The word memo is bounded and kept between tasks of one
-Python worker.
+case) is encoded once, and the ids of all texts are gathered with numpy. The word memo is
+bounded and kept between tasks of one Python worker.
+
+The ids are those of the library with the file as it is. It cuts a text at its added tokens
+before anything else, so texts that contain one are left to the library whole; and so is
+every text if the file's normalizer, pre-tokenizer or model is not of the known kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -20,6 +26,11 @@ DEFAULT_FILE = "word_bpe_49k.json"
 MEMO_WORDS = 400_000  # entries kept between batches; beyond it the memo starts anew
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+# fixed values: the parts of a file that the splitting by words is right for
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -53,7 +64,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = (
+            parts["normalizer"] == KNOWN_NORMALIZER
+            and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [KNOWN_SPLIT, KNOWN_BYTES]}
+            and {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")} == KNOWN_MODEL
+            and parts["post_processor"] is parts["truncation"] is parts["padding"] is None
+            and not any(t["normalized"] or t["single_word"] for t in parts["added_tokens"])
+        )
+        self.added = "|".join(re.escape(t["content"]) for t in parts["added_tokens"])
         self.mark = self._ids(self.SEPARATOR)
         self._forget()
 
@@ -124,6 +143,24 @@ class WordEncoder:
         texts = large_strings(texts)
         if len(texts) == 0:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        whole = pc.match_substring_regex(texts, self.added) if self.by_words and self.added else pa.array([not self.by_words] * len(texts))
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return self._by_words(texts)
+        ids, offsets = self._by_words(pc.if_else(whole, "", texts))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+        sizes = np.diff(offsets)
+        sizes[at] = list(map(len, found))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(ends[-1]), np.uint32)
+        own = np.zeros(len(texts), bool)
+        own[at] = True
+        out[np.repeat(~own, sizes)] = ids
+        for i, x in zip(at, found):
+            out[ends[i] : ends[i + 1]] = x
+        return out, ends
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()

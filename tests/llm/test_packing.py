@@ -8,7 +8,6 @@ from tessera.llm import packing, token_store, word_codes
 
 def encode(texts, end):
     tok = Tokenizer.from_file(word_codes.tokenizer_path())
-    tok.encode_special_tokens = True
     return [np.array([*tok.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
 
 
@@ -63,12 +62,40 @@ def test_sequences_hold_the_ids(odd_docs):
 def test_word_encoder_equals_the_library():
     import pyarrow as pa
 
-    enc = word_codes.WordEncoder(word_codes.tokenizer_path())
-    texts = ["", "a♡b ♡ x", "İstanbul É.,x", "don't I'LL <|endoftext|> 12ab.", "̸ ≮ z\u0085y é.", "ΣΑΣ. ß, 漢字, a" * 3, "x" * 500, "ét. ÉT,", None]
+    enc, plain = word_codes.WordEncoder(word_codes.tokenizer_path()), Tokenizer.from_file(word_codes.tokenizer_path())
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|><|endoftext|>É", "<|ENDOFTEXT|> <|endoftext|", "", "a♡b ♡ x", "İstanbul É.,x", "don't I'LL <|endoftext|> 12ab.", "̸ ≮ z\u0085y é.", "ΣΑΣ. ß, 漢字, a" * 3, "x" * 500, "ét. ÉT,", None]
     for _ in range(2):
         ids, at = enc.encode(pa.array(texts))
         for i, t in enumerate(texts):
-            assert ids[at[i] : at[i + 1]].tolist() == enc._ids(t or "")
+            assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain = word_codes.WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.by_words and word_codes.WordEncoder(word_codes.tokenizer_path()).by_words
+    texts = ["Hello  world", "", None, "a<|endoftext|>b", " \n x"]
+    ids, at = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    """A third of all rows without an id, and one id for another third."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    target = f"file://{tmp_path}/hot"
+    token_store.write_store(docs, target)
+    got = sorted(token_store.read_store(spark, target).collect(), key=lambda r: r.start)
+    want = {d: sorted(len(x) for (e, _), x in zip(rows, encode([t for _, t in rows], 2)) if e == d) for d, _ in rows}
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert {d: sorted(r.n_tokens for r in got if r.doc_id == d) for d in want} == want
 
 
 def test_slices_of_a_batch():
