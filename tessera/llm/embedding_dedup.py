@@ -39,7 +39,7 @@ from tessera.session import materialize, ship
 
 COSINE = 0.98
 PARTS = 2
-ALPHA = 0.47  # least inner product with a filter, in up to 64 dimensions
+ALPHA = 0.5  # least inner product with a filter, in up to 64 dimensions
 FILTERS = 200  # filters that a vector passes, about
 MAX_WORDS = 4096
 MAX_DIFFERENT_SIGNS = 28  # of 128; 8 are expected at a cosine of 0.98
@@ -95,6 +95,8 @@ def signs(unit: np.ndarray) -> np.ndarray:
 
 def _unit(rows: list) -> np.ndarray:
     x = np.asarray(rows, np.float64)
+    # by the largest component first, so that no square is too large or too small
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUB_BLOCK = 256
+SUB_BLOCK = 1024
 
 
 def in_sub_blocks(rows: DataFrame, group: list[str], member: str, sub_block: int = SUB_BLOCK) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import embedding_dedup, near_dedup
 from tessera.llm.components import connected_components
@@ -93,7 +94,7 @@ def test_deduplicate_removes_rows_not_ids(spark):
     a, b, c, d = (words(k) for k in "abcd")
     near = c + " more"
     rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, d), (None, d), (7, near), (7, c), (8, c), (9, None), (9, None), (10, " "), (None, "")]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, `a.b` long").withColumn("__h0", __import__("pyspark").sql.functions.lit(1))
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, `a.b` long").withColumn("__h0", F.lit(1))
     out = near_dedup.deduplicate(df)
     assert out.columns == df.columns
     left = out.collect()
@@ -202,8 +203,30 @@ def test_planted_vectors(spark):
     rows += [(n + i, [float(x) for x in base], 7) for i in range(5)]  # exact copies
     rows += [(n + 10, None, 7), (n + 11, [0.0] * 64, 7), (n + 12, [float("nan")] * 64, 7), (n + 13, [None] * 64, 7), (n + 14, [float(x) for x in base], None)]
     rows += [(n + 15, [1.0, 0.0], 7), (n + 16, [2.0, 0.01], 7), (n + 17, [], 7), (n + 16, [2.0, 0.01], 7), (None, [1.0, 0.0], 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n", __import__("pyspark").sql.functions.lit("x"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n", F.lit("x"))
     want, have = brute_vectors(rows), got_vectors(embedding_dedup.link(df).collect())
     missed = [w for w, h in zip(want, have) if w != h]
     assert not missed, (len(missed), missed[:5])
     assert embedding_dedup.link(df.limit(0)).collect() == []
+
+
+def test_extreme_norms(spark):
+    rows = [(i, [x * s, x * s * t], 1) for i, (x, s, t) in enumerate([(1.0, 1e200, 1.0), (1.0, 1e200, 1.0001), (1.0, 1e-200, 1.0), (1.0, 1.0, 1.0), (1.0, 1e200, -1.0), (1.0, 5e-324, 1.0)])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (0, 4), 5: (4, 0)}
+
+
+def test_recall_on_a_larger_table(spark):
+    """All of 10,000 vectors against all, with groups near the limit and one large group."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(9000, 64))
+    near = base[:600] + rng.normal(size=(600, 64)) * rng.uniform(0.1, 0.25, (600, 1))
+    group = base[700] + 0.1 * rng.normal(size=(400, 64))
+    x = np.concatenate([base, near, group]).astype(np.float32)
+    label = np.concatenate([np.arange(9000) % 3, np.arange(600) % 3, np.full(400, 700 % 3)])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    same = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(same, False)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
+    got = np.array([r.n_links for r in sorted(embedding_dedup.link(df).collect(), key=lambda r: r.vec_id)])
+    assert (got <= same.sum(1)).all() and got.sum() >= 0.999 * same.sum() > 100_000
