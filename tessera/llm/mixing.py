@@ -8,10 +8,13 @@ pseudorandom permutation of that source's blocks (one per round through the sour
 blocks are joined to slots by index.
 
 The order of the words uses prefix sums in two levels, so that a source with most of all
-rows is spread over many tasks. What reaches the driver is one row a source.
+rows is spread over many tasks. What reaches the driver is one row a source; the plan of
+the draws has a number for each shard (at most ``MAX_SHARDS``) and source.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of
-its own, last in order; repeated rows are documents of their own; an empty table gives
+its own, last in order; repeated rows are documents of their own (``resample`` gives rows
+that are equal in doc_id, source and text as many copies each, rounded from their sum, but
+one at least if the mix takes any); an empty table gives
 an empty result; a source without words has target 0.
 """
 
@@ -30,8 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
-SHARDS = 64
-BUCKETS = 256  # first level of the prefix sums, by hash of doc_id
+SHARD_BLOCKS, MIN_SHARDS, MAX_SHARDS = 1 << 16, 64, 4096  # blocks of an output shard; shards
+BUCKET_ROWS, MIN_BUCKETS = 100_000, 256  # first level of the prefix sums, by hash of doc_id and text
 SEED = 20240229
 
 
@@ -54,7 +57,7 @@ def targets(sizes: list[int], weights: list[float], max_repeats: int = MAX_REPEA
     return out
 
 
-def shard_counts(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
+def shard_counts(slots: list[int], shards: int = MIN_SHARDS, seed: int = SEED) -> np.ndarray:
     """counts[shard, source]: multinomial draws over what each source still owes."""
     rng = np.random.default_rng(seed)
     owed = np.array(slots, np.int64)
@@ -104,19 +107,20 @@ class Mixture:
         weights: tuple[float, ...] = WEIGHTS,
         max_repeats: int = MAX_REPEATS,
         block_words: int = BLOCK_WORDS,
-        shards: int = SHARDS,
+        shards: int | None = None,
         seed: int = SEED,
     ):
         self.spark = docs.sparkSession
         ship(self.spark)
         self.block_words, self.seed = block_words, seed
+        buckets = max(MIN_BUCKETS, docs.count() // BUCKET_ROWS)
         sized = materialize(
             docs.select(
                 F.col("doc_id").cast("long"),
                 F.col("source").cast("string"),
                 F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                 F.xxhash64("text").alias("tie"),
-                F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+                F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
             ),
             "mix-sizes",
         )
@@ -128,15 +132,16 @@ class Mixture:
         self.targets = targets(self.sizes, self.weights, max_repeats)
         self.blocks = [-(-s // block_words) for s in self.sizes]
         self.n_slots = [min(max_repeats * b, round(t / s * b)) if s else 0 for t, s, b in zip(self.targets, self.sizes, self.blocks)]
+        shards = shards or min(MAX_SHARDS, max(MIN_SHARDS, sum(self.n_slots) // SHARD_BLOCKS))
         self.counts = shard_counts(self.n_slots, shards, seed)
         table = self.spark.createDataFrame(
             [(i, *x) for i, x in enumerate(zip(self.sources, self.sizes, self.targets))],
             "source_no int, named string, source_size long, target double",
         )
-        # the sources' rows have been on the driver already; rows are not dealt out by source
-        placed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+        # whether a row for each source is broadcast, Spark decides by its size
+        placed = sized.join(table, F.col("source").eqNullSafe(F.col("named"))).drop("named")
         sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
-        # at most BUCKETS rows a source
+        # one row a bucket and source
         sums = sums.selectExpr("source_no", "bucket", "sum(n) over (partition by source_no order by bucket) - n as base")
         self.documents = placed.join(sums, ["source_no", "bucket"]).selectExpr(
             "doc_id", "source", "source_no", "size", "source_size", "target", "tie",
@@ -202,7 +207,7 @@ class Mixture:
         blocks = parts.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("p"))  # block_words words
         blocks = blocks.selectExpr("source_no", "block", "array_join(flatten(transform(p, x -> x.words)), ' ') as text")
         names = self.spark.createDataFrame(list(enumerate(self.sources)), "source_no int, source string")
-        return self.slots().join(blocks, ["source_no", "block"]).join(F.broadcast(names), "source_no").select("shard", "slot", "source", "text")
+        return self.slots().join(blocks, ["source_no", "block"]).join(names, "source_no").select("shard", "slot", "source", "text")
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
@@ -218,7 +223,8 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     hit = F.expr("cast(doc_id as long) <=> __mix_id and cast(source as string) <=> __mix_source and xxhash64(text) = __mix_tie")
     joined = docs.join(copies.where("__mix_copies > 0"), hit)
     share = F.expr("cast(greatest(1, round(__mix_copies / __mix_rows)) as int)")
-    return joined.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), share))).select(*[docs[c] for c in docs.columns])
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return joined.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), share))).select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
