@@ -39,6 +39,33 @@ def test_rules_equal_the_plain_version(spark, sf, odd_docs, no_docs):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in odd if r.kept}
 
 
+def test_long_texts_and_full_verdicts(spark, sf):
+    rng = np.random.default_rng(0)
+    for n, v in ((5, 3), (50, 5), (3000, 12), (3000, 5000)):
+        text = " ".join(f"w{x}" for x in rng.integers(0, v, n))
+        assert quality_rules._repeat_words(text.encode().split()) == plain_facts(text)[4]
+
+    def plain_kept(text):
+        n, chars, symbols, dup, _, failed = plain_facts(text)
+        text = text or ""
+        words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        upper, lower = (len(re.findall(x, text)) for x in ("[A-Z]", "[a-z]"))
+        bare = sum(all(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in w) for w in words)
+        return not (failed or 10 * symbols > 2 * n or not 2 * n <= chars <= 14 * n or 10 * dup > 3 * len(lines) or upper > lower or 10 * bare > 3 * n)
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = quality_rules.op7_quality_rules(spark, sf).collect()
+    assert {r.doc_id: r.kept for r in rows} == {d: plain_kept(t) for d, t in docs.items()}
+    assert rows == quality_rules.op7_quality_rules(spark, sf).collect()
+
+
+def test_mix_of_rows_without_ids_and_odd_columns(spark):
+    rows = [(None, f"a b c {i}", "s") for i in range(40)] + [(1, "x y", "t")] * 3 + [(2, None, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, `a.b` int")
+    check_mix(mixing.Mixture(docs, block_words=2).taken().collect(), docs.collect())
+    assert mixing.resample(docs, block_words=2).columns == docs.columns
+
+
 def test_order_does_not_change_the_verdict():
     rules = quality_rules.DEFAULT_RULES
     texts = ["a b c " * 40, "word " * 3, " ".join(f"w{i}" for i in range(80)), "X%%% " * 90, None]
