@@ -30,6 +30,7 @@ from tessera.session import ship
 PER_LANGUAGE = 500
 FOLDS, HELD_OUT = 3, 1
 PAIR_BITS, TRIPLE_BITS = 11, 12
+SLICE = 1 << 15  # letters whose features are looked up at once
 ROUNDS, L2 = 80, 1e-3
 UNKNOWN = "und"
 
@@ -54,22 +55,31 @@ def family(code: str) -> str:
     return _FAMILY.get(code.lower().split("-")[0], code)
 
 
-def features(text: str) -> np.ndarray:
-    """Feature numbers of all letter pairs and triples (of UTF-8 bytes) of a text."""
+def slices(text: str) -> Iterator[np.ndarray]:
+    """Feature numbers of all letter pairs and triples (of UTF-8 bytes) of a text, in slices
+    of bounded memory."""
     raw = f" {text.lower()} ".encode("utf-8", "surrogatepass").translate(_LETTERS)
-    b = np.frombuffer(b" ".join(raw.split()).join([b" ", b" "]), np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.empty(0, np.int64)
-    pairs = (b[:-1] << 8) | b[1:]
-    triples = (pairs[:-1] << 8) | b[2:]
-    a = (pairs * np.uint32(2654435761)) >> np.uint32(32 - PAIR_BITS)
-    c = (triples * np.uint32(2246822519)) >> np.uint32(32 - TRIPLE_BITS)
-    return np.concatenate([a, c + np.uint32(1 << PAIR_BITS)]).astype(np.int64)
+    letters = np.frombuffer(b" ".join(raw.split()).join([b" ", b" "]), np.uint8)
+    for at in range(0, len(letters) - 1, SLICE):
+        b = letters[at : at + SLICE + 2].astype(np.uint32)
+        pairs = (b[:-1] << 8) | b[1:]
+        triples = (pairs[:-1] << 8) | b[2:]
+        x = (pairs[:SLICE] * np.uint32(2654435761)) >> np.uint32(32 - PAIR_BITS)
+        y = (triples * np.uint32(2246822519)) >> np.uint32(32 - TRIPLE_BITS)
+        if len(letters) >= 3:
+            yield np.concatenate([x, y + np.uint32(1 << PAIR_BITS)]).astype(np.int64)
+
+
+def features(text: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *slices(text)])
 
 
 def shares(text: str) -> np.ndarray:
-    found = features(text)
-    return np.bincount(found, minlength=SIZE).astype(np.float32) / max(1, len(found))
+    total, n = np.zeros(SIZE), 0
+    for found in slices(text):
+        total += np.bincount(found, minlength=SIZE)
+        n += len(found)
+    return (total / max(1, n)).astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, l2: float = L2) -> tuple[np.ndarray, float]:
@@ -116,12 +126,11 @@ class Model:
         self.bias = np.array([b - float((w / scale) @ self.mean) for w, b in machines])
 
     def margins(self, text: str) -> np.ndarray:
-        found = features(text)
-        if not len(found):
-            return self.bias.copy()
-        # whole texts, in slices of bounded memory
-        total = sum(self.weights[found[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(found), 65536))
-        return total / len(found) + self.bias
+        total, n = np.zeros(self.weights.shape[1]), 0
+        for found in slices(text):
+            total += self.weights[found].sum(0, dtype=np.float64)
+            n += len(found)
+        return total / max(1, n) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not any(map(str.isalpha, text)):
@@ -147,7 +156,9 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
-    """Whole labelled texts outside the held-out fold, at most so many of each language."""
+    """(lang, shares) of whole labelled texts outside the held-out fold, at most so many of
+    each language. The features are counted by the tasks, so the texts stay where they are:
+    a sampled text is ``SIZE`` numbers to the driver."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD_OUT))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
@@ -165,14 +176,21 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
         .distinct()
     )
     # at most per_language ids a language
-    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id, r.text))
+    some = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shares(v.as_py()).tobytes() for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], names=["doc_id", "lang", "shares"])
+
+    rows = some.mapInArrow(counted, "doc_id long, lang string, shares binary").collect()
+    rows.sort(key=lambda r: (r.lang, r.doc_id, r.shares))
     return rows
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = sample(docs, per_language)
-    x = np.stack([shares(r.text) for r in rows]) if rows else np.zeros((0, SIZE), np.float32)
+    x = np.stack([np.frombuffer(r.shares, np.float32) for r in rows]) if rows else np.zeros((0, SIZE), np.float32)
     return Model(sorted({r.lang for r in rows}), x, [r.lang for r in rows])
 
 
