@@ -36,13 +36,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import mix64, word_hashes
 from tessera.session import materialize, ship
 
 ORDER = 3
@@ -52,7 +52,6 @@ CHUNK_CHARS = 1 << 20  # of text that is hashed at once, about
 RANGE_KEYS = 1 << 20  # n-grams that a range receives, about
 M = (50.0, 50.0)  # weight of the next lower order, in states of one and of two words
 HELD_OUT_OF = 10
-HASH_SEED = 41
 END = 0x9AE16A3B2F90404F  # hash of the end token
 START = 0xC3A5C85C97CB3127  # hash of the state before the first token
 PAD = 0xB492B66FBE98F273  # what stands before it
@@ -60,12 +59,6 @@ PAD = 0xB492B66FBE98F273  # what stands before it
 _SPACE = re.compile("[ \t-\r]")
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def pieces(text: str, size: int) -> Iterator[str]:
     """A text cut at white space into pieces of about ``size`` characters."""
     at = 0
@@ -78,38 +71,13 @@ def pieces(text: str, size: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-@lru_cache(maxsize=1)
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each byte, A-Z as a-z; whether it is white space; powers of a base)."""
-    rng = np.random.default_rng(HASH_SEED)
-    number = rng.integers(0, 1 << 64, 256, np.uint64)
-    number[65:91] = number[97:123]
-    space = np.zeros(256, bool)
-    space[[32, *range(9, 14)]] = True
-    base = rng.integers(0, 1 << 64, 1, np.uint64) | np.uint64(1)
-    return number, space, np.cumprod(np.concatenate([base[:0], np.repeat(base, 1 << 12)]), dtype=np.uint64)
-
-
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word of all texts, words of each text). Only A-Z are lowered,
-    only ASCII white space splits. A word's hash is a mixed polynomial of random numbers of
-    its bytes; all words are hashed at once."""
+    only ASCII white space splits."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    number, space, powers = _letters()
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    inside = ~space[data]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, _, (hashes,) = word_hashes(b" ".join(raw))
     bounds = np.cumsum([len(x) + 1 for x in raw])
-    sizes = np.diff(np.searchsorted(starts, bounds), prepend=0)
-    if not len(starts):
-        return np.empty(0, np.uint64), sizes
-    length = ends - starts
-    while len(powers) < length.max():
-        powers = np.concatenate([powers, powers * powers[-1]])
-    at = np.cumsum(length) - length
-    values = number[data[inside]] * powers[np.arange(int(length.sum())) - np.repeat(at, length)]
-    return _mix64(np.add.reduceat(values, at) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sizes
+    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +231,7 @@ class Block:
         for k in range(1, n):
             before = np.zeros_like(keys)
             before[k:] = self.words[:-k]
-            keys = _mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+            keys = mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
         return keys
 
     def request(self, n: int) -> tuple[np.ndarray, np.ndarray]:

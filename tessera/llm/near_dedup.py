@@ -27,17 +27,16 @@ gives an empty result. Very long texts are signed in slices of bounded memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.grouping import cross_links, settle, sorted_groups
-from tessera.llm.word_codes import large_strings
+from tessera.llm.words import mix64, word_hashes
 from tessera.session import materialize, ship
 
 SHINGLE = 5
@@ -46,18 +45,13 @@ BANDS, ROWS = 32, 4
 SEED = 0x9E3779B9
 MAX_DIFFERENT_BITS = 34  # of 128; 16 are expected at a similarity of 0.75
 BUCKET_BLOCK = 512  # signatures of one side of a step
+CHUNK_BYTES = 1 << 20  # of texts that are hashed at once, about
 HUB_ROWS = 500  # links of one hub that one step verifies
 REST_BLOCK, ALL_BLOCK = 128, 512
 COLUMNS = 4096  # shingles whose incidence is multiplied at once
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _permuted(x: np.ndarray) -> np.ndarray:
     """A fixed permutation of the 32-bit numbers (xor-shifts and odd factors), in place."""
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
@@ -67,55 +61,39 @@ def _permuted(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_WORDS: dict[str, int] = {}
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    if len(_WORDS) > 200_000:
-        _WORDS.clear()
-    get = _WORDS.get
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out[i] = h
-    return out
-
-
-def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
-    texts = pc.ascii_lower(large_strings(texts))
-    split = pc.ascii_split_whitespace(texts)
-    bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    bounds -= bounds[0]
-    coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    hashes = _word_hashes(words)[codes] if words else np.empty(0, np.uint64)
-    empty = words.index("") if "" in words else -1
-    real = codes != empty
-    seen = np.concatenate([[0], np.cumsum(real)])
-    bounds, hashes = seen[bounds], hashes[real]
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size > CHUNK_BYTES:
+            yield from _shingle_sets(held, width)
+            held, size = [], 0
+    if held:
+        yield from _shingle_sets(held, width)
+
+
+def _shingle_sets(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
+    starts, _, (hashes,) = word_hashes(b" ".join(raw))
+    bounds = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))]).tolist()
     odd = np.uint64(0x9E3779B97F4A7C15)
-    out = []
     rolled = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         rolled = rolled * odd + hashes[k : k + len(rolled)]
-    rolled = _mix64(rolled)
+    rolled = mix64(rolled)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
+            x = np.sort(rolled[a : b - width + 1])
+            yield x[np.concatenate([[True], x[1:] != x[:-1]])]
         elif b > a:
-            h = int(b - a)
+            h = b - a
             for x in hashes[a:b].tolist():
                 h = (h * int(odd) + x) % (1 << 64)
-            out.append(_mix64(np.array([h], np.uint64)))
+            yield mix64(np.array([h], np.uint64))
         else:
-            out.append(np.empty(0, np.uint64))
-    return out
+            yield np.empty(0, np.uint64)
 
 
 def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
@@ -132,7 +110,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     parts = sig.astype(np.uint64).reshape(-1, rows)
     key = np.arange(len(parts), dtype=np.uint64)
     for c in range(rows):
-        key = _mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, c] + np.uint64(1))
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, c] + np.uint64(1))
     return key.view(np.int64)
 
 
@@ -145,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            sets = shingle_sets(some.column("text"))
+            sets = list(shingle_sets(some.column("text").to_pylist()))
             keys, bits = [], np.zeros((len(sets), 16), np.uint8)
             for i, s in enumerate(sets):
                 if len(s):
@@ -164,7 +142,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(some.column("text"))]
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(some.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([some.column("class_id"), pa.array(sets, pa.binary())], names=["class_id", "shingles"])
 
 
