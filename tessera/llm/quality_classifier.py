@@ -29,7 +29,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.sampling import hash_sample
+from tessera.llm.words import SPACE, word_hashes
 from tessera.session import materialize, ship
 
 LABELLED = 4000
@@ -48,9 +50,10 @@ L1 = 1e-3  # gradient of the mean loss that a feature must exceed
 MIN_DOCS = 5  # documents fitted on that must have a word for it to count
 THRESHOLD = 0.5
 
-_EDGES = bytes.maketrans(b".,;:!?\"'()[]{}%&#$*|<>", b" " * 22)
+EDGES = b".,;:!?\"'()[]{}%&#$*|<>"  # these end a word as white space does
+BEGINNINGS = (4, 6)  # bytes
+CHUNK_BYTES = 1 << 20  # of texts that are hashed at once, about
 _UPPER, _SYMBOLS, _MARKS, _DIGITS = (bytes(x) for x in (range(65, 91), b"#*$%&|<>", b"!?", b"0123456789"))
-_WORDS: dict[bytes, int] = {}
 
 #: statistics of the layout and the edges of their bins
 SHAPE = {
@@ -80,45 +83,61 @@ def _shape_number(name: str, place: int) -> int:
     return _number(f"{name}\t{place}".encode())
 
 
-def _view(numbers: list[int]) -> np.ndarray:
-    x = np.sort(np.array(numbers, np.int32))
+@lru_cache(65536)
+def _meta_number(name: str, value: str | None) -> int:
+    return _number(f"{name}\t{'' if value is None else '=' + value}".encode("utf-8", "surrogatepass"))
+
+
+def _view(numbers: np.ndarray, more: list[int]) -> np.ndarray:
+    x = np.sort(np.concatenate([numbers, np.array(more, np.int32)]))
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def features_of(rows: Iterable[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted numbers of the features of both views of (text, source, lang, n_chars)."""
+    held: list[tuple] = []
+    size = 0
+    for text, source, lang, n_chars in rows:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        held.append((raw, source, lang, n_chars))
+        size += len(raw)
+        if size > CHUNK_BYTES:
+            yield from _features(held)
+            held, size = [], 0
+    yield from _features(held)
+
+
+def _features(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    starts, _, (whole, *parts) = word_hashes(b" ".join(r[0] for r in rows), EDGES + SPACE, BEGINNINGS)
+    bounds = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(r[0]) + 1 for r in rows]))])
+    numbers = np.stack([x >> np.uint64(64 - BITS) for x in (whole, *parts)], 1).astype(np.int32)
+    for (raw, source, lang, n_chars), a, b in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist()):
+        lines = [x for x in map(bytes.strip, raw.split(b"\n")) if x]
+        words, own = b - a, np.sort(whole[a:b])
+        n, size = max(1, words), max(1, len(raw))
+        distinct = 1 + int((own[1:] != own[:-1]).sum()) if words else 0
+        count = lambda of: len(raw) - len(raw.translate(None, of))  # noqa: B023, E731
+        shape = {
+            "n_chars": -1 if n_chars is None else n_chars,
+            "words": words,
+            "lines": len(lines),
+            "line_words": words / max(1, len(lines)),
+            "word_length": (len(raw) - count(SPACE)) / n,
+            "distinct_words": distinct / n,
+            "distinct_lines": len(set(lines)) / max(1, len(lines)),
+            "symbols": count(_SYMBOLS) / n,
+            "marks": count(_MARKS) / n,
+            "upper": count(_UPPER) / size,
+            "digits": count(_DIGITS) / size,
+            "ends": sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)),
+        }
+        shapes = [_shape_number(k, bisect_right(SHAPE[k], v)) for k, v in shape.items()]
+        meta = [_meta_number(k, v) for k, v in (("source", source), ("lang", lang))]
+        yield _view(numbers[a:b].reshape(-1), shapes), _view(np.empty(0, np.int32), meta + shapes)
+
+
 def features(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted numbers of the features of both views."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    own = set(raw.lower().translate(_EDGES).split())
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    own |= {w[:n] + b"\0" for w in own for n in (4, 6) if len(w) > n}  # beginnings
-    numbers = list(map(_WORDS.get, own))
-    if None in numbers:
-        for w in own:
-            if w not in _WORDS:
-                _WORDS[w] = _number(w)
-        numbers = list(map(_WORDS.get, own))
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    n, size = max(1, len(words)), max(1, len(raw))
-    count = lambda of: len(raw) - len(raw.translate(None, of))
-    shape = {
-        "n_chars": -1 if n_chars is None else n_chars,
-        "words": len(words),
-        "lines": len(lines),
-        "line_words": len(words) / max(1, len(lines)),
-        "word_length": sum(map(len, words)) / n,
-        "distinct_words": len(set(words)) / n,
-        "distinct_lines": len(set(lines)) / max(1, len(lines)),
-        "symbols": count(_SYMBOLS) / n,
-        "marks": count(_MARKS) / n,
-        "upper": count(_UPPER) / size,
-        "digits": count(_DIGITS) / size,
-        "ends": sum(x.rstrip()[-1:] in b".!?" for x in lines) / max(1, len(lines)),
-    }
-    shapes = [_shape_number(k, sum(v >= e for e in SHAPE[k])) for k, v in shape.items()]
-    meta = [_number(f"{k}\t{'' if v is None else '=' + v}".encode("utf-8", "surrogatepass")) for k, v in (("source", source), ("lang", lang))]
-    return _view(numbers + shapes), _view(meta + shapes)
+    return next(features_of([(text, source, lang, n_chars)]))
 
 
 class Linear:
@@ -255,8 +274,7 @@ _COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def _features_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for row in zip(*(batch.column(c) for c in _COLUMNS)):
-        yield features(*(x.as_py() for x in row))
+    return features_of(zip(*(batch.column(c).to_pylist() for c in _COLUMNS)))
 
 
 def _table(docs: DataFrame) -> DataFrame:

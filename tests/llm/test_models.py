@@ -8,6 +8,7 @@ import xxhash
 
 from tessera.llm import language_id, lm_score, quality_classifier
 from tessera.llm.sampling import hash_sample
+from tessera.llm.words import letters, mix64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,14 +171,21 @@ def plain_features(text, source, lang, n_chars):
     number = lambda x: xxhash.xxh3_64_intdigest(x) >> (64 - q.BITS)
     raw = (text or "").encode()
     clean = "".join(" " if c in ".,;:!?\"'()[]{}%&#$*|<>" else c.lower() if c.isascii() else c for c in text or "")
-    own = {w.encode() for w in re.split(r"[\x20\x09-\x0D]+", clean) if w}
-    numbers = {number(w) for w in own} | {number(w[:k] + b"\0") for w in own for k in (4, 6) if len(w) > k}
-    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    words = [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", clean) if w]
+    own = set(words)
+    letter, powers = (x.tolist() for x in letters())
+
+    def part(w, n, salt):  # the polynomial of a word's first n bytes, mixed
+        x = (sum(letter[c] * powers[i] for i, c in enumerate(w[:n])) + salt) % 2**64
+        return int(mix64(np.array([x], np.uint64))[0]) >> (64 - q.BITS)
+
+    numbers = {part(w, len(w), len(w) * 0x9E3779B97F4A7C15) for w in own} | {part(w, k, k) for w in own for k in (4, 6) if len(w) > k}
+    lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
     n, size, rows = max(1, len(words)), max(1, len(raw)), max(1, len(lines))
     has = lambda of: sum(chr(b) in of for b in raw)
     shape = [
         ("n_chars", -1 if n_chars is None else n_chars), ("words", len(words)), ("lines", len(lines)), ("line_words", len(words) / rows),
-        ("word_length", sum(map(len, words)) / n), ("distinct_words", len(set(words)) / n), ("distinct_lines", len(set(lines)) / rows),
+        ("word_length", sum(map(len, raw.split())) / n), ("distinct_words", len(set(words)) / n), ("distinct_lines", len(set(lines)) / rows),
         ("symbols", has("#*$%&|<>") / n), ("marks", has("!?") / n), ("upper", sum(65 <= b <= 90 for b in raw) / size),
         ("digits", sum(48 <= b <= 57 for b in raw) / size), ("ends", sum(x.strip()[-1:] in (b".", b"!", b"?") for x in lines) / rows),
     ]
