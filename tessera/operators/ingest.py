@@ -316,3 +316,18 @@ def parse_report(records: DataFrame) -> DataFrame:
 def chunk_counts(report: DataFrame, chunks: DataFrame) -> DataFrame:
     counts = chunks.groupBy("paper_id").agg(F.count("*").alias("chunks"))
     return report.join(counts, "paper_id", "left").na.fill(0, ["chunks"])
+
+
+def chunk_bounds(chunks: DataFrame, least: int = 80, most: int = 700) -> DataFrame:
+    """Per paper of (paper_id, n_tokens): chunks, how many are below and above the bounds."""
+    n = F.col("n_tokens")
+    return chunks.groupBy("paper_id").agg(F.count("*").alias("chunks"), F.count_if(n < least).alias("under"), F.count_if(n > most).alias("over"))
+
+
+def with_manifest(records: DataFrame, manifest: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """Records with title, year and venue of their paper, and its canonical id. A paper that
+    the manifest lacks has an empty title and is its own canonical paper."""
+    rows = records.join(manifest.select("paper_id", "title", "year", "venue"), "paper_id", "left").na.fill("", ["title"])
+    if canonical is None:
+        return rows.withColumn("canonical_id", F.col("paper_id"))
+    return rows.join(canonical.select("paper_id", "canonical_id"), "paper_id", "left").withColumn("canonical_id", F.coalesce("canonical_id", "paper_id"))

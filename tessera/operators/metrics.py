@@ -35,6 +35,30 @@ def ideal_gains(qrels: DataFrame, k: int = K) -> DataFrame:
     return best.groupBy("query_id").agg(F.sum(_gain("grade", "best")).alias("ideal"))
 
 
+def search_results(found: DataFrame) -> DataFrame:
+    """What a search returns as (query_id, chunk_id, rank). Accepted are rows with a rank,
+    rows with a score, and a row a query with a list of chunk ids in order; a chunk that is
+    listed again keeps its first place."""
+    if "chunk_ids" in found.columns:
+        rows = found.select("query_id", F.posexplode("chunk_ids").alias("rank", "chunk_id"))
+    elif "rank" in found.columns:
+        rows = found.select("query_id", "chunk_id", "rank")
+    elif "score" in found.columns:
+        order = W.partitionBy("query_id").orderBy(F.round("score", 10).desc(), "chunk_id")
+        rows = found.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"))
+    else:
+        raise ValueError(f"a search returns a rank, a score or chunk_ids, not {found.columns}")
+    once = rows.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "chunk_id"))
+    return once.select("query_id", "chunk_id", place.alias("rank"))
+
+
+def evaluate_search(search, queries: DataFrame, qrels: DataFrame, k: int = K, candidate_k: int = CANDIDATE_K) -> DataFrame:
+    """Metrics of each query for a search: a function of the queries that returns any shape
+    that :func:`search_results` accepts."""
+    return per_query(queries, search_results(search(queries)), qrels, k, candidate_k)
+
+
 def per_query(queries: DataFrame, results: DataFrame, qrels: DataFrame, k: int = K, candidate_k: int = CANDIDATE_K, good: int = GOOD) -> DataFrame:
     """All retrieval metrics of every query, one aggregation over the judged results."""
     names = metric_names(k, candidate_k)
@@ -135,7 +159,11 @@ def claim_granularity(drafts: DataFrame) -> DataFrame:
 
 
 def best_level(scores: DataFrame) -> DataFrame:
-    """Of (level, score): the level with the best mean; the first in order of a tie."""
+    """Of (level, score): the level with the best mean; the first in order of a tie. Levels
+    must have as many scores each."""
+    sizes = [r.n for r in scores.groupBy("level").agg(F.count("*").alias("n")).select("n").distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"levels have different numbers of scores: {sorted(sizes)}")
     means = scores.groupBy("level").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
     return means.orderBy(F.desc("mean"), "level").limit(1)
 

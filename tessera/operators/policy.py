@@ -14,6 +14,12 @@ ROUTE_COST = {"accept": 0.0, "write": 0.0, "abstain": 0.0, "escalate": 0.0, "rew
 HUMAN_COST = 50.0
 MAX_REWRITES, MAX_RE_RETRIEVALS, MAX_DISCOVERIES, MAX_STEPS = 3, 2, 0, 12
 NODES = {"accept": "done", "rewrite": "writer", "write": "writer", "re_retrieve": "researcher", "discover": "researcher", "abstain": "flag_for_human", "escalate": "flag_for_human"}
+# fixed values: which node may write a field of a run's state; others are set at its start
+WRITERS = {
+    "evidence": ("researcher",), "queries_issued": ("researcher",), "draft": ("writer",), "claims": ("writer",),
+    "assessment": ("editor",), "faithfulness": ("editor",), "answer": ("editor",), "decisions": ("editor",), "budget": ("editor",),
+    "outcome": ("editor", "flag_for_human"),
+}
 OUTCOMES = {"accept": "accepted", "abstain": "abstained", "escalate": "escalated"}
 
 
@@ -103,6 +109,25 @@ def running_budget(steps: DataFrame) -> DataFrame:
     )
 
 
+class StateViolation(RuntimeError):
+    """A node wrote a field that it does not own."""
+
+
+def unowned_writes(writes: DataFrame, writers: dict[str, tuple[str, ...]] = WRITERS) -> DataFrame:
+    """Writes (node, field, ...) that break the ownership, with why: a field that no node
+    may write, or another node's."""
+    owners = F.create_map(*[x for field, nodes in writers.items() for x in (F.lit(field), F.array(*[F.lit(n) for n in nodes]))])
+    own = F.try_element_at(owners, F.col("field"))
+    reason = F.when(own.isNull(), F.lit("not writable")).when(~F.array_contains(own, F.col("node")), F.concat(F.lit("owned by "), F.array_join(own, ", ")))
+    return writes.withColumn("violation", reason).where("violation is not null")
+
+
+def assert_owned(writes: DataFrame, writers: dict[str, tuple[str, ...]] = WRITERS) -> None:
+    found = unowned_writes(writes, writers).limit(5).collect()
+    if found:
+        raise StateViolation("; ".join(f"{r.node} may not write {r.field}: {r.violation}" for r in found))
+
+
 def handover(steps: DataFrame) -> DataFrame:
     """What a person is given of each run: its last step, outcome, number of steps, cost."""
     last = F.max_by(F.struct("route", "trigger"), "step")

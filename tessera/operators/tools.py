@@ -85,3 +85,47 @@ def repair_brief(claims: DataFrame, violations: DataFrame) -> DataFrame:
     """Claims with what to do about each: fix those that a violation names word for word."""
     bad = violations.select("draft_id", F.col("claim").alias("text"), "kind").dropDuplicates(["draft_id", "text"])
     return claims.join(bad, ["draft_id", "text"], "left").withColumn("action", F.when(F.col("kind").isNotNull(), "fix").otherwise("keep"))
+
+
+FENCED = r"(?s)```(?:json)?\s*(.*?)```"
+
+
+def reply_object(text: Column) -> Column:
+    """The JSON object in a model's reply, out of prose or a fence, as a string: from the
+    first opening to the last closing brace. NULL where there is none."""
+    inside = F.when(text.rlike(FENCED), F.regexp_extract(text, FENCED, 1)).otherwise(text)
+    start, end = F.instr(inside, "{"), F.length(inside) - F.instr(F.reverse(inside), "}") + 1
+    return F.when((start > 0) & F.contains(inside, F.lit("}")) & (end >= start), F.substring(inside, start, end - start + 1))
+
+
+def parsed_reply(text: Column, schema: str, required: tuple[str, ...] = ()) -> Column:
+    """struct(reply, error): the reply's object read by ``schema``, or what is wrong with it.
+    A reply that cannot be read is an error and never a default value."""
+    found = reply_object(text)
+    reply = F.from_json(found, schema)
+    missing = F.array_compact(F.array(*[F.when(reply[c].isNull(), F.lit(c)) for c in required])) if required else F.array().cast("array<string>")
+    error = (
+        F.when(found.isNull(), F.lit("no object"))
+        .when(F.try_parse_json(found).isNull(), F.lit("not JSON"))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    )
+    return F.struct(F.when(error.isNull(), reply).alias("reply"), error.alias("error"))
+
+
+def report_lines() -> Column:
+    """An ask report as text, from question, outcome, answer, references (array<struct<
+    chunk_id, found, title, year, page>>), reason, next_step, draft, steps, n_evidence."""
+    c = F.col
+    line = lambda r: F.when(
+        r["found"],
+        F.concat(F.lit("  ["), r["chunk_id"], F.lit("] "), r["title"], F.lit(" ("), F.coalesce(r["year"].cast("string"), F.lit("n.d.")), F.lit(")"),
+                 F.coalesce(F.concat(F.lit(", p. "), r["page"].cast("string")), F.lit(""))),
+    ).otherwise(F.concat(F.lit("  ["), r["chunk_id"], F.lit("] NOT FOUND IN INDEX")))
+    accepted = F.concat(F.array(c("answer"), F.lit(""), F.lit("References:")), F.transform("references", line))
+    label = F.when(c("outcome") == "abstained", "ABSTAINED").otherwise("ESCALATED TO A PERSON")
+    refused = F.concat(
+        F.array(label, F.concat(F.lit("  why:  "), F.coalesce("reason", F.lit("n/a"))), F.concat(F.lit("  next: "), F.coalesce("next_step", F.lit("n/a")))),
+        F.when(c("draft").isNotNull(), F.array(F.lit(""), F.lit("Unverified draft (do not rely on it):"), c("draft"))).otherwise(F.array().cast("array<string>")),
+    )
+    foot = F.concat(F.lit("["), c("outcome"), F.lit("] "), c("steps").cast("string"), F.lit(" routing steps, "), c("n_evidence").cast("string"), F.lit(" passages"))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("Q: "), c("question")), F.lit("")), F.when(c("outcome") == "accepted", accepted).otherwise(refused), F.array(F.lit(""), foot)), "\n")

@@ -381,9 +381,9 @@ def claim_granularity(s, d):
     return rounded(metrics.claim_granularity(X.drafts(s, d)), "claims_per_sentence", "words_per_claim")
 
 
-@query("granularity_sweep", "SELECT \"level\", round(mean, 6) AS mean, n FROM (SELECT event_type AS \"level\", avg(value) AS mean, count(*) AS n FROM events GROUP BY 1) ORDER BY mean DESC, \"level\" LIMIT 1")
+@query("granularity_sweep", "SELECT \"level\", round(mean, 6) AS mean, n FROM (SELECT \"level\", avg(score) AS mean, count(*) AS n FROM (SELECT unnest(['draft', 'fine', 'whole']) AS \"level\", unnest([value, value * 2 - 30, 50 - value / 2]) AS score FROM events) GROUP BY 1) ORDER BY mean DESC, \"level\" LIMIT 1")
 def granularity_sweep(s, d):
-    return rounded(metrics.best_level(X.table(s, d, "events").selectExpr("event_type as level", "value as score")), "mean")
+    return rounded(metrics.best_level(X.table(s, d, "events").selectExpr("stack(3, 'draft', value, 'fine', value * 2 - 30, 'whole', 50 - value / 2) as (level, score)")), "mean")
 
 
 @query("answer_relevance", with_views("verdicts") + "SELECT round(avg(grade) / 3, 6) AS answer_relevance FROM verdicts")
@@ -866,3 +866,135 @@ def category_report(s, d):
 def stub_embeddings(s, d):
     v = X.table(s, d, "documents").select("doc_id", drafts.stub_embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.round(retrieve.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+
+
+# --- operators over the results of others ----------------------------------------------
+
+_FOUND = _RRF + f""", kept AS (SELECT x.* FROM rrf x JOIN chunks c USING (chunk_id) JOIN requests r USING (query_id) WHERE {_FILTER}),
+results AS (SELECT query_id, chunk_id, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5),"""
+
+
+@query("search_metrics", with_views("requests", "chunks", "vectors", "qrels", more=_FOUND + _JUDGED) + "SELECT query_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in metrics.metric_names().values()) + " FROM per")
+def search_metrics(s, d):
+    """The engine's own search under evaluation."""
+
+    def search(queries):
+        return retrieve.hybrid_search(X.requests(s, d), X.chunks(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True), X.vectors(s, d))
+
+    asked = X.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return rounded(metrics.evaluate_search(search, asked, X.qrels(s, d)), *metrics.metric_names().values())
+
+
+@query("stub_filtered_topk", _SQL["stub_bm25_topk"].split("SELECT query_id, chunk_id, round(score, 6)")[0].rstrip() + f""", kept AS (SELECT sc.* FROM sc JOIN documents ON doc_id = chunk_id WHERE (query_id % 3 > 0 OR (doc_id % 13 > 0 AND 2016 + doc_id % 11 >= 2018)) AND (query_id % 4 > 0 OR (doc_id % 13 > 0 AND 2016 + doc_id % 11 <= 2024)))
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5 AND query_id IN (SELECT vec_id FROM embeddings)""")
+def stub_filtered_topk(s, d):
+    return rounded(retrieve.stub_search(X.requests(s, d), X.chunks(s, d)), "score")
+
+
+@query("highest_labels", with_views("qrels") + "SELECT query_id, chunk_id, max(grade) AS grade FROM (SELECT * FROM qrels UNION ALL SELECT query_id, chunk_id, (grade + 1) % 4 FROM qrels) GROUP BY 1, 2")
+def highest_labels(s, d):
+    q = X.qrels(s, d)
+    return labels.highest_grades(q.unionByName(q.withColumn("grade", ((F.col("grade") + 1) % 4).cast("int"))))
+
+
+@query("judge_pairs", with_views("qrels") + "SELECT a.query_id::VARCHAR AS nq, a.chunk_id AS chosen, b.chunk_id AS rejected, a.grade - b.grade AS margin FROM qrels a JOIN qrels b ON a.query_id = b.query_id AND a.grade > b.grade")
+def judge_pairs(s, d):
+    """Every ordered pair of a query's judged chunks, without the cap."""
+    rows = X.qrels(s, d).withColumn("query", F.col("query_id").cast("string"))
+    return pairs.candidate_pairs(rows).select("nq", "chosen", "rejected", "margin")
+
+
+def _two_runs(s, d):
+    runs = X.runs(s, d)
+    return (runs.select("query_id", "metric", F.col(c).alias("value")) for c in ("baseline", "candidate"))
+
+
+@query("aligned_runs", with_views("runs") + "SELECT query_id, metric, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, round(diff, 6) AS diff FROM runs")
+def aligned_runs(s, d):
+    return rounded(gate.aligned(*_two_runs(s, d)), "baseline", "candidate", "diff")
+
+
+@query("gate_compare", _SQL["gate_decision"])
+def gate_compare(s, d):
+    return gate.compare(*_two_runs(s, d), min_queries=1)
+
+
+@query("draft_grades", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 4 WHEN doc_id % 5 = 0 OR (doc_id % 2 = 0 AND lang = 'en') THEN 1 ELSE 0 END AS grade FROM documents")
+def draft_grades(s, d):
+    grade = judge.draft_grade(F.expr("case when doc_id % 3 = 0 then doc_id % 4 end"), F.expr("doc_id % 5 = 0"), F.expr("doc_id % 2 = 0"), F.expr("lang = 'en'"))
+    return X.table(s, d, "documents").select("doc_id", grade.cast("long").alias("grade"))
+
+
+@query("over_fetch", "SELECT item_id, least(200, greatest(20, 4 * (item_id % 70))) AS candidates FROM benchmark")
+def over_fetch(s, d):
+    return X.table(s, d, "benchmark").select("item_id", retrieve.over_fetch(F.col("item_id") % 70).cast("long").alias("candidates"))
+
+
+_BOUNDS = _SQL["fixed_window_chunks"].replace("SELECT paper_id, win AS", ", f AS (SELECT paper_id, win AS", 1) + ")"
+
+
+@query("chunk_report", _BOUNDS + " SELECT paper_id, count(*) AS chunks, count(CASE WHEN n < 80 THEN 1 END) AS under, count(CASE WHEN n > 360 THEN 1 END) AS over FROM f GROUP BY 1")
+def chunk_report(s, d):
+    return ingest.chunk_bounds(fixed_window_chunks(s, d).withColumnRenamed("n", "n_tokens"), 80, 360)
+
+
+@query("counted_report", with_views("blocks", more=_RECORDS) + "SELECT paper_id, count(*) AS records, count(CASE WHEN NOT dropped AND NOT thin THEN 1 END) AS kept, coalesce(any_value(c.n), 0) AS chunks FROM records LEFT JOIN (SELECT doc_id AS p, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents WHERE lang <> 'en') GROUP BY 1) c ON c.p = paper_id GROUP BY 1")
+def counted_report(s, d):
+    """The parse report with chunk counts; papers without chunks have 0."""
+    lines = X.table(s, d, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("paper_id"), F.explode(F.split("text", "\n")).alias("line"))
+    return ingest.chunk_counts(ingest.parse_report(ingest.page_records(X.blocks(s, d))), lines).select("paper_id", "records", "kept", "chunks")
+
+
+@query("manifest_records", f"WITH t AS ({_TITLES}), n AS (SELECT paper_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt FROM t), c AS (SELECT paper_id, CASE WHEN nt <> '' THEN min(paper_id) OVER (PARTITION BY nt) ELSE paper_id END AS canonical_id FROM n) SELECT doc_id AS paper_id, md5(coalesce(title, '')) AS title, coalesce(c.canonical_id, doc_id) AS canonical_id FROM documents LEFT JOIN t ON t.paper_id = doc_id LEFT JOIN c ON c.paper_id = doc_id")
+def manifest_records(s, d):
+    titles = _titles(s, d)
+    manifest = titles.selectExpr("paper_id", "title", "cast(null as int) as year", "cast(null as string) as venue")
+    rows = ingest.with_manifest(X.table(s, d, "documents").selectExpr("doc_id as paper_id"), manifest, ingest.canonical_exact(titles))
+    return rows.select("paper_id", F.md5("title").alias("title"), "canonical_id")
+
+
+@query("question_labels", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(range(len(ls))) AS o, trim(unnest(ls), ' ') AS t FROM l),
+e AS (SELECT doc_id, trim(unnest([ls[1], ls[3]]), ' ') AS ev, substr(ls[1], 1, 12) AS hl FROM l WHERE doc_id % 5 > 0)
+SELECT concat('q', e.doc_id) AS query_id, concat(c.doc_id, '-0-', c.o) AS chunk_id, max(CASE WHEN contains(ev, hl) THEN 3 ELSE 2 END) AS grade FROM e JOIN c ON c.doc_id = e.doc_id AND c.t = e.ev GROUP BY 1, 2""")
+def question_labels(s, d):
+    from tessera.sources.documents import question_set
+
+    papers = X.table(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("paper_id"), F.col("lang").alias("title"),
+        F.array(F.struct(F.lit("all").alias("name"), F.split("text", "\n").alias("paragraphs"))).alias("sections"),
+        F.expr("array(named_struct('query_id', concat('q', doc_id), 'query', lang, 'evidence', filter(array(get(split(text, '\\n'), 0), get(split(text, '\\n'), 2)), x -> x is not null), "
+               "'highlighted', array(substr(get(split(text, '\\n'), 0), 1, 12)), 'unanswerable', doc_id % 5 = 0))").alias("qas"),
+    )
+    return question_set(papers)["qrels"]
+
+
+_REPLY = "concat(CASE conv_id % 5 WHEN 0 THEN 'Sure: ```json\n' WHEN 1 THEN 'My verdict is ' WHEN 2 THEN '' WHEN 3 THEN 'none ' ELSE '' END, CASE conv_id % 5 WHEN 3 THEN role WHEN 4 THEN '{\"grade\": ' ELSE concat('{\"grade\": ', turn % 4, ', \"why\": \"', role, '\"', CASE WHEN turn % 3 = 0 THEN '' ELSE ', \"sure\": 0.5' END, '}') END, CASE conv_id % 5 WHEN 0 THEN '\n```' WHEN 1 THEN ' as asked.' WHEN 4 THEN 'x}' ELSE '' END)"
+
+
+@query("reply_parsing", "WITH r AS (SELECT conv_id, turn, " + _REPLY.replace("\\n", "\n").replace('\\"', '"').replace("\n", "' || chr(10) || '").replace('\"', '"') + """ AS t FROM conversations),
+o AS (SELECT conv_id, turn, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN regexp_extract(t, '(?s)\{.*\}') END AS j FROM r),
+v AS (SELECT *, CASE WHEN j IS NULL THEN 'no object' WHEN NOT json_valid(j) THEN 'not JSON' WHEN json_extract(j, '$.sure') IS NULL THEN 'missing: sure' END AS error FROM o)
+SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN json_extract(j, '$.grade')::INT END AS grade, CASE WHEN error IS NULL THEN json_extract_string(j, '$.why') END AS why FROM v""")
+def reply_parsing(s, d):
+    text = F.expr(_REPLY)
+    parsed = tools.parsed_reply(text, "grade int, why string, sure double", ("grade", "sure"))
+    return X.table(s, d, "conversations").select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.error", "p.reply.grade", "p.reply.why")
+
+
+_WRITES = "SELECT event_id, CASE event_type WHEN 'view' THEN 'writer' WHEN 'click' THEN 'researcher' WHEN 'error' THEN 'flag_for_human' ELSE 'editor' END AS node, CASE event_id % 5 WHEN 0 THEN 'evidence' WHEN 1 THEN 'draft' WHEN 2 THEN 'budget' WHEN 3 THEN 'outcome' ELSE 'run_id' END AS field FROM events"
+
+
+@query("state_ownership", f"WITH w AS ({_WRITES}), o AS (SELECT * FROM (VALUES ('evidence', ['researcher']), ('draft', ['writer']), ('budget', ['editor']), ('outcome', ['editor', 'flag_for_human'])) AS t(field, nodes)) SELECT event_id, node, w.field, CASE WHEN nodes IS NULL THEN 'not writable' ELSE concat('owned by ', array_to_string(nodes, ', ')) END AS violation FROM w LEFT JOIN o ON o.field = w.field WHERE nodes IS NULL OR NOT list_contains(nodes, node)")
+def state_ownership(s, d):
+    writes = X.table(s, d, "events").selectExpr(*[x.strip() for x in _WRITES.removeprefix("SELECT ").removesuffix(" FROM events").replace("END AS node,", "END AS node;").replace("event_id,", "event_id;", 1).split(";")])
+    return policy.unowned_writes(writes)
+
+
+@query("ask_report", "WITH a AS (SELECT doc_id, ['accepted', 'abstained', 'escalated'][(doc_id % 3 + 1)::INT] AS outcome, CASE WHEN doc_id % 4 > 0 THEN source END AS draft, CASE WHEN doc_id % 2 = 0 THEN lang END AS reason FROM documents) SELECT doc_id, md5(concat('Q: ', doc_id, '?', chr(10), chr(10), CASE WHEN outcome = 'accepted' THEN concat('A', doc_id, chr(10), chr(10), 'References:', chr(10), '  [', doc_id, '] T (n.d.), p. 3', chr(10), '  [x] NOT FOUND IN INDEX') ELSE concat(CASE outcome WHEN 'abstained' THEN 'ABSTAINED' ELSE 'ESCALATED TO A PERSON' END, chr(10), '  why:  ', coalesce(reason, 'n/a'), chr(10), '  next: n/a', CASE WHEN draft IS NULL THEN '' ELSE concat(chr(10), chr(10), 'Unverified draft (do not rely on it):', chr(10), draft) END) END, chr(10), chr(10), '[', outcome, '] ', doc_id % 9, ' routing steps, ', doc_id % 6, ' passages')) AS digest FROM a")
+def ask_report(s, d):
+    rows = X.table(s, d, "documents").selectExpr(
+        "doc_id", "concat(doc_id, '?') as question", "element_at(array('accepted', 'abstained', 'escalated'), cast(doc_id % 3 + 1 as int)) as outcome", "concat('A', doc_id) as answer",
+        "array(named_struct('chunk_id', cast(doc_id as string), 'found', true, 'title', 'T', 'year', cast(null as int), 'page', 3), named_struct('chunk_id', 'x', 'found', false, 'title', '', 'year', 1, 'page', 1)) as references",
+        "case when doc_id % 2 = 0 then lang end as reason", "cast(null as string) as next_step", "case when doc_id % 4 > 0 then source end as draft", "doc_id % 9 as steps", "doc_id % 6 as n_evidence",
+    )
+    return rows.select("doc_id", F.md5(tools.report_lines()).alias("digest"))
