@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import read_text, write_text
+
 SCHEMA = "name string, kind string, path string, base_model string, metrics map<string,double>, notes string, champion boolean"
 BASELINE = {"name": "baseline", "kind": "fusion_order", "path": None, "base_model": None, "metrics": {}, "notes": "order of fusion"}
 
@@ -16,18 +17,17 @@ class RegistryError(LookupError):
 
 
 class Registry:
-    """An append-only JSON file; it is created with the baseline as champion."""
-
-    def __init__(self, path: str):
-        self.path = Path(path)
-        if self.path.exists():
-            state = json.loads(self.path.read_text())
-        else:
-            state = {"champion": "baseline", "entries": {"baseline": BASELINE}}
+    """An append-only JSON file in any file system that Spark reaches; without one, the
+    baseline is champion."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        text = read_text(spark, path)
+        state = json.loads(text) if text else {"champion": "baseline", "entries": {"baseline": BASELINE}}
         self.champion, self.entries = state["champion"], state["entries"]
 
     def _save(self) -> None:
-        self.path.write_text(json.dumps({"champion": self.champion, "entries": self.entries}, indent=1, sort_keys=True))
+        write_text(self.spark, self.path, json.dumps({"champion": self.champion, "entries": self.entries}, indent=1, sort_keys=True))
 
     def register(self, name: str, **entry) -> None:
         if name in self.entries:
@@ -47,6 +47,6 @@ class Registry:
             raise RegistryError(f"unknown ranker {name!r}; known: {sorted(self.entries)}")
         return self.entries[name]
 
-    def table(self, spark: SparkSession) -> DataFrame:
+    def table(self) -> DataFrame:
         rows = [(e["name"], e["kind"], e["path"], e["base_model"], e["metrics"], e["notes"], e["name"] == self.champion) for e in self.entries.values()]
-        return spark.createDataFrame(sorted(rows), SCHEMA)
+        return self.spark.createDataFrame(sorted(rows), SCHEMA)

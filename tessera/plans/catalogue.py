@@ -82,7 +82,12 @@ def sentence_split(s, d):
     return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("p").alias("n_chars"), F.md5("p").alias("digest"))
 
 
-@query("paragraph_spans")
+@query("paragraph_spans", f"""WITH RECURSIVE ps AS (SELECT doc_id, text, CASE WHEN len(f) > 0 THEN f ELSE [trim(text)] END AS l FROM (SELECT doc_id, text, {_PARAGRAPHS} AS f FROM documents)),
+pr AS (SELECT doc_id, unnest(range(len(l))) AS nth, unnest(l) AS p FROM ps),
+sp AS (SELECT doc_id, 0::BIGINT AS nth, 0::BIGINT AS "start", 0::BIGINT AS "end", true AS seed FROM ps
+  UNION ALL SELECT a.doc_id, pr.nth, a."end" + greatest(instr(substr(text, (a."end" + 1)::INT), p), 1) - 1, a."end" + greatest(instr(substr(text, (a."end" + 1)::INT), p), 1) - 1 + length(p), false
+  FROM sp a JOIN pr ON pr.doc_id = a.doc_id AND pr.nth = CASE WHEN a.seed THEN 0 ELSE a.nth + 1 END JOIN documents d ON d.doc_id = a.doc_id)
+SELECT doc_id, nth, "start"::INT AS "start", "end"::INT AS "end" FROM sp WHERE NOT seed""")
 def paragraph_spans(s, d):
     rows = X.table(s, d, "documents").select("doc_id", F.posexplode(T.spans("text", T.paragraphs("text"))).alias("nth", "span"))
     return rows.select("doc_id", "nth", "span.start", "span.end")
@@ -972,7 +977,7 @@ _REPLY = "concat(CASE conv_id % 5 WHEN 0 THEN 'Sure: ```json\n' WHEN 1 THEN 'My
 
 
 @query("reply_parsing", "WITH r AS (SELECT conv_id, turn, " + _REPLY.replace("\\n", "\n").replace('\\"', '"').replace("\n", "' || chr(10) || '").replace('\"', '"') + """ AS t FROM conversations),
-o AS (SELECT conv_id, turn, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN regexp_extract(t, '(?s)\{.*\}') END AS j FROM r),
+o AS (SELECT conv_id, turn, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN regexp_extract(t, '(?s)\\{.*\\}') END AS j FROM r),
 v AS (SELECT *, CASE WHEN j IS NULL THEN 'no object' WHEN NOT json_valid(j) THEN 'not JSON' WHEN json_extract(j, '$.sure') IS NULL THEN 'missing: sure' END AS error FROM o)
 SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN json_extract(j, '$.grade')::INT END AS grade, CASE WHEN error IS NULL THEN json_extract_string(j, '$.why') END AS why FROM v""")
 def reply_parsing(s, d):

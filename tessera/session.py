@@ -120,3 +120,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def drop(table: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` returned and nothing reads any more."""
     _remove(table.sparkSession, table._written_to)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system that Spark reaches; None where there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file beside its place and move it there."""
+    fs, p = _file(spark, path)
+    part = p.suffix(f".{uuid.uuid4().hex[:8]}")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"cannot write {path}")

@@ -403,15 +403,15 @@ def test_text_functions(spark):
 
 
 def test_registry(tmp_path, spark):
-    r = registry.Registry(str(tmp_path / "r.json"))
+    r = registry.Registry(spark, f"file://{tmp_path}/r.json")
     assert r.get()["kind"] == "fusion_order"
     r.register("x", kind="trained", metrics={"ndcg": 0.6})
     for bad in (lambda: r.register("x"), lambda: r.get("y"), lambda: r.promote("y")):
         with pytest.raises(registry.RegistryError):
             bad()
     r.promote("x")
-    again = registry.Registry(str(tmp_path / "r.json"))
-    assert again.champion == "x" and rows(again.table(spark), "name", "champion") == [("baseline", False), ("x", True)]
+    again = registry.Registry(spark, f"file://{tmp_path}/r.json")
+    assert again.champion == "x" and rows(again.table(), "name", "champion") == [("baseline", False), ("x", True)]
 
 
 def test_triage_and_grades(spark):
