@@ -801,7 +801,12 @@ def focus_view(s, d):
     return drafts.focus_view(_specs(s, d), chunks).select("query_id", "paper_id", "chunk_id", "overlap").distinct()
 
 
-@query("focus_sentences")
+@query("focus_sentences", f"""WITH s AS (SELECT item_id AS query_id, text AS query, unnest([item_id % n, (item_id * 7 + 3) % n, (item_id * 13 + 5) % n]) AS paper_id FROM benchmark, (SELECT count(*) AS n FROM documents)),
+o AS (SELECT query_id, paper_id, {_SUBJECT.format('query')} AS q, text, row_number() OVER (PARTITION BY query_id, paper_id) AS nth FROM s JOIN documents ON doc_id = paper_id),
+e AS (SELECT query_id, paper_id, nth, q, unnest(range(len(ss))) AS i, unnest(ss) AS t FROM (SELECT *, {sql_sentences("regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')")} AS ss FROM o)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id, nth ORDER BY len(list_intersect(q, {_SUBJECT.format('t')})) DESC, i) AS place FROM e),
+v AS (SELECT query_id, paper_id, nth, string_agg(substr(t, 1, {drafts.QUOTE}), ' ... ' ORDER BY place) AS view FROM r WHERE place <= 2 GROUP BY 1, 2, 3)
+SELECT o.query_id, o.paper_id, o.paper_id AS chunk_id, len(list_intersect(q, {_SUBJECT.format('text')}))::INT AS overlap, o.nth, coalesce(view, '') AS view FROM o LEFT JOIN v ON v.query_id = o.query_id AND v.paper_id = o.paper_id AND v.nth = o.nth WHERE o.nth <= 2""")
 def focus_sentences(s, d):
     chunks = X.table(s, d, "documents").selectExpr("doc_id as paper_id", "doc_id as chunk_id", "text")
     return drafts.focus_view(_specs(s, d), chunks)
