@@ -16,6 +16,7 @@ MODULES = {
     "op8_quality_classifier": "quality_classifier",
     "op9_token_binary_output": "token_store",
     "op10_embedding_dedup": "embedding_dedup",
+    "op11_conversation_prefix_trie": "prefix_trie",
     "op12_bpe_transducer": "bpe_transducer",
     "op13_embedding_whitening": "whitening",
 }

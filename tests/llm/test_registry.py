@@ -7,7 +7,7 @@ from tessera.llm import registry
 
 def test_every_operator_has_one_query():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     for name, module in registry.MODULES.items():
         assert callable(getattr(importlib.import_module(f"tessera.llm.{module}"), name))
     assert "pipeline" in __spark_entry__.queries()
