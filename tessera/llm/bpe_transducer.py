@@ -56,8 +56,7 @@ from tessera.session import ship
 SLICE = 1 << 16  # characters of a text that are split at once
 LONG = 1 << 10  # longer runs are not remembered
 BLOCK = 1 << 12  # characters of a long run that are fed at once
-MEMO_RUNS = 300_000  # entries kept between batches; beyond it the memo starts anew
-FLUSH_IDS = 1 << 18  # ids that are rendered at once
+MEMO_RUNS, MEMO_WORDS = 400_000, 400_000  # entries kept between batches; beyond it a memo starts anew
 WINDOW = 8  # lookaheads of symbols that the transducer merges at once
 NONE = 1 << 60
 
@@ -65,6 +64,7 @@ NONE = 1 << 60
 SPACE = re.compile("[ \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_SPACE = "\x1c\x1d\x1e\x1f"  # which str.split() takes for space
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+KIND_RUNS = re.compile("L+|N|O+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
@@ -170,6 +170,18 @@ class Transducer:
         return out
 
 
+class Table(dict):
+    """A function of one character, asked once for each."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, c: str):
+        found = self[c] = self.of(c)
+        return found
+
+
 class Tokenizer:
     """What the file says: merges, added tokens, kinds of characters, normal forms."""
 
@@ -197,30 +209,32 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.longest_added = max(map(len, self.added), default=1)
-        self.kinds = {c: self._kind(c) for c in map(chr, range(128))}
-        self.joins_before: dict[str, bool] = {}
-
-    def kind(self, c: str) -> str:
-        """L, N, O or S: letter, number, other, space, as the file's pattern has it."""
-        found = self.kinds.get(c)
-        if found is None:
-            found = self.kinds[c] = self._kind(c)
-        return found
+        self.kind = Table(self._kind).__getitem__
+        self.may_join = Table(self._may_join).__getitem__
+        self.form = Table(self._form).__getitem__
 
     def _kind(self, c: str) -> str:
+        """L, N, O or S: letter, number, other, space, as the file's pattern has it."""
         parts = lambda s: len(self.library.pre_tokenizer.pre_tokenize_str(s))
         return "S" if not parts(c) else "L" if parts("a" + c) == 1 else "N" if parts(c + c) == 2 else "O"
 
     def normal(self, text: str) -> str:
-        return text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
-
-    def may_join(self, c: str) -> bool:
+        if text.isascii():
+            return text.lower()
+        try:  # characters that do not depend on what stands before them, one by one
+            return "".join(map(self.form, text))
+        except LookupError:
+            return self.library.normalizer.normalize_str(text)
+
+    def _form(self, c: str) -> str:
+        if self.may_join(c):
+            raise LookupError(c)
+        return self.library.normalizer.normalize_str(c)
+
+    def _may_join(self, c: str) -> bool:
         """Whether a character's normal form may depend on what stands before it."""
-        found = self.joins_before.get(c)
-        if found is None:
-            first = unicodedata.normalize("NFD", c)[0]
-            found = self.joins_before[c] = any(unicodedata.combining(x) or x in _seconds() or unicodedata.category(x) == "Cn" for x in (c, first))
-        return found
+        first = unicodedata.normalize("NFD", c)[0]
+        return any(unicodedata.combining(x) or x in _seconds() or unicodedata.category(x) == "Cn" for x in (c, first))
 
 
 @lru_cache(maxsize=1)
@@ -320,7 +334,6 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        """An ASCII word that the pattern has found."""
         if (found := self.words.get(word)) is None:
             data, machine = word.encode(), Transducer(self.t.merges)
             ids = machine.feed([self.t.inner[b] for b in data[:-1]] + [self.t.last[data[-1]]]) + machine.finish()
@@ -328,8 +341,13 @@ class Encoder:
         return found
 
     def _run(self, run: str) -> bytes:
-        if run.isascii() and len(run) <= LONG and not self.t.cuts.search(run):
-            return b"".join(map(self._word, ASCII_WORDS.findall(run.lower())))
+        if len(run) <= LONG and not self.t.cuts.search(run):
+            text = self.t.normal(run)
+            if text.isascii():
+                return b"".join(map(self._word, ASCII_WORDS.findall(text)))
+            if "'" not in text:
+                kinds = "".join(map(self.t.kind, text))
+                return b"".join([self._word(text[m.start() : m.end()]) for m in KIND_RUNS.finditer(kinds)])
         stream = Stream(self.t)
         parts = [stream.feed(run[at : at + BLOCK]) for at in range(0, len(run), BLOCK)]
         return b"".join(array("I", p).tobytes() for p in (*parts, stream.finish()))
@@ -347,8 +365,9 @@ class Encoder:
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids of a text as unsigned 32-bit integers, in parts."""
-        if len(self.runs) > MEMO_RUNS or len(self.words) > MEMO_RUNS:
-            self.runs.clear(), self.words.clear()
+        for memo, most in ((self.runs, MEMO_RUNS), (self.words, MEMO_WORDS)):
+            if len(memo) > most:
+                memo.clear()
         at, n = 0, len(text or "")
         while at < n:
             near = SPACE.search(text, at + SLICE, at + SLICE + LONG)
@@ -370,22 +389,6 @@ class Encoder:
             at = end
 
 
-class Rendering:
-    """A byte string for each id, and those of many ids one after the other."""
-
-    def __init__(self, parts: list[bytes]):
-        self.ends = np.cumsum([0, *map(len, parts)])
-        self.pool = np.frombuffer(b"".join(parts), np.uint8)
-        self.known = np.array([bool(p) for p in parts])
-
-    def render(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, end of each id's bytes)."""
-        firsts = self.ends[ids]
-        sizes = self.ends[ids.astype(np.int64) + 1] - firsts
-        ends = np.cumsum(sizes)
-        return self.pool[np.repeat(firsts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
-
-
 class Decoder:
     """Bytes of ids to text, in parts; the state is an unfinished character.
 
@@ -405,24 +408,23 @@ class Decoder:
                 return self.first + token.encode()
             return bytes(byte_of[c] for c in token)
 
-        self.table = Rendering([data(names[i]) if i in names else b"" for i in range(max(names) + 1)])
+        self.table = [data(names[i]) if i in names else b"" for i in range(max(names) + 1)]
         self.begin()
 
     def begin(self) -> None:
         self.machine, self.started = codecs.getincrementaldecoder("utf-8")("replace"), not self.first
 
-    def known(self, ids: np.ndarray) -> np.ndarray:
-        ids = ids[(ids >= 0) & (ids < len(self.table.known))]
-        return ids[self.table.known[ids]]
-
-    def feed_bytes(self, data: bytes) -> str:
+    def feed(self, ids: list[int]) -> str:
+        try:
+            data = b"".join(map(self.table.__getitem__, ids)) if min(ids, default=0) >= 0 else None
+        except IndexError:
+            data = None
+        if data is None:  # some are not in the file
+            data = b"".join([self.table[i] for i in ids if 0 <= i < len(self.table)])
         if not self.started and data:
             data, self.started = data[len(self.first) :], True
         return self.machine.decode(data)
 
-    def feed(self, ids: np.ndarray) -> str:
-        return self.feed_bytes(self.table.render(self.known(np.asarray(ids, np.int64)))[0].tobytes())
-
     def finish(self) -> str:
         return self.machine.decode(b"", True)
 
@@ -468,64 +470,31 @@ def decode(encoded: DataFrame, path: str | None = None, readable: bool = False)
             out = []
             for row in batch.column("ids"):
                 machine.begin()
-                ids = np.array([x for x in row.as_py() or () if x is not None], np.int64)
-                out.append("".join([machine.feed(ids[at : at + FLUSH_IDS]) for at in range(0, len(ids), FLUSH_IDS)] + [machine.finish()]))
+                ids = [x for x in row.as_py() or () if x is not None]
+                out.append("".join([machine.feed(ids[at : at + SLICE]) for at in range(0, len(ids), SLICE)] + [machine.finish()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 class _Digests:
-    """Hashes of the ids of texts and of what they decode to, rendered many ids at once."""
+    """Hashes of the ids of one text after the other, and of what they decode to."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.decoder = Decoder(tokenizer)
-        self.decimals = Rendering([b" %d" % i for i in range(len(self.decoder.table.known))])
-        self.done: list[tuple[int, str, str]] = []
-        self.parts: list[bytes] = []
-        self.closes: list[int] = []  # ends of texts among the ids that wait
-        self.waiting = 0
-        self._open()
-
-    def _open(self) -> None:
-        self.n, self.of_ids, self.of_text = 0, hashlib.sha256(), hashlib.sha256()
-        self.decoder.begin()
-
-    def put(self, ids: bytes) -> None:
-        self.parts.append(ids)
-        self.waiting += len(ids) // 4
-        if self.waiting >= FLUSH_IDS:
-            self.flush()
-
-    def close(self) -> None:
-        self.closes.append(self.waiting)
-
-    def _part(self, numbers: memoryview, data: memoryview, n: int) -> None:
-        if n:
-            self.of_ids.update(numbers if self.n else numbers[1:])
-            self.of_text.update(self.decoder.feed_bytes(bytes(data)).encode())
-            self.n += n
-
-    def flush(self) -> None:
-        ids = np.frombuffer(b"".join(self.parts), np.uint32)
-        (numbers, number_ends), (data, data_ends) = self.decimals.render(ids), self.decoder.table.render(ids)
-        numbers, data = memoryview(numbers), memoryview(data)
-        number_ends, data_ends = [0, *number_ends.tolist()], [0, *data_ends.tolist()]
-        at = 0
-        for end in self.closes:
-            self._part(numbers[number_ends[at] : number_ends[end]], data[data_ends[at] : data_ends[end]], end - at)
-            self.of_text.update(self.decoder.finish().encode())
-            self.done.append((self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()))
-            self._open()
-            at = end
-        self._part(numbers[number_ends[at] :], data[data_ends[at] :], len(ids) - at)
-        self.parts.clear(), self.closes.clear()
-        self.waiting = 0
+        self.decimals = [b"%d" % i for i in range(len(self.decoder.table))]
 
-    def take(self) -> list[tuple[int, str, str]]:
-        self.flush()
-        out, self.done = self.done, []
-        return out
+    def of(self, parts: Iterator[bytes]) -> tuple[int, str, str]:
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder.begin()
+        for part in parts:
+            ids = np.frombuffer(part, np.uint32).tolist()
+            if ids:
+                of_ids.update((b" " if n else b"") + b" ".join(map(self.decimals.__getitem__, ids)))
+                of_text.update(self.decoder.feed(ids).encode())
+                n += len(ids)
+        of_text.update(self.decoder.finish().encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -537,11 +506,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = encoder(path)
         hashes = _Digests(own.t)
         for batch in batches:
-            for text in batch.column("text"):
-                for ids in own.encode(text.as_py()):
-                    hashes.put(ids)
-                hashes.close()
-            n, of_ids, of_text = zip(*hashes.take()) if batch.num_rows else ((), (), ())
+            found = [hashes.of(own.encode(text.as_py())) for text in batch.column("text")]
+            n, of_ids, of_text = zip(*found) if found else ((), (), ())
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

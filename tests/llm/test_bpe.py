@@ -168,13 +168,7 @@ def test_odd_documents(spark, odd_docs, no_docs, library, monkeypatch):
     assert [r.text for r in bpe.decode(odd_ids).orderBy("doc_id").collect()] == ["", "", library.decode([1, 2])]
 
 
-def test_rendering_in_small_parts(encoder, library, monkeypatch):
-    monkeypatch.setattr(bpe, "FLUSH_IDS", 3)
+def test_digests_of_small_parts(encoder, library):
     hashes = bpe._Digests(encoder.t)
-    for text in ODD:
-        for ids in encoder.encode(text):
-            for at in range(0, len(ids), 4):
-                hashes.put(ids[at : at + 4])
-        hashes.close()
-    got = [(str(k), *row) for k, row in enumerate(hashes.take())]
-    assert sorted(got) == plain(library, list(enumerate(ODD)))
+    small = lambda text: (ids[at : at + 12] for ids in encoder.encode(text) for at in range(0, len(ids), 12))
+    assert sorted((str(k), *hashes.of(small(text))) for k, text in enumerate(ODD)) == plain(library, list(enumerate(ODD)))
