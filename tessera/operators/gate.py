@@ -5,15 +5,20 @@ Runs are long tables (run, query_id, metric, value).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import detectable_effect, required_queries_column
-from tessera.functions.text import hash_slot
+from tessera.session import materialize, ship
 
 RESAMPLES, CONFIDENCE, ALPHA = 1000, 0.95, 0.05
 MIN_EFFECT = 0.04
+PRIME = (1 << 31) - 1
+DRAWS = 512  # draws of every resample that are one block of work
+GATHERED = 1 << 21  # differences that a task may hold
 STAMPS = ("corpus_version", "embedding_model", "reranker_version")
 
 
@@ -44,23 +49,74 @@ def shared_metrics(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return baseline.select("metric").intersect(candidate.select("metric"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0) -> DataFrame:
+def _coefficients(seed: int, metric: str, resamples: int):
+    """Four numbers below ``PRIME`` for each resample: a row each."""
+    import hashlib
+
+    import numpy as np
+
+    made = [hashlib.md5(f"{seed}:{metric}:{r}".encode()).hexdigest() for r in range(resamples)]
+    return np.array([[int(h[k : k + 8], 16) % PRIME for h in made] for k in (0, 8, 16, 24)], np.int64).T
+
+
+def _drawn(c: list, i, n):
+    """The slot that draw i of a resample takes: a cubic of i modulo a prime, modulo n. Any four
+    draws of a resample are independent, so its mean has the variance and the fourth moment
+    of free draws. The same on columns and on arrays."""
+    return (((c[0] * i + c[1]) % PRIME * i + c[2]) % PRIME * i + c[3]) % PRIME % n
+
+
+def _resampled_sums(diffs: dict, seed: int, resamples: int):
+    """For rows (metric, block): the sum of each resample's draws of this block, as a vector."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        made: dict[str, object] = {}
+        for batch in batches:
+            for metric, block in zip(batch.column("metric").to_pylist(), batch.column("block").to_pylist()):
+                own = diffs[metric]
+                if metric not in made:
+                    made[metric] = _coefficients(seed, metric, resamples)
+                i = np.arange(block * DRAWS, min((block + 1) * DRAWS, len(own)), dtype=np.int64)
+                sums = own[_drawn(list(made[metric].T[:, :, None]), i, len(own))].sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array([metric]), pa.array([sums])], names=["metric", "sums"])
+
+    return run
+
+
+def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = 0, most: int = GATHERED) -> DataFrame:
     """Per metric: means, observed difference, percentile interval, two-sided p.
 
-    Which row fills slot i of resample r is a hash of (seed, metric, r, i), so the result
-    is the same on any cluster. Slots are joined to rows by their number.
+    A resample draws n rows with replacement; which one its draw i takes is computed from
+    (seed, metric, resample, i), so the result is the same on any cluster. Up to ``most``
+    differences in all are arrays that tasks hold: a task takes a block of draws, looks its rows up and
+    adds them up to one vector with a number for each resample; vectors are summed. Beyond
+    that, draws are joined to rows by their number.
     """
     order = W.partitionBy("metric").orderBy("query_id")
-    rows = pairs.withColumn("slot", F.row_number().over(order) - 1)
+    rows = materialize(pairs.withColumn("slot", F.row_number().over(order) - 1).select("metric", "slot", "baseline", "candidate", "diff"), "paired-rows")
     size = rows.groupBy("metric").agg(
         F.count("*").alias("n"), F.avg("baseline").alias("baseline_mean"), F.avg("candidate").alias("candidate_mean"), F.avg("diff").alias("observed_diff")
     )
-    draws = (
-        size.select("metric", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-        .select("metric", "n", "resample", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-        .select("metric", "resample", hash_slot(F.concat_ws(":", F.lit(str(seed)), "metric", F.col("resample").cast("string"), F.col("i").cast("string")), F.col("n")).alias("slot"))
-    )
-    means = draws.join(rows.select("metric", "slot", "diff"), ["metric", "slot"]).groupBy("metric", "resample").agg(F.avg("diff").alias("mean"))
+    if rows.count() <= most:
+        ship(pairs.sparkSession)
+        table = rows.select("metric", "slot", "diff").orderBy("metric", "slot").toArrow()
+        names, values = table.column("metric").to_pylist(), table.column("diff").to_numpy()
+        starts = {m: k for k, m in reversed(list(enumerate(names)))}
+        diffs = {m: values[at : at + names.count(m)] for m, at in starts.items()}
+        blocks = size.select("metric", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / DRAWS).cast("int"))).alias("block")).repartition("metric", "block")
+        sums = blocks.mapInArrow(_resampled_sums(diffs, seed, resamples), "metric string, sums array<double>")
+        summed = sums.select("metric", F.posexplode("sums").alias("resample", "part")).groupBy("metric", "resample").agg(F.sum("part").alias("total"))
+        means = summed.join(size.select("metric", "n"), "metric").select("metric", "resample", (F.col("total") / F.col("n")).alias("mean"))
+    else:
+        key = F.md5(F.concat_ws(":", F.lit(str(seed)), "metric", F.col("resample").cast("string")))
+        c = [F.conv(F.substring(key, k, 8), 16, 10).cast("long") % PRIME for k in (1, 9, 17, 25)]
+        draws = size.select("metric", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("metric", "n", "resample", F.array(*c).alias("c"))
+        draws = draws.select("metric", "n", "resample", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+        draws = draws.select("metric", "resample", _drawn([F.col("c")[k] for k in range(4)], F.col("i"), F.col("n")).alias("slot"))
+        means = draws.join(rows.select("metric", F.col("slot").cast("long").alias("slot"), "diff"), ["metric", "slot"]).groupBy("metric", "resample").agg(F.avg("diff").alias("mean"))
     tail = (1 - confidence) / 2
     index = lambda q: max(0, min(resamples - 1, round(q * (resamples - 1)))) + 1  # noqa: E731  half to even
     placed = means.withColumn("nth", F.row_number().over(W.partitionBy("metric").orderBy("mean")))

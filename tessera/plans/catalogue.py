@@ -35,11 +35,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _register_more() -> None:
+    from tessera.plans import search_plans  # noqa: F401  it adds its queries to this catalogue
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register_more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register_more()
     return dict(_SQL)
 
 
@@ -228,13 +234,26 @@ def bm25_topk(s, d):
     return rounded(retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True)), retrieve.ARM), "score")
 
 
-@query("stub_bm25_topk", f"""WITH tok AS (SELECT doc_id AS chunk_id, {X.TOKENS.format('text')} AS ts FROM documents), len AS (SELECT chunk_id, greatest(len(ts), 1) AS dl FROM tok),
+#: every chunk has a score with every query, most often 0
+_STUB = f"""tok AS (SELECT doc_id AS chunk_id, {X.TOKENS.format('text')} AS ts FROM documents), len AS (SELECT chunk_id, greatest(len(ts), 1) AS dl FROM tok),
 post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY 1, 2), corpus AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM len), stats AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({X.TOKENS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-sc AS (SELECT query_id, chunk_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))) AS score FROM qt JOIN post USING (term) JOIN stats USING (term) JOIN len USING (chunk_id), corpus GROUP BY 1, 2)
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM sc) WHERE rank <= 5""")
+qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({X.TOKENS.format('query')}) AS term FROM asked) GROUP BY 1, 2),
+hit AS (SELECT query_id, chunk_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_dl))) AS score FROM qt JOIN post USING (term) JOIN stats USING (term) JOIN len USING (chunk_id), corpus GROUP BY 1, 2),
+sc AS (SELECT a.query_id, c.chunk_id, coalesce(score, 0) AS score FROM asked a JOIN chunks c ON (a.year_min IS NULL OR coalesce(c.year >= a.year_min, false)) AND (a.year_max IS NULL OR coalesce(c.year <= a.year_max, false)) LEFT JOIN hit h ON h.query_id = a.query_id AND h.chunk_id = c.chunk_id)"""
+_STUB_TOP = f" SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM sc) WHERE rank <= 5"
+#: the texts of items, and for each the same with words that no document has, alone
+_ASKED = "SELECT item_id * 2 AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id * 2 + 1, concat('zzzq', item_id, 'x') FROM benchmark"
+
+
+def _asked(s, d):
+    own = X.table(s, d, "benchmark")
+    return own.selectExpr("item_id * 2 as query_id", "text as query").unionByName(own.selectExpr("item_id * 2 + 1 as query_id", "concat('zzzq', item_id, 'x') as query"))
+
+
+@query("stub_bm25_topk", with_views("chunks", more=f"asked AS (SELECT *, NULL::INT AS year_min, NULL::INT AS year_max FROM ({_ASKED})), " + _STUB) + _STUB_TOP)
 def stub_bm25_topk(s, d):
-    return rounded(retrieve.top(retrieve.stub_bm25(X.requests(s, d), X.chunks(s, d)), retrieve.TOP), "score")
+    asked = _asked(s, d).selectExpr("*", "cast(null as int) as year_min", "cast(null as int) as year_max")
+    return rounded(retrieve.stub_search(asked, X.chunks(s, d)), "score")
 
 
 @query("cosine_topk", with_views("requests", "vectors", more=_COSINE) + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM cosine) WHERE rank <= 30")
@@ -632,7 +651,8 @@ def split_hygiene(s, d):
 
 _BOOT = """n AS (SELECT metric, count(*) AS n, avg(baseline) AS bm, avg(candidate) AS cm, avg(diff) AS od FROM runs GROUP BY 1),
 sl AS (SELECT metric, diff, row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS slot FROM runs),
-dr AS (SELECT metric, r, concat('0x', substr(md5(concat('0:', metric, ':', r, ':', i)), 1, 8))::BIGINT % n AS slot FROM (SELECT metric, n, unnest(range(n)) AS i FROM n), (SELECT unnest(range(1000)) AS r)),
+co AS (SELECT metric, r, concat('0x', substr(h, 1, 8))::BIGINT % 2147483647 AS c0, concat('0x', substr(h, 9, 8))::BIGINT % 2147483647 AS c1, concat('0x', substr(h, 17, 8))::BIGINT % 2147483647 AS c2, concat('0x', substr(h, 25, 8))::BIGINT % 2147483647 AS c3 FROM (SELECT metric, r, md5(concat('0:', metric, ':', r)) AS h FROM n, (SELECT unnest(range(1000)) AS r))),
+dr AS (SELECT metric, r, (((c0 * i + c1) % 2147483647 * i + c2) % 2147483647 * i + c3) % 2147483647 % n AS slot FROM (SELECT metric, n, unnest(range(n)) AS i FROM n) JOIN co USING (metric)),
 ms AS (SELECT metric, r, avg(diff) AS mean FROM dr JOIN sl USING (metric, slot) GROUP BY 1, 2),
 pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean) AS nth FROM ms),
 bd AS (SELECT metric, max(CASE WHEN nth = round_even(0.025 * 999, 0) + 1 THEN mean END) AS lo, max(CASE WHEN nth = round_even(0.975 * 999, 0) + 1 THEN mean END) AS hi, count(CASE WHEN mean <= 0 THEN 1 END) / 1000 AS below, count(CASE WHEN mean >= 0 THEN 1 END) / 1000 AS above FROM pl GROUP BY 1),
@@ -895,10 +915,10 @@ def search_metrics(s, d):
     return rounded(metrics.evaluate_search(search, asked, X.qrels(s, d)), *metrics.metric_names().values())
 
 
-@query("stub_filtered_topk", _SQL["stub_bm25_topk"].split("SELECT query_id, chunk_id, round(score, 6)")[0].rstrip() + f""", kept AS (SELECT sc.* FROM sc JOIN documents ON doc_id = chunk_id WHERE (query_id % 3 > 0 OR (doc_id % 13 > 0 AND 2016 + doc_id % 11 >= 2018)) AND (query_id % 4 > 0 OR (doc_id % 13 > 0 AND 2016 + doc_id % 11 <= 2024)))
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM kept) WHERE rank <= 5 AND query_id IN (SELECT vec_id FROM embeddings)""")
+@query("stub_filtered_topk", with_views("chunks", more=f"asked AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN 2018 END AS year_min, CASE WHEN query_id % 4 = 0 THEN 2024 END AS year_max FROM ({_ASKED})), " + _STUB) + _STUB_TOP)
 def stub_filtered_topk(s, d):
-    return rounded(retrieve.stub_search(X.requests(s, d), X.chunks(s, d)), "score")
+    asked = _asked(s, d).selectExpr("*", "case when query_id % 3 = 0 then 2018 end as year_min", "case when query_id % 4 = 0 then 2024 end as year_max")
+    return rounded(retrieve.stub_search(asked, X.chunks(s, d)), "score")
 
 
 @query("highest_labels", with_views("qrels") + "SELECT query_id, chunk_id, max(grade) AS grade FROM (SELECT * FROM qrels UNION ALL SELECT query_id, chunk_id, (grade + 1) % 4 FROM qrels) GROUP BY 1, 2")

@@ -139,15 +139,49 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file beside its place and move it there."""
+def _put(spark: SparkSession, path: str, text: str, replace: bool) -> bool:
+    """Write a file beside its place and put it there in one step: no reader sees a part,
+    and a writer that dies leaves what was there."""
     fs, p = _file(spark, path)
-    part = p.suffix(f".{uuid.uuid4().hex[:8]}")
+    part = p.getParent().suffix(f"/.{p.getName()}.{uuid.uuid4().hex[:8]}")
+    fs.mkdirs(p.getParent())
     stream = fs.create(part, True)
     try:
         stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"cannot write {path}")
+    try:
+        if fs.getScheme() == "file":
+            try:
+                (os.replace if replace else os.link)(part.toUri().getPath(), p.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        jvm = spark.sparkContext._jvm
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, p, options)
+        except Exception as failure:
+            if not replace and fs.exists(p):
+                return False
+            raise OSError(f"cannot write {path}") from failure
+        return True
+    finally:
+        fs.delete(part, False)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, in place of one that is there."""
+    _put(spark, path, text, True)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file where none is; False where one is already."""
+    return _put(spark, path, text, False)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    fs, p = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
