@@ -1,9 +1,9 @@
 """Quality classifier by co-training two views.
 
 One classifier sees the text's content: which words and beginnings of words it has, and
-statistics of how they are written (repetition, shares of marks and capitals, lines). The
-other sees the page's metadata: source, language, length and the same statistics, but no
-word. Starting from
+statistics of words (how long, how many different ones, shares of marks, symbols, digits and capitals). The
+other sees the page's metadata: source, language, length and how its lines are laid out, and
+pairs of these, but no word. No feature is in both. Starting from
 labelled documents, in every round each classifier names the unlabelled documents that it
 is most sure of, and these pseudo-labels join the other classifier's training set. All
 unlabelled documents are scored in every round, and the most confident ones of all are
@@ -13,12 +13,12 @@ labelled documents. Every document is then scored from its whole text.
 
 A document counts as good if its label says quality and does not say toxic.
 
-Features are hashed to 2**``BITS`` numbers in a map over all documents and written once,
+Features are hashed to 2**``BITS`` numbers a view in a map over all documents and written once,
 as sorted arrays of numbers; the rounds read that table. What reaches the driver is the
 features of at most ``LABELLED`` labelled documents (smallest hash of doc_id) and of
-4 ``PER_ROUND`` pseudo-labelled ones a round; a document has at most 2**``BITS`` features.
+4 ``PER_ROUND`` pseudo-labelled ones a round; a document has at most 2**``BITS`` features a view.
 
-Defined cases: a null text has no words; a null source or language is a value of its own;
+Defined cases: a null text has no words; a very long text is read whole, one at a time; a null source or language is a value of its own;
 labels without a quality are ignored, and of several labels for one document the worst
 holds; of several rows with a labelled doc_id the one with the least hash of its features
 is learned from; pseudo-labels go to distinct contents, so copies count once; with no labels
@@ -45,30 +45,35 @@ from tessera.session import materialize, ship
 LABELLED = 4000
 ROUNDS, PER_ROUND, SURE = 3, 50, 0.97
 PSEUDO_WEIGHT = 0.25  # of a pseudo-label beside a label
-BITS = 20
+BITS = 20  # of the features of a view; those of the metadata view follow those of the text view
+NUMBERS = 2 << BITS
 L1 = 1e-3  # gradient of the mean loss that a feature must exceed
 MIN_DOCS = 5  # documents fitted on that must have a word for it to count
 THRESHOLD = 0.5
+MIX_RIDGE = 0.005  # how strongly the mix is drawn to the sum of the views
 
 EDGES = b".,;:!?\"'()[]{}%&#$*|<>"  # these end a word as white space does
 BEGINNINGS = (4, 6)  # bytes
 CHUNK_BYTES = 1 << 20  # of texts that are hashed at once, about
 _UPPER, _SYMBOLS, _MARKS, _DIGITS = (bytes(x) for x in (range(65, 91), b"#*$%&|<>", b"!?", b"0123456789"))
 
-#: statistics of the layout and the edges of their bins
-SHAPE = {
-    "n_chars": (50, 200, 1000, 4000, 16000),
+#: statistics of the words and of the page's layout, with the edges of their bins; no statistic is in both views
+WORDING = {
     "words": (5, 20, 50, 200, 1000),
-    "lines": (2, 5, 20, 100),
-    "line_words": (2, 5, 10, 30, 100),
     "word_length": (2, 3, 5, 7, 9, 12),
     "distinct_words": (0.1, 0.3, 0.5, 0.7, 0.9),
-    "distinct_lines": (0.3, 0.5, 0.7, 0.9),
     "symbols": (0.01, 0.05, 0.1, 0.2, 0.5),
     "marks": (0.01, 0.05, 0.2, 0.5),
     "upper": (0.02, 0.06, 0.15, 0.4),
     "digits": (0.01, 0.05, 0.2),
+}
+LAYOUT = {
+    "n_chars": (50, 200, 1000, 4000, 16000),
+    "lines": (2, 5, 20, 100),
+    "line_chars": (10, 30, 60, 120, 300, 1000),
+    "distinct_lines": (0.3, 0.5, 0.7, 0.9),
     "ends": (0.1, 0.3, 0.6, 0.9),
+    "blank_lines": (0.01, 0.1, 0.3),
 }
 
 
@@ -78,14 +83,13 @@ def _number(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) >> (64 - BITS)
 
 
-@lru_cache(4096)
-def _shape_number(name: str, place: int) -> int:
-    return _number(f"{name}\t{place}".encode())
+@lru_cache(65536)
+def _named(*names: str) -> int:
+    return _number("\t".join(names).encode("utf-8", "surrogatepass"))
 
 
-@lru_cache(65536)
-def _meta_number(name: str, value: str | None) -> int:
-    return _number(f"{name}\t{'' if value is None else '=' + value}".encode("utf-8", "surrogatepass"))
+def _bin(name: str, value: float) -> str:
+    return f"{name}:{bisect_right((WORDING.get(name) or LAYOUT[name]), value)}"
 
 
 def _view(numbers: np.ndarray, more: list[int]) -> np.ndarray:
@@ -117,23 +121,27 @@ def _features(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, size = max(1, words), max(1, len(raw))
         distinct = 1 + int((own[1:] != own[:-1]).sum()) if words else 0
         count = lambda of: len(raw) - len(raw.translate(None, of))  # noqa: B023, E731
-        shape = {
-            "n_chars": -1 if n_chars is None else n_chars,
+        letters = len(raw) - count(SPACE)
+        wording = {
             "words": words,
-            "lines": len(lines),
-            "line_words": words / max(1, len(lines)),
-            "word_length": (len(raw) - count(SPACE)) / n,
+            "word_length": letters / n,
             "distinct_words": distinct / n,
-            "distinct_lines": len(set(lines)) / max(1, len(lines)),
             "symbols": count(_SYMBOLS) / n,
             "marks": count(_MARKS) / n,
             "upper": count(_UPPER) / size,
             "digits": count(_DIGITS) / size,
+        }
+        layout = {
+            "n_chars": -1 if n_chars is None else n_chars,
+            "lines": len(lines),
+            "line_chars": sum(map(len, lines)) / max(1, len(lines)),
+            "distinct_lines": len(set(lines)) / max(1, len(lines)),
             "ends": sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(1, len(lines)),
+            "blank_lines": (raw.count(b"\n") + 1 - len(lines)) / (raw.count(b"\n") + 1),
         }
-        shapes = [_shape_number(k, bisect_right(SHAPE[k], v)) for k, v in shape.items()]
-        meta = [_meta_number(k, v) for k, v in (("source", source), ("lang", lang))]
-        yield _view(numbers[a:b].reshape(-1), shapes), _view(np.empty(0, np.int32), meta + shapes)
+        page = [f"source={source}" if source is not None else "source", f"lang={lang}" if lang is not None else "lang", *(_bin(k, v) for k, v in layout.items())]
+        pairs = [_named("meta", a, b) for k, a in enumerate(page) for b in page[k + 1 :]]
+        yield _view(numbers[a:b].reshape(-1), [_named("text", _bin(k, v)) for k, v in wording.items()]), _view(np.empty(0, np.int32), [(1 << BITS) + x for x in (*(_named("meta", x) for x in page), *pairs)])
 
 
 def features(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ class Linear:
     def __init__(self, sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, min_docs: int, rounds: int = 150, l1: float = L1):
         cols = np.concatenate(sets) if sets else np.empty(0, np.int32)
         rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-        times = np.bincount(cols, minlength=1 << BITS)
+        times = np.bincount(cols, minlength=NUMBERS)
         keep = times[cols] >= min_docs
         used, cols = np.unique(cols[keep], return_inverse=True)
         rows, n, k = rows[keep], len(sets), len(used)
@@ -162,7 +170,7 @@ class Linear:
             w -= 0.3 * grad / np.sqrt(g2)
             w = np.sign(w) * np.maximum(0, np.abs(w) - 0.3 * l1 / np.sqrt(g2))  # words without a say get none
             b -= 0.3 * slope.sum() / math.sqrt(gb2)
-        self.weights = np.zeros(1 << BITS, np.float32)
+        self.weights = np.zeros(NUMBERS, np.float32)
         self.weights[used] = w
         self.bias = float(b)
 
@@ -170,20 +178,37 @@ class Linear:
         return self.bias + float(self.weights[numbers].sum(dtype=np.float64))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights (last: constant) of a small logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | float = 0.0, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights (last: constant) of a small logistic regression by Newton's method; they are
+    drawn to ``prior``."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z / len(z) + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (p - y) / len(z) + 1e-3 * w)
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z / len(z) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (p - y) / len(z) + ridge * (w - prior))
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def _combined(x: np.ndarray, y: np.ndarray, ridge: float | None = None) -> np.ndarray:
+    """A logistic regression on the logits of the calibrated views, drawn to their plain sum,
+    which is right for views that are independent given the label. No weight is negative: a view
+    may be left out, but more confidence in it never counts against a document."""
+    ridge = MIX_RIDGE if ridge is None else ridge
+    use = [0, 1]
+    while True:
+        own = _logistic(x[:, use], y, np.array([1.0] * len(use) + [0.0]), ridge)
+        if not use or (own[:-1] >= 0).all():
+            break
+        use.remove(use[int(own[:-1].argmin())])
+    w = np.zeros(3)
+    w[[*use, 2]] = own
+    return w
+
+
 def _p(m: float) -> float:
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, m))))
 
@@ -228,7 +253,7 @@ class CoTraining:
 
     def combine(self) -> "CoTraining":
         both = np.array([[self.logit(k, self.labelled[i][k]) for k in (0, 1)] for i in self.combine_on])
-        self.mix = _logistic(both, self.y[self.combine_on])
+        self.mix = _combined(both, self.y[self.combine_on])
         return self
 
     def logit(self, k: int, numbers: np.ndarray) -> float:
@@ -255,7 +280,7 @@ class Model:
         if self._dense is None:
             self._dense = []
             for at, w, b in self.views:
-                dense = np.zeros(1 << BITS, np.float32)
+                dense = np.zeros(NUMBERS, np.float32)
                 dense[at] = w
                 self._dense.append((dense, b))
         out = []
@@ -384,9 +409,10 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     return table.mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, kept boolean")
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps."""
-    state = fit(docs, labels, **options)
+def keep(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier keeps. (Their features are
+    computed again: carrying whole rows through the written features would write every text.)"""
+    state = fit(docs, labels, labelled, rounds, per_round, sure)
     if state is None:
         return docs
     model = state.model()

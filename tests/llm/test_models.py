@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -182,17 +183,109 @@ def plain_features(text, source, lang, n_chars):
 
     numbers = {part(w, len(w), len(w) * 0x9E3779B97F4A7C15) for w in own} | {part(w, k, k) for w in own for k in (4, 6) if len(w) > k}
     lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
-    n, size, rows = max(1, len(words)), max(1, len(raw)), max(1, len(lines))
+    n, size, rows, breaks = max(1, len(words)), max(1, len(raw)), max(1, len(lines)), raw.count(b"\n") + 1
     has = lambda of: sum(chr(b) in of for b in raw)
-    shape = [
-        ("n_chars", -1 if n_chars is None else n_chars), ("words", len(words)), ("lines", len(lines)), ("line_words", len(words) / rows),
-        ("word_length", sum(map(len, raw.split())) / n), ("distinct_words", len(set(words)) / n), ("distinct_lines", len(set(lines)) / rows),
-        ("symbols", has("#*$%&|<>") / n), ("marks", has("!?") / n), ("upper", sum(65 <= b <= 90 for b in raw) / size),
-        ("digits", sum(48 <= b <= 57 for b in raw) / size), ("ends", sum(x.strip()[-1:] in (b".", b"!", b"?") for x in lines) / rows),
-    ]
-    shapes = {number(f"{k}\t{sum(v >= e for e in q.SHAPE[k])}".encode()) for k, v in shape}
-    meta = {f"source\t{'' if source is None else '=' + source}", f"lang\t{'' if lang is None else '=' + lang}"}
-    return np.array(sorted(numbers | shapes), np.int32), np.array(sorted({number(x.encode()) for x in meta} | shapes), np.int32)
+    wording = {
+        "words": len(words), "word_length": sum(map(len, raw.split())) / n, "distinct_words": len(set(words)) / n, "symbols": has("#*$%&|<>") / n,
+        "marks": has("!?") / n, "upper": sum(65 <= b <= 90 for b in raw) / size, "digits": sum(48 <= b <= 57 for b in raw) / size,
+    }
+    layout = {
+        "n_chars": -1 if n_chars is None else n_chars, "lines": len(lines), "line_chars": sum(map(len, lines)) / rows, "distinct_lines": len(set(lines)) / rows,
+        "ends": sum(x[-1:] in (b".", b"!", b"?") for x in lines) / rows, "blank_lines": (breaks - len(lines)) / breaks,
+    }
+    binned = lambda of, edges: [f"{k}:{sum(v >= e for e in edges[k])}" for k, v in of.items()]
+    page = ["source" if source is None else f"source={source}", "lang" if lang is None else f"lang={lang}", *binned(layout, q.LAYOUT)]
+    text = numbers | {number(f"text\t{x}".encode()) for x in binned(wording, q.WORDING)}
+    meta = {number("\t".join(("meta", *x)).encode()) for k in (1, 2) for x in itertools.combinations(page, k)}
+    return np.array(sorted(text), np.int32), np.array(sorted((1 << q.BITS) + x for x in meta), np.int32)
+
+
+def plain_newton(x, y, prior, ridge):
+    """Penalised logistic regression, a constant last, row by row."""
+    w = [0.0] * (len(x[0]) + 1)
+    for _ in range(50):
+        grad = [ridge * (a - b) for a, b in zip(w, prior)]
+        curve = [[ridge * (i == j) for j in range(len(w))] for i in range(len(w))]
+        for row, target in zip(x, y):
+            z = [*row, 1.0]
+            p = 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(w, z))))))
+            for i, a in enumerate(z):
+                grad[i] += a * (p - target) / len(x)
+                for j, b in enumerate(z):
+                    curve[i][j] += a * b * (p * (1 - p) + 1e-9) / len(x)
+        step = np.linalg.solve(np.array(curve), np.array(grad))
+        w = [a - b for a, b in zip(w, step)]
+        if max(map(abs, step)) < 1e-9:
+            return w
+    return w
+
+
+class PlainView:
+    """Logistic regression with an L1 penalty on a dense matrix."""
+
+    def __init__(self, sets, y, weight, min_docs):
+        q = quality_classifier
+        times = Counter(f for s in sets for f in s.tolist())
+        self.place = {f: i for i, f in enumerate(sorted(f for f, n in times.items() if n >= min_docs))}
+        x = np.array([self.row(s) for s in sets])
+        y, weight = np.array(y), np.array(weight)
+        weight = weight * np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y <= 0].sum())
+        w, b, seen, seen_b = np.zeros(x.shape[1]), 0.0, 1e-8, 1e-8
+        for _ in range(150):
+            slope = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y)
+            grad = x.T @ slope
+            seen, seen_b = seen + grad**2, seen_b + slope.sum() ** 2
+            w = w - 0.3 * grad / np.sqrt(seen)
+            w = np.sign(w) * np.maximum(0, abs(w) - 0.3 * q.L1 / np.sqrt(seen))
+            b -= 0.3 * slope.sum() / math.sqrt(seen_b)
+        self.w, self.b = w.astype(np.float32).astype(float), b
+
+    def row(self, numbers):
+        out = np.zeros(len(self.place))
+        out[[self.place[f] for f in numbers.tolist() if f in self.place]] = 1
+        return out
+
+    def margin(self, numbers):
+        return self.b + float(self.row(numbers) @ self.w)
+
+
+def plain_cotraining(sets, y, free, rounds, per_round, sure):
+    """Scores of all ``sets`` after co-training on those with a label (place -> label, in
+    order of their hash); ``free``: tie -> place of unlabelled contents."""
+    q = quality_classifier
+    at = list(y)
+    fit_on, calibrate_on, combine_on = ([p for k, p in enumerate(at) if (k % 8 < 6, k % 8 == 6, k % 8 == 7)[part]] for part in range(3))
+    told = [{p: y[p] for p in fit_on} for _ in (0, 1)]  # what each view learns from
+    given, seen = [{}, {}], set()
+    clip = lambda x: max(-12.0, min(12.0, x))
+    for turn in range(rounds + 1):
+        views, scales = [], []
+        for k in (0, 1):
+            own = [*told[k].items(), *given[k].items()]
+            views.append(PlainView([sets[p][k] for p, _ in own], [v for _, v in own], [1.0] * len(told[k]) + [q.PSEUDO_WEIGHT] * len(given[k]), q.MIN_DOCS if k == 0 else 1))
+            scales.append(plain_newton([[views[k].margin(sets[p][k])] for p in calibrate_on], [y[p] for p in calibrate_on], [0, 0], 1e-3))
+        logit = lambda k, p: clip(scales[k][0] * views[k].margin(sets[p][k]) + scales[k][1])  # noqa: B023, E731
+        if turn == rounds:
+            break
+        p = {t: [1 / (1 + math.exp(-logit(k, i))) for k in (0, 1)] for t, i in free.items() if t not in seen}
+        named = {}
+        for k in (0, 1):
+            for label, order in ((1.0, sorted((-v[k], t) for t, v in p.items() if v[k] >= sure)), (0.0, sorted((v[k], t) for t, v in p.items() if v[k] <= 1 - sure))):
+                for _, t in order[:per_round]:
+                    named.setdefault(t, {})[k] = label
+        seen |= named.keys()
+        for t in sorted(named):
+            if len(set(named[t].values())) == 1:
+                for k, v in named[t].items():
+                    given[1 - k][free[t]] = v
+    both, use = [[logit(0, p), logit(1, p)] for p in combine_on], [0, 1]
+    while True:
+        mix = plain_newton([[x[k] for k in use] for x in both], [y[p] for p in combine_on], [1.0] * len(use) + [0.0], q.MIX_RIDGE)
+        if min(mix[:-1], default=0) >= 0:
+            break
+        use.remove(use[int(np.argmin(mix[:-1]))])
+    score = lambda p: 1 / (1 + math.exp(-(sum(a * logit(k, p) for k, a in zip(use, mix)) + mix[-1])))
+    return [score(p) for p in range(len(sets))], [len(g) for g in given]
 
 
 def plain_classifier(docs, labels, rounds, per_round, sure):
@@ -212,39 +305,29 @@ def test_classifier_equals_the_plain_version(spark):
     q, sf = quality_classifier, "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.collect()
-    per_round, sure = 15, 0.9
+    per_round, sure = 15, 0.8
     sets, tie, y = plain_classifier(rows, labels.collect(), 2, per_round, sure)
     told = q._told(labels).join(docs.select("doc_id"), "doc_id", "left_semi")
     ranked = [r.doc_id for r in hash_sample(told, 10_000).collect()]
     place = {r.doc_id: i for i, r in enumerate(rows)}
-    state = q.CoTraining([sets[place[d]] for d in ranked], np.array([y[d] for d in ranked]))
-    seen = set()
-    for _ in range(2):
-        state.fit()
-        free = {tie[i]: i for i, r in enumerate(rows) if r.doc_id not in y and tie[i] not in seen}
-        p = {t: [1 / (1 + math.exp(-state.logit(k, sets[i][k]))) for k in (0, 1)] for t, i in free.items()}
-        named = {}
-        for k in (0, 1):
-            for t in sorted((t for t in p if p[t][k] >= sure), key=lambda t: (-p[t][k], t))[:per_round]:
-                named.setdefault(t, {})[k] = 1.0
-            for t in sorted((t for t in p if p[t][k] <= 1 - sure), key=lambda t: (p[t][k], t))[:per_round]:
-                named.setdefault(t, {})[k] = 0.0
-        seen |= named.keys()
-        state.learn([(sets[free[t]], named[t]) for t in sorted(named)])
-    state.fit()
-    model = state.combine().model()
-    want = {r.doc_id: model.score(s)[0] for r, s in zip(rows, sets)}
+    free = {tie[i]: i for i, r in enumerate(rows) if r.doc_id not in y}
+    want, given = plain_cotraining(sets, {place[d]: y[d] for d in ranked}, free, 2, per_round, sure)
     got = {r.doc_id: r.score for r in q.score(docs.repartition(5), labels, rounds=2, per_round=per_round, sure=sure).collect()}
-    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
-    assert min(state.pseudo) > 0
+    assert got.keys() == place.keys() and max(abs(got[d] - want[i]) for d, i in place.items()) < 1e-5
+    assert min(given) > 0
+    # the views are separate: what the one sees the other does not
+    seen = [set(np.concatenate([s[k] for s in sets]).tolist()) for k in (0, 1)]
+    assert not seen[0] & seen[1]
+    mine = list(q.features_of([(r.text, r.source, r.lang, r.n_chars) for r in rows]))
+    assert all((a == b).all() for x, z in zip(mine, sets) for a, b in zip(x, z))
 
 
 def test_views_teach_each_other_and_reruns_agree(spark):
     q, sf = quality_classifier, "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    state = q.fit(docs, labels)
-    assert min(state.pseudo) > 0, state.pseudo
-    again = q.fit(docs.orderBy(q.F.rand(1)).repartition(7), labels.orderBy(q.F.rand(2)))
+    state = q.fit(docs, labels, sure=0.8)
+    assert min(state.pseudo) > 0 and min(state.mix[:2]) >= 0, (state.pseudo, state.mix)
+    again = q.fit(docs.orderBy(q.F.rand(1)).repartition(7), labels.orderBy(q.F.rand(2)), sure=0.8)
     assert state.pseudo == again.pseudo and all((a.weights == b.weights).all() for a, b in zip(state.views, again.views))
     parts = [set(x.tolist()) for x in q.folds(np.arange(48) % 3 > 0)]
     assert len(parts[0]) == 36 and not parts[0] & parts[1] and not parts[1] & parts[2] and set.union(*parts) == set(range(48))
@@ -265,6 +348,8 @@ def test_classifier_on_held_out_labels(spark, odd_docs, no_docs):
     test = labels.where("doc_id % 5 = 0").collect()
     rows = {r.doc_id: r for r in quality_classifier.score(docs, labels.where("doc_id % 5 <> 0")).collect()}
     assert len(rows) == docs.count()
+    state = quality_classifier.fit(docs, labels.where("doc_id % 5 <> 0"))
+    assert min(state.pseudo) > 20 and min(state.mix[:2]) >= 0, (state.pseudo, state.mix)
     clean = [rows[r.doc_id].kept for r in test if r.quality and not r.toxic]
     low = [rows[r.doc_id].kept for r in test if not r.quality]
     toxic = [rows[r.doc_id].kept for r in test if r.quality and r.toxic]

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 from test_dedup import Sets, shingles
-from test_models import plain_features
+from test_models import plain_cotraining, plain_features
 from test_packing import check_pack
 from test_rules_mixing import WORD, plain_facts
 
@@ -37,24 +37,9 @@ def plain_verdicts(rows, frame, labels):
     if len(set(known.values())) < 2:
         return rows
     at = {r.doc_id: i for i, r in enumerate(rows)}
-    state, seen = q.CoTraining([sets[at[d]] for d in known], np.array(list(known.values()))), set()
-    for _ in range(q.ROUNDS):
-        state.fit()
-        free = {ties[i]: i for i, r in enumerate(rows) if r.doc_id not in told and ties[i] not in seen}
-        p = {t: [1 / (1 + math.exp(-state.logit(k, sets[i][k]))) for k in (0, 1)] for t, i in free.items()}
-        named = {}
-        for k in (0, 1):
-            for label, some, sign in ((1.0, [t for t in p if p[t][k] >= q.SURE], -1), (0.0, [t for t in p if p[t][k] <= 1 - q.SURE], 1)):
-                for t in sorted(some, key=lambda t: (sign * p[t][k], t))[: q.PER_ROUND]:
-                    named.setdefault(t, {})[k] = label
-        if not named:
-            break
-        seen |= named.keys()
-        state.learn([(sets[free[t]], named[t]) for t in sorted(named)])
-    else:
-        state.fit()
-    model = state.combine().model()
-    return [r for r, s in zip(rows, sets) if model.score(s)[0] >= q.THRESHOLD]
+    free = {t: i for t, (i, r) in zip(ties, enumerate(rows)) if r.doc_id not in told}
+    scores, _ = plain_cotraining(sets, {at[d]: y for d, y in known.items()}, free, q.ROUNDS, q.PER_ROUND, q.SURE)
+    return [r for r, s in zip(rows, scores) if s >= q.THRESHOLD]
 
 
 def plain_groups(rows):
