@@ -7,8 +7,10 @@ deviation) form the content cluster; a heading belongs to it if the next line do
 cluster decides on the region: of all containers the one in which the characters of the
 cluster's lines outnumber those of other lines by most. A region inside an article or main
 element grows to that element, and one around such an element that holds most of the cluster
-shrinks to it. In any other region, parts before and after the cluster that have none of its
-lines are left out.
+shrinks to it. In any other region, only containers count that have a line whose own, unsmoothed
+ratio reaches the threshold, or that is as long as the cluster's lines are: an advert, a list of links or an imprint beside a text is near enough to it to be smoothed
+into the cluster, but has no such line. What stands before the first and after the last
+of these is left out, but for the headings right before.
 
 Tags and names only say what the task excludes wherever it stands: navigation, page headers
 and footers, side bars, notices, adverts, forms and comments. An element that a name marks
@@ -74,6 +76,7 @@ HEADERS = re.compile(r"(?:^|[-_])(?:header|masthead)\d*(?:$|[-_])", re.I)
 OWN_HEADER = re.compile(r"(?:^|[-_])(?:article|post|entry|story)(?:$|[-_])", re.I)
 # marks that hold also where most of the page's text is: a thread may outgrow its article
 OTHERS = re.compile(r"(?:^|[-_])(?:comments?|disqus|replies|reply|respond|discussion|related|recommended)\d*(?:$|[-_])", re.I)
+DISCUSSION = re.compile(r"(?:(?:section|post|article|text|body|content)[-_]+)?discussions?\d*(?:[-_]+(?:section|text|body|content))?", re.I)
 WRAPPER_SHARE = 0.5  # of the page's characters: what holds more is not beside the article
 COMMENT_END = re.compile(r"--(?:!|\s*)>")
 # on a paragraph or another part of a text only these count: what else it is named, it is text
@@ -84,6 +87,8 @@ BESIDE = re.compile(r"(?:^|[-_])(?:ads?|advert[a-z]*|adbox|adsense|sponsor[a-z]*
 def _marks(names: str, in_region: bool, part: bool) -> tuple[bool, bool]:
     """Whether names mark what is not the article, and whether they do so in any case."""
     found = [n for n in names.split() if MARKED.fullmatch(n) and not (HEADERS.search(n) and (in_region or OWN_HEADER.search(n)))]
+    if in_region:  # a paper's own Discussion
+        found = [n for n in found if not DISCUSSION.fullmatch(n)]
     if part:
         found = [n for n in found if BESIDE.search(n)]
     return bool(found), any(OTHERS.search(n) for n in found)
@@ -206,8 +211,10 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def ratios(lines: list[tuple], sigma: float = SIGMA) -> list[float]:
-    """The smoothed text-to-tag ratio of each line; excluded lines have none."""
-    return smooth([0.0 if x[3] else len(x[0]) / max(1, x[1]) for x in lines], sigma)
+    """The smoothed text-to-tag ratio of each line (as it is for a sigma of 0); excluded lines
+    have none."""
+    own = [0.0 if x[3] else len(x[0]) / max(1, x[1]) for x in lines]
+    return smooth(own, sigma) if sigma > 0 else own
 
 
 def cluster(values: list[float], threshold: float = THRESHOLD) -> list[bool]:
@@ -301,9 +308,18 @@ def blocks(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD)
             holder[c] = holder[parser.parent[c]]  # the container that this part of a text stands in
     kept = [i for i, x in enumerate(lines) if inside[x[2]] and not x[3]]
     if parser.tag_of[region] not in REGIONS:
-        found = [i for i in kept if content[i]]
-        with_content = {holder[lines[i][2]] for i in found}
-        kept = [i for i in kept if not found or found[0] <= i <= found[-1] or holder[lines[i][2]] in with_content]
+        dense = cluster(ratios(lines, 0), threshold)
+        sizes = [len(lines[i][0]) for i in kept if content[i]]
+        usual = sum(n * n for n in sizes) / max(1, sum(sizes))  # as long as the line of a character is on average
+        with_content = {holder[lines[i][2]] for i in kept if content[i] and (dense[i] or len(lines[i][0]) >= usual)}
+        found = [i for i in kept if content[i] and holder[lines[i][2]] in with_content]
+        if found:
+            first = found[0]
+            for i in reversed([i for i in kept if i < first]):  # headings in containers of their own
+                if parser.tag_of[lines[i][2]] not in HEADINGS:
+                    break
+                first = i
+            kept = [i for i in kept if first <= i <= found[-1] or holder[lines[i][2]] in with_content]
     return [lines[i][0] for i in kept]
 
 

@@ -123,12 +123,14 @@ def test_pages_without_article_elements(spark):
     around it that no tag and no name marks: the ratios tell them apart."""
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     links = "<div>" + "".join(f"<div><a href=/{i}>{w}</a></div>" for i, w in enumerate("News Sport World Money More Video Shop Help".split())) + "</div>"
-    same = plain = changed = 0
+    advert, imprint = "<div><p>buy our stuff now</p></div>", "<div>Copyright 2024</div>"
+    same = plain = changed = beside = 0
     for page in pages:
         want = direct_reading(page)
         if len(want) < 1000:
             continue
         plain += 1
+        beside += h.extract_text(page.replace("<article>", f"{links}{advert}<div class=x>").replace("</article>", f"</div>{advert}{imprint}")) == want
         page = page.replace("<article>", f"{links}<div class=x>").replace("</article>", f"</div>{links}")
         same += h.extract_text(page) == want
         h_ratios, h.ratios = h.ratios, lambda lines, sigma=1.0: [1.0] * len(lines)
@@ -136,20 +138,41 @@ def test_pages_without_article_elements(spark):
             changed += h.extract_text(page) != want
         finally:
             h.ratios = h_ratios
-    assert plain > 100 and same >= 0.99 * plain and changed == plain
+    assert plain > 100 and same >= 0.99 * plain and changed == plain and beside >= 0.99 * plain, (plain, same, changed, beside)
 
 
 def test_decoy_names_do_not_decide():
     story, promo = _paragraphs(6), "<div><p>buy our stuff now</p></div>"
     for name in ("post-tags-x", "share", "alert", "with-sidebar", "ad-free"):
         got = h.blocks(f'<body><div class="{name}"><h1>Head</h1>{story}</div>{promo}</body>')
-        assert got[:7] == ["Head", *h.blocks(f"<article>{story}</article>")], name
+        assert got == ["Head", *h.blocks(f"<article>{story}</article>")], name
     for name in ("alert", "share", "tags", "note search"):
         assert h.blocks(f'<article><p>The text.</p><p class="{name}">An important paragraph.</p></article>') == ["The text.", "An important paragraph."]
     assert h.blocks('<article><p>The text.</p><div class="ad">Buy</div><p class="ad-slot">Buy</p><div class="cookie-notice"><p>Cookies</p></div></article>') == ["The text."]
     assert h.blocks("<article><p>Let <math><mi>x</mi></math> be.</p></article>") == ["Let x be."]
 
 
+def test_what_stands_beside_a_text_in_plain_containers():
+    """Adverts, menus and imprints without a name or a tag that tells."""
+    story = _paragraphs(6)
+    want = ["Head", *h.blocks(f"<article>{story}</article>")]
+    body = f"<div><h1>Head</h1>{story}</div>"
+    menu, advert, imprint = "<div><a>Home</a><a>News</a></div>", "<div><p>buy our stuff now</p></div>", "<div>Copyright 2024</div>"
+    for page in (f"{menu}{body}", f"{body}{advert}", f"{body}{imprint}", f"{menu}{advert}{body}{advert}{imprint}", f"<div>{menu}</div><div>{body}</div><div>{imprint}</div>"):
+        assert h.blocks(f"<html><body>{page}</body></html>") == want, page[:60]
+    # a heading in a container of its own, and short lines inside the text, belong to it
+    assert h.blocks(f"<body>{menu}<div><h1>Head</h1></div><div>{story}</div>{imprint}</body>") == want
+    assert h.blocks(f"<body><div><h1>Head</h1>{_paragraphs(3)}<div><p>Short.</p></div>{_paragraphs(3)}</div>{advert}</body>")[4] == "Short."
+    assert h.blocks(f"<body>{menu}<div><p>A short note.</p></div></body>")[-1] == "A short note."
+
+
+def test_a_discussion_inside_an_article():
+    paper = f"<article><h1>Paper</h1>{_paragraphs(3)}<div class='discussion'><h2>Discussion</h2><p>What it means.</p></div></article>"
+    assert h.blocks(paper)[-2:] == ["Discussion", "What it means."]
+    assert h.blocks("<article><p>The text.</p></article><div class='discussion'><p>I like it.</p></div>") == ["The text."]
+    assert h.blocks("<article><p>The text.</p><div class='comments'><p>I like it.</p></div></article>") == ["The text."]
+
+
 @pytest.mark.parametrize("page", ["<div>x" * 50_000, "<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" + "<div>x" * 25_000 + "</b>" * 25_000, "<span>" * 25_000 + "<div>x</div>" * 25_000])
 def test_time_is_linear_in_nesting(page):
     began = time.perf_counter()
