@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _register_more() -> None:
-    from tessera.plans import search_plans  # noqa: F401  it adds its queries to this catalogue
+    from tessera.plans import search_plans, stream_plans  # noqa: F401  they add their queries to this catalogue
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

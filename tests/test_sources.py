@@ -101,7 +101,7 @@ def test_streams(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/events")
     run_stream(streams.span_windows(stream.selectExpr("ts", "event_type as kind", "value as ms"), "1 day"), "spans", "complete")
     assert spark.sql("select sum(n) from spans").first()[0] == events.count()
-    steps = stream.selectExpr("cast(user_id as string) as run_id", "case event_type when 'click' then 'rewrite' else 'accept' end as route")
+    steps = stream.selectExpr("cast(user_id as string) as run_id", "ts", "case event_type when 'click' then 'rewrite' else 'accept' end as route")
     run_stream(streams.running_budgets(steps), "budgets", "update")
     got = {r.run_id: r.steps for r in spark.sql("select run_id, max(steps) as steps from budgets group by 1").collect()}
     assert got == {str(r.user_id): r.n for r in events.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
@@ -110,3 +110,40 @@ def test_streams(spark, sf, tmp_path):
     for k in range(2):
         run_stream(streams.new_chunks(chunks, "60 days"), "", "append", (streams.upsert_into(table), f"file://{tmp_path}/cp{k}"))
     assert spark.read.parquet(table).count() == events.select("user_id").distinct().count()
+
+
+def test_idle_runs_are_closed_and_forgotten(spark, tmp_path):
+    """Batch by batch: totals go on, an idle run is told once as closed, and begins anew."""
+    source, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "out", "cp"))
+    schema = "run_id string, ts timestamp, route string"
+    days = [
+        [("a", "2024-01-01 00:00", "rewrite"), ("b", "2024-01-01 01:00", "accept"), ("a", "2024-01-01 02:00", "re_retrieve")],
+        [("a", "2024-01-01 20:00", "rewrite"), ("c", "2024-01-03 00:00", "accept")],  # b is idle since more than a day, and then a
+        [("b", "2024-01-03 01:00", "rewrite"), ("c", "2024-01-03 00:30", "accept")],
+    ]
+    for k, rows in enumerate(days):
+        spark.createDataFrame(rows, "run_id string, ts string, route string").selectExpr("run_id", "cast(ts as timestamp) as ts", "route").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.run_available(streams.running_budgets(stream), out, "update", checkpoint)
+    told = [(r.run_id, r.steps, r.rewrites, r.cost, r.closed) for r in spark.read.parquet(out).orderBy("batch", "run_id", "closed").collect()]
+    assert told.count(("b", 1, 0, 0.0, True)) == 1 and told.count(("a", 3, 2, 6.0, True)) == 1
+    assert ("b", 1, 1, 1.0, False) in told  # a run of the same name begins anew
+    assert ("c", 2, 0, 0.0, False) in told and not any(t[0] == "c" and t[4] for t in told)
+
+
+def test_upserts_read_the_touched_buckets(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    write = streams.upsert_into(table, buckets=16)
+    batch = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "chunk_id long, text string")
+    write(batch(range(200)), 0)
+    files = spark.read.parquet(table).inputFiles()
+    write(batch([*range(150, 200), *range(150, 200)]), 1)  # nothing is new: nothing is written
+    assert spark.read.parquet(table).inputFiles() == files
+    write(batch([3, 500]), 2)
+    got = spark.read.parquet(table)
+    assert sorted(r.chunk_id for r in got.collect()) == [*range(200), 500]
+    touched = [r.bucket for r in batch([3, 500]).select(streams._bucket(16).alias("bucket")).collect()]
+    known = streams.known_in(got, touched)
+    plan = known._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "ReadSchema: struct<chunk_id:bigint>" in plan and known.select(F.input_file_name()).distinct().count() <= 3
