@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import query, rounded
-from tessera.plans.fixtures import ROUTES
+from tessera.plans.fixtures import ROUTES, table
 from tessera.session import new_table_path
+from tessera.sources import documents
 from tessera.streaming import streams
 
 _ROUTE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + " ELSE 'abstain' END"
@@ -48,3 +49,21 @@ def stream_upserts(s, d):
         chunks = streams.new_chunks(streams.available(s, d, "events").selectExpr("user_id as chunk_id", "ts", "value"), "1 day")
         streams.run_available(chunks, path, "append", f"{path}-checkpoint-{k}", streams.upsert_into(path))
     return s.read.parquet(path).groupBy("chunk_id").agg(F.count("*").alias("copies"))
+
+
+@query("feed_entries", "SELECT printf('2105.%05d', page_id) AS arxiv_id, url AS title, 1::BIGINT AS copies FROM pages")
+def feed_entries(s, d):
+    """A feed made of the pages, read as a stream that is stopped and started again."""
+    root, pages = new_table_path(s, "feed"), table(s, d, "pages")
+    entry = "concat('<entry><id>http://arxiv.org/abs/2105.', lpad(page_id, 5, '0'), 'v1</id><title>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), '</title><summary>s</summary><published>2021-05-01T00:00:00Z</published></entry>') as value"
+    nth = F.row_number().over(W.orderBy("page_id")) - 1  # the feed's own order
+    pages.withColumn("start", nth).selectExpr("start", entry).repartition(8, "start").write.partitionBy("start").text(f"{root}/entries")
+    n, uri = pages.count(), f"{root}/entries"
+    for most in (n // 2, n):  # the first run ends in the middle
+        stream = documents.feed_stream(s, uri, "tessera.sources.documents:fetch_folder", most, 20, pause=0.0, hard_stop=n)
+        q = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return s.read.parquet(f"{root}/out").groupBy("arxiv_id", "title").agg(F.count("*").alias("copies"))

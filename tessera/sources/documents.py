@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from tessera.session import ship
 
@@ -107,22 +108,80 @@ class PagedFeed(DataSource):
     def reader(self, schema) -> "PagedFeedReader":
         return PagedFeedReader(dict(self.options))
 
+    def simpleStreamReader(self, schema) -> "PagedFeedStreamReader":
+        return PagedFeedStreamReader(dict(self.options))
+
+
+def _fetcher(options: dict):
+    import importlib
+
+    module, _, name = options["fetcher"].partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def _bounds(options: dict) -> tuple[int, int]:
+    """(entries at most, entries of a page)."""
+    return min(int(options.get("max_results", "20")), int(options.get("hard_stop", HARD_STOP))), int(options.get("page_size", "50"))
+
 
 class PagedFeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[_Page]:
-        most = min(int(self.options.get("max_results", "20")), HARD_STOP)
-        size = int(self.options.get("page_size", "50"))
+        most, size = _bounds(self.options)
         return [_Page(at, min(size, most - at)) for at in range(0, most, size)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        import importlib
+        yield from parse_atom(_fetcher(self.options)(self.options.get("query", ""), partition.start, partition.size))
+
+
+class PagedFeedStreamReader(SimpleDataSourceStreamReader):
+    """The feed page by page: the offset is the number of entries read, kept in the stream's
+    checkpoint, so a restart goes on where the last finished batch ended and fetches a batch
+    that had begun again. ``pause`` seconds lie between two pages."""
+
+    def __init__(self, options: dict):
+        self.options, self.asked = options, False
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def _page(self, at: int, size: int) -> list[tuple]:
+        if self.asked:
+            time.sleep(float(self.options.get("pause", "3")))
+        self.asked = True
+        return parse_atom(_fetcher(self.options)(self.options.get("query", ""), at, size))
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        most, size = _bounds(self.options)
+        at = start["at"]
+        rows = self._page(at, min(size, most - at)) if at < most else []
+        return iter(rows), {"at": at + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._page(start["at"], end["at"] - start["at"]))
+
+
+def feed_stream(spark: SparkSession, query: str, fetcher: str, max_results: int = 20, page_size: int = 50, pause: float = 3.0, hard_stop: int = HARD_STOP) -> DataFrame:
+    """Entries of a feed search as a stream; ``hard_stop`` bounds any search."""
+    ship(spark)
+    spark.dataSource.register(PagedFeed)
+    options = {"query": query, "fetcher": fetcher, "max_results": str(max_results), "page_size": str(page_size), "pause": str(pause), "hard_stop": str(hard_stop)}
+    return spark.readStream.format("paged_feed").options(**options).load()
+
+
+def fetch_folder(folder: str, start: int, size: int) -> str:
+    """A fetcher for a mirror: lines of entries in folders start=n, one for each entry."""
+    from pyarrow import fs
 
-        module, _, name = self.options["fetcher"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        yield from parse_atom(fetch(self.options.get("query", ""), partition.start, partition.size))
+    store, root = fs.FileSystem.from_uri(folder)
+    entries = []
+    for at in range(start, start + size):
+        found = store.get_file_info(fs.FileSelector(f"{root}/start={at}", allow_not_found=True))
+        for f in sorted((f for f in found if "/part-" in f.path), key=lambda f: f.path):
+            entries.append(store.open_input_stream(f.path).read().decode())
+    return f'<feed xmlns="http://www.w3.org/2005/Atom">{"".join(entries)}</feed>'
 
 
 def search_feed(spark: SparkSession, terms: list[str], categories: list[str], fetcher: str, max_results: int = 20, exclude: DataFrame | None = None) -> DataFrame:
