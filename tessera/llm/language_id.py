@@ -28,6 +28,7 @@ from tessera.llm.sampling import MARGIN, place
 from tessera.session import ship
 
 PER_LANGUAGE = 500
+SAMPLED, LEAST = 8000, 20  # texts of all languages together, at most; of one, where there are many
 FOLDS, HELD_OUT = 3, 1
 PAIR_BITS, TRIPLE_BITS = 11, 12
 SLICE = 1 << 15  # letters whose features are looked up at once
@@ -157,11 +158,13 @@ class Model:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """(lang, shares) of whole labelled texts outside the held-out fold, at most so many of
-    each language. The features are counted by the tasks, so the texts stay where they are:
-    a sampled text is ``SIZE`` numbers to the driver."""
+    each language and ``SAMPLED`` of all (``LEAST`` of each where there are more languages than that
+    allows). The features are counted by the tasks, so the texts stay where they are: a
+    sampled text is ``SIZE`` numbers to the driver, all of them at most some 200 MB."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != HELD_OUT))
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    per_language = min(per_language, max(LEAST, SAMPLED // max(1, len(counts))))
     # they have been on the driver already; the documents are not dealt out by language
     sizes = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in counts], "lang string, n long")
     ids = (
@@ -183,7 +186,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
             found = [shares(v.as_py()).tobytes() for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary())], names=["doc_id", "lang", "shares"])
 
-    rows = some.mapInArrow(counted, "doc_id long, lang string, shares binary").collect()
+    rows = some.mapInArrow(counted, "doc_id long, lang string, shares binary")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("shares").alias("shares")).collect()  # of repeated ids one
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.shares))
     return rows
 

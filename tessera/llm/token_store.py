@@ -13,7 +13,8 @@ dictionary is trained on the serialized ids of at most ``sample_docs`` whole doc
 at most ``SAMPLE_CHARS`` characters (smallest hash of the id); it changes the size of the
 files, never what they hold.
 
-Defined cases: a null or empty text holds only the end id; null doc_ids come first;
+Defined cases: a null or empty text holds only the end id; a text of any length is one frame
+of one block; null doc_ids come first;
 repeated rows, and texts of one doc_id, are kept one after the other (the shorter first);
 an empty table gives an empty store.
 """
@@ -115,7 +116,8 @@ class Block:
 
 
 def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID) -> None:
-    """Write ``target/blocks`` (part, block, first_start, n_ids, data) and ``target/dictionary``."""
+    """Write ``target/blocks`` (part, block, first_start, n_ids, first_doc, last_doc, data) and
+    ``target/dictionary``. Blocks of null ids have no first_doc."""
     spark = docs.sparkSession
     ship(spark)
     path = path or word_codes.tokenizer_path()
@@ -133,12 +135,13 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
 
         def close() -> pa.RecordBatch:
             n = sum(map(len, held))
-            row = [part, state["block"], state["start"], n, encode_block(held_ids, held, dictionary, compressor)]
+            known = [d for d in held_ids if d is not None]
+            row = [part, state["block"], state["start"], n, min(known, default=None), max(known, default=None), encode_block(held_ids, held, dictionary, compressor)]
             state["block"] += 1
             state["start"] += n
             held_ids.clear(), held.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "block", "first_start", "n_ids", "data"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["part", "block", "first_start", "n_ids", "first_doc", "last_doc", "data"])
 
         size = 0
         for batch in batches:
@@ -158,7 +161,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
     # rows of one doc_id, or of none, are dealt out by their texts
     order = [F.col("doc_id"), F.length("text"), F.xxhash64("text")]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(blocks, "part int, block int, first_start long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(f"{target}/blocks")
+    ordered.mapInArrow(blocks, "part int, block int, first_start long, n_ids long, first_doc long, last_doc long, data binary").write.option("compression", "uncompressed").parquet(f"{target}/blocks")
 
 
 def _dictionary(spark: SparkSession, target: str) -> bytes:
@@ -197,8 +200,14 @@ def read_store(spark: SparkSession, target: str, with_ids: bool = False) -> Data
     return table.select("part", "first_start", "data").mapInArrow(docs, schema)
 
 
+def holding(blocks: DataFrame, doc_id: int) -> DataFrame:
+    """Blocks that may have the document."""
+    return blocks.where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+
+
 def read_document(spark: SparkSession, target: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of the documents with this id; only their frames are decompressed."""
+    """Ids of the documents with this id: the blocks whose range of doc_ids holds it are read
+    (blocks are in order of doc_id, so these are few), and of those its own frames."""
     dictionary, out = _dictionary(spark, target), []
     ship(spark)
 
@@ -210,7 +219,7 @@ def read_document(spark: SparkSession, target: str, doc_id: int) -> list[np.ndar
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int64()))], names=["ids"])
 
-    for row in spark.read.parquet(f"{target}/blocks").select("data").mapInArrow(find, "ids array<long>").collect():
+    for row in holding(spark.read.parquet(f"{target}/blocks"), doc_id).select("data").mapInArrow(find, "ids array<long>").collect():
         out.append(np.array(row.ids, np.uint32))
     return out
 

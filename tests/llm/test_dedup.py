@@ -230,3 +230,30 @@ def test_recall_on_a_larger_table(spark):
     df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
     got = np.array([r.n_links for r in sorted(embedding_dedup.link(df).collect(), key=lambda r: r.vec_id)])
     assert (got <= same.sum(1)).all() and got.sum() >= 0.999 * same.sum() > 100_000
+
+
+def test_a_longer_code_for_larger_tables(monkeypatch):
+    """With three blocks, too, a vector passes about as many filters, and near pairs share one."""
+    rng = np.random.default_rng(9)
+    for largest in (0, 400_000, 10**8):
+        alpha, parts, words = embedding_dedup._threshold(64, largest)
+        assert (parts == 3) == (largest > 0) and words <= embedding_dedup.MAX_WORDS
+        assert words == embedding_dedup.MAX_WORDS or float(words) ** parts >= embedding_dedup.FILTERS * largest  # unlike vectors share no more of them
+    a = rng.normal(size=(150, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = rng.normal(size=(150, 64))
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    left, right = embedding_dedup.list_decode(a, 400_000), embedding_dedup.list_decode(b, 400_000)
+    assert 800 < np.mean(list(map(len, left))) < 3200
+    assert sum(bool(np.intersect1d(x, y).size) for x, y in zip(left, right)) >= 149
+    # all filters beyond the threshold are found, and no others
+    monkeypatch.setattr(embedding_dedup, "MAX_WORDS", 12)
+    monkeypatch.setattr(embedding_dedup, "_threshold", lambda dim, largest=0: (0.45, 3, 12))
+    embedding_dedup.code.cache_clear()
+    alpha, rotation, words, cols, _ = embedding_dedup.code(9, 5)
+    for unit, got in zip(a[:20, :9] / np.linalg.norm(a[:20, :9], axis=1, keepdims=True), embedding_dedup.list_decode(a[:20, :9] / np.linalg.norm(a[:20, :9], axis=1, keepdims=True), 5)):
+        s = [(unit @ rotation)[c] @ w.T for w, c in zip(words, cols)]
+        whole = (s[0][:, None, None] + s[1][None, :, None] + s[2][None, None, :]).ravel()
+        assert set(got.tolist()) == set(np.flatnonzero(whole >= alpha).tolist())
+    embedding_dedup.code.cache_clear()

@@ -119,6 +119,10 @@ def test_store_round_trip(spark, odd_docs, no_docs, tmp_path):
         at += r.n_tokens
     want = sorted((str(d), ids.tolist(), zlib.crc32(ids.tobytes())) for (d, _), ids in zip(docs, encode([t for _, t in docs], 2)))
     assert sorted((str(r.doc_id), r.ids, r.ids_crc32) for r in rows) == want
+    blocks = spark.read.parquet(f"{target}/blocks")
+    assert token_store.holding(blocks, 10**9).count() == 0 and token_store.holding(blocks, 8).count() > 0
+    plan = token_store.holding(blocks, 8)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(first_doc,8)" in plan and "GreaterThanOrEqual(last_doc,8)" in plan
     assert [x.tolist() for x in token_store.read_document(spark, target, 8)] == [encode(["one two"], 2)[0].tolist()]
     token_store.write_store(no_docs, f"{target}-empty")
     assert token_store.read_store(spark, f"{target}-empty").collect() == []
