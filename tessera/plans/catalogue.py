@@ -296,11 +296,13 @@ def hybrid_search(s, d):
 
 
 def _backends(s, d):
+    """All results, and those in English from another backend with other scores."""
     rows = X.results(s, d).withColumn("score", 1 / F.col("rank")).drop("rank")
-    return rows.withColumn("origin", F.lit("a")), rows.where("chunk_id % 3 = 0").select("query_id", "chunk_id", (F.col("score") / 2).alias("score"), F.lit("b").alias("origin"))
+    english = rows.join(X.chunks(s, d).where("section = 'en'").select("chunk_id"), "chunk_id", "left_semi")
+    return rows.withColumn("origin", F.lit("a")), english.select("query_id", "chunk_id", (F.col("score") / 2).alias("score"), F.lit("b").alias("origin"))
 
 
-@query("union_backends", with_views("results", more=f"""a AS (SELECT query_id, chunk_id, 1 / rank AS score, 'a' AS origin FROM results), b AS (SELECT query_id, chunk_id, score / 2 AS score, 'b' AS origin FROM a WHERE chunk_id % 3 = 0),
+@query("union_backends", with_views("results", more=f"""a AS (SELECT query_id, chunk_id, 1 / rank AS score, 'a' AS origin FROM results), b AS (SELECT query_id, chunk_id, score / 2 AS score, 'b' AS origin FROM a WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
 u AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY origin DESC, score DESC) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b))""") + f"SELECT query_id, chunk_id, round(score, 6) AS score, origin, rank FROM (SELECT *, {_RANK} AS rank FROM u WHERE r = 1) WHERE rank <= 10")
 def union_backends(s, d):
     a, b = (x.groupBy("query_id", "chunk_id", "origin").agg(F.max("score").alias("score")) for x in _backends(s, d))
@@ -591,10 +593,10 @@ def pair_summary(s, d):
     return pairs.pair_summary(pairs.preference_pairs(X.verdicts(s, d)))
 
 
-@query("leakage_guard", "WITH t AS (SELECT DISTINCT regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS nq FROM conversations), e AS (SELECT DISTINCT regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS nq FROM conversations WHERE conv_id % 10 = 0) SELECT md5(nq) AS digest FROM t WHERE nq IN (SELECT nq FROM e)")
+@query("leakage_guard", "WITH t AS (SELECT DISTINCT regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS nq FROM conversations), e AS (SELECT DISTINCT regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS nq FROM conversations WHERE role = 'user') SELECT md5(nq) AS digest FROM t WHERE nq IN (SELECT nq FROM e)")
 def leakage_guard(s, d):
     turns = X.table(s, d, "conversations").withColumnRenamed("text", "query")
-    return pairs.leaked(turns, turns.where("conv_id % 10 = 0")).select(F.md5("nq").alias("digest"))
+    return pairs.leaked(turns, turns.where("role = 'user'")).select(F.md5("nq").alias("digest"))
 
 
 @query("train_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('0:', doc_id)), doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, r <= CASE WHEN n <= 1 THEN 0 ELSE greatest(1, floor(n * 0.1)) END AS held_out FROM r")
@@ -610,13 +612,15 @@ def eval_constraints(s, d):
     return labels.constraint_counts(X.table(s, d, "benchmark").select(F.col("item_id").alias("query_id")), X.qrels(s, d))
 
 
-_POOL = "pool AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 5 = 0 THEN (grade + 1) % 4 ELSE grade END AS grade, chunk_id % 2 = 0 AS reviewed, CASE WHEN chunk_id % 4 = 0 THEN 'r' END AS reviewer FROM qrels), frozen AS (SELECT * FROM qrels WHERE chunk_id % 3 > 0)"
+#: labels of English chunks are reviewed, by their source; those of longer chunks are frozen already
+_POOL = """pool AS (SELECT query_id, chunk_id, CASE WHEN n_chars % 5 = 0 THEN (grade + 1) % 4 ELSE grade END AS grade, coalesce(lang = 'en', false) AS reviewed, source AS reviewer FROM qrels JOIN documents ON doc_id = chunk_id),
+frozen AS (SELECT query_id, chunk_id, grade FROM qrels JOIN documents ON doc_id = chunk_id WHERE n_chars > 500)"""
 
 
 def _pool(s, d):
-    q = X.qrels(s, d)
-    pool = q.selectExpr("query_id", "chunk_id", "case when chunk_id % 5 = 0 then (grade + 1) % 4 else grade end as grade", "chunk_id % 2 = 0 as reviewed", "case when chunk_id % 4 = 0 then 'r' end as reviewer")
-    return pool, q.where("chunk_id % 3 > 0")
+    q = X.qrels(s, d).join(X.table(s, d, "documents").selectExpr("doc_id as chunk_id", "lang", "source", "n_chars"), "chunk_id")
+    pool = q.selectExpr("query_id", "chunk_id", "case when n_chars % 5 = 0 then (grade + 1) % 4 else grade end as grade", "coalesce(lang = 'en', false) as reviewed", "source as reviewer")
+    return pool, q.where("n_chars > 500").select("query_id", "chunk_id", "grade")
 
 
 @query("qrel_promotion", with_views("qrels", more=_POOL) + "SELECT p.query_id, p.chunk_id, p.grade, f.grade AS old_grade, CASE WHEN f.grade IS NULL THEN 'new' WHEN f.grade <> p.grade THEN 'changed' ELSE 'unchanged' END AS change FROM pool p LEFT JOIN frozen f ON p.query_id = f.query_id AND p.chunk_id = f.chunk_id WHERE reviewed AND reviewer IS NOT NULL")
@@ -790,18 +794,18 @@ def readiness(s, d):
     return tools.readiness({"documents": docs, "embeddings": X.table(s, d, "embeddings"), "empty": docs.where("false")})
 
 
-@query("prefer_catalogue", "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE md5(source) END AS digest FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("prefer_catalogue", "SELECT doc_id AS chunk_id, CASE WHEN lang = 'en' THEN md5(text) ELSE md5(source) END AS digest FROM documents WHERE lang = 'en' OR n_chars > 1000")
 def prefer_catalogue(s, d):
     docs = X.table(s, d, "documents")
-    sparse = docs.where("doc_id % 2 = 0").selectExpr("doc_id as chunk_id", "text")
-    store = docs.where("doc_id % 3 = 0").selectExpr("doc_id as chunk_id", "source as text")
+    sparse = docs.where("lang = 'en'").selectExpr("doc_id as chunk_id", "text")
+    store = docs.where("n_chars > 1000").selectExpr("doc_id as chunk_id", "source as text")
     return tools.prefer_catalogue(docs.selectExpr("doc_id as chunk_id"), sparse, store).select("chunk_id", F.md5("text").alias("digest"))
 
 
-@query("repair_brief", with_views("drafts", "claims") + "SELECT c.draft_id, c.nth, CASE WHEN EXISTS (SELECT 1 FROM claims b WHERE b.draft_id = c.draft_id AND b.claim = c.claim AND b.nth % 3 = 0) THEN 'fix' ELSE 'keep' END AS action FROM claims c")
+@query("repair_brief", with_views("drafts", "claims") + "SELECT c.draft_id, c.nth, CASE WHEN EXISTS (SELECT 1 FROM claims b WHERE b.draft_id = c.draft_id AND b.claim = c.claim AND NOT b.cited) THEN 'fix' ELSE 'keep' END AS action FROM claims c")
 def repair_brief(s, d):
     rows = X.claims(s, d)
-    bad = rows.where("nth % 3 = 0").selectExpr("draft_id", "claim", "'missing_citation' as kind")
+    bad = rows.where("not cited").selectExpr("draft_id", "claim", "'missing_citation' as kind")
     return tools.repair_brief(rows.selectExpr("draft_id", "cast(nth as long) as nth", "claim as text"), bad).select("draft_id", "nth", "action")
 
 
@@ -880,10 +884,10 @@ def random_negatives(s, d):
     return drafts.any_rejected(X.verdicts(s, d), X.verdicts(s, d))
 
 
-@query("resolved_labels", with_views("qrels") + "SELECT count(CASE WHEN b.item_id IS NULL THEN 1 END) AS no_query, count(CASE WHEN b.item_id IS NOT NULL AND c.doc_id IS NULL THEN 1 END) AS no_chunk FROM qrels LEFT JOIN (SELECT * FROM benchmark WHERE item_id % 5 > 0) b ON b.item_id = query_id LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 > 0) c ON c.doc_id = chunk_id")
+@query("resolved_labels", with_views("qrels") + "SELECT count(CASE WHEN b.item_id IS NULL THEN 1 END) AS no_query, count(CASE WHEN b.item_id IS NOT NULL AND c.doc_id IS NULL THEN 1 END) AS no_chunk FROM qrels LEFT JOIN (SELECT * FROM benchmark WHERE length(text) % 2 = 0) b ON b.item_id = query_id LEFT JOIN (SELECT * FROM documents WHERE lang <> 'de') c ON c.doc_id = chunk_id")
 def resolved_labels(s, d):
-    q = X.table(s, d, "benchmark").where("item_id % 5 > 0").selectExpr("item_id as query_id", "text as query")
-    c = X.table(s, d, "documents").where("doc_id % 7 > 0").selectExpr("doc_id as chunk_id", "text")
+    q = X.table(s, d, "benchmark").where("length(text) % 2 = 0").selectExpr("item_id as query_id", "text as query")
+    c = X.table(s, d, "documents").where("lang <> 'de'").selectExpr("doc_id as chunk_id", "text")
     return drafts.resolved_labels(X.qrels(s, d), q, c)[1]
 
 
