@@ -99,7 +99,7 @@ class Engine:
         self.spark, self.settings, self.ranker = chunks.sparkSession, settings, ranker
         self.chunks = chunks
         if vectors is None:
-            vectors = chunks.select("chunk_id", drafts.stub_embedding(F.col("text")).alias("embedding"))
+            vectors = drafts.stub_embeddings(chunks.select("chunk_id", "text"), "chunk_id")
         self.vectors = vectors
         self.index = retrieve.sparse_index(chunks, persist=True)
         self.tracer = Tracer()
@@ -108,7 +108,7 @@ class Engine:
         """Requests of query_id, query and optional filters; embeddings by the stub."""
         names = ("query_id", "query", "year_min", "year_max", "sections", "venue_is")
         df = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], "query_id string, query string, year_min int, year_max int, sections array<string>, venue_is string")
-        return df.withColumn("embedding", drafts.stub_embedding(F.col("query")))
+        return df.join(drafts.stub_embeddings(df.select("query_id", F.col("query").alias("text")), "query_id", "query"), "query_id")
 
     def search(self, requests: DataFrame, top_k: int | None = None) -> Answer:
         """Attributed results of a batch; a failure becomes an error in the answer."""
@@ -183,7 +183,7 @@ def ingest_corpus(docs: DataFrame, until: str = "index", manifest: DataFrame | N
         out["tokens"] = ingest.exclusive_quartiles(out["chunks"].select(F.col("n_tokens").cast("double").alias("v")))
         out["bounds"] = out["chunks"].agg(F.count_if(F.col("n_tokens") < size.least).alias("under"), F.count_if(F.col("n_tokens") > size.most).alias("over"))
     if "embed" in wanted:
-        out["vectors"] = keep(out["chunks"].select("chunk_id", drafts.stub_embedding(F.col("text")).alias("embedding")), "vectors")
+        out["vectors"] = keep(drafts.stub_embeddings(out["chunks"].select("chunk_id", "text"), "chunk_id"), "vectors")
     if "index" in wanted:
         out["index"] = retrieve.sparse_index(out["chunks"])
     if dry_run:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normal_query, sentences
+from tessera.functions.text import hash_slot, normal_query, sentences, words
 from tessera.operators.pairs import CAP, GAP
 
 # fixed values: words that say nothing about a question's subject
@@ -140,25 +141,55 @@ def any_rejected(verdicts: DataFrame, negatives: DataFrame, cap: int = CAP, gap:
     return met.withColumn("nth", nth).where(F.col("nth") <= cap).select("nq", "chosen", "rejected", "nth")
 
 
-def stub_embedding(text: Column, dim: int = 64) -> Column:
-    """A unit vector of hashed words (zero without any): the stand-in for a model behind
-    the same seam, an Arrow batch function. The same text gives the same vector anywhere."""
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        import re
-        import zlib
-
-        import numpy as np
-
-        rows = []
-        for t in texts:
-            slots = [zlib.crc32(w.encode()) % dim for w in re.findall("[a-z0-9]+", (t or "").lower())]
-            v = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(dim)
-            rows.append(v / (np.linalg.norm(v) or 1.0))
-        return pd.Series(rows)
-
-    return embed(text)
+PREFIXES = {"query": "query: ", "passage": "passage: "}  # fixed values: what the two kinds of text begin with
+
+
+def stub_embeddings(texts: DataFrame, key: str, kind: str = "passage", dim: int = 64) -> DataFrame:
+    """(key, embedding) of (key, text): unit vectors of hashed words, the stand-in for a
+    model. Queries and passages get the prefixes of their kinds, as an asymmetric model
+    wants them, so the same text has two vectors. Texts of one key count as one."""
+    prefixed = F.concat(F.lit(PREFIXES[kind]), F.coalesce("text", F.lit("")))
+    slots = texts.select(key, F.explode(words(prefixed)).alias("word")).select(key, hash_slot(F.col("word"), dim).cast("int").alias("slot"))
+    counts = slots.groupBy(key, "slot").agg(F.count("*").cast("double").alias("n"))
+    held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))  # dim at most
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
+
+
+#: worked examples of every task that a model is asked: (situation, given, reply)
+EXAMPLES = {
+    "relevance": (
+        ("States the asked figure", "QUESTION: How large was the test set?\nPASSAGE (p1): We held out 2,000 samples.", {"grade": 3, "confidence": 0.9, "rationale": "gives the size"}),
+        ("On the subject without an answer", "QUESTION: How large was the test set?\nPASSAGE (p2): Test sets must not leak.", {"grade": 1, "confidence": 0.7, "rationale": "no size is given"}),
+    ),
+    "answer": (
+        ("All is answered", "QUESTION: Which metric?\nDRAFT: Recall is used [p1].", {"relevance": 3, "evidence_sufficient": True, "missing_aspects": [], "confidence": 0.9, "rationale": "names it"}),
+        ("A part is missing", "QUESTION: Which metrics, and why?\nDRAFT: Recall is used [p1].", {"relevance": 1, "evidence_sufficient": True, "missing_aspects": ["why"], "confidence": 0.8, "rationale": "no reason"}),
+    ),
+    "faithfulness": (
+        ("Every claim is supported", "DRAFT: Recall is used [p1].\nPASSAGE (p1): We report recall.", {"violations": [], "total_claims": 1, "cited_claims": 1, "supported_cited_claims": 1, "confidence": 0.9}),
+        ("A claim says more than its source", "DRAFT: It always works [p1].\nPASSAGE (p1): It may work.", {"violations": [{"kind": "overstated_certainty", "claim": "It always works"}], "total_claims": 1, "cited_claims": 1, "supported_cited_claims": 0, "confidence": 0.8}),
+    ),
+    "triage": (
+        ("The passages suffice", "QUESTION: Which metric?\nPASSAGES: p1: We report recall.", {"label": "sufficient", "confidence": 0.9, "conflicts": []}),
+        ("They contradict each other", "QUESTION: Which is better?\nPASSAGES: p1: A wins. p2: B wins.", {"label": "conflicting", "confidence": 0.8, "conflicts": [{"kind": "disagree", "chunk_ids": ["p1", "p2"]}]}),
+    ),
+    "reformulate": (("Another vocabulary", "QUESTION: Does it forget?\nALREADY TRIED: Does it forget?", {"query": "catastrophic forgetting in fine-tuning", "rationale": "the literature's term"}),),
+}
+FORMAT = "\n\nReply with one JSON object and nothing else."
+
+
+def rendered_examples(task: str) -> str:
+    """The examples of a task as text of a prompt."""
+    if task not in EXAMPLES:
+        raise KeyError(f"no examples for {task!r}; known: {sorted(EXAMPLES)}")
+    parts = [f"\n\nExample {i}: {situation}\n{given}\nReply: {json.dumps(reply, sort_keys=True)}" for i, (situation, given, reply) in enumerate(EXAMPLES[task], 1)]
+    return "".join(parts)
+
+
+def with_examples(system: Column | str, task: str) -> Column:
+    """The system prompt with the worked examples of the task and what a reply looks like."""
+    system = F.lit(system) if isinstance(system, str) else system
+    return F.concat(F.rtrim(system), F.lit(rendered_examples(task) + FORMAT))
 
 
 def category_report(entries: DataFrame) -> DataFrame:

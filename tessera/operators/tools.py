@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,6 +114,50 @@ def parsed_reply(text: Column, schema: str, required: tuple[str, ...] = ()) -> C
     return F.struct(F.when(error.isNull(), reply).alias("reply"), error.alias("error"))
 
 
+@dataclass(frozen=True)
+class Reply:
+    """What a judge's reply has: its schema, the fields that it must have, and the least and
+    largest value of numbers; other fields are an error."""
+
+    schema: str
+    required: tuple[str, ...]
+    ranges: dict[str, tuple[float, float | None]]
+
+
+_VIOLATIONS = "array<struct<kind:string,claim:string,explanation:string>>"
+REPLIES = {
+    "relevance": Reply("grade int, confidence double, rationale string", ("grade",), {"grade": (0, 3), "confidence": (0, 1)}),
+    "faithfulness": Reply(
+        f"violations {_VIOLATIONS}, total_claims int, cited_claims int, supported_cited_claims int, confidence double",
+        ("total_claims", "cited_claims", "supported_cited_claims"),
+        {"total_claims": (0, None), "cited_claims": (0, None), "supported_cited_claims": (0, None), "confidence": (0, 1)},
+    ),
+    "answer": Reply("relevance int, evidence_sufficient boolean, missing_aspects array<string>, confidence double, rationale string", ("relevance", "evidence_sufficient"), {"relevance": (0, 3), "confidence": (0, 1)}),
+    "triage": Reply("label string, confidence double, conflicts array<struct<kind:string,chunk_ids:array<string>>>", ("label",), {"confidence": (0, 1)}),
+    "reformulate": Reply("query string, rationale string", ("query",), {}),
+}
+
+
+def judge_replies(rows: DataFrame, text: str, kind: str) -> DataFrame:
+    """Adds reply and error: each row's ``text`` read by the schema of its judge. The first
+    that is wrong is told: no object, not JSON, a field that is missing, one that is not known, a number
+    out of its range; then there is no reply. (Step by step, so that each text is parsed once.)"""
+    of = REPLIES[kind]
+    fields = [c.split(" ")[0] for c in of.schema.split(", ")]
+    found = rows.withColumn("_object", reply_object(F.col(text)))
+    read = found.withColumns({"_reply": F.from_json("_object", of.schema), "_keys": F.json_object_keys("_object")})
+    r, some = F.col("_reply"), lambda parts: F.array_compact(F.array(F.lit(None).cast("string"), *parts))
+    missing = some([F.when(r[c].isNull(), F.lit(c)) for c in of.required])
+    outside = some([F.when((r[c] < low) | (F.lit(False) if high is None else r[c] > high), F.lit(c)) for c, (low, high) in of.ranges.items()])
+    strange = F.array_sort(F.array_except("_keys", F.array(*[F.lit(c) for c in fields])))
+    lists = read.withColumns({"_missing": missing, "_outside": outside, "_strange": strange})
+    told = lambda name, column: F.when(F.size(column) > 0, F.concat(F.lit(f"{name}: "), F.array_join(column, ", ")))
+    error = F.when(F.col("_object").isNull(), F.lit("no object")).when(F.try_parse_json("_object").isNull(), F.lit("not JSON"))
+    error = F.coalesce(error, told("missing", "_missing"), told("unknown", "_strange"), told("out of range", "_outside"))
+    judged = lists.withColumn("error", error)
+    return judged.withColumn("reply", F.when(F.col("error").isNull(), r)).drop("_object", "_reply", "_keys", "_missing", "_outside", "_strange")
+
+
 def report_lines() -> Column:
     """An ask report as text, from question, outcome, answer, references (array<struct<
     chunk_id, found, title, year, page>>), reason, next_step, draft, steps, n_evidence."""

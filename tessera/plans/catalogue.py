@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _register_more() -> None:
-    from tessera.plans import search_plans, stream_plans  # noqa: F401  they add their queries to this catalogue
+    from tessera.plans import reply_plans, search_plans, stream_plans  # noqa: F401  they add their queries to this catalogue
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -896,10 +896,18 @@ def category_report(s, d):
     return drafts.category_report(X.table(s, d, "documents").selectExpr("source as category", "2016 + doc_id % 11 as year"))
 
 
-@query("stub_embeddings")
+def _sql_slots(table: str, key: str, kind: str) -> str:
+    return f"SELECT {key} AS doc_id, '{kind}' AS kind, concat('0x', substr(md5(unnest({X.TOKENS.format(f"concat('{drafts.PREFIXES[kind]}', text)")})), 1, 8))::BIGINT % 64 AS slot FROM {table}"
+
+
+@query("stub_embeddings", f"WITH w AS ({_sql_slots('documents', 'doc_id', 'passage')} UNION ALL {_sql_slots('benchmark', 'item_id', 'query')}), c AS (SELECT doc_id, kind, slot, count(*) AS n FROM w GROUP BY 1, 2, 3) SELECT doc_id, kind, round(max(n) / sqrt(sum(n * n)), 6) AS largest, round(sum(slot * n) / sqrt(sum(n * n)), 6) AS weighed FROM c GROUP BY 1, 2")
 def stub_embeddings(s, d):
-    v = X.table(s, d, "documents").select("doc_id", drafts.stub_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").alias("dim"), F.round(retrieve.dot(F.col("v"), F.col("v")), 6).alias("norm"))
+    """Passages and queries with the prefixes of their kinds."""
+    own = drafts.stub_embeddings(X.table(s, d, "documents"), "doc_id").withColumn("kind", F.lit("passage"))
+    asked = drafts.stub_embeddings(X.table(s, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", "query").withColumn("kind", F.lit("query"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double"))
+    found = own.unionByName(asked).select("doc_id", "kind", F.array_max("embedding").alias("largest"), retrieve.dot(F.col("embedding"), places).alias("weighed"))
+    return rounded(found, "largest", "weighed")
 
 
 # --- operators over the results of others ----------------------------------------------

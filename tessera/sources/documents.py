@@ -43,6 +43,17 @@ def text_blocks(docs: DataFrame, heading_size: float = 14.0, body: float = 10.0)
     return lines.select("paper_id", "page", "block", "text", F.when(heading, heading_size).otherwise(body).alias("size"), F.lit(False).alias("bold"))
 
 
+def page_blocks(spans: DataFrame) -> DataFrame:
+    """Blocks of laid-out spans (paper_id, page, block, line, span, text, size, font): the
+    texts in reading order, the largest size, and whether any font is bold. A block's largest size
+    decides, not its mean: a heading may end in a small mark. Blocks without text are left out."""
+    parts = F.array_sort(F.collect_list(F.struct("line", "span", "text")))  # the spans of one block of a page
+    blocks = spans.groupBy("paper_id", "page", "block").agg(
+        F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("text"), F.max("size").alias("size"), F.bool_or(F.contains(F.lower("font"), F.lit("bold"))).alias("bold")
+    )
+    return blocks.where("text <> ''")
+
+
 def question_set(papers: DataFrame) -> dict[str, DataFrame]:
     """Papers with nested sections and questions (paper_id, title, sections array<struct<
     name, paragraphs>>, qas array<struct<query_id, query, evidence, highlighted, unanswerable>>)
