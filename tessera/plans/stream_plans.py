@@ -55,12 +55,11 @@ def stream_upserts(s, d):
 def feed_entries(s, d):
     """A feed made of the pages, read as a stream that is stopped and started again."""
     root, pages = new_table_path(s, "feed"), table(s, d, "pages")
-    entry = "concat('<entry><id>http://arxiv.org/abs/2105.', lpad(page_id, 5, '0'), 'v1</id><title>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), '</title><summary>s</summary><published>2021-05-01T00:00:00Z</published></entry>') as value"
-    nth = F.row_number().over(W.orderBy("page_id")) - 1  # the feed's own order
-    pages.withColumn("start", nth).selectExpr("start", entry).repartition(8, "start").write.partitionBy("start").text(f"{root}/entries")
-    n, uri = pages.count(), f"{root}/entries"
+    entry = "concat('<entry><id>http://arxiv.org/abs/2105.', format_string('%05d', page_id), 'v1</id><title>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), '</title><summary>s</summary><published>2021-05-01T00:00:00Z</published></entry>') as entry"
+    uri = f"{root}/entries"
+    n = documents.save_mirror(pages.selectExpr("page_id", entry), uri, "page_id")
     for most in (n // 2, n):  # the first run ends in the middle
-        stream = documents.feed_stream(s, uri, "tessera.sources.documents:fetch_folder", most, 20, pause=0.0, hard_stop=n)
+        stream = documents.feed_stream(s, uri, "tessera.sources.documents:fetch_folder", most, 20, pause=0.0, hard_stop=n, lanes=64)
         q = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")).start()
         try:
             q.processAllAvailable()

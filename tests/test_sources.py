@@ -147,3 +147,24 @@ def test_upserts_read_the_touched_buckets(spark, tmp_path):
     plan = known._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "ReadSchema: struct<chunk_id:bigint>" in plan and known.select(F.input_file_name()).distinct().count() <= 3
+
+
+def test_a_mirror_is_read_in_lanes_and_goes_on_where_it_stopped(spark, tmp_path):
+    """Ids beyond five digits stay whole, and the entries are two batches, not one a page."""
+    from tessera.plans import catalogue
+
+    ids = [*range(0, 2500, 3), 99_999, 100_000, 1_234_567]
+    spark.createDataFrame([(i, f"http://x/?a={i}&b=<{i}>") for i in ids], "page_id long, url string").repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    rows = catalogue.queries()["feed_entries"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r.arxiv_id, r.title, r.copies) for r in rows) == sorted((f"2105.{i:05d}", f"http://x/?a={i}&b=<{i}>", 1) for i in ids)
+    path = f"file://{tmp_path}/mirror"
+    entries = spark.createDataFrame([(i, ENTRY.format(f"2105.{i:05d}", i, i)) for i in range(95)], "k long, entry string")
+    assert documents.save_mirror(entries, path, "k", folder=10) == 95
+    titles = lambda at, n: [r[1] for r in documents.parse_atom(documents.fetch_folder(path, at, n))]
+    assert titles(8, 15) == [f"T {i}" for i in range(8, 23)] and titles(90, 20) == [f"T {i}" for i in range(90, 95)] and titles(95, 5) == []
+    out, checkpoint = f"file://{tmp_path}/out", f"file://{tmp_path}/cp"
+    for most in (43, 1000):  # the second run ends with the feed
+        streams.run_available(documents.feed_stream(spark, path, "tessera.sources.documents:fetch_folder", most, 7, pause=0.0, hard_stop=1000, lanes=4), out, "append", checkpoint)
+    got = spark.read.parquet(out)
+    assert sorted(r.title for r in got.collect()) == sorted(f"T {i}" for i in range(95))
+    assert {r.batch: r["count"] for r in got.groupBy("batch").count().collect()} == {0: 43, 1: 52}
