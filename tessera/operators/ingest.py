@@ -28,6 +28,7 @@ DEFAULT_SIZE = 10.0
 DROPPED_SECTIONS = ("references", "bibliography", "acknowledg", "appendix")
 CONTEXT = " > "
 SIMILAR = 0.92
+SEGMENTED = 120  # letters of a title that is compared by segments; longer ones meet on triples
 
 
 def body_size(blocks: DataFrame) -> DataFrame:
@@ -195,20 +196,50 @@ def canonical_exact(titles: DataFrame) -> DataFrame:
     return one.join(least, "nt", "left").select("paper_id", F.coalesce("least", "paper_id").alias("canonical_id"))
 
 
-def similar_titles(titles: DataFrame, ratio: float = SIMILAR) -> DataFrame:
-    """(later, earlier): pairs of normal titles whose matching ratio reaches ``ratio``.
-
-    Titles meet on their rarest letter triples. A triple of a title that lies in none of
-    the blocks matched with another title has an unmatched letter (at most 3 for each) or
-    spans a place where the other has one (2 for each), and the letters that both may leave
-    unmatched are bounded by the ratio, with the lengths of the longest and the shortest
-    admissible partner as the two extremes. One more triple than that is a shared one.
-    Below a ratio of 0.91 a short title may share no triple with a similar one, so titles
-    meet on any letter then.
+def _met_on_segments(t: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (a, a_t, b, b_t) of titles (paper_id, nt, n) that may reach ``ratio``; a is the shorter.
+
+    At most d letters of both are outside the blocks matched. The shorter title is cut into
+    d + 1 segments. Going from the left there is a first place where no more of these letters
+    were met than segments passed: the segment there is whole in the longer title, shifted by
+    at most its number i, and at most d - i from the right. So titles meet on a segment and its
+    place, once for each pair of lengths.
+    """
+    # letters outside; of the parity of the lengths' difference
+    d = F.expr(f"int(floor({1 - ratio!r}D * (n + m) + 1e-6))")
+    lengths = t.select("n").distinct()  # at most SEGMENTED rows
+    t = t.select(F.col("paper_id").alias("id"), "nt", F.col("n").alias("own"))
+    cut = "substring(nt, int(floor(n * i / (d + 1))) + 1 + shift, int(floor(n * (i + 1) / (d + 1))) - int(floor(n * i / (d + 1))))"
+
+    def keyed(rows: DataFrame, other: str, name: str, shifts: str) -> DataFrame:
+        rows = rows.join(F.broadcast(lengths.withColumnRenamed("n", other)), other, "left_semi").withColumn("d", d).withColumn("d", F.expr("d - (d - (m - n)) % 2")).where("d >= m - n")
+        rows = rows.withColumn("i", F.explode(F.expr("sequence(0, d)"))).withColumn("shift", F.explode(F.expr(shifts)))
+        inside = "int(floor(n * i / (d + 1))) + shift >= 0 and int(floor(n * (i + 1) / (d + 1))) + shift <= own"
+        return rows.where(inside).select(F.expr(f"xxhash64(n, m, i, {cut})").alias("key"), "d", F.col("id").alias(name), F.col("nt").alias(f"{name}_t")).distinct()
+
+    most = f"int(floor(own * {2 - ratio!r}D / {ratio!r}D + 1e-6))"
+    least = f"int(ceil(own * {ratio!r}D / {2 - ratio!r}D - 1e-6))"
+    short = t.withColumn("n", F.col("own")).withColumn("m", F.explode(F.expr(f"sequence(own, {most})")))
+    long_ = t.withColumn("m", F.col("own")).withColumn("n", F.explode(F.expr(f"sequence({least}, own)")))
+    a = keyed(short, "m", "a", "array(0)")
+    b = keyed(long_, "n", "b", "sequence(greatest(-i, (m - n) - (d - i)), least(i, (m - n) + (d - i)))").drop("d")
+    # two titles of one length meet in both roles: one is enough
+    own = (F.length("a_t") < F.length("b_t")) | (F.col("a") < F.col("b"))
+    return a.join(b, "key").where(own).where(F.expr("levenshtein(a_t, b_t, d) >= 0")).select("a", "a_t", "b", "b_t")
+
+
+def _met_on_grams(t: DataFrame, ratio: float) -> DataFrame:
+    """The same for long titles, which meet on their rarest letter triples.
+
+    A triple of a title that lies in none of the blocks matched with another title has an
+    unmatched letter (at most 3 for each) or spans a place where the other has one (2 for
+    each), and the letters that both may leave unmatched are bounded by the ratio, with the
+    lengths of the longest and the shortest admissible partner as the two extremes. One more
+    triple than that is a shared one. Below a ratio of 0.91 a short title may share no triple
+    with a similar one, so titles meet on any letter then.
     """
-    ship(titles.sparkSession)
-    t = titles.select("paper_id", normal_title("title").alias("nt")).where("nt <> ''").withColumn("n", F.length("nt"))
     width = 3 if ratio >= 0.91 else 1
+    t = t.where(F.col("n") >= SEGMENTED * ratio / (2 - ratio) - 1e-6)
     grams = t.select(
         "paper_id", "nt", "n",
         F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (width - 1), F.lit(1))), lambda i: F.substring("nt", i, F.lit(width))))).alias("g"),
@@ -218,9 +249,22 @@ def similar_titles(titles: DataFrame, ratio: float = SIMILAR) -> DataFrame:
     if width == 3:
         unshared = max(6 * (1 - ratio) / (2 - ratio), 4 * (1 - ratio) / ratio)  # of a title's length
         rare = rare.where(F.col("nth") <= F.floor(unshared * F.col("n") + 1e-6) + 1)
-    a, b = (rare.select(F.col("paper_id").alias(f"{x}"), F.col("nt").alias(f"{x}_t"), F.col("n").alias(f"{x}_n"), "g") for x in ("later", "earlier"))
-    near = F.least("later_n", "earlier_n") * 2 >= ratio * (F.col("later_n") + F.col("earlier_n"))
-    pairs = a.join(b, "g").where((F.col("earlier") < F.col("later")) & near).select("later", "earlier", "later_t", "earlier_t").distinct()
+    a, b = (rare.select(F.col("paper_id").alias(f"{x}"), F.col("nt").alias(f"{x}_t"), F.col("n").alias(f"{x}_n"), "g") for x in ("a", "b"))
+    near = F.least("a_n", "b_n") * 2 >= ratio * (F.col("a_n") + F.col("b_n"))
+    return a.join(b, "g").where((F.col("a") < F.col("b")) & near & (F.greatest("a_n", "b_n") > SEGMENTED)).select("a", "a_t", "b", "b_t")
+
+
+def similar_titles(titles: DataFrame, ratio: float = SIMILAR) -> DataFrame:
+    """(later, earlier): pairs of normal titles whose matching ratio reaches ``ratio``. Only
+    titles that meet on a segment, or long ones on a rare triple, are compared."""
+    ship(titles.sparkSession)
+    t = titles.select("paper_id", normal_title("title").alias("nt")).where("nt <> ''").withColumn("n", F.length("nt"))
+    met = _met_on_segments(t.where(F.col("n") <= SEGMENTED), ratio).unionByName(_met_on_grams(t, ratio))
+    late = F.col("a") > F.col("b")
+    pairs = met.select(
+        F.when(late, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("earlier"),
+        F.when(late, F.col("a_t")).otherwise(F.col("b_t")).alias("later_t"), F.when(late, F.col("b_t")).otherwise(F.col("a_t")).alias("earlier_t"),
+    ).distinct()
 
     @F.pandas_udf("boolean")
     def matching(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -472,3 +472,38 @@ def test_triage_and_grades(spark):
     r = spark.range(1).select(judge.draft_grade(F.lit(None), F.lit(True), F.lit(False), F.lit(False)).alias("a"), judge.draft_grade(F.lit(3), F.lit(True), F.lit(False), F.lit(False)).alias("b"), judge.draft_grade(F.lit(None), F.lit(False), F.lit(True), F.lit(False)).alias("c")).first()
     assert tuple(r) == (1, 3, 0)
     assert math.isclose(spark.range(1).select(agreement.calibrated(F.lit(0.9), 1.0).alias("x")).first().x, 0.9)
+
+
+def test_similar_titles_meet_on_few_segments(spark):
+    """All pairs of a low-entropy vocabulary are found, and few others are compared."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(3)
+    syllables = ["the", "an", "en", "on", "ed", "ha", "th", "er", "or"]
+    words = lambda k: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(k))
+
+    def edited(x):
+        y = list(x)
+        for _ in range(r.randint(0, 8)):
+            at = r.randrange(len(y))
+            if r.random() < 0.5:
+                del y[at]
+            else:
+                y.insert(at, r.choice("abcdeht "))
+            y = y or ["a"]
+        return "".join(y)
+
+    base = [words(k) for k in (1, 2, 4, 9, 9, 10, 10, 11, 12, 12, 25, 30, 60)] + [words(10)[:60] for _ in range(250)]
+    made = sorted({" ".join(x.split()) for t in base for x in (t, edited(t), edited(edited(t)))} - {""})
+    r.shuffle(made)
+    df = spark.createDataFrame(list(enumerate(made)), "paper_id long, title string")
+    for ratio in (0.92, 0.7):
+        some = made if ratio > 0.9 else made[:150]
+        alike = lambda x, y: SequenceMatcher(None, x, y).quick_ratio() >= ratio and SequenceMatcher(None, x, y).ratio() >= ratio  # noqa: E731, B023
+        want = {(j, i) for j in range(len(some)) for i in range(j) if 2 * min(len(some[i]), len(some[j])) >= ratio * (len(some[i]) + len(some[j])) and alike(some[j], some[i])}
+        got = [tuple(p) for p in ingest.similar_titles(df.where(F.col("paper_id") < len(some)), ratio).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    short = df.select("paper_id", F.col("title").alias("nt"), F.length("title").alias("n")).where("n between 45 and 60")
+    n = short.count()  # a title meets few others
+    assert ingest._met_on_segments(short, 0.92).select("a", "b").distinct().count() < n * (n - 1) / 2 / 20
