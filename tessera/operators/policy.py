@@ -143,24 +143,33 @@ def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
     Queries of one session with equal sets are one class, known by its first one: what is
     compared is classes. They meet on their rarest tokens: two sets of such a similarity
     share at least ``most`` of either, so one of the first n - ceil(most * n) + 1 in any
-    common order. Only classes that meet are compared, once each pair.
+    common order. At the first token that two sets share, what is left of each bounds how
+    many they can share; only classes that may share enough are compared, once each pair.
     """
-    q = queries.withColumn("tokens", F.array_distinct("tokens"))
-    keyed = q.withColumn("set", F.md5(F.to_json(F.array_sort("tokens"))))
-    sets = keyed.where(F.size("tokens") > 0).groupBy("session", "set").agg(F.min("seq").alias("first"), F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "novelty-sets")
-    words = sets.select("session", "set", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    keyed = queries.withColumn("tokens", F.array_distinct("tokens")).withColumn("set", F.md5(F.to_json(F.array_sort("tokens")))).withColumn("n", F.size("tokens"))
+    sets = keyed.where(F.col("n") > 0).groupBy("session", "set").agg(F.min("seq").alias("first"), F.first("tokens").alias("tokens"))
+    sets = materialize(sets.withColumn("class", F.monotonically_increasing_id()), "novelty-sets")
+    words = sets.select("session", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     common = words.groupBy("w").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(W.partitionBy("session", "set").orderBy("df", "w"))
+    nth = F.row_number().over(W.partitionBy("session", "class").orderBy("df", "w"))
     rare = words.join(common, "w").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1)
-    rare = materialize(rare.select("session", "set", "n", "w"), "novelty-rare")
-    other = rare.toDF("session", "other", "other_n", "w")
-    near = F.least("n", "other_n") >= most * F.greatest("n", "other_n") - 1e-9
-    met = rare.join(other, ["session", "w"]).where((F.col("set") < F.col("other")) & near).select("session", "set", "other").distinct()
-    both = met.join(sets, ["session", "set"]).join(sets.toDF("session", "other", "other_first", "other_tokens"), ["session", "other"])
+    # a token of one class alone has no partner
+    rare = materialize(rare.where(F.col("df") > 1).select("session", "class", "n", "w", "nth"), "novelty-rare")
+    pairs = _may_be_alike(rare, most)
+    own = sets.select("class", "session", "set", "first", "tokens")
+    both = pairs.join(own, "class").join(own.toDF("other", "other_session", "other_set", "other_first", "other_tokens"), "other")
     shared = F.size(F.array_intersect("tokens", "other_tokens"))
-    alike = materialize(both.where(shared / (F.size("tokens") + F.size("other_tokens") - shared) >= most).select("session", "set", "first", "other", "other_first"), "novelty-alike")
-    links = alike.select("session", "set", F.col("other_first").alias("at")).union(alike.select("session", F.col("other").alias("set"), F.col("first").alias("at")))
+    alike = materialize(both.where(shared / (F.size("tokens") + F.size("other_tokens") - shared) >= most).select("session", "set", "first", "other_set", "other_first"), "novelty-alike")
+    links = alike.select("session", "set", F.col("other_first").alias("at")).union(alike.select("session", F.col("other_set").alias("set"), F.col("first").alias("at")))
     earliest = links.union(sets.select("session", "set", F.col("first").alias("at"))).groupBy("session", "set").agg(F.min("at").alias("at"))
     told = keyed.join(earliest, ["session", "set"], "left")
-    return told.withColumn("novel", (F.size("tokens") > 0) & (F.col("at") >= F.col("seq"))).select(*q.columns, "novel")
+    return told.withColumn("novel", (F.col("n") > 0) & (F.col("at") >= F.col("seq"))).select(*queries.columns, "novel")
+
+
+def _may_be_alike(rare: DataFrame, most: float) -> DataFrame:
+    """Pairs (class, other) of (session, class, n, w, nth): rare tokens with their places."""
+    other = rare.toDF("session", "other", "other_n", "w", "other_nth")
+    near = F.least("n", "other_n") >= most * F.greatest("n", "other_n") - 1e-9
+    left = 1 + F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth"))  # of either set, from this token on
+    enough = left >= most / (1 + most) * (F.col("n") + F.col("other_n")) - 1e-9
+    return rare.join(other, ["session", "w"]).where((F.col("class") < F.col("other")) & near & enough).select("class", "other").distinct()

@@ -507,3 +507,24 @@ def test_similar_titles_meet_on_few_segments(spark):
     short = df.select("paper_id", F.col("title").alias("nt"), F.length("title").alias("n")).where("n between 45 and 60")
     n = short.count()  # a title meets few others
     assert ingest._met_on_segments(short, 0.92).select("a", "b").distinct().count() < n * (n - 1) / 2 / 20
+
+
+def test_few_classes_are_compared_for_novelty(spark):
+    """Sets that meet on a token but cannot share enough are not compared; no alike ones are lost."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(240):
+        old = data[rng.randrange(len(data))][3] if data and i % 3 == 0 else None
+        tokens = [w for w in old if rng.random() > 0.08] + rng.sample(vocabulary, 1) if old else rng.sample(vocabulary, rng.randint(0, 30))
+        data.append((f"s{i % 2}", i, i // 4, tokens))
+    df = spark.createDataFrame(data, "session string, query_id int, seq int, tokens array<string>")
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+
+    want = {q: bool(t) and not any(alike(t, u) for z, _, at, u in data if z == s and at < seq and u) for s, q, seq, t in data}
+    assert {r.query_id: r.novel for r in policy.novel_queries(df).collect()} == want and not all(want.values())
+    place = [("s", c, 10, "w", c) for c in range(1, 4)] + [("s", 9, 10, "w", 1)]
+    met = policy._may_be_alike(spark.createDataFrame(place, "session string, class long, n int, w string, nth int"), 0.8)
+    assert sorted(map(tuple, met.collect())) == [(1, 2), (1, 9), (2, 9)]  # 8 of 10 from the third on are too few
