@@ -38,8 +38,7 @@ def terms(text: Column | str, remove_stopwords: bool = True) -> Column:
     found = words(text)
     if not remove_stopwords:
         return found
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda x: ~F.array_contains(stop, x))
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))  # a set of constants
 
 
 def _pieces(text: Column | str, pattern: str) -> Column:

@@ -225,8 +225,7 @@ rrf AS (SELECT coalesce(s.query_id, v.query_id) AS query_id, coalesce(s.chunk_id
 
 @query("term_stats", with_views(more=_POSTINGS) + "SELECT term, df, sum(tf)::BIGINT AS cf FROM stats JOIN post USING (term) GROUP BY 1, 2")
 def term_stats(s, d):
-    index = retrieve.sparse_index(X.chunks(s, d), persist=True)
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieve.sparse_index(X.chunks(s, d)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_topk", with_views(more=_BM25) + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM bm25) WHERE rank <= 30")

@@ -528,3 +528,20 @@ def test_few_classes_are_compared_for_novelty(spark):
     place = [("s", c, 10, "w", c) for c in range(1, 4)] + [("s", 9, 10, "w", 1)]
     met = policy._may_be_alike(spark.createDataFrame(place, "session string, class long, n int, w string, nth int"), 0.8)
     assert sorted(map(tuple, met.collect())) == [(1, 2), (1, 9), (2, 9)]  # 8 of 10 from the third on are too few
+
+
+def test_sparse_scores_move_only_wanted_postings_once(spark):
+    """Terms are counted in their chunk, and scores are summed where the chunk's postings are."""
+    chunks = spark.createDataFrame([(1, "b a b c1 b"), (2, ""), (3, None), (4, "a the of"), (5, "z z")], "chunk_id long, text string")
+    index = retrieve.sparse_index(chunks)
+    assert sorted(map(tuple, index.postings.select("term", "chunk_id", "tf", "dl").collect())) == [("b", 1, 3, 4), ("c1", 1, 1, 4), ("z", 5, 2, 2)]
+    assert index.corpus.select("n", F.round("avg_dl", 6)).first() == (5, 1.8)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, "b c1"), (2, "z b")], "query_id long, query string")
+    found = retrieve.bm25(asked, retrieve.sparse_index(chunks, persist=True))
+    assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == [(1, 1), (2, 1), (2, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.split("\n") if "RepartitionByExpression" in line]
+    assert len(moved) == 1 and "chunk_id" in moved[0] and plan.index("LeftSemi") > plan.index("RepartitionByExpression")
+    ran = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in ran
