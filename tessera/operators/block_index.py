@@ -22,12 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieve
-from tessera.operators.retrieve import B, IDF_FLOOR, K1, SparseIndex, query_terms
+from tessera.operators.retrieve import B, HELD, IDF_FLOOR, K1, SparseIndex, query_terms
 from tessera.session import materialize
 
 SEGMENT = 16  # chunks of a segment, about
 SLOTS = 64  # folders of terms
 LEAD = 32  # segments of a query that are scored before any is skipped
+DEALT = 4  # parts of a folder
 PUSHED = 1000  # terms that are pushed into the scan; more are joined
 FORMAT = 3
 
@@ -54,19 +55,21 @@ def block_index(index: SparseIndex, clusters: DataFrame | None = None, segment:
     """Blocks of an index's postings. ``clusters`` (chunk_id, cluster): chunks that share
     words, such as those of a language; segments do not mix them."""
     postings = index.postings.select("term", "chunk_id", "tf", "dl")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / segment)).cast("long")
+    place = F.xxhash64("cluster", F.pmod(F.xxhash64("chunk_id"), parts))
     if clusters is None:
-        postings = postings.withColumn("cluster", F.lit(""))
         sizes = index.corpus.select(F.lit("").alias("cluster"), F.col("n").alias("size"))
+        placed = postings.crossJoin(F.broadcast(sizes)).withColumn("segment", place)  # one row
     else:
         named = clusters.select("chunk_id", F.coalesce(F.col("cluster").cast("string"), F.lit("")).alias("cluster"))
-        postings = postings.join(named, "chunk_id")
         sizes = named.groupBy("cluster").agg(F.count("*").alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / segment)).cast("long")
-    placed = postings.join(sizes, "cluster").withColumn("segment", F.xxhash64("cluster", F.pmod(F.xxhash64("chunk_id"), parts)))
-    scored = placed.crossJoin(F.broadcast(index.corpus.select("avg_dl"))).withColumn("part", retrieve._tf_part(k1, b))  # one row
+        placed = postings.join(named.join(sizes, "cluster").select("chunk_id", place.alias("segment")), "chunk_id")
+    # postings go to the folder of their block and are made blocks there
+    placed = placed.withColumns({"slot": _slot("term"), "part": F.pmod(F.col("segment"), F.lit(DEALT)).cast("int")}).select("slot", "part", "term", "segment", "chunk_id", "tf", "dl").repartition("slot", "part")
+    scored = placed.crossJoin(F.broadcast(index.corpus.select("avg_dl"))).withColumn("most", retrieve._tf_part(k1, b))  # one row
     members = F.array_sort(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))))  # a segment's at most
-    blocks = scored.groupBy("term", "segment").agg(F.count("*").cast("int").alias("n"), F.max("part").alias("most"), members.alias("m"))
-    blocks = blocks.select(_slot("term").alias("slot"), "term", "segment", "n", "most", F.col("m.chunk_id").alias("chunk_ids"), F.col("m.tf").alias("tfs"), F.col("m.dl").alias("dls"))
+    blocks = scored.groupBy("slot", "part", "term", "segment").agg(F.count("*").cast("int").alias("n"), F.max("most").alias("most"), members.alias("m"))
+    blocks = blocks.select("slot", "term", "segment", "n", "most", F.col("m.chunk_id").alias("chunk_ids"), F.col("m.tf").alias("tfs"), F.col("m.dl").alias("dls"))
     raw = index.term_stats.crossJoin(F.broadcast(index.corpus)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((IDF_FLOOR * F.avg("raw")).alias("floor"))
     stats = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -74,8 +77,9 @@ def block_index(index: SparseIndex, clusters: DataFrame | None = None, segment:
 
 
 def save_blocks(index: BlockIndex, path: str) -> None:
-    """A folder a slot, rows sorted by term; a frequent term's blocks are dealt to several files."""
-    dealt = index.blocks.repartition(F.col("slot"), F.pmod(F.col("segment"), F.lit(4))).sortWithinPartitions("slot", "term", "segment")
+    """A folder a slot, rows sorted by term; a frequent term's blocks are dealt to several
+    files. Blocks of :func:`block_index` are where they are written."""
+    dealt = index.blocks.sortWithinPartitions("slot", "term", "segment")
     dealt.write.mode("overwrite").partitionBy("slot").option("parquet.block.size", 4 << 20).parquet(f"{path}/blocks")
     index.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
     index.corpus.withColumn("format", F.lit(FORMAT)).write.mode("overwrite").parquet(f"{path}/corpus")
@@ -115,19 +119,23 @@ def search_blocks(requests: DataFrame, index: BlockIndex, n: int, lead: int = LE
     wanted = materialize(query_terms(requests), "block-wanted")
     blocks, stats = _of_terms(index, wanted, pushed)
     weights = materialize(wanted.join(stats, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "block-weights")
+    weights = F.broadcast(weights) if weights.count() <= HELD else weights
     # a part is at least 0, so a term of negative weight adds at most 0
-    heads = blocks.select("term", "segment", "n", "most").join(weights, "term")
+    heads = blocks.select("term", "segment", "n", "most").repartition("segment").join(weights, "term")
     bounds = heads.groupBy("query_id", "segment").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")).alias("bound"), F.count("*").alias("blocks"))
     bounds = materialize(bounds, "block-bounds")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment"))
-    first = bounds.withColumn("nth", nth).where(F.col("nth") <= lead).select("query_id", "segment")
+    first = materialize(bounds.withColumn("nth", nth).where(F.col("nth") <= lead).select("query_id", "segment"), "block-first")
 
     def scores(segments: DataFrame) -> DataFrame:
-        met = segments.join(weights, "query_id").join(blocks.select("term", "segment", "chunk_ids", "tfs", "dls"), ["term", "segment"])
-        rows = met.select("query_id", "weight", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p")).selectExpr("query_id", "weight", "p.chunk_ids as chunk_id", "p.tfs as tf", "p.dls as dl")
+        """Blocks meet the queries that their segment is open to, and are scored where the segment is."""
+        open_to = segments.groupBy("segment").agg(F.collect_set("query_id").alias("open"))  # requests of the batch, at most
+        met = blocks.select("term", "segment", "chunk_ids", "tfs", "dls").repartition("segment").join(open_to, "segment").join(weights, "term").where(F.array_contains("open", F.col("query_id")))
+        rows = met.select("query_id", "segment", "weight", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p")).selectExpr("query_id", "segment", "weight", "p.chunk_ids as chunk_id", "p.tfs as tf", "p.dls as dl")
         corpus = index.corpus.select("avg_dl", "k1", "b")
         part = F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avg_dl")))
-        return rows.crossJoin(F.broadcast(corpus)).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * part).alias("score")).where("score > 0")  # one row
+        summed = rows.crossJoin(F.broadcast(corpus)).groupBy("query_id", "segment", "chunk_id").agg(F.sum(F.col("weight") * part).alias("score"))  # one row
+        return summed.where("score > 0").select("query_id", "chunk_id", "score")
 
     known = materialize(retrieve.top(scores(first), n), "block-lead")
     threshold = known.where(F.col("rank") == n).select("query_id", F.col("score").alias("threshold"))

@@ -115,3 +115,22 @@ def test_measured_recall_on_the_driver_tables(spark, sf, tmp_path):
     asked = X.requests(spark, sf)
     truth = retrieve.cosine_top(asked, X.vectors(spark, sf), 30)
     assert vector_index.recall(vector_index.search(asked, index, 30), truth).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_blocks_and_scores_are_made_where_their_rows_are(spark, tmp_path):
+    """The build moves postings to their chunk and to their folder, the search moves the wanted
+    blocks to their segment; hits are summed there."""
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 7)), "xy"[i % 2]) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, cluster string")
+    plain = retrieve.sparse_index(chunks, persist=True)
+    built = block_index.block_index(plain, chunks.select("chunk_id", "cluster"), 8)
+    assert "hashpartitioning(term" not in built.blocks._jdf.queryExecution().executedPlan().toString()
+    block_index.save_blocks(built, f"file://{tmp_path}/b")
+    stored = block_index.load_blocks(spark, f"file://{tmp_path}/b")
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "cc"), (3, "ff aa dd"), (4, "zz")], "query_id long, query string")
+    found = block_index.search_blocks(asked, stored, 7, 2)
+    plan = found.ranking._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    key = lambda df: [(r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in df.orderBy("query_id", "rank").collect()]
+    assert key(found.ranking) == key(retrieve.top(retrieve.bm25(asked, plain), 7))
