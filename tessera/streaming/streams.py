@@ -48,12 +48,15 @@ def known_in(table: DataFrame, touched: list[int]) -> DataFrame:
 
 
 def span_windows(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, kind, n, p50, p95) of (ts, kind, ms) by event time."""
+    """(start, kind, n, p50, p95) of (ts, kind, ms) by event time. The percentiles are exact:
+    the least value that has the share of the window's values up to it. A window keeps its
+    distinct values with their counts."""
+    exact = lambda q: F.expr(f"percentile_disc({q}) within group (order by ms)")
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(F.window("ts", window), "kind")
-        .agg(F.count("*").alias("n"), F.percentile_approx("ms", 0.5, 1000).alias("p50"), F.percentile_approx("ms", 0.95, 1000).alias("p95"))
+        .agg(F.count("*").alias("n"), exact(0.5).alias("p50"), exact(0.95).alias("p95"))
         .select(F.col("window.start").alias("start"), "kind", "n", "p50", "p95")
     )
 

@@ -168,3 +168,18 @@ def test_a_mirror_is_read_in_lanes_and_goes_on_where_it_stopped(spark, tmp_path)
     got = spark.read.parquet(out)
     assert sorted(r.title for r in got.collect()) == sorted(f"T {i}" for i in range(95))
     assert {r.batch: r["count"] for r in got.groupBy("batch").count().collect()} == {0: 43, 1: 52}
+
+
+def test_percentiles_of_large_windows_are_exact(spark, tmp_path):
+    """A window of many more values than a sketch holds, which come in several files."""
+    rows = spark.range(60_000).selectExpr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 86400) as ts", "if(id % 3 = 0, 'a', 'b') as kind", "cast(id * 7919 % 60000 as double) / 4 as ms")
+    rows.repartition(6).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/in")
+    streams.run_available(streams.span_windows(stream, "1 day"), f"file://{tmp_path}/out", "complete", f"file://{tmp_path}/cp")
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    last = out.where(out.batch == out.agg(F.max("batch")).first()[0])
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.kind, []).append(r.ms)
+    nth = lambda v, q: sorted(v)[-(-len(v) * q // 100) - 1]
+    assert {r.kind: (r.n, r.p50, r.p95) for r in last.collect()} == {k: (len(v), nth(v, 50), nth(v, 95)) for k, v in want.items()}
