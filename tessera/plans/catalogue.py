@@ -230,7 +230,7 @@ def term_stats(s, d):
 
 @query("bm25_topk", with_views(more=_BM25) + f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} AS rank FROM bm25) WHERE rank <= 30")
 def bm25_topk(s, d):
-    return rounded(retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True)), retrieve.ARM), "score")
+    return rounded(retrieve.bm25_top(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True), retrieve.ARM), "score")
 
 
 #: every chunk has a score with every query, most often 0
