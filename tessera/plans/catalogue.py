@@ -261,7 +261,7 @@ def cosine_topk(s, d):
 
 
 def _arm_pair(s, d):
-    sparse = retrieve.top(retrieve.bm25(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True)), retrieve.ARM).drop("rank")
+    sparse = retrieve.bm25_top(X.requests(s, d), retrieve.sparse_index(X.chunks(s, d), persist=True), retrieve.ARM).drop("rank")
     return sparse, retrieve.cosine_top(X.requests(s, d), X.vectors(s, d), retrieve.ARM).drop("rank")
 
 
