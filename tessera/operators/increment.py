@@ -32,7 +32,8 @@ def merged(base: SparseIndex, delta: SparseIndex) -> SparseIndex:
     stats = base.term_stats.unionByName(delta.term_stats).groupBy("term").agg(F.sum("df").alias("df"))
     rows = base.corpus.unionByName(delta.corpus).where("n > 0")
     corpus = rows.agg(F.sum("n").alias("n"), (F.sum(F.col("avg_dl") * F.col("n")) / F.sum("n")).alias("avg_dl"))
-    return SparseIndex(base.postings.unionByName(delta.postings), stats, corpus)
+    packed = base.packed.unionByName(delta.packed) if base.packed is not None and delta.packed is not None else None
+    return SparseIndex(base.postings.unionByName(delta.postings), stats, corpus, packed)
 
 
 def extend(base: SparseIndex, chunks: DataFrame, known: DataFrame) -> SparseIndex:

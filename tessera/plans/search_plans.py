@@ -46,7 +46,7 @@ def incremental_topk(s, d):
     chunks = X.chunks(s, d).select("chunk_id", "text", "section")
     base = chunks.where("section = 'en'")
     index = increment.extend(retrieve.sparse_index(base, persist=True), chunks, base)
-    return rounded(retrieve.top(retrieve.bm25(X.requests(s, d), index), retrieve.ARM), "score")
+    return rounded(retrieve.bm25_top(X.requests(s, d), index, retrieve.ARM), "score")
 
 
 _JOINT = f"""p AS (SELECT query_id, chunk_id, list_distinct({TOKENS.format('b.text')}) AS qs, {TOKENS.format('c.text')} AS cs FROM (SELECT DISTINCT query_id, chunk_id FROM results) JOIN benchmark b ON item_id = query_id JOIN documents c ON doc_id = chunk_id),
