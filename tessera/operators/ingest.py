@@ -208,14 +208,15 @@ def _met_on_segments(t: DataFrame, ratio: float) -> DataFrame:
     # letters outside; of the parity of the lengths' difference
     d = F.expr(f"int(floor({1 - ratio!r}D * (n + m) + 1e-6))")
     lengths = t.select("n").distinct()  # at most SEGMENTED rows
-    t = t.select(F.col("paper_id").alias("id"), "nt", F.col("n").alias("own"))
+    # a small table whose rows are much work each
+    t = t.select(F.col("paper_id").alias("id"), "nt", F.col("n").alias("own")).repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = "substring(nt, int(floor(n * i / (d + 1))) + 1 + shift, int(floor(n * (i + 1) / (d + 1))) - int(floor(n * i / (d + 1))))"
 
     def keyed(rows: DataFrame, other: str, name: str, shifts: str) -> DataFrame:
         rows = rows.join(F.broadcast(lengths.withColumnRenamed("n", other)), other, "left_semi").withColumn("d", d).withColumn("d", F.expr("d - (d - (m - n)) % 2")).where("d >= m - n")
-        rows = rows.withColumn("i", F.explode(F.expr("sequence(0, d)"))).withColumn("shift", F.explode(F.expr(shifts)))
         inside = "int(floor(n * i / (d + 1))) + shift >= 0 and int(floor(n * (i + 1) / (d + 1))) + shift <= own"
-        return rows.where(inside).select(F.expr(f"xxhash64(n, m, i, {cut})").alias("key"), "d", F.col("id").alias(name), F.col("nt").alias(f"{name}_t")).distinct()
+        keys = F.expr(f"array_distinct(transform(filter({shifts}, shift -> {inside}), shift -> xxhash64(n, m, i, {cut})))")
+        return rows.withColumn("i", F.explode(F.expr("sequence(0, d)"))).select(F.explode(keys).alias("key"), "d", F.col("id").alias(name), F.col("nt").alias(f"{name}_t"))
 
     most = f"int(floor(own * {2 - ratio!r}D / {ratio!r}D + 1e-6))"
     least = f"int(ceil(own * {ratio!r}D / {2 - ratio!r}D - 1e-6))"
@@ -225,7 +226,8 @@ def _met_on_segments(t: DataFrame, ratio: float) -> DataFrame:
     b = keyed(long_, "n", "b", "sequence(greatest(-i, (m - n) - (d - i)), least(i, (m - n) + (d - i)))").drop("d")
     # two titles of one length meet in both roles: one is enough
     own = (F.length("a_t") < F.length("b_t")) | (F.col("a") < F.col("b"))
-    return a.join(b, "key").where(own).where(F.expr("levenshtein(a_t, b_t, d) >= 0")).select("a", "a_t", "b", "b_t")
+    # a title has some hundred keys, which Spark's size check does not know: without the hint it broadcasts them
+    return a.join(b.hint("merge"), "key").where(own).where(F.expr("levenshtein(a_t, b_t, d) >= 0")).select("a", "a_t", "b", "b_t")
 
 
 def _met_on_grams(t: DataFrame, ratio: float) -> DataFrame:
@@ -251,7 +253,8 @@ def _met_on_grams(t: DataFrame, ratio: float) -> DataFrame:
         rare = rare.where(F.col("nth") <= F.floor(unshared * F.col("n") + 1e-6) + 1)
     a, b = (rare.select(F.col("paper_id").alias(f"{x}"), F.col("nt").alias(f"{x}_t"), F.col("n").alias(f"{x}_n"), "g") for x in ("a", "b"))
     near = F.least("a_n", "b_n") * 2 >= ratio * (F.col("a_n") + F.col("b_n"))
-    return a.join(b, "g").where((F.col("a") < F.col("b")) & near & (F.greatest("a_n", "b_n") > SEGMENTED)).select("a", "a_t", "b", "b_t")
+    # the same for triples
+    return a.join(b.hint("merge"), "g").where((F.col("a") < F.col("b")) & near & (F.greatest("a_n", "b_n") > SEGMENTED)).select("a", "a_t", "b", "b_t")
 
 
 def similar_titles(titles: DataFrame, ratio: float = SIMILAR) -> DataFrame:
