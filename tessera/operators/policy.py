@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.judge import DEEP, SHALLOW
-from tessera.session import materialize
+from tessera.session import drop, materialize, ship
 
 # fixed values: what a route costs, and what a person's time costs in the same units
 ROUTE_COST = {"accept": 0.0, "write": 0.0, "abstain": 0.0, "escalate": 0.0, "rewrite": 1.0, "re_retrieve": 4.0, "discover": 20.0}
@@ -20,6 +25,8 @@ WRITERS = {
     "assessment": ("editor",), "faithfulness": ("editor",), "answer": ("editor",), "decisions": ("editor",), "budget": ("editor",),
     "outcome": ("editor", "flag_for_human"),
 }
+PLACES = 1 << 23  # counts by which the tokens of queries are ordered
+BITS = 1024  # of a set of tokens, for a bound of how many tokens two sets differ in
 OUTCOMES = {"accept": "accepted", "abstain": "abstained", "escalate": "escalated"}
 
 
@@ -145,31 +152,91 @@ def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
     share at least ``most`` of either, so one of the first n - ceil(most * n) + 1 in any
     common order. At the first token that two sets share, what is left of each bounds how
     many they can share; only classes that may share enough are compared, once each pair.
+
+    Sets are moved when classes are made, and those of classes that may still be alike when
+    they are compared. In between a class is one row: numbers of its rarest tokens, and bits
+    that tell how many tokens two sets differ in at least.
     """
-    keyed = queries.withColumn("tokens", F.array_distinct("tokens")).withColumn("set", F.md5(F.to_json(F.array_sort("tokens")))).withColumn("n", F.size("tokens"))
-    sets = keyed.where(F.col("n") > 0).groupBy("session", "set").agg(F.min("seq").alias("first"), F.first("tokens").alias("tokens"))
+    tokens = F.array_distinct("tokens")
+    listed = F.to_json(F.array_sort(tokens))
+    keyed = queries.withColumn("set", F.md5(listed)).withColumn("n", F.size(tokens))
+    sets = keyed.withColumn("listed", listed).where(F.col("n") > 0).groupBy("session", "set").agg(F.min("seq").alias("first"), F.first("n").alias("n"), F.first("listed").alias("listed"))
     sets = materialize(sets.withColumn("class", F.monotonically_increasing_id()), "novelty-sets")
-    words = sets.select("session", "class", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    common = words.groupBy("w").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(W.partitionBy("session", "class").orderBy("df", "w"))
-    rare = words.join(common, "w").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1)
-    # a token of one class alone has no partner
-    rare = materialize(rare.where(F.col("df") > 1).select("session", "class", "n", "w", "nth"), "novelty-rare")
-    pairs = _may_be_alike(rare, most)
-    own = sets.select("class", "session", "set", "first", "tokens")
-    both = pairs.join(own, "class").join(own.toDF("other", "other_session", "other_set", "other_first", "other_tokens"), "other")
-    shared = F.size(F.array_intersect("tokens", "other_tokens"))
-    alike = materialize(both.where(shared / (F.size("tokens") + F.size("other_tokens") - shared) >= most).select("session", "set", "first", "other_set", "other_first"), "novelty-alike")
+    kind = queries.schema["tokens"].dataType.simpleString()
+    back = lambda c: F.from_json(c, kind)
+    numbers = sets.select("session", "class", "n", F.transform(back("listed"), lambda w: F.xxhash64("session", w)).alias("numbers"))
+    rarest = materialize(_rarest(numbers, most), "novelty-rarest")
+    rare = rarest.select("session", "class", "n", "skipped", F.posexplode("numbers").alias("at", "w")).select("session", "class", "n", "w", (F.col("skipped") + F.col("at") + 1).alias("nth"))
+    bits = rarest.select("class", "n", "bits")
+    both = _may_be_alike(rare, most).join(bits, "class").join(bits.toDF("other", "other_n", "other_bits"), "other")
+    differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda done, x: done + x)
+    near = differ <= (1 - most) / (1 + most) * (F.col("n") + F.col("other_n")) + 1e-9
+    pairs = materialize(both.where(near).select("class", "other"), "novelty-pairs")
+    drop(rarest)
+    wanted = pairs.select("class").union(pairs.select("other")).distinct()
+    own = materialize(sets.join(wanted, "class", "left_semi").select("class", "session", "set", "first", "listed"), "novelty-wanted")
+    both = pairs.join(own, "class").join(own.toDF("other", "other_session", "other_set", "other_first", "other_listed"), "other")
+    both = both.withColumns({"t": back("listed"), "u": back("other_listed")}).withColumn("shared", F.size(F.array_intersect("t", "u")))
+    alike = F.col("shared") / (F.size("t") + F.size("u") - F.col("shared")) >= most
+    alike = materialize(both.where(alike).select("session", "set", "first", "other_set", "other_first"), "novelty-alike")
+    drop(own)
     links = alike.select("session", "set", F.col("other_first").alias("at")).union(alike.select("session", F.col("other_set").alias("set"), F.col("first").alias("at")))
     earliest = links.union(sets.select("session", "set", F.col("first").alias("at"))).groupBy("session", "set").agg(F.min("at").alias("at"))
     told = keyed.join(earliest, ["session", "set"], "left")
     return told.withColumn("novel", (F.col("n") > 0) & (F.col("at") >= F.col("seq"))).select(*queries.columns, "novel")
 
 
+def _rarest(classes: DataFrame, most: float) -> DataFrame:
+    """(session, class, n, skipped, numbers, bits) of (session, class, n, numbers): a class's
+    first n - ceil(most * n) + 1 numbers from the rarest on, but for the ``skipped`` ones
+    first, which no other class has; and the parities of its numbers dealt to BITS bits.
+
+    How rare a number is, is told by the count of all numbers at its place, of PLACES:
+    any common order is right, and those counts are a table of fixed size that tasks hold.
+    """
+    spark, places = classes.sparkSession, PLACES
+    ship(spark)
+    counts = classes.select(F.explode("numbers").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(places - 1)).alias("place")).agg(F.count("*").alias("df"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2("df")))
+    found = counts.where("df > 1").select((F.col("place") * 256 + level).cast("int").alias("x")).toArrow().column("x").to_numpy()
+    table = np.zeros(places, np.uint8)  # 0: of one class
+    table[found >> 8] = found & 255
+    held = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator) -> Iterator:
+        levels = held.value
+        for batch in batches:
+            lists = batch.column("numbers")
+            size = pc.list_value_length(lists).to_numpy()
+            number = lists.flatten().to_numpy()
+            row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            level = levels[number & (places - 1)]
+            n = size.astype(np.int64)
+            kept = n - np.ceil(n * most - 1e-9).astype(np.int64) + 1
+            order = np.lexsort((number, level, row))
+            nth = np.arange(len(number)) - start[row]
+            first = (nth < kept[row]) & (level[order] > 0)
+            skipped = np.minimum(np.bincount(row[level == 0], minlength=len(n)), kept)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(n)))]).astype(np.int32)
+            odd = np.bincount(row * BITS + (number >> 40 & (BITS - 1)), minlength=len(n) * BITS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "session": batch.column("session"), "class": batch.column("class"), "n": batch.column("n"), "skipped": skipped.astype(np.int32),
+                "numbers": pa.ListArray.from_arrays(ends, number[order][first]), "bits": pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64), bits),
+            })
+
+    kind = classes.schema["session"].dataType.simpleString()
+    return classes.mapInArrow(run, f"session {kind}, class long, n int, skipped int, numbers array<long>, bits array<long>")
+
+
 def _may_be_alike(rare: DataFrame, most: float) -> DataFrame:
-    """Pairs (class, other) of (session, class, n, w, nth): rare tokens with their places."""
+    """Pairs (class, other) of (session, class, n, w, nth): rare tokens with their places.
+    The first one's set is not the larger, so fewer of its tokens are needed."""
     other = rare.toDF("session", "other", "other_n", "w", "other_nth")
-    near = F.least("n", "other_n") >= most * F.greatest("n", "other_n") - 1e-9
+    once = (F.col("n") < F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("class") < F.col("other"))
+    near = F.col("n") >= most * F.col("other_n") - 1e-9
     left = 1 + F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth"))  # of either set, from this token on
     enough = left >= most / (1 + most) * (F.col("n") + F.col("other_n")) - 1e-9
-    return rare.join(other, ["session", "w"]).where((F.col("class") < F.col("other")) & near & enough).select("class", "other").distinct()
+    first = rare.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * (2 * most / (1 + most)) - 1e-9) + 1)
+    # Spark's size check does not know how many tokens a class has: without the hint it broadcasts them
+    return first.join(other.hint("merge"), ["session", "w"]).where(once & near & enough).select("class", "other").distinct()
