@@ -26,6 +26,7 @@ WRITERS = {
     "outcome": ("editor", "flag_for_human"),
 }
 PLACES = 1 << 23  # counts by which the tokens of queries are ordered
+MEETINGS = 3  # rare tokens that two sets must share before they are looked at
 BITS = 1024  # of a set of tokens, for a bound of how many tokens two sets differ in
 OUTCOMES = {"accept": "accepted", "abstain": "abstained", "escalate": "escalated"}
 
@@ -168,7 +169,7 @@ def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
     rarest = materialize(_rarest(numbers, most), "novelty-rarest")
     rare = rarest.select("session", "class", "n", "skipped", F.posexplode("numbers").alias("at", "w")).select("session", "class", "n", "w", (F.col("skipped") + F.col("at") + 1).alias("nth"))
     bits = rarest.select("class", "n", "bits")
-    both = _may_be_alike(rare, most).join(bits, "class").join(bits.toDF("other", "other_n", "other_bits"), "other")
+    both = _may_be_alike(rare, most, MEETINGS).join(bits, "class").join(bits.toDF("other", "other_n", "other_bits"), "other")
     differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda done, x: done + x)
     near = differ <= (1 - most) / (1 + most) * (F.col("n") + F.col("other_n")) + 1e-9
     pairs = materialize(both.where(near).select("class", "other"), "novelty-pairs")
@@ -188,7 +189,7 @@ def novel_queries(queries: DataFrame, most: float = 0.8) -> DataFrame:
 
 def _rarest(classes: DataFrame, most: float) -> DataFrame:
     """(session, class, n, skipped, numbers, bits) of (session, class, n, numbers): a class's
-    first n - ceil(most * n) + 1 numbers from the rarest on, but for the ``skipped`` ones
+    first n - ceil(most * n) + MEETINGS numbers from the rarest on, but for the ``skipped`` ones
     first, which no other class has; and the parities of its numbers dealt to BITS bits.
 
     How rare a number is, is told by the count of all numbers at its place, of PLACES:
@@ -212,7 +213,7 @@ def _rarest(classes: DataFrame, most: float) -> DataFrame:
             row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
             level = levels[number & (places - 1)]
             n = size.astype(np.int64)
-            kept = n - np.ceil(n * most - 1e-9).astype(np.int64) + 1
+            kept = np.minimum(n, n - np.ceil(n * most - 1e-9).astype(np.int64) + MEETINGS)
             order = np.lexsort((number, level, row))
             nth = np.arange(len(number)) - start[row]
             first = (nth < kept[row]) & (level[order] > 0)
@@ -229,14 +230,21 @@ def _rarest(classes: DataFrame, most: float) -> DataFrame:
     return classes.mapInArrow(run, f"session {kind}, class long, n int, skipped int, numbers array<long>, bits array<long>")
 
 
-def _may_be_alike(rare: DataFrame, most: float) -> DataFrame:
+def _may_be_alike(rare: DataFrame, most: float, times: int = 1) -> DataFrame:
     """Pairs (class, other) of (session, class, n, w, nth): rare tokens with their places.
-    The first one's set is not the larger, so fewer of its tokens are needed."""
+    The first one's set is not the larger, so fewer of its tokens are needed.
+
+    Sets that may be alike meet on ``times`` tokens, or on all that they must share: each of
+    the first ones leaves enough of both sets, if it counts as the last of them. So each
+    set needs ``times`` - 1 tokens more, and sets that meet by chance mostly do so once.
+    """
     other = rare.toDF("session", "other", "other_n", "w", "other_nth")
     once = (F.col("n") < F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("class") < F.col("other"))
     near = F.col("n") >= most * F.col("other_n") - 1e-9
-    left = 1 + F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth"))  # of either set, from this token on
-    enough = left >= most / (1 + most) * (F.col("n") + F.col("other_n")) - 1e-9
-    first = rare.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * (2 * most / (1 + most)) - 1e-9) + 1)
+    left = times + F.least(F.col("n") - F.col("nth"), F.col("other_n") - F.col("other_nth"))  # of either set, from this token on
+    needed = most / (1 + most) * (F.col("n") + F.col("other_n")) - 1e-9
+    first = rare.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * (2 * most / (1 + most)) - 1e-9) + times)
     # Spark's size check does not know how many tokens a class has: without the hint it broadcasts them
-    return first.join(other.hint("merge"), ["session", "w"]).where(once & near & enough).select("class", "other").distinct()
+    met = first.join(other.hint("merge"), ["session", "w"]).where(once & near & (left >= needed))
+    met = met.groupBy("class", "other", "n", "other_n").agg(F.count("*").alias("shared"))
+    return met.where(F.col("shared") >= F.least(F.lit(times), F.ceil(needed))).select("class", "other")
